@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.runtime import table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,6 +18,12 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pieces import piece_digest
+
+    return piece_digest(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.tokens import token_digest
 
