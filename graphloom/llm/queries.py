@@ -24,6 +24,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.brown import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.tokens import token_digest
 
