@@ -7,7 +7,7 @@ frame is the directory: document ids, numbers of ids, and each document's frame.
 the directory and the frames of the documents it wants, and nothing else.
 
 Defined cases: a null text is an empty text and gets the end id alone; documents without an id come first;
-repeated ids are ordered by text; an empty table gives no shard and no row.
+repeated ids are ordered by a hash of their text; an empty table gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
+from graphloom.llm.chunks import ChunkCache
 from graphloom.runtime import new_folder, stored
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 1 << 18
-CACHE_KEYS = 1 << 21
 END_ID = 0
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -46,78 +46,48 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.cache = ChunkCache()
 
-    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return sizes, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE_KEYS:
-            self.keys, self.starts, self.sizes, self.ids = self.keys[:0], self.starts[:0], self.sizes[:0], self.ids[:0]
-        sizes, ids = self._ask(texts)
-        starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, ids])
-        every = np.concatenate([self.keys, keys])
-        order = np.argsort(every, kind="stable")
-        self.keys = every[order]
-        self.starts = np.concatenate([self.starts, starts])[order]
-        self.sizes = np.concatenate([self.sizes, sizes])[order]
-
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+    def solve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        return self.ask([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each text."""
-        n = len(offsets) - 1
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         space = T.SPACE[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] = space[1:] & ~space[:-1]
         cut[offsets] = True
         starts = np.flatnonzero(cut[:-1])
-        ends = np.append(starts[1:], len(data))
-        keys, first, inverse = np.unique(T.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        at, known = self._find(keys)
-        if not known.all():
-            new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            at, known = self._find(keys)
-            if not known.all():  # the cache was emptied to make room
-                old = np.flatnonzero(~known)
-                self._learn(keys[old], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[old]].tolist(), ends[first[old]].tolist(), strict=True)])
-                at, known = self._find(keys)
-        at = at[inverse]
-        sizes = self.sizes[at]
-        ids = self.ids[T.ranges(self.starts[at], sizes)]
+        ids, sizes = self.cache.encode(data, starts, np.append(starts[1:], len(data)), self.solve)
         upto = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
         per = np.diff(upto)
-        odd = self._wide(data, offsets)
+        odd = self.wide(data, offsets)
         if len(odd):
-            raw = data.tobytes()
-            sizes, own = self._ask([raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace") for i in odd])
+            sizes, own = self.solve_whole(data, offsets, odd)
             parts, at = np.split(ids, upto[1:-1]), 0
             for i, size in zip(odd, sizes, strict=True):
                 parts[i], at = own[at : at + size], at + size
             ids, per[odd] = np.concatenate(parts), sizes
         return ids, per
 
+    def solve_whole(self, data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.solve(data, offsets[which], offsets[which + 1])
+
     @staticmethod
-    def _wide(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def wide(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts that may hold white space outside ASCII, by the first two bytes of its encodings."""
         a, b = data[:-1], data[1:]
         hit = np.flatnonzero(((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80)))
@@ -218,7 +188,7 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = END_ID) -> DataFrame:
     """Encode doc_id, text and write shards in ascending order of doc_id. Returns a stored manifest: shard, path, n_docs, n_tokens."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -269,7 +239,7 @@ def read_tokens(manifest: DataFrame, digest: bool = False) -> DataFrame:
                         last = pa.array([zlib.crc32(np.ascontiguousarray(x).tobytes()) for x in own], pa.int64()) if digest else pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))
                         yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[some], pa.int64(), mask=missing[some]), pa.array(begins[some]), pa.array(shard.counts[some]), last], ["doc_id", "start", "n_tokens", kind.split()[0]])
 
-    return starts.select("path", "before").repartition(F.col("path")).mapInArrow(read, f"doc_id long, start long, n_tokens long, {kind}")
+    return starts.select("path", "before").repartition(max(1, min(manifest.count(), 1 << 14)), "path").mapInArrow(read, f"doc_id long, start long, n_tokens long, {kind}")
 
 
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:

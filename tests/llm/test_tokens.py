@@ -12,7 +12,7 @@ TEXTS = ["", None, "a", " a  b\n\n\tc ", "Hé llo    x 12's don't", "<|endoft
 
 @pytest.fixture(scope="module")
 def rows():
-    return [(i * 3 + 1, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (1, "twice")]
+    return [(i * 3 + 1, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (4, None)]
 
 
 def expected(rows):
