@@ -18,6 +18,12 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.jaccard import shingle_components
+
+    return shingle_components(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.pieces import piece_digest
 
@@ -40,5 +46,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP1_SQL = """
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) end) g from d),
+n as (select d.doc_id, count(s.g) n from d left join s using (doc_id) group by d.doc_id),
+p as (
+  select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (
+  select x, y from p join n m on m.doc_id = x join n o on o.doc_id = y where 100 * c >= 75 * (m.n + o.n - c)),
+e as (select x, y from l union all select y, x from l),
+r(v, k) using key (v) as (
+  select doc_id, doc_id from n union
+  select e.y, min(r.k) from r join e on e.x = r.v join recurring.r o on o.v = e.y group by e.y, o.k having min(r.k) < o.k)
+select n.doc_id, n.n as n_shingles, r.k as component_id from n join r on r.v = n.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard": OP1_SQL}
