@@ -42,6 +42,24 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
+def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.lines import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.suffixes import repeat_digest
 
