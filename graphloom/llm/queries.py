@@ -60,6 +60,12 @@ def op8_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_semantic_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.semantic import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.suffixes import repeat_digest
 
