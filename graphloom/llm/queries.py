@@ -42,6 +42,12 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.personal import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality import quality_scores
 
