@@ -33,7 +33,7 @@ from graphloom.operators.components import star_components
 from graphloom.runtime import stored
 
 WORDS, PERCENT = 5, 75
-FLUSH = 2 << 20
+FLUSH = 1 << 20
 HOT = 32
 BLOCK, OUTSIDERS = 2048, 512
 BITS = 2048
@@ -101,8 +101,10 @@ def _sets(docs: DataFrame, words: int, bits: int) -> DataFrame:
                 size, total = size + len(keys), total + part.num_rows
                 if size >= FLUSH:
                     yield flush()
+                    T.release()
         if held:
             yield flush()
+        T.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "frag long, src long, keys binary, times binary, owners binary, hot_keys binary, hot_times binary, info array<binary>")
 
@@ -128,6 +130,8 @@ def _count(group: pa.Table) -> pa.Table:
         hot_names = out[len(rows) + k]
         if shared.any() or len(hot_names):
             back.append({"src": r["src"], "frag": frag, "tokens": X.pack(out[k][shared]), "times": X.pack(times[k][shared]), "owners": X.pack(X.unpack(r["owners"], np.uint32)[np.repeat(shared, times[k])]), "hot_tokens": X.pack(hot_names), "info": None})
+    del every, inverse, name, out
+    T.release()
     return pa.Table.from_pylist(back, schema)
 
 
@@ -146,6 +150,7 @@ def _assemble(percent: int):
         first = n - (-(-percent * n // 100)) + 1 - (n - shared)  # how many shared shingles belong to the first ones
         live = (first > 0) & (n > 0) & ~missing
         ends = np.cumsum(shared)
+        T.release()
         blobs = [X.pack(token[e - s : e]) if ok else None for e, s, ok in zip(ends.tolist(), shared.tolist(), live.tolist(), strict=True)]
         return pa.Table.from_arrays([pa.array(ids, mask=missing), pa.array(n), pa.array(c1), pa.array(c2), pa.array(np.where(live, first, 0)), pa.array(n - shared), pa.array(blobs, pa.binary())], ["doc_id", "n", "c1", "c2", "first", "own", "tokens"])
 
@@ -209,6 +214,7 @@ def _close(percent: int):
             if len(near):
                 kinds, at = np.unique(comp[near], return_index=True)
                 found += [(int(ids[u]), int(ids[near[i]])) for i in at]
+        T.release()
         return pa.Table.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run

@@ -5,6 +5,7 @@ All functions take whole texts; a batch is cut into slices of a bounded number o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SLICE_BYTES = 2 << 20
 U = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,6 +129,13 @@ def shingles(hashes: np.ndarray, per: np.ndarray, n: int = 5) -> tuple[np.ndarra
     return np.concatenate(out), np.concatenate(docs)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of arange(start, start + length)."""
     total = int(lengths.sum())
