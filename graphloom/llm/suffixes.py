@@ -122,6 +122,7 @@ def _parts(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     yield flush()
         if held:
             yield flush()
+        T.release()
 
     blobs = "src long, n_keys long, " + ", ".join(f"{c} binary" for c in ("ids", "missing", "hashes", "doc", "pos", "times", "keys", "around"))
     return stored(docs.mapInArrow(run, blobs), "suffix-parts")
@@ -339,6 +340,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
         anchor = table.column("anchor").to_numpy()
         number = np.cumsum(np.append(False, anchor[1:] != anchor[:-1]))
         best_left, best_right = extend(data, place, left, np.diff(offsets) - left - gram, number, gram, length - gram)
+        T.release()
         ok = best_left >= 0
         pos = table.column("pos").to_numpy()
         return pa.Table.from_arrays([*(table.column(k).filter(pa.array(ok)) for k in keys), pa.array((pos - best_left)[ok]), pa.array((pos + gram + best_right)[ok])], [*keys, "start", "end"])
