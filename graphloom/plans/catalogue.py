@@ -291,7 +291,7 @@ def betweenness(spark, sf_dir):
 
 @query()
 def low_diameter_decomposition(spark, sf_dir):
-    return paths.low_diameter_decomposition(parts(spark, sf_dir))
+    return paths.low_diameter_decomposition(parts(spark, sf_dir), 0.6)
 
 
 @query()
