@@ -89,16 +89,21 @@ def _h_index(values: DataFrame) -> DataFrame:
 
 def degeneracy_order(graph: Graph) -> DataFrame:
     """(id, round, core): exact peeling; all vertices whose remaining degree is at most the current core leave in one round. The order is (round, id)."""
-    return _peel(graph, lambda rows, k: max(k, rows.agg(F.min("degree")).first()[0]))
+    def limit(rows: DataFrame, k: int) -> int | None:
+        low = rows.agg(F.min("degree")).first()[0]
+        return None if low is None else max(k, low)
+
+    return _peel(graph, limit)
 
 
 def approximate_order(graph: Graph, epsilon: float = 0.1, rule: str = "share") -> DataFrame:
     """(id, round, core): rounds of at most logarithmic number. share: the 1 / (2 + epsilon) of lowest degree; threshold: all up to (1 + epsilon) times twice the mean degree."""
 
-    def limit(rows: DataFrame, k: int) -> int:
+    def limit(rows: DataFrame, k: int) -> int | None:
         if rule == "share":
             return rows.agg(F.percentile_approx("degree", F.lit(1 / (2 + epsilon)), F.lit(10000))).first()[0]
-        return math.ceil((1 + epsilon) * (rows.agg(F.avg("degree")).first()[0] or 0))
+        mean = rows.agg(F.avg("degree")).first()[0]
+        return None if mean is None else math.ceil((1 + epsilon) * mean)
 
     return _peel(graph, limit)
 
@@ -107,13 +112,12 @@ def _peel(graph: Graph, limit) -> DataFrame:
     edges = stored(graph.edges.where("src <> dst").select("src", "dst"), "peel")
     rows = stored(Graph(graph.vertices, edges.withColumn("w", F.lit(1)), False).degrees(), "peel")
     out, k, number = None, 0, 0
-    while not rows.isEmpty():
-        k = limit(rows, k)
+    while (k := limit(rows, k)) is not None:
         gone = stored(rows.where(F.col("degree") <= k).select("id", F.lit(number).alias("round"), F.lit(k).cast("long").alias("core")), "peel")
         out = gone if out is None else out.union(gone)
+        # vertices that left earlier are no rows any more, so all edges can stay
         lost = edges.join(gone.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
         rows = stored(rows.join(gone, "id", "left_anti").join(lost, "id", "left").select("id", (F.col("degree") - F.coalesce("n", F.lit(0).cast("long"))).alias("degree")), "peel")
-        edges = stored(edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "peel")
         number += 1
         if number % 16 == 0:
             out = stored(out, "peel")
@@ -182,17 +186,16 @@ def densest_greedy_plus(graph: Graph, rounds: int = 4) -> DataFrame:
     edges = stored(graph.edges.where("src <> dst").select("src", "dst"), "greedy")
     load, best = graph.vertices.select("id", F.lit(0).cast("long").alias("load")), 0.0
     for _ in range(rounds):
-        own, order = edges, None
-        rows = stored(Graph(graph.vertices, own.withColumn("w", F.lit(1)), False).degrees().join(load, "id"), "greedy")
-        number = 0
-        while not rows.isEmpty():
-            low = rows.agg(F.min(F.col("degree") + F.col("load"))).first()[0]
+        order, number = None, 0
+        rows = stored(Graph(graph.vertices, edges.withColumn("w", F.lit(1)), False).degrees().join(load, "id"), "greedy")
+        while (low := rows.agg(F.min(F.col("degree") + F.col("load"))).first()[0]) is not None:
             gone = stored(rows.where(F.col("degree") + F.col("load") <= low).select("id", F.lit(number).alias("round"), (F.col("degree") + F.col("load")).alias("load")), "greedy")
-            order = gone if order is None else stored(order.union(gone), "greedy")
-            lost = own.join(gone.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+            order = gone if order is None else order.union(gone)
+            lost = edges.join(gone.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
             rows = stored(rows.join(gone, "id", "left_anti").join(lost, "id", "left").select("id", (F.col("degree") - F.coalesce("n", F.lit(0).cast("long"))).alias("degree"), "load"), "greedy")
-            own = stored(own.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "greedy")
             number += 1
+            if number % 16 == 0:
+                order = stored(order, "greedy")
         if order is None:
             break
         best = max(best, suffix_density(graph, order).first()[0])

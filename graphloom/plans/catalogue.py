@@ -340,23 +340,21 @@ def spanning_forest(spark, sf_dir):
     return connectivity.spanning_forest(parts(spark, sf_dir))
 
 
-@query(f"""with recursive {SYM}, g as (select *, row_number() over (order by w, a, b) rk from und where a < 60 and b < 60),
+@query(f"""with recursive {SYM}, g as (select *, row_number() over (order by w, a, b) rk from und),
 t as (select a, b, rk from g union all select b, a, rk from g),
 r(a, b, k) using key (a, b) as (
   select a, b, rk from t union
   select r.a, t.b, min(greatest(r.k, t.rk)) from r join t on t.a = r.b left join recurring.r o on o.a = r.a and o.b = t.b where r.a <> t.b group by r.a, t.b, o.k having o.k is null or min(greatest(r.k, t.rk)) < o.k)
 select g.a as src, g.b as dst, g.w from g join r on r.a = g.a and r.b = g.b where r.k = g.rk""")
 def minimum_spanning_forest(spark, sf_dir):
-    return connectivity.minimum_spanning_forest(friends(spark, sf_dir).filter_edges(lambda s, d, w: (s < 60) & (d < 60)))
+    return connectivity.minimum_spanning_forest(friends(spark, sf_dir))
 
 
-@query(f"""with recursive {FLOW}, dd as (select distinct a, b from e where (a + b) % 7 = 0),
+@query(f"""with recursive {FLOW}, dd as (select distinct a, b from e),
 r as (select a, b from dd union select r.a, dd.b from r join dd on dd.a = r.b), vs as (select a v from dd union select b from dd)
 select v as id, least(v, (select min(x.b) from r x join r y on y.a = x.b and y.b = x.a where x.a = v)) as label from vs""")
 def strongly_connected(spark, sf_dir):
-    g = flow(spark, sf_dir)
-    kept = g.edges.where("(src + dst) % 7 = 0")
-    return connectivity.strongly_connected(Graph.from_edges(kept, directed=True).store())
+    return connectivity.strongly_connected(flow(spark, sf_dir))
 
 
 @query()
@@ -369,12 +367,12 @@ def articulation_points(spark, sf_dir):
     return connectivity.articulation_points(connectivity.biconnected(parts(spark, sf_dir)))
 
 
-@query(f"with recursive {PART}, {CC.replace(' s ', ' s4 ').replace(' s.', ' s4.').replace('= s.b', '= s4.b').replace('distinct a, a from s4', 'distinct a, a from s')}, s4 as (select * from s where (a + b) % 4 < 2) select v as id, l as label from cc".replace("cc(v, l)", "s4 as (select * from s where (a + b) % 4 < 2), cc(v, l)").replace(", s4 as (select * from s where (a + b) % 4 < 2) select", " select"))
+@query(f"with recursive {PART}, {CC} select v as id, l as label from cc")
 def incremental_components(spark, sf_dir):
     g = parts(spark, sf_dir)
     state = connectivity.IncrementalComponents(g.vertices)
     for batch in (0, 1):
-        state.process(g.und().where((F.col("src") + F.col("dst")) % 4 == batch).select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit("insert").alias("op")))
+        state.process(g.und().where((F.col("src") + F.col("dst")) % 2 == batch).select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit("insert").alias("op")))
     return state.labels
 
 
