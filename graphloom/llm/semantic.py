@@ -59,10 +59,10 @@ def _sketch(docs: DataFrame, rank: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Document frequency of each feature, the sketch (features x rank), and the number of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, passages = np.zeros(FEATURES * rank, np.float32), np.zeros(FEATURES, np.int64), 0
+        total, seen, passages = np.zeros(FEATURES * rank), np.zeros(FEATURES, np.int64), 0
         r = np.random.default_rng([17, TaskContext.get().partitionId()])
         for batch in batches:
-            for part in T.slices(batch):
+            for part in T.slices(batch, most=8 << 20):
                 hashes, per, _ = item_words(*T.text_bytes(part.column(0)))
                 count = np.diff(per)
                 parts = -(-count // PASSAGE)
@@ -71,13 +71,14 @@ def _sketch(docs: DataFrame, rank: int) -> tuple[np.ndarray, np.ndarray, int]:
                 feature = _feature(hashes)
                 once = np.unique(owner * FEATURES + feature)
                 seen += np.bincount(once % FEATURES, minlength=FEATURES)
-                for _ in range(SIGNS):
-                    column, sign = r.integers(0, rank, n), r.choice(np.array([-1.0, 1.0], np.float32), n)
-                    total += np.bincount(feature * rank + column[owner], weights=sign[owner], minlength=FEATURES * rank).astype(np.float32)
+                column, sign = r.integers(0, rank, (n, SIGNS)), r.choice(np.array([-1.0, 1.0]), (n, SIGNS))
+                total += np.bincount(((feature * rank)[:, None] + column[owner]).ravel(), weights=sign[owner].ravel(), minlength=FEATURES * rank)
                 passages += n
         if not passages:
             return
-        grid = total.reshape(FEATURES, rank)
+        grid = total.astype(np.float32).reshape(FEATURES, rank)
+        del total
+        T.release()
         for k in range(0, FEATURES, ROWS):
             yield pa.RecordBatch.from_pydict({"block": [k // ROWS], "sketch": [grid[k : k + ROWS].tobytes()], "seen": [seen[k : k + ROWS].tobytes()], "passages": [passages if k == 0 else 0]})
 
@@ -120,11 +121,12 @@ class Items:
         np.add.at(vectors, np.repeat(np.arange(len(ids)), np.diff(per)), space[_feature(hashes)])
         self.vectors = _unit(vectors).astype(np.float32)
         self.size = np.diff(per)
-        self.masks, self.answer_masks, self.answer_size = [], [], []
+        self.masks, self.answer_masks, self.answer_size, self.known = [], [], [], []
         for k in range(len(ids)):
             own, ends = hashes[per[k] : per[k + 1]].tolist(), np.flatnonzero(closes[per[k] : per[k + 1]])
             ends = ends[ends < len(own) - ANSWER]
             begin = int(ends[-1]) + 1 if len(ends) else max(0, len(own) - 2 * ANSWER)
+            self.known.append(np.unique(hashes[per[k] : per[k + 1]], return_counts=True))
             self.masks.append(self._mask(own))
             self.answer_masks.append(self._mask(own[begin:]))
             self.answer_size.append(len(own) - begin)
@@ -136,8 +138,16 @@ class Items:
             out[w] = out.get(w, 0) | (1 << k)
         return out
 
-    def align(self, k: int, region: list[int]) -> float:
-        """The share of the item's words in its longest common subsequence with the region, or 0 if the answer isn't there."""
+    def bound(self, k: int, words: np.ndarray) -> tuple[int, np.ndarray]:
+        """The most words that a common subsequence with the region can have (each as often as in both), and the region's words of the item."""
+        known, times = self.known[k]
+        spot = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        hit = known[spot] == words
+        return int(np.minimum(np.bincount(spot[hit], minlength=len(known)), times).sum()), words[hit]
+
+    def align(self, k: int, words: np.ndarray) -> float:
+        """The share of the item's words in its longest common subsequence with a region, or 0 if the answer isn't there."""
+        region = words.tolist()
         cover = common(self.masks[k], region) / max(1, int(self.size[k]))
         if cover < COVER or 2 * common(self.answer_masks[k], region) < self.answer_size[k]:
             return 0.0
@@ -168,21 +178,38 @@ def _find(items: Items, space: np.ndarray, data: np.ndarray, offsets: np.ndarray
         return []
     text = np.repeat(np.arange(len(count)), steps)
     begin = per[text] + (np.arange(len(text)) - upto[text]) * STEP
-    pieces = np.add.reduceat(space[_feature(hashes)], begin, axis=0)
-    sums = np.concatenate([np.zeros((1, pieces.shape[1])), np.cumsum(pieces, axis=0, dtype=float)])
-    end_of = upto[text + 1]
+    stop = np.minimum(begin + STEP, per[text + 1])
+    feature, pieces = _feature(hashes), np.zeros((len(begin), space.shape[1]), np.float32)
+    for j in range(STEP):  # the j-th word of every step together
+        full = np.flatnonzero(begin + j < stop)
+        if len(full) == len(begin):
+            pieces += space[feature[begin + j]]
+        else:
+            pieces[full] += space[feature[begin[full] + j]]
+    ahead = lambda x, n: np.where((text[n:] == text[:-n])[:, None], x[n:], 0)  # noqa: E731  windows end with their text
+    two = pieces.copy()
+    two[:-1] += ahead(pieces, 1)
+    four = two.copy()
+    four[:-2] += ahead(two, 2)
+    near = np.zeros((len(text), len(items.ids)), bool)
+    for z in (two, four):
+        near |= _unit(z) @ items.vectors.T >= cosine
     best: dict[tuple[int, int], float] = {}
-    for width in (2, 4):
-        last = np.minimum(np.arange(len(text)) + width, end_of)
-        z = _unit(sums[last] - sums[:-1]).astype(np.float32)
-        close = z @ items.vectors.T
-        for row, k in zip(*(x.tolist() for x in np.nonzero(close >= cosine)), strict=True):
-            own = int(text[row])
-            if best.get((own, k), 0.0) >= 1.0:
-                continue
-            lo = max(int(per[own]), int(begin[row]) - 2 * STEP)
-            hi = min(int(per[own + 1]), int(begin[row]) + max(width * STEP, int(items.size[k])) + 2 * STEP)
-            cover = items.align(k, hashes[lo:hi].tolist())
+    tried: dict[tuple[int, int], tuple[int, int]] = {}  # the last region's end, and how many words it had in common at most
+    for row, k in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        own = int(text[row])
+        if best.get((own, k), 0.0) >= 1.0:
+            continue
+        least = COVER * items.size[k]
+        lo = max(int(per[own]), int(begin[row]) - 2 * STEP)
+        hi = min(int(per[own + 1]), int(begin[row]) + max(4 * STEP, int(items.size[k])) + 2 * STEP)
+        end, most = tried.get((own, k), (lo, 0))
+        if most + hi - max(end, lo) < least:  # later words alone can't make up for what lacked
+            continue
+        most, hits = items.bound(k, hashes[lo:hi])
+        tried[own, k] = hi, most
+        if most >= least:
+            cover = items.align(k, hits)
             if cover > best.get((own, k), 0.0):
                 best[own, k] = cover
     return [(d, k, c) for (d, k), c in sorted(best.items())]
