@@ -181,15 +181,15 @@ def densest_greedy(graph: Graph) -> DataFrame:
     return suffix_density(graph, degeneracy_order(graph))
 
 
-def densest_greedy_plus(graph: Graph, rounds: int = 4) -> DataFrame:
-    """(density): repeated peelings whose order counts, besides the remaining degree, the load of earlier ones."""
+def densest_greedy_plus(graph: Graph, rounds: int = 4, epsilon: float = 0.0) -> DataFrame:
+    """(density): repeated peelings whose order counts, besides the remaining degree, the load of earlier ones. Values up to 1 + epsilon times the least leave together."""
     edges = stored(graph.edges.where("src <> dst").select("src", "dst"), "greedy")
     load, best = graph.vertices.select("id", F.lit(0).cast("long").alias("load")), 0.0
     for _ in range(rounds):
         order, number = None, 0
         rows = stored(Graph(graph.vertices, edges.withColumn("w", F.lit(1)), False).degrees().join(load, "id"), "greedy")
         while (low := rows.agg(F.min(F.col("degree") + F.col("load"))).first()[0]) is not None:
-            gone = stored(rows.where(F.col("degree") + F.col("load") <= low).select("id", F.lit(number).alias("round"), (F.col("degree") + F.col("load")).alias("load")), "greedy")
+            gone = stored(rows.where(F.col("degree") + F.col("load") <= (1 + epsilon) * low).select("id", F.lit(number).alias("round"), (F.col("degree") + F.col("load")).alias("load")), "greedy")
             order = gone if order is None else order.union(gone)
             lost = edges.join(gone.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
             rows = stored(rows.join(gone, "id", "left_anti").join(lost, "id", "left").select("id", (F.col("degree") - F.coalesce("n", F.lit(0).cast("long"))).alias("degree"), "load"), "greedy")
