@@ -68,11 +68,13 @@ def _sketch(docs: DataFrame, rank: int) -> tuple[np.ndarray, np.ndarray, int]:
                 parts = -(-count // PASSAGE)
                 owner = np.repeat(np.cumsum(parts) - parts, count) + (np.arange(len(hashes)) - np.repeat(per[:-1], count)) // PASSAGE
                 n = int(parts.sum())
-                feature = _feature(hashes)
-                once = np.unique(owner * FEATURES + feature)
-                seen += np.bincount(once % FEATURES, minlength=FEATURES)
-                column, sign = r.integers(0, rank, (n, SIGNS)), r.choice(np.array([-1.0, 1.0]), (n, SIGNS))
-                total += np.bincount(((feature * rank)[:, None] + column[owner]).ravel(), weights=sign[owner].ravel(), minlength=FEATURES * rank)
+                feature = _feature(hashes).astype(np.int32)
+                both = owner * FEATURES + feature
+                both.sort()
+                seen += np.bincount(both[np.append(True, both[1:] != both[:-1])] % FEATURES, minlength=FEATURES) if n else 0
+                for _ in range(SIGNS):
+                    column, sign = r.integers(0, rank, n, dtype=np.int32), r.choice(np.array([-1.0, 1.0]), n)
+                    total += np.bincount(feature * np.int32(rank) + column[owner], weights=sign[owner], minlength=FEATURES * rank)
                 passages += n
         if not passages:
             return
