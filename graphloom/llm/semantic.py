@@ -5,7 +5,7 @@
    blocks of rows. Scaling rows by the squared idf gives the sketch of the weighted matrix, and its singular vectors (RANK
    of them, divided by their singular values so that no subject or language outweighs the rest) span the latent space.
 2. A second pass projects every word of every text once; sums over STEP words make windows of 2 and 4 steps at every
-   step. Windows whose cosine with a benchmark item reaches COSINE are candidates.
+   step, and of one step for items of at most two. Windows whose cosine with a benchmark item reaches COSINE are candidates.
 3. A candidate and its surroundings are aligned with the item: the longest common subsequence of words must hold COVER of
    the item's words, and that of the answer (the item's last sentence, at least ANSWER words) half of its words. So
    paraphrases with replaced, added or dropped words are found, and texts that only share a subject are not.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import textops as T
 
 PASSAGE, STEP, FEATURES, RANK, SIGNS = 64, 16, 1 << 15, 96, 4
-COSINE, COVER, ANSWER, ITEMS = 0.55, 0.7, 5, 4096
+COSINE, COVER, ANSWER, ITEMS = 0.4, 0.7, 5, 4096
 ROWS = 1 << 11
 TRAIL = np.zeros(256, bool)
 TRAIL[[ord(c) for c in ".,;:!?\"')"]] = True
@@ -196,6 +196,9 @@ def _find(items: Items, space: np.ndarray, data: np.ndarray, offsets: np.ndarray
     near = np.zeros((len(text), len(items.ids)), bool)
     for z in (two, four):
         near |= _unit(z) @ items.vectors.T >= cosine
+    short = np.flatnonzero(items.size <= 2 * STEP)  # such an item is a small part of the wider windows
+    if len(short):
+        near[:, short] |= _unit(pieces) @ items.vectors[short].T >= cosine
     best: dict[tuple[int, int], float] = {}
     tried: dict[tuple[int, int], tuple[int, int]] = {}  # the last region's end, and how many words it had in common at most
     for row, k in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
