@@ -2,16 +2,17 @@
 
 1. Every task turns its texts into arrays: the distinct 64-bit hashes of its words, their counts in training texts, and
    the sequence of word numbers. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; one end token closes each text.
-2. Distinct words are dealt to fragments of the hash space, counts are summed over all training texts, and each task's
-   part gets the totals back.
-3. The ITEMS most frequent words (and the end) are items of their own; every other word belongs to the item of its
-   count's power of two, unseen words to the one of count 0. So every word, however rare, has an item.
-4. Bigrams of items over all training texts are summed in Spark (at most items squared rows) and the exchange algorithm
-   moves items between CLASSES classes while the likelihood of the class bigram grows.
-5. P(w | before) = P(class(w) | class(before)) * P(w | class(w)). Transitions are smoothed with SMOOTH pseudo counts of
-   the class unigram; emissions add one to each word, with one unseen word, so that the whole sums to 1.
-
-The vocabulary of items, the number of classes and rounds are the model's size; all counts come from all texts.
+2. Seeds: the ITEMS most frequent words and one item for all others go through the exchange algorithm, which moves items
+   between CLASSES classes while the likelihood of the class bigram grows.
+3. Rounds over the whole training vocabulary: tasks count the classes before and after each of their words, the counts are
+   dealt to fragments of the hash space and summed, and every word moves to the class whose neighbours' classes explain its
+   own best. Each task's part gets its words' totals and classes back and counts the class bigrams of all training
+   texts. Rounds end when the likelihood of the class bigram grows by less than GAIN of itself; the likeliest is kept.
+4. P(w | before) = P(class(w) | class(before)) * P(w | class(w)). Transitions are smoothed with SMOOTH pseudo counts of
+   the class unigram; emissions add one to each word, with one unseen word, so that the whole sums to 1. The unseen word
+   is of the class with most words of count 1.
+
+The numbers of seeds, classes and rounds are the model's size; word classes, their table and all counts come from all texts.
 
 Defined cases: a null or empty text is one end token; documents without an id count as trained (crc32 of the empty
 text); repeated rows are scored and counted each; an empty table gives no rows; other columns are ignored.
@@ -31,8 +32,7 @@ from graphloom.llm import exchange as X
 from graphloom.llm import textops as T
 from graphloom.runtime import stored
 
-ITEMS, CLASSES, ROUNDS, SMOOTH = 500, 32, 8, 5.0
-BANDS = 64
+ITEMS, CLASSES, ROUNDS, SMOOTH, GAIN = 500, 32, 8, 5.0, 0.01
 FLUSH_WORDS = 2 << 20
 END = np.uint64(0x9D39247E33776D41)
 
@@ -72,34 +72,121 @@ def _parts(docs: DataFrame) -> DataFrame:
     return stored(chosen.mapInArrow(run, blobs), "lm-parts")
 
 
-def _totals(parts: DataFrame, items: int) -> DataFrame:
-    """Rows of kind 0: each part's total counts in one fragment. Of kind 1: a fragment's most frequent words, and by power of two its numbers of words and tokens."""
-    bits = X.fragment_bits(parts.agg(F.sum("n_keys")).first()[0] or 0)
+def _frequent(parts: DataFrame, items: int, bits: int) -> np.ndarray:
+    """The hashes of the most frequent words of training texts, ascending."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for src, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, counts = X.unpack(keys, np.uint64), X.unpack(counts, np.uint32)
                 at = X.cuts(keys, bits)
                 some = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_pydict({"frag": pa.array(some, pa.int64()), "src": pa.array(np.full(len(some), src)), "keys": pa.array([keys[at[f] : at[f + 1]].tobytes() for f in some], pa.binary()), "counts": pa.array([X.pack(counts[at[f] : at[f + 1]]) for f in some], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"frag": pa.array(some, pa.int64()), "keys": pa.array([keys[at[f] : at[f + 1]].tobytes() for f in some], pa.binary()), "counts": pa.array([X.pack(counts[at[f] : at[f + 1]]) for f in some], pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
-        frag = group.column("frag")[0].as_py()
-        keys = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
         counts = np.concatenate([X.unpack(x, np.uint32) for x in group.column("counts").to_pylist()])
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        every, inverse = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]), return_inverse=True)
         total = np.bincount(inverse, weights=counts, minlength=len(every)).astype(np.int64)
-        back = np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        top = np.lexsort((every, -total))[: items + 1]
-        seen = total[total > 0]
-        band = np.minimum(np.log2(seen).astype(np.int64) + 1, BANDS - 1)
-        bands = np.concatenate([np.bincount(band, minlength=BANDS), np.bincount(band, weights=seen, minlength=BANDS).astype(np.int64)])
-        n = len(keys)
-        return pa.Table.from_pydict({"kind": pa.array([0] * n + [1], pa.int64()), "src": pa.array([*group.column("src").to_pylist(), -1], pa.int64()), "frag": pa.array([frag] * (n + 1), pa.int64()), "a": pa.array([*(X.pack(x) for x in back), X.pack(every[top])], pa.binary()), "b": pa.array([b""] * n + [X.pack(total[top])], pa.binary()), "c": pa.array([b""] * n + [X.pack(bands)], pa.binary())})
+        top = np.lexsort((every.view(np.int64), -total))[:items]
+        return pa.Table.from_pydict({"key": pa.array(every[top].view(np.int64)), "n": pa.array(total[top])})
+
+    dealt = parts.select("keys", "counts").mapInArrow(split, "frag long, keys binary, counts binary")
+    best = dealt.groupBy("frag").applyInArrow(add, "key long, n long").where("n > 0").orderBy(F.col("n").desc(), "key").limit(items).collect()
+    return np.sort(np.array([r.key for r in best], np.int64).view(np.uint64))
+
+
+def _before(seq: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """What stands before each token; the end token of a text stands before its first."""
+    stop = np.cumsum(per)
+    out = np.concatenate([seq[:1], seq[:-1]])
+    out[stop - per] = seq[stop - 1]
+    return out
+
+
+def _contexts(src: int, frags: list[int], at: np.ndarray, words: list[bytes], kind: np.ndarray, seq: np.ndarray, per: np.ndarray, held: np.ndarray, classes: int) -> dict[str, list]:
+    """By fragment (each from one of at to the next): a part's words, their classes, and how often which class follows (slot 0 on) or precedes (slot classes on) them in training texts."""
+    wide, train = 2 * classes, np.repeat(~held, per)
+    number = np.int32 if len(kind) * wide < 1 << 31 else np.int64
+    word, last = seq[train].astype(number), _before(seq, per)[train].astype(number)
+    code = np.concatenate([last * number(wide) + kind[word], word * number(wide) + number(classes) + kind[last]])
+    code.sort()
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    code, n = code[first], np.diff(np.append(first, len(code))).astype(np.uint32)
+    upto = np.searchsorted(code, at * wide)
+    piece = lambda x, ends: [x[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return {"frag": frags, "src": [src] * len(frags), "words": words, "kind": [X.pack(x) for x in piece(kind, at)], "code": [X.pack((x - i * wide).astype(np.uint32)) for i, x in zip(at[:-1], piece(code, upto), strict=True)], "n": [X.pack(x) for x in piece(n, upto)]}
+
+
+FRAME = pa.schema([("frag", pa.int64()), ("src", pa.int64()), *((c, pa.binary()) for c in ("words", "kind", "code", "n"))])
+CODED = pa.schema([*FRAME, *((c, pa.binary()) for c in ("ids", "missing", "held", "per", "kinds", "known", "logs", "pairs"))])
+DEALT = "frag long, src long, words binary, kind binary, code binary, n binary"
+
+
+def _moved(contexts: DataFrame, grid: np.ndarray, smooth: float, hashed: bool) -> tuple[DataFrame, np.ndarray]:
+    """Every word in the class that explains its neighbours' classes best: totals (a), classes (b) and numbers (c) of each part's words in a fragment. The contexts' words are hashes, or their numbers of an earlier round. And sums by class: counts plus one, words, words of count 1."""
+    classes = len(grid)
+    wide = 2 * classes
+    after, ahead = ((g.sum(0) + 1) / (g.sum() + classes) for g in (grid, grid.T))
+    follow = np.log((grid + smooth * after) / (grid.sum(1, keepdims=True) + smooth))
+    precede = np.log((grid.T + smooth * ahead) / (grid.T.sum(1, keepdims=True) + smooth))
+    explain = np.concatenate([follow.T, precede.T])
+
+    def move(group: pa.Table) -> pa.Table:
+        words = [np.frombuffer(x, np.uint64) if hashed else X.unpack(x, np.uint32) for x in group.column("words").to_pylist()]
+        ends, inverse = np.cumsum([0, *map(len, words)]), np.concatenate(words)
+        if hashed:
+            inverse = np.unique(inverse, return_inverse=True)[1]
+        inverse = inverse.astype(np.int64)
+        size = int(inverse.max()) + 1
+        kind = np.zeros(size, np.uint8)
+        kind[inverse] = np.concatenate([X.unpack(x, np.uint8) for x in group.column("kind").to_pylist()])
+        code = []
+        for x, begin in zip(group.column("code").to_pylist(), ends, strict=False):
+            own = X.unpack(x, np.uint32).astype(np.int64)
+            code.append(inverse[begin + own // wide] * wide + own % wide)
+        code, n = np.concatenate(code), np.concatenate([X.unpack(x, np.uint32) for x in group.column("n").to_pylist()])
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        total = np.zeros(size, np.int64)
+        for lo in range(0, size, 1 << 15):
+            hi = min(lo + (1 << 15), size)
+            i, j = np.searchsorted(code, [lo * wide, hi * wide])
+            around = np.bincount(code[i:j] - lo * wide, weights=n[i:j], minlength=(hi - lo) * wide).reshape(-1, wide)
+            total[lo:hi] = around[:, :classes].sum(1)
+            worth = around @ explain
+            best, own = worth.argmax(1), kind[lo:hi].astype(np.int64)
+            row = np.arange(hi - lo)
+            kind[lo:hi] = np.where(worth[row, best] > worth[row, own] + 1e-9, best, own)
+        seen = total > 0
+        sums = np.stack([np.bincount(kind[seen], weights=total[seen] + 1, minlength=classes), np.bincount(kind[seen], minlength=classes), np.bincount(kind[total == 1], minlength=classes)])
+        back = [(X.pack(total[x]), X.pack(kind[x]), X.pack(x.astype(np.uint32))) for x in np.split(inverse, ends[1:-1])]
+        T.release()
+        return pa.Table.from_pydict({"src": pa.array([*group.column("src").to_pylist(), -1], pa.int64()), "frag": pa.array([group.column("frag")[0].as_py()] * (len(back) + 1), pa.int64()), **{c: pa.array([*x, last], pa.binary()) for c, x, last in zip("abc", zip(*back, strict=True), (sums.astype(np.int64).tobytes(), b"", b""), strict=True)}})
+
+    rows = stored(contexts.groupBy("frag").applyInArrow(move, "src long, frag long, a binary, b binary, c binary"), "lm-classes")
+    return rows.where("src >= 0"), _summed(rows.where("src < 0").select("a"), 3 * classes).reshape(3, classes)
+
+
+def _summed(blobs: DataFrame, size: int) -> np.ndarray:
+    """The sum of equally long integer arrays."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for c in batch.column(0).to_pylist():
+                total += np.frombuffer(c, np.int64)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(np.arange(size)), "n": pa.array(total)})
+
+    out = np.zeros(size, np.int64)
+    for slot, n in blobs.mapInArrow(sums, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+        out[slot] = n
+    return out
+
 
-    dealt = parts.select("src", "keys", "counts").mapInArrow(split, "frag long, src long, keys binary, counts binary")
-    return stored(dealt.groupBy("frag").applyInArrow(add, "kind long, src long, frag long, a binary, b binary, c binary"), "lm-totals")
+def likelihood(grid: np.ndarray) -> float:
+    """Of the class bigram, against independent classes: the part of the log-likelihood that classes change."""
+    phi = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    return phi(grid) - phi(grid.sum(0)) - phi(grid.sum(1)) + phi(grid.sum())
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
@@ -143,101 +230,103 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return of
 
 
-def lm_scores(docs: DataFrame, items: int = ITEMS, classes: int = CLASSES, smooth: float = SMOOTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    parts = _parts(docs)
-    totals = _totals(parts, items)
+def _seeds(parts: DataFrame, words: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the frequent words and, last, of all others; and their class bigrams over all training texts."""
+    size = len(words) + 1
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pydict({"key": pa.array(X.unpack(a, np.uint64).view(np.int64)), "n": pa.array(X.unpack(b, np.int64))})
+            for r in batch.to_pylist():
+                per = X.unpack(r["per"], np.uint32).astype(np.int64)
+                item = _item(words, X.unpack(r["keys"], np.uint64))[X.unpack(r["seq"], np.uint32)]
+                train = np.repeat(~X.unpack(r["held"], np.bool_), per)
+                pair, n = np.unique(_before(item, per)[train] * size + item[train], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(n)})
 
-    best = totals.where("kind = 1").select("a", "b").mapInArrow(unfold, "key long, n long").where("n > 0").orderBy(F.col("n").desc(), "key").limit(items).collect()
+    pairs = np.zeros((size, size))
+    found = parts.select("keys", "seq", "held", "per").mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most seeds squared rows
+    pairs[found.pair.to_numpy(np.int64) // size, found.pair.to_numpy(np.int64) % size] = found.n
+    of = exchange(pairs, classes)
+    one = np.zeros((size, int(of.max()) + 1))
+    one[np.arange(size), of] = 1
+    return of, one.T @ pairs @ one
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * BANDS, np.int64)
+
+def _item(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Number of each key among the words; their number for others."""
+    if not len(words):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+    return np.where(words[at] == keys, at, len(words))
+
+
+def lm_scores(docs: DataFrame, items: int = ITEMS, classes: int = CLASSES, smooth: float = SMOOTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    parts = _parts(docs)
+    bits = X.fragment_bits(parts.agg(F.sum("n_keys")).first()[0] or 0)
+    words = _frequent(parts, items, bits)
+    of, grid = _seeds(parts, words, classes)
+    k = len(grid)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in batch.column(0).to_pylist():
-                total += X.unpack(c, np.int64)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(np.arange(2 * BANDS)), "n": pa.array(total)})
-
-    bands = np.zeros(2 * BANDS, np.int64)
-    for slot, n in totals.where("kind = 1").select("c").mapInArrow(sums, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
-        bands[slot] = n
-    types, tokens = bands[:BANDS], bands[BANDS:]
-    n_all, v_all = int(tokens.sum()), int(types.sum())
-
-    words = np.array([r.key for r in best], np.int64).view(np.uint64)
-    word_counts = np.array([r.n for r in best], np.int64)
-    order = np.argsort(words)
-    words, word_counts = words[order], word_counts[order]
-    own = len(words)  # items: words, then bands 0 to BANDS - 1
-    size = own + BANDS
-    end_item = int(np.searchsorted(words, END)) if END in words else own
+            for r in batch.to_pylist():
+                keys = X.unpack(r["keys"], np.uint64)
+                at = X.cuts(keys, bits)
+                some = np.flatnonzero(np.diff(at))
+                hashes = [keys[at[f] : at[f + 1]].tobytes() for f in some]
+                yield pa.RecordBatch.from_pydict(_contexts(r["src"], some.tolist(), np.append(at[some], len(keys)), hashes, of[_item(words, keys)].astype(np.uint8), X.unpack(r["seq"], np.uint32), X.unpack(r["per"], np.uint32).astype(np.int64), X.unpack(r["held"], np.bool_), k), FRAME)
 
     def assemble(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         part = next(r for r in rows if r["frag"] < 0)
         back = sorted((r for r in rows if r["frag"] >= 0), key=lambda r: r["frag"])
-        keys, seq = X.unpack(part["keys"], np.uint64), X.unpack(part["seq"], np.uint32)
-        total = np.concatenate([X.unpack(r["a"], np.int64) for r in back])
+        seq, totals = X.unpack(part["seq"], np.uint32), [X.unpack(r["a"], np.int64) for r in back]
+        at, total = np.cumsum([0, *map(len, totals)]), np.concatenate(totals)
+        kind = np.concatenate([X.unpack(r["b"], np.uint8) for r in back])
+        kind[total == 0] = unseen
         held, per = X.unpack(part["held"], np.bool_), X.unpack(part["per"], np.uint32).astype(np.int64)
-        item = own + np.where(total > 0, np.minimum(np.log2(np.maximum(total, 1)).astype(np.int64) + 1, BANDS - 1), 0)
-        if own:
-            at = np.minimum(np.searchsorted(words, keys), own - 1)
-            item = np.where(words[at] == keys, at, item)
-        item = item.astype(np.uint16)[seq]
-        begin = np.cumsum(per) - per
+        begin, train = np.cumsum(per) - per, np.repeat(~held, per)
         known = np.add.reduceat((total > 0).astype(np.int64)[seq], begin)
         logs = np.add.reduceat(np.log10(total + 1.0)[seq], begin)
-        before = np.concatenate([[end_item], item[:-1]])
-        before[begin] = end_item
+        kinds = kind[seq]
+        pairs = np.bincount(_before(kinds, per)[train].astype(np.int64) * k + kinds[train], minlength=k * k).astype(np.int64)
+        out = _contexts(part["src"], [r["frag"] for r in back], at, [r["c"] for r in back], kind, seq, per, held, k)
+        size = len(out["frag"])
+        own = {"ids": part["ids"], "missing": part["missing"], "held": part["held"], "per": part["per"], "kinds": X.pack(kinds), "known": X.pack(known), "logs": logs.tobytes(), "pairs": pairs.tobytes()}
         T.release()
-        train = np.repeat(~held, per)
-        pair, n = np.unique(before[train].astype(np.int64) * size + item[train], return_counts=True)
-        return pa.Table.from_pydict({"ids": [part["ids"]], "missing": [part["missing"]], "held": [part["held"]], "per": [part["per"]], "items": [X.pack(item)], "known": [X.pack(known)], "logs": [logs.tobytes()], "pair": [X.pack(pair)], "n": [X.pack(n)]})
-
-    info = parts.select("src", F.lit(-1).cast("long").alias("frag"), F.lit(None).cast("binary").alias("a"), "keys", "seq", "ids", "missing", "held", "per")
-    none = [F.lit(None).cast("binary").alias(c) for c in ("keys", "seq", "ids", "missing", "held", "per")]
-    joined = info.unionByName(totals.where("kind = 0").select("src", "frag", "a", *none))
-    coded = stored(joined.groupBy("src").applyInArrow(assemble, ", ".join(f"{c} binary" for c in ("ids", "missing", "held", "per", "items", "known", "logs", "pair", "n"))), "lm-items")
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pydict({"pair": pa.array(X.unpack(a, np.int64)), "n": pa.array(X.unpack(b, np.int64))})
-
-    pairs = np.zeros((size, size))
-    found = coded.select("pair", "n").mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most items squared rows
-    pairs[found.pair.to_numpy(np.int64) // size, found.pair.to_numpy(np.int64) % size] = found.n
-    of = exchange(pairs, classes)
-    k = int(of.max()) + 1
-    one = np.zeros((size, k))
-    one[np.arange(size), of] = 1
-    grid = one.T @ pairs @ one
+        return pa.Table.from_pydict({c: [*x, -1 if c in ("frag", "src") else None] for c, x in out.items()} | {c: [None] * size + [x] for c, x in own.items()}, CODED)
+
+    none = [F.lit(None).cast("binary").alias(c) for c in ("seq", "ids", "missing", "held", "per")]
+    info = parts.select("src", F.lit(-1).cast("long").alias("frag"), *(F.lit(None).cast("binary").alias(c) for c in "abc"), "seq", "ids", "missing", "held", "per")
+    contexts, best, coded = parts.select("src", "keys", "seq", "held", "per").mapInArrow(start, DEALT), None, None
+    for _ in range(ROUNDS):
+        back, sums = _moved(contexts, grid, smooth, best is None)
+        unseen = int(sums[2].argmax())
+        coded = stored(info.unionByName(back.select("src", "frag", "a", "b", "c", *none)).groupBy("src").applyInArrow(assemble, DEALT + "".join(f", {f.name} binary" for f in CODED if f.name not in FRAME.names)), "lm-coded")
+        grid = _summed(coded.where("frag < 0").select("pairs"), k * k).reshape(k, k).astype(float)
+        value, last = likelihood(grid), best[0] if best else -np.inf
+        if value > last:
+            best = value, coded, grid, sums, unseen
+        if value - last <= GAIN * abs(value):
+            break
+        contexts = coded.where("frag >= 0").select(*FRAME.names)
+    _, coded, grid, sums, unseen = best
     share = (grid.sum(0) + 1) / (grid.sum() + k)
     step = np.log10((grid + smooth * share[None, :]) / (grid.sum(1, keepdims=True) + smooth))
-    # tokens plus one for each word, by item: words of their own have left their band
-    mass = np.zeros(size)
-    mass[:own] = word_counts + 1
-    rest = types.copy().astype(float) + tokens
-    np.subtract.at(rest, np.minimum(np.log2(np.maximum(word_counts, 1)).astype(np.int64) + 1, BANDS - 1), word_counts + 1.0)
-    mass[own:] = np.maximum(rest, 0)
-    mass[own] = 1  # the unseen word
-    emit = -np.log10(np.maximum(one.T @ mass, 1))[of]
+    mass = sums[0].astype(float)  # tokens plus one for each word
+    mass[unseen] += 1
+    n_all, v_all = int(sums[0].sum() - sums[1].sum()), int(sums[1].sum())
+    step = step - np.log10(np.maximum(mass, 1))[None, :]
     base = np.log10(n_all + v_all + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                per, item = X.unpack(r["per"], np.uint32).astype(np.int64), X.unpack(r["items"], np.uint16).astype(np.int64)
-                begin = np.cumsum(per) - per
-                kind = of[item]
-                before = np.concatenate([[of[end_item]], kind[:-1]])
-                before[begin] = of[end_item]
-                logs = np.frombuffer(r["logs"])
-                total = logs + np.add.reduceat(step[before, kind] + emit[item], begin)
+                per, kind = X.unpack(r["per"], np.uint32).astype(np.int64), X.unpack(r["kinds"], np.uint8)
+                begin, logs = np.cumsum(per) - per, np.frombuffer(r["logs"])
+                total = logs + np.add.reduceat(step[_before(kind, per), kind], begin)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(X.unpack(r["ids"], np.int64), mask=X.unpack(r["missing"], np.bool_)), "held_out": pa.array(X.unpack(r["held"], np.bool_)), "n_tokens": pa.array(per), "n_known": pa.array(X.unpack(r["known"], np.int64)), "train_tokens": pa.array(np.full(len(per), n_all)), "base_score": pa.array(logs - per * base), "score": pa.array(total)})
 
-    return coded.drop("pair", "n").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    chosen = coded.where("frag < 0").select("ids", "missing", "held", "per", "kinds", "known", "logs")
+    return chosen.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

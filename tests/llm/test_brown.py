@@ -48,6 +48,18 @@ def test_exchange_separates_alternating_words():
     assert of[0] == of[1] != of[2] == of[3]
 
 
+def test_rare_words_get_the_class_of_their_contexts(spark):
+    """Words of one count that aren't among the seeds differ by what stands around them."""
+    out = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = [t for k in range(40) for t in (f"the a{k} sleeps well", f"to b{k} quickly now")] * 2
+    asked = [t for k in range(40) for t in (f"the a{k} sleeps well", f"the b{k} sleeps well")]
+    docs = spark.createDataFrame([*zip(train, texts), *zip(out, asked)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in brown.lm_scores(docs, items=17, classes=9).collect()}
+    own, other = ([got[out[2 * k + j]] for k in range(40)] for j in (0, 1))
+    assert min(own) > max(other) + 0.5
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert brown.lm_scores(empty).collect() == []
