@@ -4,8 +4,9 @@
    and the randomised sketch A'G, G being sparse random signs for each passage; tasks' sketches are summed in Spark by
    blocks of rows. Scaling rows by the squared idf gives the sketch of the weighted matrix, and its singular vectors (RANK
    of them, divided by their singular values so that no subject or language outweighs the rest) span the latent space.
-2. A second pass projects every word of every text once; sums over STEP words make windows of 2 and 4 steps at every
-   step, and of one step for items of at most two. Windows whose cosine with a benchmark item reaches COSINE are candidates.
+2. A second pass projects every word of every text once. At every STEP words begin windows of WIDTHS words; an item is
+   compared with those of the least width that holds it. Windows whose cosine with the item reaches COSINE are candidates,
+   and so, exactly, is every place that shares RUN words in a row with the item (all of a shorter item).
 3. A candidate and its surroundings are aligned with the item: the longest common subsequence of words must hold COVER of
    the item's words, and that of the answer (the item's last sentence, at least ANSWER words) half of its words. So
    paraphrases with replaced, added or dropped words are found, and texts that only share a subject are not.
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
 
-PASSAGE, STEP, FEATURES, RANK, SIGNS = 64, 16, 1 << 15, 96, 4
+PASSAGE, STEP, FEATURES, RANK, SIGNS = 64, 4, 1 << 15, 96, 4
+WIDTHS, REACH, RUN, FILTER = (8, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256), 32, 5, 20
 COSINE, COVER, ANSWER, ITEMS = 0.4, 0.7, 5, 4096
 ROWS = 1 << 11
 TRAIL = np.zeros(256, bool)
@@ -132,6 +134,20 @@ class Items:
             self.masks.append(self._mask(own))
             self.answer_masks.append(self._mask(own[begin:]))
             self.answer_size.append(len(own) - begin)
+        self.width = np.minimum(np.searchsorted(WIDTHS, self.size), len(WIDTHS) - 1)
+        length = np.minimum(self.size, RUN)
+        self.runs = [(int(n), *self._runs(hashes, per, np.flatnonzero(length == n), int(n))) for n in np.unique(length[self.size > 1])]
+
+    @staticmethod
+    def _runs(hashes: np.ndarray, per: np.ndarray, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All runs of n words of some items, ascending, with their items and places, and which values of the top bits occur."""
+        every = runs(hashes, n)
+        places = [np.arange(per[k], per[k + 1] - n + 1) for k in chosen]
+        at, item = np.concatenate(places), np.repeat(chosen, [len(x) for x in places])
+        order = np.argsort(every[at], kind="stable")
+        some = np.zeros(1 << FILTER, bool)
+        some[every[at] >> T.U(64 - FILTER)] = True
+        return every[at][order], item[order], (at - per[item])[order], some
 
     @staticmethod
     def _mask(words: list[int]) -> dict[int, int]:
@@ -156,6 +172,14 @@ class Items:
         return cover
 
 
+def runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on."""
+    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    for j in range(n):
+        out = out * T.U(0x9E3779B97F4A7C15) + hashes[j : len(hashes) - n + 1 + j]
+    return T.mix(out)
+
+
 def common(mask: dict[int, int], region: list[int]) -> int:
     """Length of the longest common subsequence, a word of the region at a time on all of the item's bits."""
     state, n = 0, 0
@@ -188,35 +212,45 @@ def _find(items: Items, space: np.ndarray, data: np.ndarray, offsets: np.ndarray
             pieces += space[feature[begin + j]]
         else:
             pieces[full] += space[feature[begin[full] + j]]
-    ahead = lambda x, n: np.where((text[n:] == text[:-n])[:, None], x[n:], 0)  # noqa: E731  windows end with their text
-    two = pieces.copy()
-    two[:-1] += ahead(pieces, 1)
-    four = two.copy()
-    four[:-2] += ahead(two, 2)
-    near = np.zeros((len(text), len(items.ids)), bool)
-    for z in (two, four):
-        near |= _unit(z) @ items.vectors.T >= cosine
-    short = np.flatnonzero(items.size <= 2 * STEP)  # such an item is a small part of the wider windows
-    if len(short):
-        near[:, short] |= _unit(pieces) @ items.vectors[short].T >= cosine
     best: dict[tuple[int, int], float] = {}
-    tried: dict[tuple[int, int], tuple[int, int]] = {}  # the last region's end, and how many words it had in common at most
-    for row, k in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-        own = int(text[row])
-        if best.get((own, k), 0.0) >= 1.0:
-            continue
-        least = COVER * items.size[k]
-        lo = max(int(per[own]), int(begin[row]) - 2 * STEP)
-        hi = min(int(per[own + 1]), int(begin[row]) + max(4 * STEP, int(items.size[k])) + 2 * STEP)
-        end, most = tried.get((own, k), (lo, 0))
-        if most + hi - max(end, lo) < least:  # later words alone can't make up for what lacked
-            continue
-        most, hits = items.bound(k, hashes[lo:hi])
-        tried[own, k] = hi, most
-        if most >= least:
-            cover = items.align(k, hits)
-            if cover > best.get((own, k), 0.0):
-                best[own, k] = cover
+
+    def consider(places: list[tuple[int, int, int]]) -> None:
+        """Align the surroundings of places (text, item, word), which ascend for a text and an item."""
+        tried: dict[tuple[int, int], tuple[int, int]] = {}  # the last region's end, and how many words it had in common at most
+        for own, k, at in places:
+            if best.get((own, k), 0.0) >= 1.0:
+                continue
+            least = COVER * items.size[k]
+            lo = max(int(per[own]), at - REACH)
+            hi = min(int(per[own + 1]), at + max(2 * REACH, int(items.size[k])) + REACH)
+            end, most = tried.get((own, k), (lo, 0))
+            if most + hi - max(end, lo) < least:  # later words alone can't make up for what lacked
+                continue
+            most, hits = items.bound(k, hashes[lo:hi])
+            tried[own, k] = hi, most
+            if most >= least:
+                cover = items.align(k, hits)
+                if cover > best.get((own, k), 0.0):
+                    best[own, k] = cover
+
+    for n, known, item, offset, some in items.runs:
+        found = runs(hashes, n)
+        at = np.flatnonzero(some[found >> T.U(64 - FILTER)])
+        own = np.searchsorted(per, at, "right") - 1
+        at, own = (x[at + n <= per[own + 1]] for x in (at, own))
+        low, high = (np.searchsorted(known, found[at], side) for side in ("left", "right"))
+        each = high - low
+        spot = np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())
+        places = np.stack([np.repeat(own, each), item[spot], np.repeat(at, each) - offset[spot]])
+        consider([tuple(x) for x in np.unique(places, axis=1).T.tolist()])
+    upon = np.concatenate([np.zeros((1, space.shape[1])), np.cumsum(pieces, axis=0, dtype=float)])
+    first, last = np.arange(len(text)), upto[text + 1]
+    for w in np.unique(items.width[items.size > 1]):
+        chosen = np.flatnonzero((items.width == w) & (items.size > 1))
+        window = (upon[np.minimum(first + WIDTHS[w] // STEP, last)] - upon[:-1]).astype(np.float32)
+        near = _unit(window) @ items.vectors[chosen].T >= cosine
+        row, k = np.nonzero(near)
+        consider(list(zip(text[row].tolist(), chosen[k].tolist(), begin[row].tolist(), strict=True)))
     return [(d, k, c) for (d, k), c in sorted(best.items())]
 
 

@@ -46,6 +46,22 @@ def test_finds_inserted_items_and_paraphrases(spark):
     assert kept.count() == len(rows) - len({d for d, _ in got})
 
 
+def test_finds_items_at_every_offset(spark):
+    """Word for word, wherever an item stands to the windows; shared runs alone suffice."""
+    folder = "/root/testdata/sf0.01"
+    docs, bench = table(spark, folder, "documents").toPandas(), table(spark, folder, "benchmark").toPandas()
+    clean = [t.split() for t in docs.text if t and 150 <= len(t.split()) <= 2000 and not any(x in t for x in bench.text)]
+    rows = []
+    for k, x in enumerate(bench.text):
+        for at in range(16):
+            base = clean[(16 * k + at) % len(clean)]
+            rows.append((16 * k + at, " ".join([*base[: 64 + at], x, *base[64 + at :]])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for cosine in (S.COSINE, 2.0):
+        got = {(r.doc_id, r.item_id) for r in S.matches(frame, table(spark, folder, "benchmark"), cosine).collect()}
+        assert {(16 * k + at, int(b)) for k, b in enumerate(bench.item_id) for at in range(16)} <= got
+
+
 def test_edges(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p")], "item_id long, text string")
     docs = spark.createDataFrame([(None, None), (1, ""), (2, "x")], "doc_id long, text string")
