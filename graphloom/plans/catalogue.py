@@ -539,7 +539,7 @@ def independent_set_hashed(spark, sf_dir):
 @query()
 def independent_set_local(spark, sf_dir):
     g = parts(spark, sf_dir)
-    return covering.local_status(g, g.vertices.where("id % 50 = 0").select("id"), cutoff=200)
+    return covering.local_status(g, g.vertices.select("id"))
 
 
 @query(f"""with recursive {PART}, m(i, a, b, st) as (
