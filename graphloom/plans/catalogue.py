@@ -512,7 +512,7 @@ def densest_greedy(spark, sf_dir):
 
 @query()
 def densest_greedy_plus(spark, sf_dir):
-    return rounded(patterns.densest_greedy_plus(parts(spark, sf_dir), 2, 0.5), "density")
+    return rounded(patterns.densest_greedy_plus(parts(spark, sf_dir), 20), "density")
 
 
 @query()

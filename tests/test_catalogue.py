@@ -9,3 +9,12 @@ def test_independent_set_local_answers_every_vertex(spark):
     got = {r.id: r.status for r in catalogue.independent_set_local(spark, FOLDER).collect()}
     chosen = {r.id for r in covering.independent_set(g, "hash").collect()}
     assert got == {r.id: "in" if r.id in chosen else "out" for r in g.vertices.select("id").collect()}
+
+
+def test_densest_greedy_plus_peels_twenty_times_by_least_values(monkeypatch):
+    asked = []
+    monkeypatch.setattr(catalogue, "parts", lambda *_: None)
+    monkeypatch.setattr(catalogue, "rounded", lambda df, _: df)
+    monkeypatch.setattr(catalogue.patterns, "densest_greedy_plus", lambda graph, rounds, epsilon=0.0: asked.append((rounds, epsilon)))
+    catalogue.densest_greedy_plus(None, FOLDER)
+    assert asked == [(20, 0.0)]
