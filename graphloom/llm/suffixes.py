@@ -5,17 +5,21 @@ Every byte covered by a LENGTH-byte string that also starts anywhere else (same
    (leftmost of equals) is an anchor. Equal LENGTH-byte strings have the same anchor at the same place, so every
    repeated string is found through its anchor, and one position in some 170 is sorted.
 2. Anchors are dealt by hash to fragments. An anchor that occurs once goes. Occurrences whose whole surroundings (all
-   strings that can hold the anchor) are equal by an independent 64-bit hash remove all of it, without any text moving.
+   strings that can hold the anchor) are equal by a 64-bit hash of another base remove all of it, without any text moving.
 3. The rest send their surroundings. In each anchor's group a mergesort orders the right and the left contexts;
    two suffixes are compared by binary search over prefix polynomial hashes for their common extension, then by one
    byte. Common extensions of neighbours are held against the bytes; after a collision the sort is redone with
    another base. Along the tree of common right extensions, each occurrence finds the longest left and right extension it
    shares with another one so that both sides and the anchor fill LENGTH bytes.
-4. An anchor with more than GROUP different surroundings (a hot passage) isn't sorted in one task: its LENGTH-byte strings are
-   counted by Spark as hashes instead.
+4. An anchor with more than GROUP different surroundings (a hot passage) isn't sorted in one task. Two of its occurrences that
+   share LENGTH bytes share half of what is missing on the right or on the left; so the group is split by the next
+   bytes on the right and, again, on the left, with the anchor grown by them, until groups are small or the anchor is whole.
+
+The same sort with words as symbols finds passages: runs of PASSAGE words (A-Z lower-cased) that also start anywhere else.
 
 Strings are judged on the input, and never cross texts. Defined cases: a null text is empty; texts below LENGTH bytes
-stay whole; repeated rows, with or without an id, are texts of their own; other columns are ignored; an empty table gives no rows.
+stay whole; repeated rows, with or without an id, are texts of their own; other columns are ignored; an empty table gives
+no rows; a text of any length is sampled in pieces of PIECE symbols that overlap by what a string can reach.
 """
 
 from __future__ import annotations
@@ -34,7 +38,10 @@ from graphloom.llm import textops as T
 from graphloom.runtime import stored
 
 LENGTH, GRAM = 400, 64
+PASSAGE, WORD_GRAM = 51, 8
+BYTES, WORDS = 0, 1
 GROUP = 1 << 15
+PIECE = 4 << 20
 BUCKET = 1 << 12
 BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x2545F4914F6CDD1D)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -55,9 +62,9 @@ class PrefixHash:
     def __init__(self, data: np.ndarray, which: int = 0):
         base = BASES[which % len(BASES)]
         up, self.down = _powers(base, len(data) + 1)
-        value = T.mix(np.arange(256, dtype=np.uint64) + T.U(0x1234567 * (which + 1)))
+        value = lambda x: T.mix(x.astype(np.uint64) + T.U(0x1234567 * (which + 1)))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(value[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum((value(np.arange(256))[data] if data.dtype == np.uint8 else value(data)) * up[: len(data)], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]
@@ -89,42 +96,67 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return np.flatnonzero(mark), hashes
 
 
-def _parts(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """A stored row for each task's part: documents, their anchors, and the distinct (anchor, surroundings) hashes in order."""
-    reach = length - gram
+def symbols(unit: int, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as bytes, or as 32-bit hashes of their words, and the n + 1 offsets of each."""
+    if unit == BYTES:
+        return data, offsets
+    hashes, per = T.hashed_words(data, offsets)
+    return (hashes >> T.U(32)).astype(np.uint32), per
+
+
+def _sampled(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """For each anchor its text, place, hash, and the hash of its surroundings; long texts piece by piece."""
+    reach, out = length - gram, []
+    for begin in range(0, max(1, len(data)), PIECE):
+        low, high = max(0, begin - reach), min(len(data), begin + PIECE + length)
+        near = np.clip(offsets, low, high) - low
+        spot, hashes = anchors(data[low:high], near, length, gram)
+        spot = spot[(spot + low >= begin) & (spot + low < begin + PIECE)]
+        doc = np.searchsorted(offsets, spot + low, "right") - 1
+        lo, hi = np.maximum(near[doc], spot - reach), np.minimum(near[doc + 1], spot + length)
+        around = PrefixHash(data[low:high], 1).of(lo, hi)
+        out.append((doc, spot + low - offsets[doc], T.mix(hashes.of(spot, spot + gram)), T.mix(around + ((spot - lo).astype(np.uint64) << T.U(32)) + (hi - spot).astype(np.uint64))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _parts(docs: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
+    """A stored row for each task's part and kind (unit, length, gram): documents, their anchors, and the distinct (anchor, surroundings) hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[int, list[tuple]] = {unit: [] for unit, *_ in kinds}
         size, number, before = 0, 0, 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal held, number, size, before
-            ids, missing, text_hash, doc, pos, gram_hash, around = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((around, gram_hash))
-            gram_hash, around = gram_hash[order], around[order]
-            new = np.append(True, (gram_hash[1:] != gram_hash[:-1]) | (around[1:] != around[:-1])) if len(order) else np.zeros(0, bool)
-            times = np.diff(np.append(np.flatnonzero(new), len(order)))
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number, size, before
             src = (TaskContext.get().partitionId() << 24) | number
-            held, number, size, before = [], number + 1, 0, 0
-            return pa.RecordBatch.from_pydict({"src": [src], "n_keys": [int(new.sum())], "ids": [X.pack(ids)], "missing": [X.pack(missing)], "hashes": [X.pack(text_hash)], "doc": [X.pack(doc[order].astype(np.uint32))], "pos": [X.pack(pos[order])], "times": [X.pack(times.astype(np.uint32))], "keys": [gram_hash[new].tobytes()], "around": [around[new].tobytes()]})
+            for unit, rows in held.items():
+                ids, missing, text_hash, doc, pos, gram_hash, around = (np.concatenate(x) for x in zip(*rows, strict=True))
+                order = np.lexsort((around, gram_hash))
+                gram_hash, around = gram_hash[order], around[order]
+                new = np.append(True, (gram_hash[1:] != gram_hash[:-1]) | (around[1:] != around[:-1])) if len(order) else np.zeros(0, bool)
+                times = np.diff(np.append(np.flatnonzero(new), len(order)))
+                rows.clear()
+                yield pa.RecordBatch.from_pydict({"unit": [unit], "src": [src], "n_keys": [int(new.sum())], "ids": [X.pack(ids)], "missing": [X.pack(missing)], "hashes": [X.pack(text_hash)], "doc": [X.pack(doc[order].astype(np.uint32))], "pos": [X.pack(pos[order])], "times": [X.pack(times.astype(np.uint32))], "keys": [gram_hash[new].tobytes()], "around": [around[new].tobytes()]})
+            number, size, before = number + 1, 0, 0
 
         for batch in batches:
             for part in T.slices(batch, rows=1 << 12):
-                data, offsets = T.text_bytes(part.column(1))
-                spot, hashes = anchors(data, offsets, length, gram)
-                doc = np.searchsorted(offsets, spot, "right") - 1
-                lo, hi = np.maximum(offsets[doc], spot - reach), np.minimum(offsets[doc + 1], spot + length)
-                around = T.mix(hashes.of(lo, hi) + ((spot - lo).astype(np.uint64) << T.U(32)) + (hi - spot).astype(np.uint64))
-                held.append((part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(part.column(0).is_null()), part.column(2).to_numpy(zero_copy_only=False), doc + before, spot - offsets[doc], T.mix(hashes.of(spot, spot + gram)), around))
+                names = part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(part.column(0).is_null()), part.column(2).to_numpy(zero_copy_only=False)
+                texts = T.text_bytes(part.column(1))
+                for unit, length, gram in kinds:
+                    doc, pos, own, around = _sampled(*symbols(unit, *texts), length, gram)
+                    held[unit].append((*names, doc + before, pos, own, around))
+                    size += len(pos)
                 before += part.num_rows
-                size += len(spot) + part.num_rows
+                size += part.num_rows
                 if size >= 1 << 19:
-                    yield flush()
-        if held:
-            yield flush()
+                    yield from flush()
+                    T.release()
+        if before:
+            yield from flush()
         T.release()
 
-    blobs = "src long, n_keys long, " + ", ".join(f"{c} binary" for c in ("ids", "missing", "hashes", "doc", "pos", "times", "keys", "around"))
+    blobs = "unit long, src long, n_keys long, " + ", ".join(f"{c} binary" for c in ("ids", "missing", "hashes", "doc", "pos", "times", "keys", "around"))
     return stored(docs.mapInArrow(run, blobs), "suffix-parts")
 
 
@@ -134,12 +166,12 @@ def _judge(parts: DataFrame, group: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for src, keys, around, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for unit, src, keys, around, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, around, times = np.frombuffer(keys, np.uint64), np.frombuffer(around, np.uint64), X.unpack(times, np.uint32)
                 at = X.cuts(keys, bits)
                 some = np.flatnonzero(np.diff(at))
                 cut = lambda x: pa.array([x[at[f] : at[f + 1]].tobytes() for f in some], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), src)), cut(keys), cut(around), cut(times)], ["frag", "src", "keys", "around", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), unit)), pa.array(some, pa.int64()), pa.array(np.full(len(some), src)), cut(keys), cut(around), cut(times)], ["unit", "frag", "src", "keys", "around", "times"])
 
     def code(table: pa.Table) -> pa.Table:
         read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
@@ -155,10 +187,10 @@ def _judge(parts: DataFrame, group: int) -> DataFrame:
         out = np.where(total > 1, 1, 0) + np.where((kinds > 1) & ((total == 1) | new), 2, 0) + np.where((kinds > group), 4, 0)
         back = np.zeros(len(order), np.uint8)
         back[order] = out
-        return pa.Table.from_arrays([table.column("src"), table.column("frag"), pa.array([x.tobytes() for x in np.split(back, np.cumsum([len(p) for p in parts_])[:-1])], pa.binary())], ["src", "frag", "codes"])
+        return pa.Table.from_arrays([table.column("unit"), table.column("src"), table.column("frag"), pa.array([x.tobytes() for x in np.split(back, np.cumsum([len(p) for p in parts_])[:-1])], pa.binary())], ["unit", "src", "frag", "codes"])
 
-    dealt = parts.select("src", "keys", "around", "times").mapInArrow(split, "frag long, src long, keys binary, around binary, times binary")
-    return dealt.groupBy("frag").applyInArrow(code, "src long, frag long, codes binary")
+    dealt = parts.select("unit", "src", "keys", "around", "times").mapInArrow(split, "unit long, frag long, src long, keys binary, around binary, times binary")
+    return dealt.groupBy("unit", "frag").applyInArrow(code, "unit long, src long, frag long, codes binary")
 
 
 def _assemble(table: pa.Table) -> pa.Table:
@@ -179,7 +211,7 @@ def _assemble(table: pa.Table) -> pa.Table:
     ends = np.append(at[1:], len(doc))
     blob = [X.pack(np.stack([pos[a:b], code[a:b]]).astype(np.int64).ravel()) for a, b in zip(at, ends, strict=True)]
     compare = np.logical_or.reduceat((code & 2) > 0, at) if len(at) else np.zeros(0, bool)
-    return pa.Table.from_arrays([pa.array(ids[which], mask=missing[which]), pa.array(hashes[which]), pa.array(blob, pa.binary()), pa.array(compare)], ["doc_id", "text_hash", "places", "compare"])
+    return pa.Table.from_arrays([pa.array([part["unit"]] * len(which), pa.int64()), pa.array(ids[which], mask=missing[which]), pa.array(hashes[which]), pa.array(blob, pa.binary()), pa.array(compare)], ["unit", "doc_id", "text_hash", "places", "compare"])
 
 
 def lcp(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
@@ -232,8 +264,8 @@ def suffix_order(data: np.ndarray, hashes: PrefixHash, place: np.ndarray, room:
     return order
 
 
-def extend(data: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, gram: int, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each occurrence the longest left and right extension shared with another of its group so that both sum to need; -1 where none does."""
+def extend(data: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, gram: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each occurrence (of gram symbols) the longest left and right extension shared with another of its group so that both sum to need; -1 where none does."""
     n = len(place)
     for which in range(len(BASES)):
         hashes = PrefixHash(data, which)
@@ -258,7 +290,7 @@ def extend(data: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndar
     size = np.diff(np.append(first, n))
     pairs = first[size == 2]
     if len(pairs):
-        ok = common[pairs] + left_common[pairs] >= need
+        ok = common[pairs] + left_common[pairs] >= need[pairs]
         for side, value in ((best_right, common), (best_left, left_common)):
             for k in (0, 1):
                 side[pairs[ok] + k] = value[pairs[ok]]
@@ -278,7 +310,7 @@ def extend(data: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndar
             own = np.sort(rank[order[begin + a : begin + b + 1]])
             gaps = np.minimum.reduceat(left_common[: own[-1]], own[:-1])
             shared = np.maximum(np.append(gaps, -1), np.insert(gaps, 0, -1))
-            ok = shared + depth >= need
+            ok = shared + depth >= need[begin]
             who = left_order[own[ok]]
             best_left[who] = np.maximum(best_left[who], shared[ok])
             best_right[who] = np.maximum(best_right[who], depth)
@@ -298,73 +330,111 @@ def _verified(data: np.ndarray, spot: np.ndarray, room: np.ndarray, order: np.nd
     return True
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """doc_id, text_hash, text and spans: a packed list of (start, end) byte ranges to remove; null where nothing repeats."""
-    reach = length - gram
+KEYS = ["id_key", "no_id", "text_hash"]
+OCCURRENCE = "unit long, anchor long, id_key long, no_id boolean, text_hash long, pos long, size long, need long, left long, around binary"
+
+
+def _split(hot: DataFrame) -> DataFrame:
+    """Occurrences of hot anchors with the anchor grown by half of what it lacks: to the right, and again to the left."""
+    names = [c.split()[0] for c in OCCURRENCE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                data = np.frombuffer(r["around"], np.uint8 if r["unit"] == BYTES else np.uint32)
+                hashes, half, begin, end = PrefixHash(data), -(-r["need"] // 2), r["left"], r["left"] + r["size"]
+                for lo, hi in ((begin, end + half), (begin - half, end)):
+                    if lo >= 0 and hi <= len(data):
+                        grown = hashes.of(np.array([lo]), np.array([hi])) + T.U(lo == begin) + T.U(2 * (hi - lo))
+                        anchor = int(T.mix(grown ^ T.mix(np.array([r["anchor"]]).view(np.uint64))).view(np.int64)[0])
+                        rows.append(r | {"anchor": anchor, "pos": r["pos"] + lo - begin, "left": lo, "size": hi - lo, "need": r["need"] - half})
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in rows], pa.schema([(c, pa.bool_() if c == "no_id" else pa.binary() if c == "around" else pa.int64()) for c in names]))
+
+    return hot.select(*names).mapInArrow(run, OCCURRENCE)
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """What the occurrences of one bucket's anchors, all in one unit, share with another one: ranges of symbols."""
+    table = table.sort_by([("anchor", "ascending"), *((k, "ascending") for k in KEYS), ("pos", "ascending")]).combine_chunks()
+    unit = table.column("unit")[0].as_py()
+    kind = np.dtype(np.uint8 if unit == BYTES else np.uint32)
+    around = table.column("around").to_pylist()
+    data = np.frombuffer(b"".join(around), kind)
+    sizes = np.array([len(x) for x in around], np.int64) // kind.itemsize
+    del around
+    left, size, need, pos, anchor = (table.column(c).to_numpy() for c in ("left", "size", "need", "pos", "anchor"))
+    place = np.cumsum(sizes) - sizes + left
+    number = np.cumsum(np.append(False, anchor[1:] != anchor[:-1]))
+    best_left, best_right = extend(data, place, left, sizes - left - size, number, size, need)
+    ok = best_left >= 0
+    out = pa.Table.from_arrays([table.column("unit").filter(pa.array(ok)), *(table.column(k).filter(pa.array(ok)) for k in KEYS), pa.array((pos - best_left)[ok]), pa.array((pos + size + best_right)[ok])], ["unit", *KEYS, "start", "end"])
+    T.release()
+    return out
+
+
+def _shared_spans(sent: DataFrame, group: int) -> DataFrame:
+    """Spans of symbols that occurrences share: sorted in buckets of whole anchors, hot ones after splitting."""
+    span = "unit long, id_key long, no_id boolean, text_hash long, start long, end long"
+
+    def sorted_(some: DataFrame, rows: int) -> DataFrame:
+        spread = F.pmod(F.xxhash64("anchor"), F.lit(max(1, rows // BUCKET)))
+        return some.withColumn("bucket", spread).groupBy("unit", "bucket").applyInArrow(_compare, span)
+
+    rows, hot = sent.agg(F.count("*"), F.max("hot")).first()
+    found = sorted_(sent.where("not hot"), rows)
+    state = sent.where("hot") if hot else None
+    while state is not None:
+        grown = stored(_split(state), "suffix-split")
+        whole, part = grown.where("need = 0"), grown.where("need > 0")
+        times = lambda x: x.groupBy("unit", "anchor").agg(F.count("*").alias("times"))
+        found = found.union(whole.join(times(whole).where("times > 1"), ["unit", "anchor"]).select("unit", *KEYS, F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end")))
+        sized = stored(part.join(times(part).where("times > 1"), ["unit", "anchor"]), "suffix-split")
+        few = sized.where(F.col("times") <= group)
+        n, more = few.count(), sized.where(F.col("times") > group)
+        found = found.union(sorted_(few, n))
+        state = None if more.isEmpty() else more
+    return found
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, passage: int = 0) -> DataFrame:
+    """doc_id, text, and of what repeats (bytes, and runs of that many words if passage isn't 0): the packed places of anchors whose whole surroundings do, and spans of symbols with their unit; null where nothing repeats."""
+    kinds = [(BYTES, length, gram)] + ([(WORDS, passage, min(passage, WORD_GRAM))] if passage else [])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    parts = _parts(texts, length, gram)
-    info = parts.select("src", F.lit(-1).cast("long").alias("frag"), F.lit(None).cast("binary").alias("codes"), "ids", "missing", "hashes", "doc", "pos", "times")
+    parts = _parts(texts, kinds)
+    info = parts.select("unit", "src", F.lit(-1).cast("long").alias("frag"), F.lit(None).cast("binary").alias("codes"), "ids", "missing", "hashes", "doc", "pos", "times")
     none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "missing", "hashes", "doc", "pos", "times")]
-    judged = info.union(_judge(parts, group).select("src", "frag", "codes", *none)).groupBy("src").applyInArrow(_assemble, "doc_id long, text_hash long, places binary, compare boolean")
+    judged = info.union(_judge(parts, group).select("unit", "src", "frag", "codes", *none)).groupBy("unit", "src").applyInArrow(_assemble, "unit long, doc_id long, text_hash long, places binary, compare boolean")
     # rows with the same id and text have the same places
-    places = stored(judged.groupBy("doc_id", "text_hash").agg(F.collect_set("places").alias("places"), F.max("compare").alias("compare")), "suffix-places")
+    of = lambda unit: F.collect_set(F.when(F.col("unit") == unit, F.col("places")))
+    places = stored(judged.groupBy("doc_id", "text_hash").agg(of(BYTES).alias("places"), of(WORDS).alias("word_places"), F.max("compare").alias("compare")), "suffix-places")
     key = (F.coalesce(F.col("doc_id"), F.lit(0)).alias("id_key"), F.col("doc_id").isNull().alias("no_id"), "text_hash")
     held = texts.select(*key, "doc_id", "text")
-    wanted = places.select(*key, "places", "compare")
-    keys = ["id_key", "no_id", "text_hash"]
+    wanted = places.select(*key, "places", "word_places", "compare")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_key, no_id, text_hash, text, blobs in zip(*(batch.column(k) for k in range(5)), strict=True):
-                raw = text.as_py().encode()
-                pos, code = _places(blobs.as_py())
-                chosen = np.flatnonzero(code & 2)
-                if not len(chosen):
-                    continue
-                pos, code = pos[chosen], code[chosen]
-                grams = PrefixHash(np.frombuffer(raw, np.uint8))
-                anchor = T.mix(grams.of(pos, pos + gram)).view(np.int64)
-                lo, hi = np.maximum(0, pos - reach), np.minimum(len(raw), pos + length)
-                n = len(pos)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(n, id_key.as_py())), pa.array(np.full(n, no_id.as_py())), pa.array(np.full(n, text_hash.as_py())), pa.array(pos), pa.array(pos - lo), pa.array((code & 4) > 0), pa.array([raw[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary())], ["anchor", *keys, "pos", "left", "hot", "around"])
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("anchor", "ascending"), *((k, "ascending") for k in keys), ("pos", "ascending")]).combine_chunks()
-        around = table.column("around").combine_chunks()
-        offsets = np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around) + 1].astype(np.int64)
-        data = np.frombuffer(around.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        left = table.column("left").to_numpy()
-        place = offsets[:-1] + left
-        anchor = table.column("anchor").to_numpy()
-        number = np.cumsum(np.append(False, anchor[1:] != anchor[:-1]))
-        best_left, best_right = extend(data, place, left, np.diff(offsets) - left - gram, number, gram, length - gram)
-        T.release()
-        ok = best_left >= 0
-        pos = table.column("pos").to_numpy()
-        return pa.Table.from_arrays([*(table.column(k).filter(pa.array(ok)) for k in keys), pa.array((pos - best_left)[ok]), pa.array((pos + gram + best_right)[ok])], [*keys, "start", "end"])
-
-    sent = stored(held.join(wanted.where("compare"), keys).select(*keys, "text", "places").mapInArrow(contexts, "anchor long, id_key long, no_id boolean, text_hash long, pos long, left long, hot boolean, around binary"), "suffix-contexts")
-    rows, hot = sent.agg(F.count("*"), F.max("hot")).first()
-    buckets = max(1, rows // BUCKET)
-    spans = sent.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(compare, "id_key long, no_id boolean, text_hash long, start long, end long")
-    if hot:
-
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    raw = np.frombuffer(row["around"], np.uint8)
-                    at = np.arange(max(0, len(raw) - length + 1))
-                    first, second = (T.mix(PrefixHash(raw, k).of(at, at + length)).view(np.int64) for k in (0, 1))
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), *(pa.array([row[k]] * n) for k in keys), pa.array(at + row["pos"] - row["left"])], ["first", "second", *keys, "start"])
-
-        every = sent.where("hot").mapInArrow(windows, "first long, second long, id_key long, no_id boolean, text_hash long, start long").distinct()
-        twice = every.groupBy("first", "second").agg(F.count("*").alias("times")).where("times > 1").select("first", "second")
-        spans = spans.union(every.join(twice, ["first", "second"]).select(*keys, "start", (F.col("start") + length).alias("end")))
-    found = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return held.join(wanted.drop("compare"), keys, "left").join(found, keys, "left").select("doc_id", "text", "places", "spans")
+            for id_key, no_id, text_hash, text, *blobs in zip(*(batch.column(k) for k in range(6)), strict=True):
+                raw = np.frombuffer(text.as_py().encode(), np.uint8)
+                for unit, whole, core in kinds:
+                    if not blobs[unit].as_py():
+                        continue
+                    pos, code = _places(blobs[unit].as_py())
+                    chosen = np.flatnonzero(code & 2)
+                    if not len(chosen):
+                        continue
+                    pos, code = pos[chosen], code[chosen]
+                    data, _ = symbols(unit, raw, np.array([0, len(raw)]))
+                    anchor = T.mix(PrefixHash(data).of(pos, pos + core)).view(np.int64)
+                    lo, hi = np.maximum(0, pos - (whole - core)), np.minimum(len(data), pos + whole)
+                    n = len(pos)
+                    full = lambda x: pa.array(np.full(n, x))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([full(unit), pa.array(anchor), full(id_key.as_py()), full(no_id.as_py()), full(text_hash.as_py()), pa.array(pos), full(core), full(whole - core), pa.array(pos - lo), pa.array([data[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()), pa.array((code & 4) > 0)], [*(c.split()[0] for c in OCCURRENCE.split(", ")), "hot"])
+
+    sent = stored(held.join(wanted.where("compare"), KEYS).select(*KEYS, "text", "places", "word_places").mapInArrow(contexts, OCCURRENCE + ", hot boolean"), "suffix-contexts")
+    found = _shared_spans(sent, group).groupBy(*KEYS).agg(F.collect_list(F.struct("unit", "start", "end")).alias("spans"))
+    return held.join(wanted.drop("compare"), KEYS, "left").join(found, KEYS, "left").select("doc_id", "text", "places", "word_places", "spans")
 
 
 def _places(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -372,35 +442,41 @@ def _places(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both])
 
 
-def removed(raw: np.ndarray, places: list[bytes] | None, spans: list[dict] | None, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """Marks of the bytes to remove."""
-    change = np.zeros(len(raw) + 1, np.int32)
+def removed(n: int, places: list[bytes] | None, spans: list[dict] | None, length: int = LENGTH, gram: int = GRAM, unit: int = BYTES) -> np.ndarray:
+    """Marks of the symbols of a text that repeat."""
+    change = np.zeros(n + 1, np.int32)
     if places:
         pos, code = _places(places)
         pos = np.unique(pos[(code & 1) > 0])
         np.add.at(change, np.maximum(0, pos - (length - gram)), 1)
-        np.add.at(change, np.minimum(len(raw), pos + length), -1)
+        np.add.at(change, np.minimum(n, pos + length), -1)
     for span in spans or []:
-        change[span["start"]] += 1
-        change[span["end"]] -= 1
+        if span["unit"] == unit:
+            change[span["start"]] += 1
+            change[span["end"]] -= 1
     return np.cumsum(change)[:-1] > 0
 
 
-def repeat_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+def repeat_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage_words: how many words lie in runs of that many words that also start anywhere else."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, places, spans in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+            for text, places, word_places, spans in zip(*(batch.column(k) for k in range(1, 5)), strict=True):
                 raw = np.frombuffer(text.as_py().encode(), np.uint8)
-                gone = removed(raw, places.as_py(), spans.as_py(), length, gram)
+                gone = removed(len(raw), places.as_py(), spans.as_py(), length, gram)
                 begins = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                out.append((len(raw), int(gone.sum()), begins, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                words = 0
+                if word_places.as_py():
+                    n = len(T.words(raw, np.array([0, len(raw)]))[0])
+                    words = int(removed(n, word_places.as_py(), spans.as_py(), passage, min(passage, WORD_GRAM), WORDS).sum())
+                out.append((len(raw), int(gone.sum()), begins, hashlib.sha256(raw[~gone].tobytes()).hexdigest(), words))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
-    return repeated_spans(docs, length, gram, group).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_spans(docs, length, gram, group, passage).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -409,9 +485,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, places, spans in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+            for text, places, spans in zip(*(batch.column(k) for k in (1, 2, 4)), strict=True):
                 raw = np.frombuffer(text.as_py().encode(), np.uint8)
-                texts.append(raw[~removed(raw, places.as_py(), spans.as_py(), length, gram)].tobytes().decode("utf-8", "ignore"))
+                texts.append(raw[~removed(len(raw), places.as_py(), spans.as_py(), length, gram)].tobytes().decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return repeated_spans(docs, length, gram, group).mapInArrow(cut, "doc_id long, text string")
