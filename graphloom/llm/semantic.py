@@ -1,17 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval, confirmed by word alignment and an answer check.
 
-1. Passages of PASSAGE words of all texts are rows of a TF-IDF matrix over hashed words. One pass gathers document frequencies
-   and the randomised sketch A'G, G being sparse random signs for each passage; tasks' sketches are summed in Spark by
-   blocks of rows. Scaling rows by the squared idf gives the sketch of the weighted matrix, and its singular vectors (RANK
-   of them, divided by their singular values so that no subject or language outweighs the rest) span the latent space.
-2. A second pass projects every word of every text once. At every STEP words begin windows of WIDTHS words; an item is
-   compared with those of the least width that holds it. Windows whose cosine with the item reaches COSINE are candidates,
-   and so, exactly, is every place that shares RUN words in a row with the item (all of a shorter item).
+1. Passages of PASSAGE words of all texts are rows of a TF-IDF matrix A over hashed words (idf squared). Its leading right
+   singular vectors come from a distributed randomised SVD: one pass gathers document frequencies and the sketch A'G, G
+   being sparse random signs for each passage and RANK + OVER columns; Q is an orthonormal basis of it. A second pass
+   projects every passage on Q and sums the Gram matrix of AQ, whose eigenvectors and values give RANK singular vectors and
+   values of AQ. Vectors are divided by their singular values, so that no subject or language outweighs the rest.
+2. A third pass projects every word of every text once. Windows of WIDTHS words begin at every STEP words (a quarter of the
+   width for wide ones); an item is compared with those of the least width that holds it. Windows whose cosine with the
+   item reaches COSINE are candidates, and so, exactly, is every place that shares RUN words in a row with the item
+   (all of a shorter item). Candidates whose surroundings can't hold COVER of the item's words, each as often as in both, go.
 3. A candidate and its surroundings are aligned with the item: the longest common subsequence of words must hold COVER of
    the item's words, and that of the answer (the item's last sentence, at least ANSWER words) half of its words. So
    paraphrases with replaced, added or dropped words are found, and texts that only share a subject are not.
 
-Benchmark items are broadcast in blocks of ITEMS. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased and
+Benchmark items are broadcast in blocks of about ITEMS and ITEM_BYTES at most; a longer item is a block of its own.
+Long texts are searched in overlapping pieces of PIECE words. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased and
 trailing punctuation dropped.
 
 Defined cases: null, empty and one-word items match nothing; repeated items are matched each; null and empty texts are
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
 
-PASSAGE, STEP, FEATURES, RANK, SIGNS = 64, 4, 1 << 15, 96, 4
+PASSAGE, STEP, FEATURES, RANK, OVER, SIGNS = 64, 4, 1 << 15, 96, 16, 4
 WIDTHS, REACH, RUN, FILTER = (8, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256), 32, 5, 20
-COSINE, COVER, ANSWER, ITEMS = 0.4, 0.7, 5, 4096
-ROWS = 1 << 11
+COSINE, COVER, ANSWER, ITEMS, ITEM_BYTES = 0.5, 0.7, 5, 4096, 8 << 20
+ROWS, PIECE, CELLS = 1 << 11, 1 << 18, 1 << 22
 TRAIL = np.zeros(256, bool)
 TRAIL[[ord(c) for c in ".,;:!?\"')"]] = True
 
@@ -57,58 +60,111 @@ def _feature(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> T.U(40)).astype(np.int64) % FEATURES
 
 
-def _sketch(docs: DataFrame, rank: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Document frequency of each feature, the sketch (features x rank), and the number of passages."""
+def _passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Features of all words, the passage each stands in, and the number of passages."""
+    hashes, per, _ = item_words(*T.text_bytes(column))
+    count = np.diff(per)
+    parts = -(-count // PASSAGE)
+    owner = np.repeat(np.cumsum(parts) - parts, count) + (np.arange(len(hashes)) - np.repeat(per[:-1], count)) // PASSAGE
+    return _feature(hashes).astype(np.int32), owner, int(parts.sum())
+
+
+def _few(docs: DataFrame) -> DataFrame:
+    """The texts in as many tasks as there are cores twice over, or fewer: each sends sums of a fixed size, so they mustn't grow with the data."""
+    return docs.select(F.col("text").cast("string")).coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
+def _sketch(docs: DataFrame, columns: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Document frequency of each feature, the sketch (features x columns) without idf, and the number of passages."""
+
+    few = _few(docs)
+    fan = int(np.ceil(np.sqrt(2 * docs.sparkSession.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, passages = np.zeros(FEATURES * rank), np.zeros(FEATURES, np.int64), 0
-        r = np.random.default_rng([17, TaskContext.get().partitionId()])
+        total, seen, passages = np.zeros(FEATURES * columns), np.zeros(FEATURES, np.int64), 0
+        task = TaskContext.get().partitionId()
+        r = np.random.default_rng([17, task])
         for batch in batches:
             for part in T.slices(batch, most=8 << 20):
-                hashes, per, _ = item_words(*T.text_bytes(part.column(0)))
-                count = np.diff(per)
-                parts = -(-count // PASSAGE)
-                owner = np.repeat(np.cumsum(parts) - parts, count) + (np.arange(len(hashes)) - np.repeat(per[:-1], count)) // PASSAGE
-                n = int(parts.sum())
-                feature = _feature(hashes).astype(np.int32)
+                feature, owner, n = _passages(part.column(0))
+                if not n:
+                    continue
                 both = owner * FEATURES + feature
                 both.sort()
-                seen += np.bincount(both[np.append(True, both[1:] != both[:-1])] % FEATURES, minlength=FEATURES) if n else 0
+                seen += np.bincount(both[np.append(True, both[1:] != both[:-1])] % FEATURES, minlength=FEATURES)
                 for _ in range(SIGNS):
-                    column, sign = r.integers(0, rank, n, dtype=np.int32), r.choice(np.array([-1.0, 1.0]), n)
-                    total += np.bincount(feature * np.int32(rank) + column[owner], weights=sign[owner], minlength=FEATURES * rank)
+                    column, sign = r.integers(0, columns, n, dtype=np.int32), r.choice(np.array([-1.0, 1.0]), n)
+                    total += np.bincount(feature * np.int32(columns) + column[owner], weights=sign[owner], minlength=FEATURES * columns)
                 passages += n
         if not passages:
             return
-        grid = total.astype(np.float32).reshape(FEATURES, rank)
+        grid = total.astype(np.float32).reshape(FEATURES, columns)
         del total
         T.release()
         for k in range(0, FEATURES, ROWS):
-            yield pa.RecordBatch.from_pydict({"block": [k // ROWS], "sketch": [grid[k : k + ROWS].tobytes()], "seen": [seen[k : k + ROWS].tobytes()], "passages": [passages if k == 0 else 0]})
-
-    def add(group: pa.Table) -> pa.Table:
-        sketch = sum(np.frombuffer(x, np.float32).astype(float) for x in group.column("sketch").to_pylist())
-        seen = sum(np.frombuffer(x, np.int64) for x in group.column("seen").to_pylist())
-        return pa.Table.from_pydict({"block": [group.column("block")[0].as_py()], "sketch": [sketch.astype(np.float32).tobytes()], "seen": [seen.tobytes()], "passages": [sum(group.column("passages").to_pylist())]})
-
-    kinds = "block long, sketch binary, seen binary, passages long"
-    # a task's sketch has a fixed size, so tasks are summed over their blocks of rows
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, kinds).groupBy("block").applyInArrow(add, kinds).collect()
-    sketch, seen, n = np.zeros((FEATURES, rank)), np.zeros(FEATURES, np.int64), 0
-    for r in rows:
+            yield pa.RecordBatch.from_pydict({"block": [k // ROWS], "part": [task % fan], "sketch": [grid[k : k + ROWS].tobytes()], "seen": [seen[k : k + ROWS].tobytes()], "passages": [passages if k == 0 else 0]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = held.setdefault((r["block"], r["part"]), [0.0, 0, 0])
+                own[0] = own[0] + np.frombuffer(r["sketch"], np.float32).astype(float)
+                own[1] = own[1] + np.frombuffer(r["seen"], np.int64)
+                own[2] += r["passages"]
+        for (block, part), (sketch, seen, n) in held.items():
+            yield pa.RecordBatch.from_pydict({"block": [block], "part": [part], "sketch": [sketch.astype(np.float32).tobytes()], "seen": [seen.tobytes()], "passages": [n]})
+
+    kinds = "block long, part long, sketch binary, seen binary, passages long"
+    blocks = FEATURES // ROWS
+    # a tree: some partial sums for each block of rows, each added up as its rows arrive; then their sum
+    tree = few.mapInArrow(run, kinds).repartition(blocks * fan, "block", "part").mapInArrow(add, kinds).withColumn("part", F.lit(0).cast("long")).repartition(blocks, "block").mapInArrow(add, kinds)
+    sketch, seen, n = np.zeros((FEATURES, columns)), np.zeros(FEATURES, np.int64), 0
+    for r in tree.collect():  # blocks of FEATURES x columns in all
         at = slice(r.block * ROWS, (r.block + 1) * ROWS)
-        sketch[at] = np.frombuffer(r.sketch, np.float32).reshape(-1, rank)
+        sketch[at] = np.frombuffer(r.sketch, np.float32).reshape(-1, columns)
         seen[at] = np.frombuffer(r.seen, np.int64)
         n += r.passages
     return seen, sketch, n
 
 
-def latent_space(docs: DataFrame, rank: int = RANK) -> np.ndarray:
-    """Features x rank: squared idf times the whitened leading right singular vectors of the passages' weighted matrix."""
-    seen, sketch, n = _sketch(docs, rank)
+def _gram(docs: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """The Gram matrix of all passages projected on a weighted basis (features x columns)."""
+    columns = basis.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((columns, columns))
+        for batch in batches:
+            for part in T.slices(batch, most=8 << 20):
+                feature, owner, _ = _passages(part.column(0))
+                first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+                for k in range(0, len(first), 512):
+                    some = first[k : k + 512]
+                    stop = first[k + 512] if k + 512 < len(first) else len(owner)
+                    rows = np.add.reduceat(basis[feature[some[0] : stop]], some - some[0], axis=0)
+                    total += rows.T @ rows
+        yield pa.RecordBatch.from_pydict({"gram": [total.tobytes()]})
+
+    out = np.zeros((columns, columns))
+    for r in _few(docs).mapInArrow(run, "gram binary").collect():  # columns x columns from each of a fixed number of tasks
+        out += np.frombuffer(r.gram).reshape(columns, columns)
+    return out
+
+
+def singular_vectors(docs: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leading right singular vectors (features x rank) and singular values of the passages' matrix, and the features' weights in it."""
+    seen, sketch, n = _sketch(docs, rank + OVER)
     weight = np.log((n + 1) / (seen + 1)) ** 2
-    u, size, _ = np.linalg.svd(weight[:, None] * sketch, full_matrices=False)
-    return (weight[:, None] * u / np.maximum(size, 1e-9 * max(1.0, size[0]))).astype(np.float32)
+    basis, _ = np.linalg.qr(weight[:, None] * sketch)
+    values, turn = np.linalg.eigh(_gram(docs, (weight[:, None] * basis).astype(np.float32)) if n else np.zeros((rank + OVER,) * 2))
+    top = np.argsort(-values, kind="stable")[:rank]
+    return basis @ turn[:, top], np.sqrt(np.maximum(values[top], 0)), weight
+
+
+def latent_space(docs: DataFrame, rank: int = RANK) -> np.ndarray:
+    """Features x rank: squared idf times the leading right singular vectors, each over its singular value."""
+    vectors, values, weight = singular_vectors(docs, rank)
+    return (weight[:, None] * vectors / np.maximum(values, 1e-6 * max(1.0, values.max(initial=0)))).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -156,12 +212,19 @@ class Items:
             out[w] = out.get(w, 0) | (1 << k)
         return out
 
-    def bound(self, k: int, words: np.ndarray) -> tuple[int, np.ndarray]:
-        """The most words that a common subsequence with the region can have (each as often as in both), and the region's words of the item."""
+    def bound(self, k: int, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The most words that a common subsequence with each region [lo, hi) can have: each as often as in both."""
         known, times = self.known[k]
-        spot = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        hit = known[spot] == words
-        return int(np.minimum(np.bincount(spot[hit], minlength=len(known)), times).sum()), words[hit]
+        common, step = np.zeros(len(lo), np.int64), max(1, CELLS // (16 * (int((hi - lo).max(initial=1)) + len(known))))
+        for c in range(0, len(lo), step):
+            size = hi[c : c + step] - lo[c : c + step]
+            at = T.ranges(lo[c : c + step], size)
+            region = words[at]
+            spot = np.minimum(np.searchsorted(known, region), len(known) - 1)
+            hit = known[spot] == region
+            cell = np.repeat(np.arange(len(size)) * len(known), size)[hit] + spot[hit]
+            common[c : c + step] = np.minimum(np.bincount(cell, minlength=len(size) * len(known)).reshape(-1, len(known)), times).sum(1)
+        return common
 
     def align(self, k: int, words: np.ndarray) -> float:
         """The share of the item's words in its longest common subsequence with a region, or 0 if the answer isn't there."""
@@ -197,11 +260,24 @@ def common(mask: dict[int, int], region: list[int]) -> int:
 def _find(items: Items, space: np.ndarray, data: np.ndarray, offsets: np.ndarray, cosine: float) -> list[tuple[int, int, float]]:
     """(text, item, cover) for every match in some texts."""
     hashes, per, _ = item_words(data, offsets)
+    best: dict[tuple[int, int], float] = {}
+    if len(hashes) <= PIECE or len(per) > 2:
+        _search(items, space, hashes, per, cosine, best)
+    else:  # a long text: what a match can reach lies whole in one piece
+        reach = max(int(items.size.max()), WIDTHS[-1]) + 4 * REACH
+        for begin in range(0, len(hashes), PIECE):
+            own = hashes[begin : begin + PIECE + reach]
+            _search(items, space, own, np.array([0, len(own)]), cosine, best)
+    return [(d, k, c) for (d, k), c in sorted(best.items())]
+
+
+def _search(items: Items, space: np.ndarray, hashes: np.ndarray, per: np.ndarray, cosine: float, best: dict[tuple[int, int], float]) -> None:
+    """Put the cover of each match (text, item) into best where it is larger."""
     count = np.diff(per)
     steps = -(-count // STEP)
     upto = np.concatenate([[0], np.cumsum(steps)])
     if not len(hashes):
-        return []
+        return
     text = np.repeat(np.arange(len(count)), steps)
     begin = per[text] + (np.arange(len(text)) - upto[text]) * STEP
     stop = np.minimum(begin + STEP, per[text + 1])
@@ -212,26 +288,22 @@ def _find(items: Items, space: np.ndarray, data: np.ndarray, offsets: np.ndarray
             pieces += space[feature[begin + j]]
         else:
             pieces[full] += space[feature[begin[full] + j]]
-    best: dict[tuple[int, int], float] = {}
 
-    def consider(places: list[tuple[int, int, int]]) -> None:
-        """Align the surroundings of places (text, item, word), which ascend for a text and an item."""
-        tried: dict[tuple[int, int], tuple[int, int]] = {}  # the last region's end, and how many words it had in common at most
-        for own, k, at in places:
-            if best.get((own, k), 0.0) >= 1.0:
-                continue
-            least = COVER * items.size[k]
-            lo = max(int(per[own]), at - REACH)
-            hi = min(int(per[own + 1]), at + max(2 * REACH, int(items.size[k])) + REACH)
-            end, most = tried.get((own, k), (lo, 0))
-            if most + hi - max(end, lo) < least:  # later words alone can't make up for what lacked
-                continue
-            most, hits = items.bound(k, hashes[lo:hi])
-            tried[own, k] = hi, most
-            if most >= least:
-                cover = items.align(k, hits)
-                if cover > best.get((own, k), 0.0):
-                    best[own, k] = cover
+    def consider(own: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
+        """Align the surroundings of places (text, item, word)."""
+        order = np.lexsort((at, own, item))
+        own, item, at = own[order], item[order], at[order]
+        cuts = np.concatenate([[0], np.flatnonzero(item[1:] != item[:-1]) + 1, [len(item)]]) if len(item) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            k = int(item[a])
+            lo = np.maximum(per[own[a:b]], at[a:b] - REACH)
+            hi = np.minimum(per[own[a:b] + 1], at[a:b] + max(2 * REACH, int(items.size[k])) + REACH)
+            for c in np.flatnonzero(items.bound(k, hashes, lo, hi) >= COVER * items.size[k]).tolist():
+                place = int(own[a + c]), k
+                if best.get(place, 0.0) < 1.0:
+                    cover = items.align(k, hashes[lo[c] : hi[c]])
+                    if cover > best.get(place, 0.0):
+                        best[place] = cover
 
     for n, known, item, offset, some in items.runs:
         found = runs(hashes, n)
@@ -241,22 +313,28 @@ def _find(items: Items, space: np.ndarray, data: np.ndarray, offsets: np.ndarray
         low, high = (np.searchsorted(known, found[at], side) for side in ("left", "right"))
         each = high - low
         spot = np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())
-        places = np.stack([np.repeat(own, each), item[spot], np.repeat(at, each) - offset[spot]])
-        consider([tuple(x) for x in np.unique(places, axis=1).T.tolist()])
+        places = np.unique(np.stack([np.repeat(own, each), item[spot], np.repeat(at, each) - offset[spot]]), axis=1)
+        consider(*places)
     upon = np.concatenate([np.zeros((1, space.shape[1])), np.cumsum(pieces, axis=0, dtype=float)])
-    first, last = np.arange(len(text)), upto[text + 1]
+    last = upto[text + 1]
     for w in np.unique(items.width[items.size > 1]):
         chosen = np.flatnonzero((items.width == w) & (items.size > 1))
-        window = (upon[np.minimum(first + WIDTHS[w] // STEP, last)] - upon[:-1]).astype(np.float32)
-        near = _unit(window) @ items.vectors[chosen].T >= cosine
-        row, k = np.nonzero(near)
-        consider(list(zip(text[row].tolist(), chosen[k].tolist(), begin[row].tolist(), strict=True)))
-    return [(d, k, c) for (d, k), c in sorted(best.items())]
+        vectors, wide = items.vectors[chosen].T, WIDTHS[w] // STEP
+        every = np.flatnonzero((np.arange(len(text)) - upto[text]) % max(1, wide // 4) == 0)
+        rows, hits = max(1, CELLS // max(len(chosen), space.shape[1])), []
+        for c in range(0, len(every), rows):
+            first = every[c : c + rows]
+            window = (upon[np.minimum(first + wide, last[first])] - upon[first]).astype(np.float32)
+            size = np.sqrt(np.einsum("ij,ij->i", window, window))
+            row, k = np.nonzero(window @ vectors >= cosine * np.maximum(size, 1e-12)[:, None])
+            hits.append((text[first[row]], chosen[k], begin[first[row]]))
+        consider(*(np.concatenate(x) for x in zip(*hits, strict=True)))
 
 
 def _blocks(benchmark: DataFrame, space: np.ndarray) -> Iterator[Items]:
     named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n = max(1, -(-named.count() // ITEMS))
+    count, size = named.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(1, -(-count // ITEMS), -(-(size or 0) // ITEM_BYTES))
     for c in range(n):
         rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == c).orderBy("item_id", "text").collect()
         block = Items([r.item_id for r in rows], [r.text for r in rows], space)

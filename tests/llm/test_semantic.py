@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from graphloom.llm import semantic as S
+from graphloom.llm import textops as T
 from graphloom.runtime import table
 
 
@@ -20,6 +24,78 @@ def test_bit_alignment_equals_table():
         assert S.common(S.Items._mask(a), b) == lcs(a, b)
 
 
+def test_singular_vectors_equal_a_dense_svd(spark):
+    """Leading values and vectors of the whole matrix, however it is partitioned."""
+    rng = np.random.default_rng(3)
+    subjects = [rng.choice(150, 12, replace=False) for _ in range(6)]
+    texts = [" ".join(f"w{x}" for x in rng.choice(subjects[k % 6], rng.integers(1, 200))) for k in range(300)] + [None, ""]
+    feature, owner, n = S._passages(pa.array(texts))
+    used, column = np.unique(feature, return_inverse=True)
+    dense = np.zeros((n, len(used)))
+    np.add.at(dense, (owner, column), 1)
+    weight = np.log((n + 1) / ((dense > 0).sum(0) + 1)) ** 2
+    _, size, right = np.linalg.svd(dense * weight, full_matrices=False)
+    for parts in (1, 7):
+        docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+        vectors, values, own = S.singular_vectors(docs, 12)
+        assert np.allclose(own[used], weight)
+        assert np.allclose(values[:6], size[:6], rtol=0.05)
+        assert (np.linalg.norm(right[:6] @ vectors[used], axis=1) > 0.95).all()
+
+
+def brute(rows, items):
+    """All pairs of a text and an item by the longest common subsequence over every region of the operator's reach."""
+    trim = lambda t: [h for h in S.item_words(*T.text_bytes(pa.array([t])))[0].tolist()]
+    out = set()
+    for b, x in items:
+        own = trim(x)
+        ends = np.flatnonzero(S.item_words(*T.text_bytes(pa.array([x])))[2])
+        ends = ends[ends < len(own) - S.ANSWER]
+        answer = own[int(ends[-1]) + 1 if len(ends) else max(0, len(own) - 2 * S.ANSWER) :]
+        for d, t in rows:
+            words = trim(t)
+            for at in range(0, max(1, len(words)), 4):
+                region = words[max(0, at - S.REACH) : at + max(2 * S.REACH, len(own)) + S.REACH]
+                if lcs(own, region) >= S.COVER * len(own) and 2 * lcs(answer, region) >= len(answer):
+                    out.add((d, b))
+                    break
+    return out
+
+
+def test_equals_all_pairs_alignment(spark):
+    """Every pair that the alignment accepts anywhere is found, in a small corpus with paraphrases, and no other."""
+    folder = "/root/testdata/sf0.01"
+    docs, bench = table(spark, folder, "documents").toPandas(), table(spark, folder, "benchmark").toPandas().head(8)
+    rng, rows = random.Random(4), []
+    short = [t for t in docs.text if t and 60 <= len(t.split()) <= 200][:60]
+    for k, base in enumerate(short):
+        words = base.split()
+        if k % 3 == 0:
+            item = bench.text[(k // 3) % len(bench)].split()
+            for i in rng.sample(range(len(item)), int(len(item) * rng.choice([0, 0.1, 0.2]))):
+                item[i] = "changed"
+            words[40:40] = item
+        rows.append((k, " ".join(words)))
+    items = [(int(b), x) for b, x in zip(bench.item_id, bench.text)]
+    want = brute(rows, items)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in S.matches(frame, spark.createDataFrame(items, "item_id long, text string"), 0.2).collect()}
+    assert got == want
+    assert len(want) >= 15
+
+
+def test_long_text_in_pieces(spark, monkeypatch):
+    """Items at the borders of a long text's pieces are found."""
+    bench = table(spark, "/root/testdata/sf0.01", "benchmark").toPandas()
+    space = np.random.default_rng(1).normal(size=(S.FEATURES, 8)).astype(np.float32)
+    items = S.Items(list(range(len(bench))), bench.text.tolist(), space)
+    monkeypatch.setattr(S, "PIECE", 97)
+    words = [f"word{k}" for k in range(500)]
+    for k in range(0, len(bench), 7):
+        text = " ".join([*words[: 60 + k], bench.text[k], *words[60 + k :]])
+        assert k in {i for _, i, _ in S._find(items, space, *T.text_bytes(pa.array([text])), 0.99)}
+
+
 def test_finds_inserted_items_and_paraphrases(spark):
     folder = "/root/testdata/sf0.01"
     docs, bench = table(spark, folder, "documents").toPandas(), table(spark, folder, "benchmark").toPandas()
