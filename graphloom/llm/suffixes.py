@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -339,17 +340,23 @@ def _split(hot: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in OCCURRENCE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                data = np.frombuffer(r["around"], np.uint8 if r["unit"] == BYTES else np.uint32)
-                hashes, half, begin, end = PrefixHash(data), -(-r["need"] // 2), r["left"], r["left"] + r["size"]
-                for lo, hi in ((begin, end + half), (begin - half, end)):
-                    if lo >= 0 and hi <= len(data):
-                        grown = hashes.of(np.array([lo]), np.array([hi])) + T.U(lo == begin) + T.U(2 * (hi - lo))
-                        anchor = int(T.mix(grown ^ T.mix(np.array([r["anchor"]]).view(np.uint64))).view(np.int64)[0])
-                        rows.append(r | {"anchor": anchor, "pos": r["pos"] + lo - begin, "left": lo, "size": hi - lo, "need": r["need"] - half})
-            yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in rows], pa.schema([(c, pa.bool_() if c == "no_id" else pa.binary() if c == "around" else pa.int64()) for c in names]))
+        for every in batches:
+            for unit in (BYTES, WORDS):
+                batch = every.filter(pa.compute.equal(every.column("unit"), unit))
+                around = batch.column("around")
+                kind = np.dtype(np.uint8 if unit == BYTES else np.uint32)
+                data = np.frombuffer(b"".join(around.to_pylist()), kind)
+                sizes = pa.compute.binary_length(around).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
+                anchor, pos, size, need, left = (batch.column(c).to_numpy() for c in ("anchor", "pos", "size", "need", "left"))
+                hashes, first, half = PrefixHash(data), np.cumsum(sizes) - sizes, -(-need // 2)
+                for shift in (np.zeros(len(half), np.int64), half):
+                    lo = left - shift
+                    hi = lo + size + half
+                    ok = np.flatnonzero((lo >= 0) & (hi <= sizes))
+                    grown = T.mix(hashes.of((first + lo)[ok], (first + hi)[ok])) ^ T.mix(anchor[ok].view(np.uint64) + T.U(int(shift.any())))
+                    new = {"anchor": T.mix(grown).view(np.int64), "pos": (pos - shift)[ok], "size": (size + half)[ok], "need": (need - half)[ok], "left": lo[ok]}
+                    some = batch.take(pa.array(ok))
+                    yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else some.column(c) for c in names], names)
 
     return hot.select(*names).mapInArrow(run, OCCURRENCE)
 
