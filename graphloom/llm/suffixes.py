@@ -12,8 +12,8 @@ Every byte covered by a LENGTH-byte string that also starts anywhere else (same
    another base. Along the tree of common right extensions, each occurrence finds the longest left and right extension it
    shares with another one so that both sides and the anchor fill LENGTH bytes.
 4. An anchor with more than GROUP different surroundings (a hot passage) isn't sorted in one task. Two of its occurrences that
-   share LENGTH bytes share half of what is missing on the right or on the left; so the group is split by the next
-   bytes on the right and, again, on the left, with the anchor grown by them, until groups are small or the anchor is whole.
+   share LENGTH bytes share one of WAYS divisions of most of what is missing into bytes on the left and on the right; so the
+   group is split by these next bytes, with the anchor grown by them, until groups are small or the anchor is whole.
 
 The same sort with words as symbols finds passages: runs of PASSAGE words (A-Z lower-cased) that also start anywhere else.
 
@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import exchange as X
 from graphloom.llm import textops as T
-from graphloom.runtime import stored
+from graphloom.runtime import forget, stored
 
 LENGTH, GRAM = 400, 64
 PASSAGE, WORD_GRAM = 51, 8
 BYTES, WORDS = 0, 1
-GROUP = 1 << 15
+GROUP, WAYS = 1 << 15, 8
 PIECE = 4 << 20
 BUCKET = 1 << 12
 BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x2545F4914F6CDD1D)
@@ -141,7 +141,7 @@ def _parts(docs: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
             number, size, before = number + 1, 0, 0
 
         for batch in batches:
-            for part in T.slices(batch, rows=1 << 12):
+            for part in T.slices(batch, most=1 << 20, rows=1 << 12):
                 names = part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(part.column(0).is_null()), part.column(2).to_numpy(zero_copy_only=False)
                 texts = T.text_bytes(part.column(1))
                 for unit, length, gram in kinds:
@@ -336,7 +336,10 @@ OCCURRENCE = "unit long, anchor long, id_key long, no_id boolean, text_hash long
 
 
 def _split(hot: DataFrame) -> DataFrame:
-    """Occurrences of hot anchors with the anchor grown by half of what it lacks: to the right, and again to the left."""
+    """Occurrences of hot anchors, each with the anchor grown in up to WAYS ways.
+
+    Two occurrences that share `need` more symbols on both sides together share, for some j, j steps on the left and the
+    other ways' steps on the right, a step being (need + 1) // ways symbols."""
     names = [c.split()[0] for c in OCCURRENCE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,13 +351,15 @@ def _split(hot: DataFrame) -> DataFrame:
                 data = np.frombuffer(b"".join(around.to_pylist()), kind)
                 sizes = pa.compute.binary_length(around).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
                 anchor, pos, size, need, left = (batch.column(c).to_numpy() for c in ("anchor", "pos", "size", "need", "left"))
-                hashes, first, half = PrefixHash(data), np.cumsum(sizes) - sizes, -(-need // 2)
-                for shift in (np.zeros(len(half), np.int64), half):
-                    lo = left - shift
-                    hi = lo + size + half
-                    ok = np.flatnonzero((lo >= 0) & (hi <= sizes))
-                    grown = T.mix(hashes.of((first + lo)[ok], (first + hi)[ok])) ^ T.mix(anchor[ok].view(np.uint64) + T.U(int(shift.any())))
-                    new = {"anchor": T.mix(grown).view(np.int64), "pos": (pos - shift)[ok], "size": (size + half)[ok], "need": (need - half)[ok], "left": lo[ok]}
+                hashes, first = PrefixHash(data), np.cumsum(sizes) - sizes
+                ways = np.minimum(WAYS, need + 1)
+                step = (need + 1) // ways
+                for j in range(int(ways.max(initial=0))):
+                    lo = left - j * step
+                    hi = left + size + (ways - 1 - j) * step
+                    ok = np.flatnonzero((j < ways) & (lo >= 0) & (hi <= sizes))
+                    grown = T.mix(hashes.of((first + lo)[ok], (first + hi)[ok])) ^ T.mix(anchor[ok].view(np.uint64) + T.U(j))
+                    new = {"anchor": T.mix(grown).view(np.int64), "pos": (pos - left + lo)[ok], "size": (hi - lo)[ok], "need": (need - (ways - 1) * step)[ok], "left": lo[ok]}
                     some = batch.take(pa.array(ok))
                     yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else some.column(c) for c in names], names)
 
@@ -382,26 +387,23 @@ def _compare(table: pa.Table) -> pa.Table:
 
 def _shared_spans(sent: DataFrame, group: int) -> DataFrame:
     """Spans of symbols that occurrences share: sorted in buckets of whole anchors, hot ones after splitting."""
-    span = "unit long, id_key long, no_id boolean, text_hash long, start long, end long"
-
-    def sorted_(some: DataFrame, rows: int) -> DataFrame:
-        spread = F.pmod(F.xxhash64("anchor"), F.lit(max(1, rows // BUCKET)))
-        return some.withColumn("bucket", spread).groupBy("unit", "bucket").applyInArrow(_compare, span)
-
+    names = [c.split()[0] for c in OCCURRENCE.split(", ")]
     rows, hot = sent.agg(F.count("*"), F.max("hot")).first()
-    found = sorted_(sent.where("not hot"), rows)
-    state = sent.where("hot") if hot else None
+    small, whole, state = sent.where("not hot").select(*names), None, sent.where("hot") if hot else None
     while state is not None:
         grown = stored(_split(state), "suffix-split")
-        whole, part = grown.where("need = 0"), grown.where("need > 0")
-        times = lambda x: x.groupBy("unit", "anchor").agg(F.count("*").alias("times"))
-        found = found.union(whole.join(times(whole).where("times > 1"), ["unit", "anchor"]).select("unit", *KEYS, F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end")))
-        sized = stored(part.join(times(part).where("times > 1"), ["unit", "anchor"]), "suffix-split")
-        few = sized.where(F.col("times") <= group)
-        n, more = few.count(), sized.where(F.col("times") > group)
-        found = found.union(sorted_(few, n))
-        state = None if more.isEmpty() else more
-    return found
+        times = grown.groupBy("unit", "anchor").agg(F.count("*").alias("times")).where("times > 1")
+        sized = stored(grown.join(times, ["unit", "anchor"]), "suffix-split")
+        forget(grown)
+        open_, few = F.col("need") > 0, F.col("times") <= group
+        n, more = sized.agg(F.count_if(open_ & few), F.count_if(open_ & ~few)).first()
+        small, rows = small.union(sized.where(open_ & few).select(*names)), rows + n
+        done = sized.where(~open_).select("unit", *KEYS, F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end"))
+        whole = done if whole is None else whole.union(done)
+        state = sized.where(open_ & ~few) if more else None
+    spread = F.pmod(F.xxhash64("anchor"), F.lit(max(1, rows // BUCKET)))
+    found = small.withColumn("bucket", spread).groupBy("unit", "bucket").applyInArrow(_compare, "unit long, id_key long, no_id boolean, text_hash long, start long, end long")
+    return found if whole is None else found.union(whole)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, passage: int = 0) -> DataFrame:
