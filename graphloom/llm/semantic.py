@@ -92,9 +92,8 @@ def _sketch(docs: DataFrame, columns: int) -> tuple[np.ndarray, np.ndarray, int]
                 both = owner * FEATURES + feature
                 both.sort()
                 seen += np.bincount(both[np.append(True, both[1:] != both[:-1])] % FEATURES, minlength=FEATURES)
-                for _ in range(SIGNS):
-                    column, sign = r.integers(0, columns, n, dtype=np.int32), r.choice(np.array([-1.0, 1.0]), n)
-                    total += np.bincount(feature * np.int32(columns) + column[owner], weights=sign[owner], minlength=FEATURES * columns)
+                column, sign = r.integers(0, columns, (n, SIGNS), dtype=np.int32), r.choice(np.array([-1.0, 1.0]), (n, SIGNS))
+                total += np.bincount((feature[:, None] * np.int32(columns) + column[owner]).ravel(), weights=sign[owner].ravel(), minlength=FEATURES * columns)
                 passages += n
         if not passages:
             return
@@ -282,12 +281,11 @@ def _search(items: Items, space: np.ndarray, hashes: np.ndarray, per: np.ndarray
     begin = per[text] + (np.arange(len(text)) - upto[text]) * STEP
     stop = np.minimum(begin + STEP, per[text + 1])
     feature, pieces = _feature(hashes), np.zeros((len(begin), space.shape[1]), np.float32)
+    room = np.empty_like(pieces)
     for j in range(STEP):  # the j-th word of every step together
         full = np.flatnonzero(begin + j < stop)
-        if len(full) == len(begin):
-            pieces += space[feature[begin + j]]
-        else:
-            pieces[full] += space[feature[begin[full] + j]]
+        pieces[full] += np.take(space, feature[begin[full] + j], axis=0, out=room[: len(full)], mode="clip")
+    del room
 
     def consider(own: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
         """Align the surroundings of places (text, item, word)."""
@@ -315,19 +313,32 @@ def _search(items: Items, space: np.ndarray, hashes: np.ndarray, per: np.ndarray
         spot = np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())
         places = np.unique(np.stack([np.repeat(own, each), item[spot], np.repeat(at, each) - offset[spot]]), axis=1)
         consider(*places)
-    upon = np.concatenate([np.zeros((1, space.shape[1])), np.cumsum(pieces, axis=0, dtype=float)])
-    last = upto[text + 1]
     for w in np.unique(items.width[items.size > 1]):
         chosen = np.flatnonzero((items.width == w) & (items.size > 1))
-        vectors, wide = items.vectors[chosen].T, WIDTHS[w] // STEP
-        every = np.flatnonzero((np.arange(len(text)) - upto[text]) % max(1, wide // 4) == 0)
-        rows, hits = max(1, CELLS // max(len(chosen), space.shape[1])), []
-        for c in range(0, len(every), rows):
-            first = every[c : c + rows]
-            window = (upon[np.minimum(first + wide, last[first])] - upon[first]).astype(np.float32)
-            size = np.sqrt(np.einsum("ij,ij->i", window, window))
-            row, k = np.nonzero(window @ vectors >= cosine * np.maximum(size, 1e-12)[:, None])
-            hits.append((text[first[row]], chosen[k], begin[first[row]]))
+        vectors, wide, hits = items.vectors[chosen].T, WIDTHS[w] // STEP, []
+        every = max(1, wide // 4)  # a window starts at every so many steps, and is a sum of that many groups of them
+        groups = -(-steps // every)
+        more = -(-wide // every)
+        # groups of each text, with room for empty ones behind its last
+        place = np.arange(groups.sum()) + np.repeat(np.arange(len(steps)) * (more - 1), groups)
+        first = np.repeat(upto[:-1], groups) + every * (np.arange(groups.sum()) - np.repeat(np.cumsum(groups) - groups, groups))
+        window = np.zeros((int(groups.sum()) + len(steps) * (more - 1), space.shape[1]), np.float32)
+        window[place] = np.take(pieces, first, axis=0)
+        for j in range(1, every):
+            some = np.flatnonzero(first + j < upto[text[first] + 1])
+            window[place[some]] += np.take(pieces, first[some] + j, axis=0)
+        total = window.copy()
+        for k in range(1, more):
+            total[: len(total) - k] += window[k:]
+        del window
+        rows = max(1, CELLS // max(len(chosen), 1))
+        for c in range(0, len(place), rows):
+            some = total[place[c : c + rows]]
+            size = np.sqrt(np.einsum("ij,ij->i", some, some))
+            flat = np.flatnonzero(some @ vectors >= cosine * np.maximum(size, 1e-12)[:, None])
+            row, k = first[c + flat // len(chosen)], flat % len(chosen)
+            hits.append((text[row], chosen[k], begin[row]))
+        del total
         consider(*(np.concatenate(x) for x in zip(*hits, strict=True)))
 
 
