@@ -1,13 +1,16 @@
-"""SentencePiece encoding and decoding by batched Viterbi in numpy.
+"""SentencePiece encoding and decoding by batched search in numpy.
 
-A text is cut wherever two neighbouring bytes occur side by side in no piece; the best path of the text is then the
-best paths of its chunks in a row. Distinct chunks of equal length form a matrix and advance together: for each end
-position, hashes of all substrings that could end there probe the sorted hashes of the pieces, and a maximum over the
-starts stores the score and the backpointer. A byte that no piece covers gets its byte piece, at a penalty below every score.
+A text is cut wherever two neighbouring bytes occur side by side in no piece; the best pieces of the text are then the
+best pieces of its chunks in a row. Distinct chunks of equal length form a matrix and advance together.
+Unigram models: Viterbi. For each end position, hashes of all substrings that could end there probe the sorted hashes of the
+pieces, and a maximum over the starts stores the score and the backpointer; ties go to the longest last piece. A character
+that no piece covers gets its byte pieces, at the library's penalty below the least score.
+BPE models: the sum of scores isn't what such a model was made for (its scores are the order of merges), and the path that
+maximises it isn't the library's. There every row merges, step by step, the neighbouring symbols whose joined
+substring's hash probes the best piece, the leftmost of equals, until none is left; both give the library's ids.
 
 The model's own rules are kept: a space becomes U+2581, and a text that isn't empty gets one in front. A model with a
-normaliser other than identity is refused. The model type is ignored: the path with the largest sum of scores wins,
-ties to the longest last piece. decode() gives the text back (with U+2581 as space), so a round trip is exact unless the text holds U+2581.
+normaliser other than identity, or of another type, is refused. decode() gives the text back (with U+2581 as space), so a round trip is exact unless the text holds U+2581.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; repeated rows are encoded alike; other
 columns of the input are kept as they are, and ids replaces a column of that name.
@@ -30,15 +33,52 @@ from graphloom.llm.chunks import ChunkCache
 MARK = "▁"
 _MODELS: dict[str, "Pieces"] = {}
 CELLS = 1 << 20
+BASE = 0x5851F42D4C957F2D
+UNKNOWN = np.uint32(0xFFFFFFFF)
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of a protocol buffer's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte, at = raw[at], at + 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+        else:
+            size = varint() if kind == 2 else 8 if kind == 1 else 4
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
+def model_type(raw: bytes) -> int:
+    """1 unigram, 2 BPE, 3 word, 4 character: the field of that name in a model's training settings."""
+    spec = next((v for k, v in _fields(raw) if k == 2), b"")
+    return next((v for k, v in _fields(spec) if k == 3), 1)
 
 
 class Pieces:
     """The vocabulary of a model file as arrays; the space mark is kept as one byte, 0x20."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | bytes):
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
+        model = SentencePieceProcessor(model_proto=path) if isinstance(path, bytes) else SentencePieceProcessor(model_file=path)
+        kind = model_type(model.serialized_model_proto())
+        if kind not in (1, 2):
+            raise ValueError("only unigram and BPE models are read")
+        self.search = self.viterbi if kind == 1 else self.merges
         if model.normalize("ﬁ  Å") not in (f"{MARK}ﬁ{MARK}{MARK}Å",):
             raise ValueError("only models with the identity normaliser, a dummy prefix and byte pieces are read")
         raw, score, ids, self.byte_ids = [], [], [], np.zeros(256, np.uint32)
@@ -62,7 +102,7 @@ class Pieces:
         for x in raw:
             for a, b in zip(x[:-1], x[1:], strict=True):
                 self.joined[a, b] = True
-        self.powers = np.cumprod(np.full(4096, 0x5851F42D4C957F2D, np.uint64), dtype=np.uint64)
+        self._reach(4096)
         data = np.frombuffer(b"".join(raw), np.uint8)
         sizes = np.array([len(x) for x in raw])
         starts = np.cumsum(sizes) - sizes
@@ -79,9 +119,16 @@ class Pieces:
         self.maybe[(self.keys >> T.U(42)).astype(np.int64)] = True
         self.cache = ChunkCache()
 
+    def _reach(self, size: int) -> None:
+        """Powers of the hash's base from 1, and of its inverse from 0."""
+        self.powers = np.cumprod(np.full(size, BASE, np.uint64), dtype=np.uint64)
+        self.inverse = np.concatenate([[T.U(1)], np.cumprod(np.full(size, pow(BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)])
+
     def solve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best paths of distinct chunks: the number of ids of each, and all ids."""
         length = ends - starts
+        if length.max(initial=0) > len(self.powers):
+            self._reach(2 * int(length.max()))
         order = np.argsort(length, kind="stable")
         bounds = np.flatnonzero(np.append(True, np.diff(length[order]) > 0))
         sizes = np.zeros(len(starts), np.int64)
@@ -91,7 +138,7 @@ class Pieces:
             step = max(1, CELLS // size)
             for c in range(a, b, step):
                 rows = order[c : min(b, c + step)]
-                counts, ids = self.viterbi(data[starts[rows][:, None] + np.arange(size)])
+                counts, ids = self.search(data[starts[rows][:, None] + np.arange(size)])
                 sizes[rows] = counts
                 done.append((rows, ids))
         upto = np.cumsum(sizes) - sizes
@@ -100,10 +147,70 @@ class Pieces:
             out[T.ranges(upto[rows], sizes[rows])] = ids
         return sizes, out
 
+    def merges(self, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of equal length advance together, a merge at a time. Returns the number of ids of each row, and the ids row by row."""
+        n, size = chunk.shape
+        upto = np.zeros((n, size + 1), np.uint64)
+        np.cumsum((chunk.astype(np.uint64) + T.U(1)) * self.powers[:size], axis=1, out=upto[:, 1:])
+
+        def find(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Place of the piece that covers each substring, and whether there is one."""
+            keys = T.mix((upto[row, hi] - upto[row, lo]) * self.inverse[lo])
+            at, real = np.zeros(len(row), np.int64), np.zeros(len(row), bool)
+            some = np.flatnonzero((hi - lo <= self.longest) & self.maybe[(keys >> T.U(42)).astype(np.int64)])
+            at[some] = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+            real[some] = self.keys[at[some]] == keys[some]
+            return at, real
+
+        # after[i] and ahead[i]: where the symbol that begins at i ends, and where the one before it begins; worth[i]: of merging it with the next
+        head = (chunk & 0xC0) != 0x80
+        head[:, 0] = True
+        row, lo = np.nonzero(head)
+        new = np.append(row[1:] != row[:-1], True)
+        after, ahead = np.zeros((n, size), np.int64), np.full((n, size + 1), -1)
+        after[row, lo] = np.where(new, size, np.append(lo[1:], size))
+        ahead[row, after[row, lo]] = lo
+        worth = np.full((n, size), -np.inf)
+
+        def judge(row: np.ndarray, lo: np.ndarray) -> None:
+            mid = after[row, lo]
+            worth[row, lo] = -np.inf
+            row, lo, mid = row[mid < size], lo[mid < size], mid[mid < size]
+            at, real = find(row, lo, after[row, mid])
+            worth[row[real], lo[real]] = self.scores[at[real]]
+
+        judge(row, lo)
+        live = np.arange(n)
+        while len(live):
+            best = worth[live].argmax(1)
+            ok = worth[live, best] > -np.inf
+            live, best = live[ok], best[ok]
+            if not len(live):
+                break
+            mid = after[live, best]
+            end = after[live, mid]
+            after[live, best], head[live, mid], worth[live, mid] = end, False, -np.inf
+            ahead[live, end] = best
+            judge(live, best)
+            left = ahead[live, best]
+            some = left >= 0
+            judge(live[some], left[some])
+        row, lo = np.nonzero(head)
+        hi = after[row, lo]
+        at, real = find(row, lo, hi)
+        length = np.where(real, 1, hi - lo)  # a symbol that is no piece is a character: its bytes
+        where = T.ranges(np.zeros(len(row), np.int64), length)
+        spread = np.repeat(np.arange(len(row)), length)
+        ids = np.where(real[spread], self.ids[at[spread]], self.byte_ids[chunk[row[spread], lo[spread] + np.where(real[spread], 0, where)]])
+        return np.bincount(row, weights=length, minlength=n).astype(np.int64), ids.astype(np.uint32)
+
     def viterbi(self, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of equal length advance together. Returns the number of ids of each row, and the ids row by row."""
         n, size = chunk.shape
         code = (chunk.astype(np.uint64) + T.U(1)).T.copy()
+        head = np.concatenate([(chunk & 0xC0) != 0x80, np.ones((n, 1), bool)], axis=1)
+        head[:, 0] = True
+        begin = np.maximum.accumulate(np.where(head, np.arange(size + 1), 0), axis=1)  # of the character at each place
         best = np.full((size + 1, n), -np.inf)
         best[0] = 0
         back = np.zeros((size + 1, n), np.int32)
@@ -116,9 +223,10 @@ class Pieces:
             own[(end - 1) % len(own)] = 0
             own[slots] += code[end - 1][None, :] * self.powers[end - 1 - np.arange(low, end)][:, None]
             keys = T.mix(own[slots])
-            best[end] = best[end - 1] + self.penalty
-            back[end] = end - 1
-            piece[end] = self.byte_ids[chunk[:, end - 1]]
+            own_begin = begin[:, end - 1]
+            best[end] = np.where(head[:, end], best[own_begin, np.arange(n)] + self.penalty, -np.inf)
+            back[end] = own_begin
+            piece[end] = UNKNOWN
             at, row = np.nonzero(self.maybe[(keys >> T.U(42)).astype(np.int64)])
             if len(at):
                 probe = keys[at, row]
@@ -131,21 +239,25 @@ class Pieces:
                 which[at, row] = self.ids[found]
                 start = total.argmax(0)
                 top = total[start, np.arange(n)]
-                better = top >= best[end]
+                better = (top >= best[end]) & (top > -np.inf)
                 best[end, better] = top[better]
                 back[end, better] = low + start[better]
                 piece[end, better] = which[start, np.arange(n)][better]
-        at, rows, ids, order = np.full(n, size), [], [], []
-        alive, step = np.arange(n), 0
+        at, found = np.full(n, size), []
+        alive = np.arange(n)
         while len(alive):
-            rows.append(alive)
-            ids.append(piece[at[alive], alive])
-            order.append(np.full(len(alive), step))
-            at[alive] = back[at[alive], alive]
+            stop = at[alive]
+            at[alive] = back[stop, alive]
+            found.append((alive, piece[stop, alive], at[alive], stop))
             alive = alive[at[alive] > 0]
-            step += 1
-        rows, ids, order = np.concatenate(rows), np.concatenate(ids), np.concatenate(order)
-        return np.bincount(rows, minlength=n), ids[np.lexsort((-order, rows))]
+        rows, ids, low, high = (np.concatenate(x[::-1]) for x in zip(*found, strict=True))
+        order = np.argsort(rows, kind="stable")
+        rows, ids, low, high = rows[order], ids[order], low[order], high[order]
+        length = np.where(ids == UNKNOWN, high - low, 1)  # a character that is no piece: its bytes
+        spread = np.repeat(np.arange(len(rows)), length)
+        where = low[spread] + T.ranges(np.zeros(len(rows), np.int64), length)
+        ids = np.where(ids[spread] == UNKNOWN, self.byte_ids[chunk[rows[spread], np.minimum(where, size - 1)]], ids[spread])
+        return np.bincount(rows, weights=length, minlength=n).astype(np.int64), ids.astype(np.uint32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
