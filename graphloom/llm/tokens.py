@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -42,7 +43,7 @@ class Encoder:
 
     Pre-tokenisation never joins a non-space with a following space, so a text may be cut in front of each ASCII
     space that follows a non-space: every chunk (its spaces, then its word) has the same ids alone as in the text.
-    Texts with other white space go to the library whole.
+    Texts with other white space, or with the string of an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -50,7 +51,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.cache = ChunkCache()
 
     def ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +88,12 @@ class Encoder:
     def solve_whole(self, data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.solve(data, offsets[which], offsets[which + 1])
 
-    @staticmethod
-    def wide(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Texts that may hold white space outside ASCII, by the first two bytes of its encodings."""
+    def wide(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that may hold white space outside ASCII, by the first two bytes of its encodings, or hold an added token."""
         a, b = data[:-1], data[1:]
         hit = np.flatnonzero(((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80)))
+        if self.added:
+            hit = np.concatenate([hit, np.array([x.start() for x in self.added.finditer(data.tobytes())], np.int64)])
         return np.unique(np.searchsorted(offsets, hit, "right") - 1)
 
 
