@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 
-FRAGMENT_KEYS = 1 << 20
+FRAGMENT_KEYS = 1 << 19
 
 
 def pack(values: np.ndarray) -> bytes:

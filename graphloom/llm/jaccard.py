@@ -38,7 +38,7 @@ from graphloom.operators.components import star_components
 from graphloom.runtime import stored
 
 WORDS, PERCENT = 5, 75
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 HOT = 32
 BLOCK, OUTSIDERS = 2048, 512
 BITS = 2048
