@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import stored
+from graphloom.runtime import forget, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def star_components(edges: DataFrame, most: int = 60) -> DataFrame:
     state = stored(edges.select(F.greatest("src", "dst").cast("long").alias("src"), F.least("src", "dst").cast("long").alias("dst")).where("src is not null and src <> dst").distinct(), "cc")
     mark = None
     for _ in range(most):
-        state = stored(_small_star(_large_star(state)), "cc")
+        last, state = state, stored(_small_star(_large_star(state)), "cc")
+        forget(last)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if now == mark:
             break
