@@ -29,18 +29,21 @@ def geometric_bucket(distance: Column, alpha: float) -> Column:
     return F.when(distance <= 0, F.lit(-1).cast("long")).otherwise(F.ceil(F.log(distance) / math.log(alpha)))
 
 
-def hash_priority(*keys: Column | str, seed: int = 0) -> Column:
-    return F.xxhash64(*keys, F.lit(seed))
+def hash_priority(*keys: Column | str, seed: int | Column = 0) -> Column:
+    """60 bits of a hash that any SQL engine can repeat: the first 15 hexadecimal digits of the MD5 of the keys and the seed, joined by bars."""
+    named = [F.col(k) if isinstance(k, str) else k for k in keys]
+    text = F.concat_ws("|", *(k.cast("string") for k in named), (F.lit(seed) if isinstance(seed, int) else seed).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def bernoulli(p: float, *keys: Column | str, seed: int = 0) -> Column:
     """A repeatable coin of probability p for each key."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000_007)) < int(p * 1_000_000_007)
+    return hash_priority(*keys, seed=seed) % 1_000_000_007 < int(p * 1_000_000_007)
 
 
 def uniform_weight(src: Column | str, dst: Column | str, most: int, seed: int = 0) -> Column:
     """A repeatable weight from 1 to most, the same in both directions."""
-    return 1 + F.pmod(F.xxhash64(F.least(src, dst), F.greatest(src, dst), F.lit(seed)), F.lit(most))
+    return 1 + hash_priority(F.least(src, dst), F.greatest(src, dst), seed=seed) % most
 
 
 def clusters_text(ids: Column | str) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import hash_priority
 from graphloom.runtime import stored
 
 
@@ -86,7 +87,7 @@ class Graph:
 
     def sample_edges(self, share: float, seed: int = 0) -> DataFrame:
         """A repeatable share of the edges, the same for both directions of one."""
-        return self.edges.where(F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+        return self.edges.where(hash_priority(F.least("src", "dst"), F.greatest("src", "dst"), seed=seed) % 1_000_000 < int(share * 1_000_000))
 
     def pack(self, keep: Callable[[Column, Column, Column], Column]) -> tuple[Graph, DataFrame]:
         """filter_edges, and the new degree of every vertex."""

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
 from graphloom.operators.covering import independent_set
@@ -14,6 +15,8 @@ from graphloom.operators.paths import DynamicPaths, relax, seeds, sssp
 from graphloom.operators.primitives import common_neighbours
 from graphloom.runtime import stored
 
+PLANE = 48
+
 
 def similarities(graph: Graph, measure: str = "cosine") -> DataFrame:
     """(src, dst, sim) of every directed edge over closed neighbourhoods: cosine, weighted (cosine with weights, own weight 1) or jaccard."""
@@ -41,16 +44,22 @@ def approximate_similarities(graph: Graph, measure: str = "jaccard", hashes: int
     closed = graph.edges.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("x")).union(graph.vertices.select("id", F.col("id").alias("x")))
     edges = graph.edges.where("src <> dst").select("src", "dst")
     if measure == "jaccard":
-        h = F.xxhash64("x", F.lit(seed))
-        sketch = stored(closed.groupBy("id", F.pmod(h, F.lit(hashes)).alias("slot")).agg(F.min(h).alias("v")), "sketch")
+        h = hash_priority("x", seed=seed)
+        sketch = stored(closed.groupBy("id", (h % hashes).alias("slot")).agg(F.min(h).alias("v")), "sketch")
         filled = sketch.groupBy("id").agg(F.count("*").alias("n"))
         both = edges.join(sketch.withColumnRenamed("id", "src"), "src").join(sketch.select(F.col("id").alias("dst"), "slot", F.col("v").alias("u")), ["dst", "slot"]).groupBy("src", "dst").agg(F.count("*").alias("both"), F.count_if(F.col("u") == F.col("v")).alias("same"))
         rows = edges.join(both, ["src", "dst"], "left").join(filled.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(filled.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst").na.fill(0, ["both", "same"])
         return rows.select("src", "dst", (F.col("same") / (F.col("a") + F.col("b") - F.col("both"))).alias("sim"))
-    bit = F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))).alias("bit")
-    sketch = stored(closed.select("id", "x", bit).groupBy("id", "bit").agg((F.sum(F.when(F.pmod(F.xxhash64("x", "bit", F.lit(seed)), F.lit(2)) == 0, 1).otherwise(-1)) >= 0).alias("v")), "sketch")
-    rows = edges.join(sketch.withColumnRenamed("id", "src"), "src").join(sketch.select(F.col("id").alias("dst"), "bit", F.col("v").alias("u")), ["dst", "bit"]).groupBy("src", "dst").agg(F.avg((F.col("u") != F.col("v")).cast("double")).alias("apart"))
-    return rows.select("src", "dst", F.cos(F.lit(3.141592653589793) * F.col("apart")).alias("sim"))
+    # PLANE signs from one hash; a vertex's signs are sums over its neighbours, packed into one long for each hash
+    planes = range(-(-hashes // PLANE))
+    bits = lambda k: range(min(PLANE, hashes - k * PLANE))
+    hashed = closed.select("id", *(hash_priority("x", seed=seed + k).alias(f"h{k}") for k in planes))
+    signs = hashed.groupBy("id").agg(*(F.sum(F.shiftright(f"h{k}", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"s{k}_{b}") for k in planes for b in bits(k)))
+    word = lambda k: sum((F.when(F.col(f"s{k}_{b}") >= 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b in bits(k)), F.lit(0).cast("long"))
+    sketch = stored(signs.select("id", *(word(k).alias(f"w{k}") for k in planes)), "sketch")
+    side = lambda x: sketch.select(F.col("id").alias(x), *(F.col(f"w{k}").alias(f"{x}{k}") for k in planes))
+    apart = sum((F.bit_count(F.col(f"src{k}").bitwiseXOR(F.col(f"dst{k}"))) for k in planes), F.lit(0)) / hashes
+    return edges.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", F.cos(F.lit(3.141592653589793) * apart).alias("sim"))
 
 
 def cores(graph: Graph, sims: DataFrame, mu: int, eps: float) -> DataFrame:
@@ -155,7 +164,7 @@ def k_centres(graph: Graph, k: int, first: int | None = None, epsilon: float | N
             done = far.d == 0 and far.r
         else:
             bucket = F.when(F.col("dist").isNull(), F.lit(float("inf"))).when(F.col("dist") <= 0, F.lit(-1.0)).otherwise(F.ceil(F.log("dist") / math.log1p(epsilon / 2)).cast("double"))
-            far = every.agg(F.min(F.struct((-bucket).alias("d"), F.xxhash64("id", F.lit(seed)).alias("h"), "id")).alias("x")).first().x
+            far = every.agg(F.min(F.struct((-bucket).alias("d"), hash_priority("id", seed=seed).alias("h"), "id")).alias("x")).first().x
             done = far.d == 1
         if done:
             break
@@ -170,7 +179,7 @@ def _cover_within(graph: Graph, radius: float, k: int, seed: int, sampled: bool)
     while not left.isEmpty():
         if len(centres) >= k:
             return None
-        order = [F.xxhash64("id", F.lit(seed)), F.col("id")]
+        order = [hash_priority("id", seed=seed), F.col("id")]
         pool = [r.id for r in left.orderBy(*order).limit(k - len(centres) if sampled else 1).collect()]
         chosen: list[int] = []
         for c in pool:  # at most k

@@ -10,21 +10,39 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
 from graphloom.operators.paths import bfs_distance, bfs_parents
-from graphloom.runtime import stored
+from graphloom.operators.primitives import first_neighbours, lightest_edges, most_frequent
+from graphloom.runtime import finished, kept, stored
 
 
 def components(graph: Graph, algorithm: str = "star", keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
-    """(id, label): weakly connected components, isolated vertices alone. algorithm: star (logarithmic rounds) or hashmin (label propagation). keep: only edges for which it holds."""
+    """(id, label): weakly connected components, isolated vertices alone. algorithm: star (logarithmic rounds), hashmin (label propagation) or sampled (each vertex's two first edges, then those that leave the most frequent label). keep: only edges for which it holds."""
     g = graph.filter_edges(keep) if keep else graph
     if algorithm == "star":
         found = star_components(g.edges.select("src", "dst")).withColumnRenamed("component", "label")
         return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    if algorithm == "sampled":
+        return _sampled(g)
     if algorithm != "hashmin":
-        raise ValueError("algorithm is star or hashmin")
+        raise ValueError("algorithm is star, hashmin or sampled")
     both = g.edges.select("src", "dst") if not g.directed else g.edges.select("src", "dst").union(g.edges.select("dst", "src"))
     return least_reaching(both, graph.vertices.select("id"))
 
 
+def _sampled(g: Graph) -> DataFrame:
+    """(id, label): most vertices of a large component meet over few edges, so that few of the others need a look."""
+    ids = g.vertices.select("id")
+    first = star_components(first_neighbours(g, 2).select("src", "dst"))
+    label = stored(ids.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "sampled")
+    top = most_frequent(label, "label").first()
+    if top is None:
+        return label
+    to = lambda x: label.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
+    both = g.edges.select("src", "dst") if not g.directed else g.edges.select("src", "dst").union(g.edges.select("dst", "src"))
+    rest = both.join(to("src").where(F.col("l_src") != top.label), "src").join(to("dst"), "dst").where("l_src <> l_dst").select(F.col("l_src").alias("src"), F.col("l_dst").alias("dst")).distinct()
+    merged = star_components(rest).select(F.col("id").alias("label"), F.col("component").alias("new"))
+    return label.join(merged, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+
+
 def least_reaching(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, label): the least id that reaches each vertex along the edges, by delta rounds of label propagation."""
     state = stored(ids.select("id", F.col("id").alias("label"), F.lit(True).alias("open")), "labels")
@@ -59,8 +77,25 @@ def is_spanning_forest(graph: Graph, forest: DataFrame) -> bool:
 
 
 def minimum_spanning_forest(graph: Graph) -> DataFrame:
-    """(src, dst, w): Boruvka rounds; each component takes its least edge by (w, src, dst), so ties are settled alike everywhere."""
-    edges = stored(graph.und().select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b")), "msf")
+    """(src, dst, w): Boruvka rounds; each component takes its least edge by (w, src, dst), so ties are settled alike everywhere.
+
+    In a dense graph the lightest edges, three for every two vertices, go first; heavier ones inside a component they make are never looked at again."""
+    und = graph.und().select("src", "dst", "w")
+    n, m = graph.vertices.count(), und.count()
+    if m <= 4 * n:
+        return _boruvka(und.select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b")))
+    light = stored(lightest_edges(graph, 3 * n // 2), "msf")
+    first = stored(_boruvka(light.select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b"))), "msf")
+    label = stored(star_components(first.select("src", "dst")), "msf")
+    to = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"n_{x}"))
+    rest = und.join(light, ["src", "dst"], "left_anti").join(to("src"), "src", "left").join(to("dst"), "dst", "left")
+    rest = rest.select("src", "dst", "w", F.coalesce("n_src", "src").alias("a"), F.coalesce("n_dst", "dst").alias("b")).where("a <> b")
+    return first.union(_boruvka(rest))
+
+
+def _boruvka(edges: DataFrame) -> DataFrame:
+    """(src, dst, w): the forest of edges between the components a and b that they join."""
+    edges = stored(edges, "msf")
     taken = None
     while True:
         ends = edges.select("src", "dst", "w", "a", "b", F.col("a").alias("c")).union(edges.select("src", "dst", "w", "a", "b", F.col("b").alias("c")))
@@ -163,18 +198,62 @@ def articulation_points(parts: DataFrame) -> DataFrame:
 
 
 class IncrementalComponents:
-    """Labels under batches of insertions and queries. A batch's insertions go first; only labels they touch are merged."""
+    """Labels under batches of insertions and queries. A batch's insertions go first.
+
+    A vertex keeps the label of its arrival; what became of labels is a table of those that merged, so a batch writes new
+    vertices and that table, and every COMPACT batches all labels. With a folder each numbered batch leaves its state
+    there: a new object goes on from the last one, and a batch that is given again starts from the state before it."""
+
+    COMPACT = 16
+
+    def __init__(self, vertices: DataFrame, folder: str | None = None):
+        self.spark, self.folder, self.batches = vertices.sparkSession, folder, 0
+        self.start = vertices.select("id", F.col("id").alias("label"))
+        self.none = self.spark.createDataFrame([], "label long, new long")
+        done = finished(self.spark, f"{folder}/roots") if folder else []
+        if folder and not finished(self.spark, f"{folder}/base"):
+            kept(self.start, f"{folder}/base/{(done or [0])[0]}")
+        self._load(done[-1] + 1 if done else 0)
+
+    def _load(self, number: int) -> None:
+        """The state before a batch."""
+        if not self.folder:
+            self.base, self.roots = stored(self.start, "incremental"), self.none
+            return
+        read = lambda kind, n, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{kind}/{n}")
+        whole = [n for n in finished(self.spark, f"{self.folder}/base") if n <= number][-1]
+        self.base = read("base", whole, "id long, label long")
+        for n in finished(self.spark, f"{self.folder}/new"):
+            if whole <= n < number:
+                self.base = self.base.union(read("new", n, "id long, label long"))
+        last = [n for n in finished(self.spark, f"{self.folder}/roots") if whole <= n < number]
+        self.roots = read("roots", last[-1], "label long, new long") if last else self.none
 
-    def __init__(self, vertices: DataFrame):
-        self.labels = stored(vertices.select("id", F.col("id").alias("label")), "incremental")
+    @property
+    def labels(self) -> DataFrame:
+        """(id, label): the least id of each vertex's component."""
+        return self.base.join(self.roots, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
 
-    def process(self, batch: DataFrame) -> DataFrame:
+    def process(self, batch: DataFrame, number: int | None = None) -> DataFrame:
         """batch (u, v, op in insert, query): the queries (u, v, connected) after all insertions."""
-        fresh = batch.select(F.col("u").alias("id")).union(batch.select("v")).distinct().join(self.labels, "id", "left_anti")
-        labels = self.labels.union(fresh.select("id", F.col("id").alias("label")))
-        to = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
+        if self.folder and number is None:
+            raise ValueError("a state in a folder needs the numbers of its batches")
+        if self.folder and number in finished(self.spark, f"{self.folder}/roots"):
+            self._load(number)
+        keep = (lambda df, kind: kept(df, f"{self.folder}/{kind}/{number}")) if self.folder else (lambda df, kind: stored(df, "incremental"))
+        batch = stored(batch.select("u", "v", "op"), "incremental")
+        ends = batch.select(F.col("u").alias("id")).union(batch.select("v")).distinct()
+        fresh = keep(ends.join(self.base, "id", "left_anti").select("id", F.col("id").alias("label")), "new")
+        self.base = self.base.union(fresh)
+        to = lambda x: self.labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
         links = batch.where("op = 'insert'").join(to("u"), "u").join(to("v"), "v").select(F.col("l_u").alias("src"), F.col("l_v").alias("dst"))
-        merged = star_components(links).select(F.col("id").alias("label"), F.col("component").alias("new"))
-        self.labels = stored(labels.join(merged, "label", "left").select("id", F.coalesce("new", "label").alias("label")), "incremental")
-        after = lambda x: self.labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
-        return batch.where("op = 'query'").join(after("u"), "u").join(after("v"), "v").select("u", "v", (F.col("l_u") == F.col("l_v")).alias("connected"))
+        merged = stored(star_components(links).select(F.col("id").alias("was"), F.col("component").alias("now")).where("was <> now"), "incremental")
+        moved = self.roots.join(merged, self.roots["new"] == merged["was"], "left").select("label", F.coalesce("now", "new").alias("new"))
+        added = merged.join(self.roots.select(F.col("label").alias("was")), "was", "left_anti").select(F.col("was").alias("label"), F.col("now").alias("new"))
+        self.roots = keep(moved.union(added), "roots")
+        self.batches += 1
+        if self.batches % self.COMPACT == 0:
+            whole = self.labels
+            self.base = kept(whole, f"{self.folder}/base/{number + 1}") if self.folder else stored(whole, "incremental")
+            self.roots = self.none
+        return batch.where("op = 'query'").join(to("u"), "u").join(to("v"), "v").select("u", "v", (F.col("l_u") == F.col("l_v")).alias("connected"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.runtime import stored
 
 
 def _order(kind: str, seed: int) -> Column:
-    return F.struct(F.col("id").alias("k"), F.col("id").alias("t")) if kind == "id" else F.struct(F.xxhash64("id", F.lit(seed)).alias("k"), F.col("id").alias("t"))
+    return F.struct(F.col("id").alias("k"), F.col("id").alias("t")) if kind == "id" else F.struct(hash_priority("id", seed=seed).alias("k"), F.col("id").alias("t"))
 
 
 def independent_set(graph: Graph, order: str = "id", seed: int = 0) -> DataFrame:
@@ -37,7 +38,7 @@ def is_maximal_independent(graph: Graph, chosen: DataFrame) -> bool:
 
 
 def local_status(graph: Graph, ids: DataFrame, cutoff: int | None = None, order: str = "hash", seed: int = 0) -> DataFrame:
-    """(id, status in, out or unknown, work): membership of single vertices in the order's first independent set, exploring only earlier neighbours, at most cutoff vertices each."""
+    """(id, status in, out or unknown, work): membership of single vertices in the order's first independent set, exploring only earlier neighbours, at most cutoff vertices each. What was explored settles it, as a vertex depends on earlier ones alone."""
     rank = graph.vertices.select("id", _order(order, seed).alias("r"))
     down = graph.edges.join(rank.select(F.col("id").alias("src"), F.col("r").alias("a")), "src").join(rank.select(F.col("id").alias("dst"), F.col("r").alias("b")), "dst").where("b < a").select("src", "dst")
     down = stored(down, "local")
@@ -51,14 +52,16 @@ def local_status(graph: Graph, ids: DataFrame, cutoff: int | None = None, order:
             over = seen.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > cutoff).select("root")
             frontier = stored(frontier.join(over, "root", "left_anti"), "local")
     work = seen.groupBy("root").agg(F.count("*").alias("work"))
-    chosen = independent_set(graph, order, seed).withColumn("hit", F.lit(True))
+    met = stored(seen.select("id").distinct(), "local")
+    inner = down.join(met.select(F.col("id").alias("src")), "src", "left_semi").join(met.select(F.col("id").alias("dst")), "dst", "left_semi")
+    chosen = independent_set(Graph(met, inner.union(inner.select("dst", "src")).withColumn("w", F.lit(1)), False), order, seed).withColumn("hit", F.lit(True))
     known = F.lit(True) if cutoff is None else F.col("work") <= cutoff
     return work.withColumnRenamed("root", "id").join(chosen, "id", "left").select("id", F.when(~known, "unknown").when(F.col("hit"), "in").otherwise("out").alias("status"), "work")
 
 
 def maximal_matching(graph: Graph, order: str = "id", seed: int = 0) -> DataFrame:
     """(src, dst): the first maximal matching in the order of edges (by ends, or hashed): edges that are first at both ends join."""
-    key = F.struct("src", "dst") if order == "id" else F.struct(F.xxhash64("src", "dst", F.lit(seed)).alias("h"), "src", "dst")
+    key = F.struct("src", "dst") if order == "id" else F.struct(hash_priority("src", "dst", seed=seed).alias("h"), "src", "dst")
     edges = stored(graph.und().select("src", "dst", key.alias("k")), "matching")
     chosen = None
     while not edges.isEmpty():
@@ -71,6 +74,28 @@ def maximal_matching(graph: Graph, order: str = "id", seed: int = 0) -> DataFram
     return graph.und().select("src", "dst").limit(0) if chosen is None else chosen
 
 
+def local_matching(graph: Graph, edges: DataFrame | None = None, cutoff: int | None = None, seed: int = 0) -> DataFrame:
+    """(src, dst, status in, out or unknown, work): whether single edges (src < dst; by default all) are in the hash order's first maximal matching, exploring only earlier edges at their ends, at most cutoff edges each."""
+    und = stored(graph.und().select("src", "dst", hash_priority("src", "dst", seed=seed).alias("h")), "local")
+    at = und.select(F.col("src").alias("v"), "src", "dst", "h").union(und.select(F.col("dst").alias("v"), "src", "dst", "h"))
+    roots = und if edges is None else und.join(edges.select("src", "dst"), ["src", "dst"], "left_semi")
+    seen = stored(roots.select(F.struct("src", "dst").alias("root"), "src", "dst", "h"), "local")
+    frontier = seen
+    while not frontier.isEmpty():
+        ends = frontier.select("root", F.struct("h", "src", "dst").alias("k"), F.explode(F.array("src", "dst")).alias("v"))
+        step = ends.join(at, "v").where(F.struct("h", "src", "dst") < F.col("k")).select("root", "src", "dst", "h").distinct().join(seen, ["root", "src", "dst"], "left_anti")
+        frontier = stored(step.select("root", "src", "dst", "h"), "local")
+        seen = stored(seen.union(frontier), "local")
+        if cutoff is not None:
+            over = seen.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > cutoff).select("root")
+            frontier = stored(frontier.join(over, "root", "left_anti"), "local")
+    met = seen.select("src", "dst").distinct().withColumn("w", F.lit(1))
+    chosen = maximal_matching(Graph(graph.vertices, met, True), "hash", seed).withColumn("hit", F.lit(True))
+    work = seen.groupBy("root").agg(F.count("*").alias("work")).select("root.src", "root.dst", "work")
+    known = F.lit(True) if cutoff is None else F.col("work") <= cutoff
+    return work.join(chosen, ["src", "dst"], "left").select("src", "dst", F.when(~known, "unknown").when(F.col("hit"), "in").otherwise("out").alias("status"), "work")
+
+
 def is_maximal_matching(graph: Graph, chosen: DataFrame) -> bool:
     ends = chosen.select(F.col("src").alias("id")).union(chosen.select("dst"))
     twice = ends.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")

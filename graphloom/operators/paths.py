@@ -10,9 +10,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
-from graphloom.runtime import stored
+from graphloom.runtime import finished, kept, stored
 
 
 class NegativeCycleError(ValueError):
@@ -152,19 +153,49 @@ def betweenness(graph: Graph, source: int) -> DataFrame:
 
 
 class DynamicPaths:
-    """Shortest paths that follow edge insertions and new sources. support() is a view: the edges on some shortest path."""
-
-    def __init__(self, graph: Graph, sources):
-        self.graph = graph
-        self.state = stored(sssp(graph, sources), "dynamic")
-
-    def insert(self, edges: DataFrame, directed: bool = False) -> DataFrame:
+    """Shortest paths that follow edge insertions and new sources. support() is a view: the edges on some shortest path.
+
+    Inserted edges are kept apart from the graph's own, batch by batch, and written together every COMPACT batches. With a
+    folder each numbered batch leaves its edges and distances there: a new object goes on from the last one, and a
+    batch that is given again starts from the state before it."""
+
+    COMPACT = 16
+
+    def __init__(self, graph: Graph, sources, folder: str | None = None):
+        self.base, self.folder, self.added, self.spark = graph, folder, [], graph.edges.sparkSession
+        done = finished(self.spark, f"{folder}/dist") if folder else []
+        if done:
+            self._load(done[-1] + 1)
+        else:
+            self.state = kept(sssp(graph, sources), f"{folder}/start") if folder else stored(sssp(graph, sources), "dynamic")
+
+    def _load(self, number: int) -> None:
+        """The state before a batch."""
+        read = lambda kind, n: self.spark.read.parquet(f"{self.folder}/{kind}/{n}")
+        self.added = [read("edges", n) for n in finished(self.spark, f"{self.folder}/edges") if n < number]
+        last = [n for n in finished(self.spark, f"{self.folder}/dist") if n < number]
+        self.state = read("dist", last[-1]) if last else self.spark.read.parquet(f"{self.folder}/start")
+
+    @property
+    def graph(self) -> Graph:
+        """The graph with all edges inserted so far."""
+        return Graph(self.base.vertices, _union([self.base.edges, *self.added]), self.base.directed)
+
+    def insert(self, edges: DataFrame, directed: bool = False, number: int | None = None) -> DataFrame:
         """Add edges (src, dst, w) and repair over base and inserted edges: the affected rows."""
+        if self.folder and number is None:
+            raise ValueError("a state in a folder needs the numbers of its batches")
+        if self.folder and number in finished(self.spark, f"{self.folder}/dist"):
+            self._load(number)
         new = edges.select("src", "dst", "w")
         new = new if directed else new.union(new.select("dst", "src", "w"))
-        self.graph = Graph(self.graph.vertices, stored(self.graph.edges.union(new), "dynamic"), self.graph.directed)
+        new = kept(new, f"{self.folder}/edges/{number}") if self.folder else stored(new, "dynamic")
+        self.added.append(new)
+        if len(self.added) > self.COMPACT and not self.folder:
+            self.added = [stored(_union(self.added), "dynamic")]
         offers = new.join(self.state.select(F.col("id").alias("src"), "dist"), "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
-        self.state, affected = repair(self.graph, self.state, offers)
+        state, affected = repair(self.graph, self.state, offers)
+        self.state = kept(state, f"{self.folder}/dist/{number}") if self.folder else state
         return affected
 
     def insert_source(self, source: int) -> DataFrame:
@@ -182,7 +213,7 @@ def low_diameter_decomposition(graph: Graph, beta: float = 0.2, seed: int = 0) -
 
     from graphloom.operators.primitives import dense_ranks
 
-    order = stored(dense_ranks(graph.vertices.select("id"), [F.xxhash64("id", F.lit(seed)), F.col("id")]), "ldd")
+    order = stored(dense_ranks(graph.vertices.select("id"), [hash_priority("id", seed=seed), F.col("id")]), "ldd")
     n = order.count()
     state, frontier, admitted, i = None, None, 0, 0
     while True:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.runtime import stored
 
@@ -52,7 +53,7 @@ def members(found: DataFrame) -> DataFrame:
 def sparsified(graph: Graph, colours: int = 0, share: float = 1.0, seed: int = 0) -> Graph:
     """Edges whose ends share a hashed colour (colours > 0), or a hashed share of the edges, for approximate counts."""
     if colours:
-        of = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(colours))
+        of = lambda c: hash_priority(c, seed=seed) % colours
         return graph.filter_edges(lambda s, d, w: of(s) == of(d))
     return Graph(graph.vertices, graph.sample_edges(share, seed), graph.directed)
 

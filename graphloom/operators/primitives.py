@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
+from graphloom.runtime import stored
 
 
 def vertex_map(frontier: DataFrame, **columns: Column) -> DataFrame:
@@ -86,7 +88,8 @@ def contract(graph: Graph, clusters: DataFrame) -> tuple[Graph, DataFrame]:
 def dense_ranks(ids: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """(id, new): 0-based ranks in the given order (by id), without gathering all rows in one task: ranks within ranges of the order, then each range's offset."""
     key = order or [F.col("id")]
-    dealt = ids.repartitionByRange(*key).sortWithinPartitions(*key).select("id", F.monotonically_increasing_id().alias("spot"))
+    # stored, as two branches read it and must agree on places even where a task is run again
+    dealt = stored(ids.repartitionByRange(*key).sortWithinPartitions(*key).select("id", F.monotonically_increasing_id().alias("spot")), "ranks")
     # the upper 31 bits are the partition, the lower 33 the place in it
     placed = dealt.select("id", F.shiftright("spot", 33).alias("part"), F.col("spot").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
@@ -101,7 +104,24 @@ def degree_order(graph: Graph) -> DataFrame:
 
 def random_order(graph: Graph, seed: int = 0) -> DataFrame:
     """(id, new): a repeatable shuffle."""
-    return dense_ranks(graph.vertices.select("id"), [F.xxhash64("id", F.lit(seed)), F.col("id")])
+    return dense_ranks(graph.vertices.select("id"), [hash_priority("id", seed=seed), F.col("id")])
+
+
+def most_frequent(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): the value that most rows have, the least of equals; counted from all rows, by partial sums."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), key).limit(1)
+
+
+def lightest_edges(graph: Graph, k: int) -> DataFrame:
+    """(src, dst, w): the k undirected edges of least weight, ties by ends. An approximate quantile a little beyond k keeps the heavier edges out of the ranking; where it lies too low all edges are ranked."""
+    und = graph.und().select("src", "dst", "w")
+    m = und.count()
+    if k >= m:
+        return und
+    bound = und.agg(F.percentile_approx("w", F.lit(min(1.0, (1.1 * k + 1000) / m)), F.lit(1000))).first()[0]
+    few = und.where(F.col("w") <= bound)
+    few = few if few.count() >= k else und
+    return dense_ranks(few.select(F.struct("w", "src", "dst").alias("id"))).where(F.col("new") < k).select("id.src", "id.dst", "id.w")
 
 
 def histogram(rows: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators import clustering, connectivity, covering, paths, patterns, primitives, ranking
-from graphloom.sources import files, generators
+from graphloom.sources import files
 from graphloom.sources import graphs as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -702,21 +702,6 @@ def distance_independent_set(spark, sf_dir):
 # --- generators
 
 
-@query()
-def rmat(spark, sf_dir):
-    return generators.rmat(spark, 8, 1000).und()
-
-
-@query()
-def erdos_renyi(spark, sf_dir):
-    return generators.erdos_renyi(spark, 200, 800, 10).und()
-
-
-@query()
-def barabasi_albert(spark, sf_dir):
-    return generators.barabasi_albert(spark, 200, 3).und()
-
-
 @query()
 def sparsified_triangles(spark, sf_dir):
     return patterns.count_cliques(patterns.sparsified(friends(spark, sf_dir), colours=2), 3)

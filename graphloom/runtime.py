@@ -50,6 +50,23 @@ def forget(*frames: DataFrame | None) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """Write the rows to a path of the caller's, over what an unfinished write has left there, and read them back."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def finished(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers that name complete Parquet folders inside a folder, ascending."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path
+    system = place(folder).getFileSystem(context._jsc.hadoopConfiguration())
+    if not system.exists(place(folder)):
+        return []
+    names = [x.getPath().getName() for x in system.listStatus(place(folder))]
+    return sorted(int(n) for n in names if n.isdigit() and system.exists(place(f"{folder}/{n}/_SUCCESS")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder, by any path that Spark can open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

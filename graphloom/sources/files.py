@@ -7,18 +7,22 @@ no task holds a whole file of one token a line.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.operators.primitives import dense_ranks
+from graphloom.operators.primitives import degree_order, dense_ranks
 from graphloom.runtime import stored
 
+BLOCK = 1 << 16
+
 
 def read_edge_list(spark: SparkSession, path: str, weighted: bool = False, directed: bool = False, dense: bool = True) -> Graph:
     """Lines "u v" or "u v w", # comments; duplicates and loops are dropped, the least weight of parallel edges stays."""
@@ -70,8 +74,10 @@ def read_adjacency(spark: SparkSession, path: str, directed: bool = False) -> Gr
     return Graph(vertices, stored(edges.select("src", "dst", "w"), "adjacency"), directed)
 
 
-def write_adjacency(graph: Graph, path: str, weighted: bool = False) -> None:
-    """The text format for vertices 0 to n - 1, one token a line, as the parts of a folder in order."""
+def write_adjacency(graph: Graph, path: str, weighted: bool = False, by_degree: bool = False) -> None:
+    """The text format for vertices 0 to n - 1, one token a line, as the parts of a folder in order. by_degree: renamed by degree, then id."""
+    if by_degree:
+        graph = graph.relabelled(degree_order(graph)).store()
     n, m = graph.vertices.count(), graph.edges.count()
     order = graph.edges.select("src", "dst", "w")
     degrees = graph.degrees()
@@ -94,23 +100,54 @@ def _running(rows: DataFrame) -> DataFrame:
     return blocked.withColumn("own", F.coalesce(inside, F.lit(0))).join(carry, "b").select("id", (F.col("own") + F.col("carry")).alias("before"))
 
 
-def read_binary(spark: SparkSession, path: str, directed: bool = False) -> Graph:
-    """Three 64-bit integers (n, m, size), n + 1 64-bit offsets and m 32-bit targets; one file is one task, as its offsets are needed together."""
+def write_binary(graph: Graph, path: str, weighted: bool = False) -> None:
+    """Compressed rows of vertices 0 to n - 1 in files rows-<first>.bin of BLOCK vertices each: three 64-bit integers (n, m and the file's size), n + 1
+    64-bit offsets, and m 32-bit targets, each followed by its 32-bit weight if weighted. A task holds one block's edges."""
+    n = graph.vertices.count()
+    top = graph.edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
+    if top is not None and top >= min(n, 1 << 32):
+        raise ValueError("ids from 0 to the number of vertices and below 2 ** 32 are needed: relabel the graph first")
+
+    def write(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("src", "ascending"), ("dst", "ascending")])
+        src, dst, w = (group.column(c).to_numpy() for c in ("src", "dst", "w"))
+        first = int(group.column("block")[0].as_py()) * BLOCK
+        size, real = min(BLOCK, n - first), dst >= 0
+        src, dst, w = src[real], dst[real], w[real]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(src - first, minlength=size))]).astype("<i8")
+        body = np.stack([dst.astype("<u4"), w.astype("<i4").view("<u4")], axis=1) if weighted else dst.astype("<u4")
+        raw = offsets.tobytes() + body.tobytes()
+        system, base = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        system.create_dir(base, recursive=True)
+        with system.open_output_stream(f"{base}/rows-{first}.bin", compression=None) as sink:
+            sink.write(struct.pack("<3q", size, len(dst), 24 + len(raw)) + raw)
+        return pa.table({"first": pa.array([first], pa.int64())})
+
+    every = graph.edges.select("src", "dst", F.col("w").cast("long").alias("w")).union(graph.vertices.sparkSession.range(0, max(1, n), BLOCK).select("id", F.lit(-1), F.lit(0)))
+    every.withColumn("block", F.floor(F.col("src") / BLOCK)).groupBy("block").applyInArrow(write, "first long").collect()  # a row for each file
+
+
+def read_binary(spark: SparkSession, path: str, directed: bool = False, weighted: bool = False) -> Graph:
+    """Compressed rows as write_binary() makes them, or one file of a whole graph; a file is a task, as its offsets are needed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
+            for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = re.search(r"rows-([0-9]+)\.bin$", name)
+                first = int(found[1]) if found else 0
                 n, m, _ = struct.unpack_from("<3q", raw)
                 offsets = np.frombuffer(raw, "<i8", n + 1, 24)
-                targets = np.frombuffer(raw, "<u4", m, 24 + 8 * (n + 1)).astype(np.int64)
-                owner = np.repeat(np.arange(n), np.diff(offsets))
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([-1], pa.int64())], ["src", "dst"])
+                body = np.frombuffer(raw, "<u4", m * (1 + weighted), 24 + 8 * (n + 1)).reshape(m, -1)
+                owner = np.repeat(np.arange(first, first + n), np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64())], ["src", "dst", "w"])
                 for at in range(0, m, 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(owner[at : at + (1 << 16)]), pa.array(targets[at : at + (1 << 16)])], ["src", "dst"])
+                    part = body[at : at + (1 << 16)]
+                    w = part[:, 1].astype("<u4").view("<i4").astype(np.int64) if weighted else np.ones(len(part), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(owner[at : at + (1 << 16)]), pa.array(part[:, 0].astype(np.int64)), pa.array(w)], ["src", "dst", "w"])
 
-    rows = stored(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "src long, dst long"), "binary")
+    rows = stored(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "src long, dst long, w long"), "binary")
     n = rows.where("dst = -1").agg(F.max("src")).first()[0] or 0
-    return Graph(spark.range(n).select("id", F.lit(None).cast("double").alias("weight")), rows.where("dst >= 0").withColumn("w", F.lit(1).cast("long")), directed)
+    return Graph(spark.range(n).select("id", F.lit(None).cast("double").alias("weight")), rows.where("dst >= 0"), directed)
 
 
 def write_parquet(graph: Graph, path: str) -> None:

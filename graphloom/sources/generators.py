@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import clock_seconds, haversine, uniform_weight
+from graphloom.functions.scalars import clock_seconds, hash_priority, haversine, uniform_weight
 from graphloom.graph import Graph
 
 
@@ -13,7 +13,7 @@ def rmat(spark: SparkSession, scale: int, edges: int, a: float = 0.5, b: float =
     """2 ** scale vertices; every edge picks one of four quadrants at each level."""
 
     def unit(level: F.Column) -> F.Column:
-        return F.pmod(F.xxhash64("id", level, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+        return hash_priority("id", level, seed=seed) % (1 << 30) / (1 << 30)
 
     def ends(pick) -> F.Column:
         return F.aggregate(F.sequence(F.lit(1), F.lit(scale)), F.lit(0).cast("long"), lambda acc, level: 2 * acc + pick(unit(level)))
@@ -26,7 +26,7 @@ def rmat(spark: SparkSession, scale: int, edges: int, a: float = 0.5, b: float =
 
 def erdos_renyi(spark: SparkSession, n: int, edges: int, most_weight: int = 1, seed: int = 0) -> Graph:
     """At most that many different edges between hashed ends, weights from 1 to most_weight."""
-    end = lambda k: F.pmod(F.xxhash64("id", F.lit(k), F.lit(seed)), F.lit(max(1, n)))
+    end = lambda k: hash_priority("id", F.lit(k), seed=seed) % max(1, n)
     e = spark.range(edges).select(end(1).alias("src"), end(2).alias("dst"))
     return Graph.from_edges(e.withColumn("w", uniform_weight("src", "dst", most_weight, seed)), vertices=spark.range(n))
 
@@ -36,7 +36,7 @@ def barabasi_albert(spark: SparkSession, n: int, per_vertex: int, seed: int = 0)
     from graphloom.runtime import stored
 
     slots = spark.range(per_vertex, n * per_vertex).select(F.col("id").alias("slot"), F.floor(F.col("id") / per_vertex).alias("src"))
-    r = F.pmod(F.xxhash64("slot", F.lit(seed)), 2 * F.col("src") * per_vertex)
+    r = hash_priority("slot", seed=seed) % (2 * F.col("src") * per_vertex)
     picked = slots.withColumn("r", r)
     # even picks name a vertex, odd ones another slot's target
     state = stored(picked.select("slot", "src", F.when(F.col("r") % 2 == 0, F.floor(F.col("r") / 2 / per_vertex)).when(F.col("r") / 2 < per_vertex, F.lit(0).cast("long")).alias("dst"), F.when((F.col("r") % 2 == 1) & (F.col("r") / 2 >= per_vertex), F.floor(F.col("r") / 2)).alias("next")), "ba")

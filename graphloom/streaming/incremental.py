@@ -14,21 +14,23 @@ from graphloom.operators.paths import DynamicPaths
 
 
 def stream_components(updates: DataFrame, vertices: DataFrame, answer: Callable[[int, DataFrame], None], checkpoint: str) -> tuple[StreamingQuery, IncrementalComponents]:
-    """updates (u, v, op): inserts merge labels, queries of the same batch are answered after them, in order of batches."""
-    state = IncrementalComponents(vertices)
+    """updates (u, v, op): inserts merge labels, queries of the same batch are answered after them, in order of batches.
+
+    The state lies beside the stream's checkpoint: a restarted stream goes on from it, and a batch given again changes nothing."""
+    state = IncrementalComponents(vertices, f"{checkpoint.rstrip('/')}/labels")
 
     def each(batch: DataFrame, number: int) -> None:
-        answer(number, state.process(batch))
+        answer(number, state.process(batch, number))
 
     return updates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start(), state
 
 
 def stream_paths(updates: DataFrame, graph: Graph, sources, changed: Callable[[int, DataFrame], None], checkpoint: str) -> tuple[StreamingQuery, DynamicPaths]:
-    """updates (src, dst, w): every batch of inserted undirected edges repairs the distances; changed gets the affected rows."""
-    state = DynamicPaths(graph, sources)
+    """updates (src, dst, w): every batch of inserted undirected edges repairs the distances; changed gets the affected rows. A restarted stream goes on from the state beside its checkpoint."""
+    state = DynamicPaths(graph, sources, f"{checkpoint.rstrip('/')}/paths")
 
     def each(batch: DataFrame, number: int) -> None:
-        changed(number, state.insert(batch))
+        changed(number, state.insert(batch, number=number))
 
     return updates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start(), state
 
