@@ -41,7 +41,7 @@ from graphloom.runtime import forget, stored
 LENGTH, GRAM = 400, 64
 PASSAGE, WORD_GRAM = 51, 8
 BYTES, WORDS = 0, 1
-GROUP, WAYS = 1 << 15, 8
+GROUP, WAYS = 1 << 12, 8
 PIECE = 4 << 20
 BUCKET = 1 << 12
 BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x2545F4914F6CDD1D)
@@ -343,7 +343,7 @@ def _split(hot: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in OCCURRENCE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for every in batches:
+        for every in (batch.slice(k, 1 << 11) for batch in batches for k in range(0, batch.num_rows, 1 << 11)):
             for unit in (BYTES, WORDS):
                 batch = every.filter(pa.compute.equal(every.column("unit"), unit))
                 around = batch.column("around")
