@@ -4,13 +4,15 @@ Base spans are the leftmost non-overlapping matches of four kinds, judged after
 marks that regexp_replace sets around each match; the patterns are written possessively, so no text makes them quadratic.
 
 Bootstrapping: base spans are seed entities. The words around a seed (one and two before it, and the pair before and
-after) are its lexical patterns. Other tokens of MIN_CHARS characters or more with a digit are candidate instances. In each of
-ROUNDS rounds Spark scores the graph of patterns and instances: a pattern's confidence for a kind is the number of different
+after, each as far as it lies within AROUND characters) are its lexical patterns. Candidate instances are other tokens of
+MIN_CHARS characters or more with a digit or an @, and runs of up to six digit groups between single spaces. In each
+round Spark scores the graph of patterns and instances: a pattern's confidence for a kind is the number of different
 entities of the kind it precedes over all different instances in it plus one; an instance's score is the noisy-or of its
 patterns' confidences. Patterns need SUPPORT different entities and CONFIDENCE; instances that reach SCORE become
-entities, lend support in the next round, and are added to the spans with the kind of the best pattern.
+entities, lend support in the next round wherever their text stands, and are added to the spans with the kind of the best pattern. Confidence only
+grows from round to round, and rounds end when no instance is added.
 
-Defined cases: a null or empty text has no spans; repeated rows are judged alike, and count as one entity; an empty table gives
+Defined cases: a null or empty text has no spans; rows without an id are judged and returned like others; repeated rows are judged alike, and count as one entity; an empty table gives
 no rows; other columns are ignored. Candidates never overlap a base span.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import stored
+from graphloom.runtime import forget, stored
 
 # The kinds in order, with their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -31,9 +33,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-OPEN, CLOSE, GROUP, AROUND = "\x01", "\x02", 256, 48
-ROUNDS, SUPPORT, CONFIDENCE, SCORE, MIN_CHARS = 2, 3, 0.75, 0.9, 6
-CANDIDATE = rf"(?<!\S)(?=\S*[0-9])\S{{{MIN_CHARS - 1},}}[^\s.,;:!?)\"']"
+OPEN, CLOSE, GROUP, AROUND = "\x01", "\x02", 256, 128
+SUPPORT, CONFIDENCE, SCORE, MIN_CHARS = 3, 0.75, 0.9, 6
+RUN = r"(?<!\S)[(]?[0-9][0-9().-]*+(?: [0-9().-]++){1,5}+(?<=[0-9])(?![^\s.,;:!?)\"'])"
+CANDIDATE = rf"{RUN}|(?<!\S)(?=\S*[0-9@])\S{{{MIN_CHARS - 1},}}[^\s.,;:!?)\"']"
 
 
 def marked_spans(text: Column, pattern: str) -> Column:
@@ -108,14 +111,15 @@ def _found(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", "text", base_spans(text).alias("base"))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,match:string>>)")
-    tokens = F.when(text.rlike("[0-9]"), marked_spans(text, CANDIDATE)).otherwise(none)
+    tokens = F.when(text.rlike("[0-9@]"), marked_spans(text, CANDIDATE)).otherwise(none)
     rows = rows.withColumn("tokens", F.filter(tokens, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
 
     def around(x: Column, kind: Column) -> Column:
         begin = F.greatest(x["start"] - AROUND, F.lit(0))
         left = F.substring(text, (begin + 1).cast("int"), (x["start"] - begin).cast("int"))
         right = F.substring(text, (x["end"] + 1).cast("int"), F.lit(AROUND))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), F.lower(x["match"]).alias("name"), F.lower(left).alias("left"), F.lower(right).alias("right"))
+        two, after = F.regexp_extract(F.lower(left), r"(?:^|\s)((?:\S+\s+)?\S+)\s*$", 1), F.regexp_extract(F.lower(right), r"^\s*(\S+)", 1)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), F.lower(x["match"]).alias("name"), two.alias("two"), after.alias("after"))
 
     every = F.concat(F.transform("base", lambda x: around(x, x["kind"])), F.transform("tokens", lambda x: around(x, F.lit(None).cast("int"))))
     rows = rows.withColumn("near", F.when(F.size("base") + F.size("tokens") > 0, every))
@@ -126,20 +130,24 @@ def _found(docs: DataFrame) -> DataFrame:
 def bootstrap(found: DataFrame) -> DataFrame:
     """row, start, kind, end of the discovered identifiers."""
     each = found.where("near is not null").select("row", F.explode("near").alias("x")).select("row", "x.*")
-    one, two, after = F.regexp_extract("left", r"(\S+)\s*$", 1), F.regexp_extract("left", r"(\S+\s+\S+)\s*$", 1), F.regexp_extract("right", r"^\s*(\S+)", 1)
+    one, two, after = F.regexp_extract("two", r"(\S+)$", 1), F.when(F.col("two").rlike(r"\s"), F.col("two")).otherwise(""), F.col("after")
     patterns = F.array(F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), two), F.concat(F.lit("b "), one, F.lit(" _ "), after))
     useful = F.filter(patterns, lambda p: (one != "") & (p != "2 ") & ~p.endswith(" _ "))
     edges = stored(each.select("row", "start", "end", "kind", "name", F.explode(useful).alias("pattern")), "pii-edges")
     spread = edges.groupBy("pattern").agg(F.countDistinct("name").alias("all"))
-    known = None
-    for _ in range(ROUNDS):
+    known, n = None, 0
+    while True:
         entities = edges.where("kind is not null").select("pattern", "kind", "name")
         if known is not None:
-            entities = entities.union(edges.where("kind is null").drop("kind").join(known, ["row", "start"]).select("pattern", "kind", "name"))
+            entities = entities.union(edges.where("kind is null").drop("kind").join(known.select("name", "kind").distinct(), "name").select("pattern", "kind", "name"))
         trusted = entities.groupBy("pattern", "kind").agg(F.countDistinct("name").alias("own")).where(F.col("own") >= SUPPORT).join(spread, "pattern").select("pattern", "kind", (F.col("own") / (F.col("all") + 1)).alias("sure")).where(F.col("sure") >= CONFIDENCE)
-        scored = edges.where("kind is null").drop("kind").join(trusted, "pattern").groupBy("row", "start", "end", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("sure"))))).alias("score")).where(F.col("score") >= SCORE)
-        known = stored(scored.groupBy("row", "start").agg(F.max(F.struct("score", (-F.col("kind")).alias("less"), "end")).alias("best")).select("row", "start", (-F.col("best.less")).alias("kind"), F.col("best.end").alias("end")), "pii-known")
-    return known
+        scored = edges.where("kind is null").drop("kind").join(trusted, "pattern").groupBy("row", "start", "end", "name", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("sure"))))).alias("score")).where(F.col("score") >= SCORE)
+        last, known = known, stored(scored.groupBy("row", "start").agg(F.max(F.struct("score", (-F.col("kind")).alias("less"), "end", "name")).alias("best")).select("row", "start", (-F.col("best.less")).alias("kind"), F.col("best.end").alias("end"), F.col("best.name").alias("name")), "pii-known")
+        found = known.count()
+        if found == n:
+            return known
+        forget(last)
+        n = found
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -48,5 +48,22 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert got[0] == "email:20:32"
 
 
+def test_rounds_go_on_and_candidates_may_have_spaces(spark):
+    """Numbers of several groups, addresses without a digit or dot, and a chain of patterns longer than two rounds."""
+    number = lambda kind, j: f"{kind}30 {100 + j // 50} {1000 + j}"  # noqa: E731  three groups, no base phone
+    rows = [(j, f"please call +{10 + j % 80} {100 + j} 55{j % 10} 7654 now") for j in range(160)]
+    rows += [(1000 + j, f"write to {n}@firm.org today") for j, n in enumerate(("ann", "bob", "cid", "dora", "eve", "finn", "gus", "hal", "ida", "jon"))] + [(1100, "write to anna@localhost today")]
+    chain, many = ["please call", "ring up", "dial the", "reach at"], [48, 15, 4]
+    for k, n in enumerate(many):  # what one pattern finds supports the next one, a round later
+        rows += [(2000 + 100 * k + j, f"{chain[k]} {number(k + 1, j)} now") for j in range(n)]
+        rows += [(3000 + 100 * k + j, f"{chain[k + 1]} {number(k + 1, j)} here") for j in range(n)]
+    got = {}
+    for r in personal.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r.spans)
+    assert got[1100] == ["email:9:23"]
+    for k, n in enumerate(many):
+        assert all(got[2000 + 100 * k + j][0].startswith(f"phone:{len(chain[k]) + 1}:") for j in range(n))
+
+
 def test_empty(spark):
     assert personal.personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
