@@ -6,7 +6,8 @@ belong to documents only: a gated attention network (tanh and sigmoid gates) lea
 document's score is the logistic of the attention-weighted sum of passage embeddings.
 
 Fitting uses at most TRAIN_ROWS labelled documents (the least by a hash of doc_id) whose crc32(doc_id as text) mod 5 is not
-0; this bound is the one sample. Scoring covers every passage of every document. Labels, lang, source and doc_id are
+0, one text of each (the least by its hash, if rows repeat an id), and of a longer text TRAIN_PASSAGES passages at even
+steps; these bounds are the one sample. Scoring covers every passage of every document. Labels, lang, source and doc_id are
 never inputs.
 
 Defined cases: a null or empty text is one empty passage and has a score; labels that are null, or of other documents, are
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
 
-PASSAGE, TRAIN_ROWS, THRESHOLD = 64, 6000, 0.3
+PASSAGE, TRAIN_ROWS, TRAIN_PASSAGES, THRESHOLD = 64, 6000, 64, 0.3
 HIDDEN, GATE, EPOCHS, RATE, DECAY = 16, 8, 60, 0.01, 1e-4
 
 KINDS = np.full(256, 12, np.int64)  # other punctuation and control characters
@@ -71,12 +72,17 @@ def passages(data: np.ndarray, offsets: np.ndarray, size: int = PASSAGE) -> tupl
     return out, upto
 
 
+def _spread(bag: np.ndarray) -> np.ndarray:
+    """At most TRAIN_PASSAGES rows at even steps."""
+    return bag if len(bag) <= TRAIN_PASSAGES else bag[np.arange(TRAIN_PASSAGES) * len(bag) // TRAIN_PASSAGES]
+
+
 def _features(docs: DataFrame, label: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch):
                 out, upto = passages(*T.text_bytes(part.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array([out[a:b].astype(np.float32).tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.binary()), part.column(1)], ["bag", label])
+                yield pa.RecordBatch.from_arrays([pa.array([_spread(out[a:b]).astype(np.float32).tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.binary()), part.column(1)], ["bag", label])
 
     return docs.mapInArrow(run, f"bag binary, {label} int")
 
@@ -153,6 +159,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> A
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label")).where(~_held())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `most` rows
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = sorted(((r.bag, r.label) for r in _features(texts.select("text", "label"), "label").collect()), key=lambda r: (r[0], r[1]))
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(float) for b, _ in rows]
     return Attention().fit(bags, np.array([y for _, y in rows], float))

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -29,6 +31,17 @@ def test_passages_cover_whole_texts():
     assert np.allclose(out[-1], one[0])
 
 
+def test_fitting_is_bounded(spark, monkeypatch):
+    """Repeated ids give one row each, long texts a bounded number of passages."""
+    seen = []
+    monkeypatch.setattr(quality.Attention, "fit", lambda self, bags, label: seen.append([len(b) for b in bags]) or self)
+    docs = spark.createDataFrame([(k % 4 + 1, "word " * 64 * 300) for k in range(20)] + [(5, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 6)] + [(None, 1), (2, None)], "doc_id long, quality int")
+    quality.fit_quality(docs, labels)
+    fold = [k for k in range(1, 6) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(seen[0]) == sorted(1 if k == 5 else quality.TRAIN_PASSAGES for k in fold)
+
+
 def test_held_out_accuracy_and_edges(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
