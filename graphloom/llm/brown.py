@@ -261,7 +261,7 @@ def _item(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def lm_scores(docs: DataFrame, items: int = ITEMS, classes: int = CLASSES, smooth: float = SMOOTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (10 to the negative score a token) of every document."""
     parts = _parts(docs)
     bits = X.fragment_bits(parts.agg(F.sum("n_keys")).first()[0] or 0)
     words = _frequent(parts, items, bits)
@@ -326,7 +326,7 @@ def lm_scores(docs: DataFrame, items: int = ITEMS, classes: int = CLASSES, smoot
                 per, kind = X.unpack(r["per"], np.uint32).astype(np.int64), X.unpack(r["kinds"], np.uint8)
                 begin, logs = np.cumsum(per) - per, np.frombuffer(r["logs"])
                 total = logs + np.add.reduceat(step[_before(kind, per), kind], begin)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(X.unpack(r["ids"], np.int64), mask=X.unpack(r["missing"], np.bool_)), "held_out": pa.array(X.unpack(r["held"], np.bool_)), "n_tokens": pa.array(per), "n_known": pa.array(X.unpack(r["known"], np.int64)), "train_tokens": pa.array(np.full(len(per), n_all)), "base_score": pa.array(logs - per * base), "score": pa.array(total)})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(X.unpack(r["ids"], np.int64), mask=X.unpack(r["missing"], np.bool_)), "held_out": pa.array(X.unpack(r["held"], np.bool_)), "n_tokens": pa.array(per), "n_known": pa.array(X.unpack(r["known"], np.int64)), "train_tokens": pa.array(np.full(len(per), n_all)), "base_score": pa.array(logs - per * base), "score": pa.array(total), "perplexity": pa.array(10.0 ** np.minimum(300, -total / per))})
 
     chosen = coded.where("frag < 0").select("ids", "missing", "held", "per", "kinds", "known", "logs")
-    return chosen.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chosen.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -14,7 +14,7 @@ def tokens(text):
 
 
 def test_base_and_held_out(spark):
-    rows = [(i, " ".join(f"W{(i * j) % 17}x" for j in range(i % 23)) if i % 11 else None, "s") for i in range(300)] + [(5, "again again"), (None, "none")][:0]
+    rows = [(i, " ".join(f"W{(i * j) % 17}x" for j in range(i % 23)) if i % 11 else None, "s") for i in range(300)] 
     docs = spark.createDataFrame(rows, "doc_id long, text string, held string")
     got = {r.doc_id: r for r in brown.lm_scores(docs, items=6, classes=4).collect()}
     assert len(got) == len(rows)
@@ -40,6 +40,19 @@ def test_probabilities_sum_to_one(spark):
     assert sum(10 ** got[held[k]] for k in range(5)) + 10 ** got[held[9]] <= 1
 
 
+def test_one_class_is_the_base_model(spark):
+    """With one class the model is add-one smoothing, held against plain Python; repeated rows, ties and null ids count as they should."""
+    rows = [(i, " ".join(f"w{(i * j) % 5}" for j in range(i % 7))) for i in range(60)] + [(5, "again again"), (5, "again again"), (None, "no id"), (7, None)]
+    got = brown.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), items=6, classes=1).collect()
+    assert len(got) == len(rows)
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    counts = Counter(w for d, t in rows if not held(d) for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((str(d), len(tokens(t)), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for d, t in rows)
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == want
+    assert all(abs(math.log10(r.perplexity) + r.score / r.n_tokens) < 1e-9 and abs(r.score - r.base_score) < 1e-9 for r in got)
+
+
 def test_exchange_separates_alternating_words():
     pairs = np.zeros((4, 4))
     pairs[0, 2] = pairs[0, 3] = pairs[1, 2] = pairs[1, 3] = 10
