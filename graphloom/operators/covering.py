@@ -53,7 +53,7 @@ def local_status(graph: Graph, ids: DataFrame, cutoff: int | None = None, order:
             frontier = stored(frontier.join(over, "root", "left_anti"), "local")
     work = seen.groupBy("root").agg(F.count("*").alias("work"))
     met = stored(seen.select("id").distinct(), "local")
-    inner = down.join(met.select(F.col("id").alias("src")), "src", "left_semi").join(met.select(F.col("id").alias("dst")), "dst", "left_semi")
+    inner = down.join(met.select(F.col("id").alias("src")), "src", "left_semi").join(met.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
     chosen = independent_set(Graph(met, inner.union(inner.select("dst", "src")).withColumn("w", F.lit(1)), False), order, seed).withColumn("hit", F.lit(True))
     known = F.lit(True) if cutoff is None else F.col("work") <= cutoff
     return work.withColumnRenamed("root", "id").join(chosen, "id", "left").select("id", F.when(~known, "unknown").when(F.col("hit"), "in").otherwise("out").alias("status"), "work")
