@@ -8,7 +8,7 @@ import numpy as np
 
 from graphloom.llm import textops as T
 
-CACHE_KEYS = 1 << 21
+CACHE_KEYS, CACHE_BYTES = 1 << 20, 1 << 25
 
 
 class ChunkCache:
@@ -20,11 +20,11 @@ class ChunkCache:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int32)
+        self.sizes = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
-        self.begins = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.begins = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int32)
         self.bytes = np.zeros(0, np.uint8)
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +38,7 @@ class ChunkCache:
         self.ids, self.bytes = np.concatenate([self.ids, ids]), np.concatenate([self.bytes, raw])
         every = np.concatenate([self.keys, keys])
         order = np.argsort(every, kind="stable")
-        join = lambda a, b: np.concatenate([a, b])[order]
+        join = lambda a, b: np.concatenate([a, b.astype(np.int32)])[order]
         self.keys, self.starts, self.sizes = every[order], join(self.starts, starts), join(self.sizes, sizes)
         self.begins, self.lengths = join(self.begins, begins), join(self.lengths, lengths)
 
@@ -47,7 +47,7 @@ class ChunkCache:
         length = ends - starts
         bad = length != self.lengths[at]
         same = np.flatnonzero(~bad)
-        mine, own = T.ranges(starts[same], length[same]), T.ranges(self.begins[at[same]], length[same])
+        mine, own = T.ranges(starts[same], length[same]), T.ranges(self.begins[at[same]].astype(np.int64), length[same])
         differ = data[mine] != self.bytes[own]
         if differ.any():
             bad[same[np.unique(np.repeat(np.arange(len(same)), length[same])[differ])]] = True
@@ -59,15 +59,16 @@ class ChunkCache:
         at, known = self._find(keys)
         new = np.flatnonzero(~known)
         if len(new):
-            if len(self.keys) + len(new) > self.most:
+            size = int((ends[first[new]] - starts[first[new]]).sum())
+            if len(self.keys) + len(new) > self.most or len(self.bytes) + size > CACHE_BYTES:
                 self.clear()
                 new = np.arange(len(keys))
             begin, end = starts[first[new]], ends[first[new]]
             self._add(keys[new], *solve(data, begin, end), data[T.ranges(begin, end - begin)], end - begin)
             at, known = self._find(keys)
         at = at[inverse]
-        sizes = self.sizes[at]
-        ids = self.ids[T.ranges(self.starts[at], sizes)]
+        sizes = self.sizes[at].astype(np.int64)
+        ids = self.ids[T.ranges(self.starts[at].astype(np.int64), sizes)]
         strange = self._strange(data, starts, ends, at)
         if len(strange):  # another chunk with the same hash
             parts, (own, found) = np.split(ids, np.cumsum(sizes)[:-1]), solve(data, starts[strange], ends[strange])

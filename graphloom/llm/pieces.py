@@ -317,6 +317,7 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 ids, per = own.encode(*T.text_bytes(part.column(part.schema.get_field_index(text))))
                 upto = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(upto), pa.array(ids.astype(np.int32)))], [*part.schema.names, "ids"])
+        T.release()
 
     return plain.mapInArrow(run, schema)
 

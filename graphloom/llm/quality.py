@@ -187,5 +187,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             for part in T.slices(batch):
                 keep = model.score(*passages(*T.text_bytes(part.column(part.schema.get_field_index("text"))))) >= threshold
                 yield part.filter(pa.array(keep))
+        T.release()
 
     return docs.mapInArrow(run, docs.schema)

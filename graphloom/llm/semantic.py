@@ -384,6 +384,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, ra
                     keep = np.ones(part.num_rows, bool)
                     keep[[d for d, *_ in _find(items, space, *T.text_bytes(part.column(part.schema.get_field_index("text"))), cosine)]] = False
                     yield part.filter(pa.array(keep))
+            T.release()
 
         out = out.mapInArrow(run, docs.schema)
     return out
