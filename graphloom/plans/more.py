@@ -112,6 +112,11 @@ SQL["distance_independent_set"] = f"""with recursive {PART}, s2 as (select a, b
 EARLIER = f"({hashed('o.v')}, o.v) < ({hashed('m.v')}, m.v)"
 SQL["independent_set_hashed"] = f"""with recursive {PART}, {MIS.format(less=EARLIER, two='', n=24)} select v as id from m where i = 24 and st = 1"""
 
+SQL["independent_set_local"] = f"""with recursive {PART}, {MIS.format(less=EARLIER, two='', n=24)}, h as materialized (select a v, {hashed('a')} k from (select distinct a from s)),
+down as materialized (select s.a, s.b from s join h x on x.v = s.a join h y on y.v = s.b where (y.k, y.v) < (x.k, x.v)),
+r as (select v root, v from h union select r.root, down.b from r join down on down.a = r.v), z as (select root, count(*) n from r group by root)
+select z.root as id, case when m.st = 1 then 'in' else 'out' end as status, z.n as work from z join m on m.v = z.root and m.i = 24"""
+
 SQL["random_order"] = f"with {PART} select a as id, row_number() over (order by {hashed('a', seed=7)}, a) - 1 as new from (select distinct a from s)"
 SQL["sparsified_triangles"] = f"with {SYM}, k as (select a, b from und where {hashed('a')} % 2 = {hashed('b')} % 2) select count(*) as n from k x join k y on x.b = y.a join k z on z.a = x.a and z.b = y.b"
 
