@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("SentencePiece encoding", encode)]
 
-#: Learned models, alignments and piece ids have no SQL form; tests/llm/test_pipeline.py holds each stage against its operator.
+#: Learned models, alignments and piece ids have no SQL form; tests/llm holds each operator against plain versions, test_pipeline.py what the stages keep.
 ORACLE_SQL = None
 
 
