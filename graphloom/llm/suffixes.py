@@ -11,9 +11,8 @@ Every byte covered by a LENGTH-byte string that also starts anywhere else (same
    byte. Common extensions of neighbours are held against the bytes; after a collision the sort is redone with
    another base. Along the tree of common right extensions, each occurrence finds the longest left and right extension it
    shares with another one so that both sides and the anchor fill LENGTH bytes.
-4. An anchor with more than GROUP different surroundings (a hot passage) isn't sorted in one task. Two of its occurrences that
-   share LENGTH bytes share one of WAYS divisions of most of what is missing into bytes on the left and on the right; so the
-   group is split by these next bytes, with the anchor grown by them, until groups are small or the anchor is whole.
+4. An anchor with more than GROUP different surroundings (a hot passage) isn't sorted in one task: its LENGTH-byte strings are
+   counted by Spark as pairs of hashes instead, which finds the same bytes.
 
 The same sort with words as symbols finds passages: runs of PASSAGE words (A-Z lower-cased) that also start anywhere else.
 
@@ -29,19 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import exchange as X
 from graphloom.llm import textops as T
-from graphloom.runtime import forget, stored
+from graphloom.runtime import stored
 
 LENGTH, GRAM = 400, 64
 PASSAGE, WORD_GRAM = 51, 8
 BYTES, WORDS = 0, 1
-GROUP, WAYS = 1 << 12, 8
+GROUP = 1 << 15
 PIECE = 4 << 20
 BUCKET = 1 << 12
 BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x2545F4914F6CDD1D)
@@ -335,35 +333,20 @@ KEYS = ["id_key", "no_id", "text_hash"]
 OCCURRENCE = "unit long, anchor long, id_key long, no_id boolean, text_hash long, pos long, size long, need long, left long, around binary"
 
 
-def _split(hot: DataFrame) -> DataFrame:
-    """Occurrences of hot anchors, each with the anchor grown in up to WAYS ways.
-
-    Two occurrences that share `need` more symbols on both sides together share, for some j, j steps on the left and the
-    other ways' steps on the right, a step being (need + 1) // ways symbols."""
-    names = [c.split()[0] for c in OCCURRENCE.split(", ")]
+def _windows(hot: DataFrame) -> DataFrame:
+    """Every whole string around each hot occurrence, as two hashes of different bases, once for each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for every in (batch.slice(k, 1 << 11) for batch in batches for k in range(0, batch.num_rows, 1 << 11)):
-            for unit in (BYTES, WORDS):
-                batch = every.filter(pa.compute.equal(every.column("unit"), unit))
-                around = batch.column("around")
-                kind = np.dtype(np.uint8 if unit == BYTES else np.uint32)
-                data = np.frombuffer(b"".join(around.to_pylist()), kind)
-                sizes = pa.compute.binary_length(around).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
-                anchor, pos, size, need, left = (batch.column(c).to_numpy() for c in ("anchor", "pos", "size", "need", "left"))
-                hashes, first = PrefixHash(data), np.cumsum(sizes) - sizes
-                ways = np.minimum(WAYS, need + 1)
-                step = (need + 1) // ways
-                for j in range(int(ways.max(initial=0))):
-                    lo = left - j * step
-                    hi = left + size + (ways - 1 - j) * step
-                    ok = np.flatnonzero((j < ways) & (lo >= 0) & (hi <= sizes))
-                    grown = T.mix(hashes.of((first + lo)[ok], (first + hi)[ok])) ^ T.mix(anchor[ok].view(np.uint64) + T.U(j))
-                    new = {"anchor": T.mix(grown).view(np.int64), "pos": (pos - left + lo)[ok], "size": (hi - lo)[ok], "need": (need - (ways - 1) * step)[ok], "left": lo[ok]}
-                    some = batch.take(pa.array(ok))
-                    yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else some.column(c) for c in names], names)
-
-    return hot.select(*names).mapInArrow(run, OCCURRENCE)
+        for batch in batches:
+            for r in batch.to_pylist():
+                data, length = np.frombuffer(r["around"], np.uint8 if r["unit"] == BYTES else np.uint32), r["size"] + r["need"]
+                at = np.arange(max(0, len(data) - length + 1))
+                first, second = (T.mix(PrefixHash(data, k).of(at, at + length)).view(np.int64) for k in (0, 1))
+                full = lambda x: pa.array([x] * len(at))  # noqa: B023, E731
+                start = at + r["pos"] - r["left"]
+                yield pa.RecordBatch.from_arrays([full(r["unit"]), pa.array(first), pa.array(second), *(full(r[k]) for k in KEYS), pa.array(start), pa.array(start + length)], ["unit", "first", "second", *KEYS, "start", "end"])
+
+    return hot.mapInArrow(run, "unit long, first long, second long, id_key long, no_id boolean, text_hash long, start long, end long").distinct()
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -385,25 +368,16 @@ def _compare(table: pa.Table) -> pa.Table:
     return out
 
 
-def _shared_spans(sent: DataFrame, group: int) -> DataFrame:
-    """Spans of symbols that occurrences share: sorted in buckets of whole anchors, hot ones after splitting."""
-    names = [c.split()[0] for c in OCCURRENCE.split(", ")]
+def _shared_spans(sent: DataFrame) -> DataFrame:
+    """Spans of symbols that occurrences share: sorted in buckets of whole anchors, those of hot anchors by counting strings."""
     rows, hot = sent.agg(F.count("*"), F.max("hot")).first()
-    small, whole, state = sent.where("not hot").select(*names), None, sent.where("hot") if hot else None
-    while state is not None:
-        grown = stored(_split(state), "suffix-split")
-        times = grown.groupBy("unit", "anchor").agg(F.count("*").alias("times")).where("times > 1")
-        sized = stored(grown.join(times, ["unit", "anchor"]), "suffix-split")
-        forget(grown)
-        open_, few = F.col("need") > 0, F.col("times") <= group
-        n, more = sized.agg(F.count_if(open_ & few), F.count_if(open_ & ~few)).first()
-        small, rows = small.union(sized.where(open_ & few).select(*names)), rows + n
-        done = sized.where(~open_).select("unit", *KEYS, F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end"))
-        whole = done if whole is None else whole.union(done)
-        state = sized.where(open_ & ~few) if more else None
     spread = F.pmod(F.xxhash64("anchor"), F.lit(max(1, rows // BUCKET)))
-    found = small.withColumn("bucket", spread).groupBy("unit", "bucket").applyInArrow(_compare, "unit long, id_key long, no_id boolean, text_hash long, start long, end long")
-    return found if whole is None else found.union(whole)
+    found = sent.where("not hot").drop("hot").withColumn("bucket", spread).groupBy("unit", "bucket").applyInArrow(_compare, "unit long, id_key long, no_id boolean, text_hash long, start long, end long")
+    if not hot:
+        return found
+    every = _windows(sent.where("hot"))
+    twice = every.groupBy("unit", "first", "second").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    return found.union(every.join(twice, ["unit", "first", "second"]).select("unit", *KEYS, "start", "end"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, passage: int = 0) -> DataFrame:
@@ -442,7 +416,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
                     yield pa.RecordBatch.from_arrays([full(unit), pa.array(anchor), full(id_key.as_py()), full(no_id.as_py()), full(text_hash.as_py()), pa.array(pos), full(core), full(whole - core), pa.array(pos - lo), pa.array([data[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()), pa.array((code & 4) > 0)], [*(c.split()[0] for c in OCCURRENCE.split(", ")), "hot"])
 
     sent = stored(held.join(wanted.where("compare"), KEYS).select(*KEYS, "text", "places", "word_places").mapInArrow(contexts, OCCURRENCE + ", hot boolean"), "suffix-contexts")
-    found = _shared_spans(sent, group).groupBy(*KEYS).agg(F.collect_list(F.struct("unit", "start", "end")).alias("spans"))
+    found = _shared_spans(sent).groupBy(*KEYS).agg(F.collect_list(F.struct("unit", "start", "end")).alias("spans"))
     return held.join(wanted.drop("compare"), KEYS, "left").join(found, KEYS, "left").select("doc_id", "text", "places", "word_places", "spans")
 
 
