@@ -78,6 +78,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.periods import run_digest
+
+    return run_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.licenses import license_digest
+
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.intervals import sale_sessions
+
+    return sale_sessions(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -101,5 +119,36 @@ select n.doc_id, n.n as n_shingles, r.k as component_id from n join r on r.v = n
 """
 
 
+#: CRC-32 of a decimal number's text, a bit at a time
+OP13_SQL = """
+with c as (
+  select client_id, ts, max(case when kind = 'click' then 1 else 0 end) k from clicks
+  where client_id is not null and ts is not null group by client_id, ts),
+g as (
+  select *, case when ts - lag(ts) over w <= interval 5 minute then 0 else 1 end b from c window w as (partition by client_id order by ts)),
+n as (select *, sum(b) over (partition by client_id order by ts) x from g),
+r as (select client_id, min(ts) a, max(ts) z, max_by(k, ts) k from n group by client_id, x),
+t as (
+  select client_id, k, cast(floor(epoch_us(a) / 86400000000.0) as bigint) s,
+    case when k = 1 then 1000000000 else cast(floor(epoch_us(z) / 86400000000.0) as bigint) end e,
+    xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(epoch_us(a)::varchar, ''), lambda y: ord(y)::bigint)),
+      lambda q, y: list_reduce(list_concat([xor(q, y)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+        lambda v, o: case when v % 2 = 1 then xor(v // 2, 3988292384::bigint) else v // 2 end))) crc
+  from r),
+l as (select sale_id, max(shipped_at) m from sale_lines where sale_id is not null group by sale_id),
+d as (
+  select s.sale_id, s.client_id, case when s.status = 'held' then 1 else 0 end h, cast(floor(epoch_us(s.sold_at) / 86400000000.0) as bigint) s,
+    case when s.status = 'held' then 1000000000 else cast(floor(epoch_us(greatest(s.sold_at, coalesce(l.m, s.sold_at))) / 86400000000.0) as bigint) end e
+  from sales s left join l using (sale_id) where s.client_id is not null and s.sold_at is not null),
+p as (
+  select d.sale_id, t.crc, case when d.h = 1 and t.k = 1 then null else least(d.e, t.e) - greatest(d.s, t.s) + 1 end shared,
+    case when d.s < t.s then case when d.e < t.e then 'overlaps' when d.e = t.e then 'finished_by' else 'contains' end
+      when d.s = t.s then case when d.e < t.e then 'starts' when d.e = t.e then 'equals' else 'started_by' end
+      else case when d.e < t.e then 'during' when d.e = t.e then 'finishes' else 'overlapped_by' end end relation
+  from d join t on d.client_id = t.client_id and d.s <= t.e and t.s <= d.e)
+select sale_id, relation, count(*) as n_pairs, sum(shared)::bigint as overlap_slots, sum(crc)::bigint as sessions_crc from p group by sale_id, relation
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op13_interval_overlaps": OP13_SQL}
