@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import hash_priority
-from graphloom.runtime import stored
+from graphloom.state import bucketed
 
 
 def _edge_columns(edges: DataFrame) -> DataFrame:
@@ -52,8 +52,8 @@ class Graph:
         return Graph(v, e, directed)
 
     def store(self) -> Graph:
-        """The same graph, written to the shared folder: loops read it again and again."""
-        return Graph(stored(self.vertices, "vertices"), stored(self.edges, "edges"), self.directed)
+        """The same graph, written to the shared folder, vertices bucketed by id and edges by src: loops join them again and again without moving them."""
+        return Graph(bucketed(self.vertices, "id", "vertices"), bucketed(self.edges, "src", "edges"), self.directed)
 
     def und(self) -> DataFrame:
         """Each undirected edge once, src < dst (loops left out)."""

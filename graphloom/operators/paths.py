@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
-from graphloom.runtime import finished, kept, stored
+from graphloom.runtime import finished, forget, kept, stored
+from graphloom.state import PriorityBuckets, StateLog, frontier_edges, keyed
 
 
 class NegativeCycleError(ValueError):
@@ -31,20 +32,16 @@ def seeds(graph: Graph, sources: int | Iterable[int] | DataFrame, value: float =
 
 
 def bfs_distance(graph: Graph, sources, cap: int | None = None) -> DataFrame:
-    """(id, dist): hops from the nearest source, up to cap."""
-    frontier = stored(seeds(graph, sources, 0).select("id").distinct().withColumn("dist", F.lit(0)), "bfs")
-    reached, level = [frontier], 0
-    while cap is None or level < cap:
+    """(id, dist): hops from the nearest source, up to cap. A round moves the vertices next to the frontier, no edge, and writes the new ones."""
+    edges, own = keyed(graph.edges, "src", "edges")
+    log, level = StateLog(seeds(graph, sources, 0).select("id").distinct().withColumn("dist", F.lit(0)), "bfs"), 0
+    while log.changed and (cap is None or level < cap):
         level += 1
-        known = _union(reached)
-        step = graph.edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(known.select("id"), "id", "left_anti").withColumn("dist", F.lit(level))
-        frontier = stored(step, "bfs")
-        if frontier.isEmpty():
-            break
-        reached.append(frontier)
-        if len(reached) > 16:
-            reached = [stored(_union(reached), "bfs")]
-    return _union(reached)
+        ahead = frontier_edges(edges, log.last()).select(F.col("dst").alias("id")).distinct()
+        log.append(ahead.join(log.current().select("id"), "id", "left_anti").withColumn("dist", F.lit(level)))
+    if own:
+        forget(edges)
+    return log.close()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -71,44 +68,63 @@ def bfs_parents(graph: Graph, dist: DataFrame) -> DataFrame:
 def relax(graph: Graph, start: DataFrame, state: DataFrame | None = None, cap: float | None = None, delta: float | None = None, widest: bool = False, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rounds of relaxation from start (id, dist) over state (id, dist): the final state, and the rows that changed.
 
-    Only changed rows join the edges. With delta the changed rows of the least bucket alone do, as in delta-stepping.
+    Only changed rows join the edges, and only improved ones are written. With delta the rows of the least bucket alone are taken, as in
+    delta-stepping, from priority buckets: an id that has left its bucket is dropped when the bucket comes.
     widest: the bottleneck is maximised instead of the sum minimised."""
     better = F.max if widest else F.min
-    gain = (lambda new, old: new > old) if widest else (lambda new, old: new < old)
+    gains = F.col("new") > F.col("dist") if widest else F.col("new") < F.col("dist")
     offer = (lambda d, w: F.least(d, w)) if widest else (lambda d, w: d + w)
+    edges, own = keyed(graph.edges, "src", "edges")
     first = start.groupBy("id").agg(better("dist").alias("dist"))
+    old = None
     if state is None:
-        current = stored(first.withColumn("open", F.lit(True)), "relax")
+        log = StateLog(first, "relax")
     else:
-        current = stored(_merge(state.select("id", "dist", F.lit(False).alias("open")), first, gain), "relax")
-    changed, spent = current.where("open").select("id"), 0
+        old, new = keyed(state.select("id", "dist"), "id", "relax")
+        log = StateLog(old, "relax")
+        log.append(_improved(first, old, gains))
     if rounds is None:
         rounds = graph.vertices.count() + 1
+    buckets, spent = None, 0
+    if delta is not None:
+        buckets = PriorityBuckets(edges.sparkSession, "relax")
+        of = F.floor(F.col("dist") / delta).cast("long").alias("bucket")
+        buckets.add(log.last().select("id", of))
     while True:
-        active = current.where("open")
-        if delta is not None:
-            low = active.agg(F.min(F.floor(F.col("dist") / delta))).first()[0]
-            if low is None:
+        if buckets is None:
+            if not log.changed:
                 break
-            active = active.where(F.floor(F.col("dist") / delta) == low)
-        elif active.isEmpty():
-            break
-        if spent >= rounds:
-            raise NegativeCycleError("negative cycle")
-        spent += delta is None
-        offers = graph.edges.join(active.select(F.col("id").alias("src"), "dist"), "src").select(F.col("dst").alias("id"), offer(F.col("dist"), F.col("w")).alias("dist")).groupBy("id").agg(better("dist").alias("dist"))
+            if spent >= rounds:
+                raise NegativeCycleError("negative cycle")
+            active, spent = log.last(), spent + 1
+        else:
+            taken = buckets.pop()
+            if taken is None:
+                break
+            active = log.current().where(of == taken[0]).join(taken[1], "id", "left_semi")
+        offers = frontier_edges(edges, active, "dist").groupBy(F.col("dst").alias("id")).agg(better(offer(F.col("dist"), F.col("w"))).alias("dist"))
         if cap is not None:
             offers = offers.where(F.col("dist") <= cap)
-        settled = current.withColumn("open", F.lit(False)) if delta is None else current.withColumn("open", F.col("open") & (F.floor(F.col("dist") / delta) != low))
-        current = stored(_merge(settled, offers, gain), "relax")
-        changed = stored(changed.union(current.where("open").select("id")).distinct(), "relax") if state is not None else changed
-    return current.select("id", "dist"), current.join(changed, "id", "left_semi").select("id", "dist")
+        log.append(_improved(offers, log.current(), gains))
+        if buckets is not None and log.changed:
+            buckets.add(log.last().select("id", of))
+    if own:
+        forget(edges)
+    if buckets is not None:
+        buckets.close()
+    final = log.close()
+    if state is None:
+        return final, final
+    changed = stored(_improved(final, old, gains), "relax")
+    if new:
+        forget(old)
+    return final, changed
 
 
-def _merge(state: DataFrame, offers: DataFrame, gain) -> DataFrame:
-    both = state.join(offers.select("id", F.col("dist").alias("new")), "id", "full")
-    wins = F.col("new").isNotNull() & (F.col("dist").isNull() | gain(F.col("new"), F.col("dist")))
-    return both.select("id", F.when(wins, F.col("new")).otherwise(F.col("dist")).alias("dist"), F.when(wins, F.lit(True)).otherwise(F.coalesce("open", F.lit(False))).alias("open"))
+def _improved(offers: DataFrame, known: DataFrame, gains: Column) -> DataFrame:
+    """The offers (id, dist) that no known row (id, dist) is as good as."""
+    both = offers.select("id", F.col("dist").alias("new")).join(known.select("id", "dist"), "id", "left")
+    return both.where(F.col("dist").isNull() | gains).select("id", F.col("new").alias("dist"))
 
 
 def sssp(graph: Graph, sources, cap: float | None = None, delta: float | None = None) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
-from graphloom.runtime import stored
+from graphloom.operators.primitives import dense_ranks, prefix_sums
+from graphloom.runtime import forget, stored
+from graphloom.state import PriorityBuckets, StateLog, bucketed, frontier_edges, keyed
 
 
 def oriented(graph: Graph, order: DataFrame | None = None) -> DataFrame:
@@ -89,40 +92,66 @@ def _h_index(values: DataFrame) -> DataFrame:
 
 
 def degeneracy_order(graph: Graph) -> DataFrame:
-    """(id, round, core): exact peeling; all vertices whose remaining degree is at most the current core leave in one round. The order is (round, id)."""
-    def limit(rows: DataFrame, k: int) -> int | None:
-        low = rows.agg(F.min("degree")).first()[0]
-        return None if low is None else max(k, low)
+    """(id, round, core): exact peeling; all vertices whose remaining degree is at most the current core leave in one round. The order is (round, id).
+
+    Vertices wait in priority buckets by remaining degree. A round takes the least bucket's, leaves out those that have moved on or left, and
+    appends the new degrees of their neighbours: what it writes is what moves.
+    """
+    edges, own = keyed(graph.edges, "src", "edges")
+    plain = edges.where("src <> dst").select("src", "dst")
+    state = StateLog(_degrees(graph, plain).select("id", "degree", F.lit(None).cast("int").alias("round"), F.lit(None).cast("long").alias("core")), "peel")
+    buckets = PriorityBuckets(edges.sparkSession, "peel")
+    buckets.add(state.last().select("id", F.col("degree").alias("bucket")))
+    k, number = 0, 0
+    while (taken := buckets.pop()) is not None:
+        k = max(k, taken[0])
+        inside = state.current().where("core is null")
+        gone = bucketed(inside.where(F.col("degree") <= k).join(taken[1], "id", "left_semi").select("id", "degree"), "id", "peel")
+        lost = frontier_edges(plain, gone).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+        left = inside.join(gone, "id", "left_anti").join(lost, "id").select("id", (F.col("degree") - F.col("n")).alias("degree"), F.lit(None).cast("int").alias("round"), F.lit(None).cast("long").alias("core"))
+        out = gone.select("id", "degree", F.lit(number).alias("round"), F.lit(k).cast("long").alias("core"))
+        moved = state.append(left.union(out))
+        forget(gone)
+        if moved:
+            number += 1
+            buckets.add(state.last().where("core is null").select("id", F.greatest(F.col("degree"), F.lit(k)).alias("bucket")))
+    buckets.close()
+    if own:
+        forget(edges)
+    return state.close().select("id", "round", "core")
+
 
-    return _peel(graph, limit)
+def _degrees(graph: Graph, plain: DataFrame) -> DataFrame:
+    """(id, degree) of every vertex over edges bucketed by src."""
+    counts = plain.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    return graph.vertices.select("id").join(counts, "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
 
 
 def approximate_order(graph: Graph, epsilon: float = 0.1, rule: str = "share") -> DataFrame:
     """(id, round, core): rounds of at most logarithmic number. share: the 1 / (2 + epsilon) of lowest degree; threshold: all up to (1 + epsilon) times twice the mean degree."""
 
-    def limit(rows: DataFrame, k: int) -> int | None:
+    def limit(rows: DataFrame) -> int | None:
         if rule == "share":
             return rows.agg(F.percentile_approx("degree", F.lit(1 / (2 + epsilon)), F.lit(10000))).first()[0]
         mean = rows.agg(F.avg("degree")).first()[0]
         return None if mean is None else math.ceil((1 + epsilon) * mean)
 
-    return _peel(graph, limit)
-
-
-def _peel(graph: Graph, limit) -> DataFrame:
-    edges = stored(graph.edges.where("src <> dst").select("src", "dst"), "peel")
-    rows = stored(Graph(graph.vertices, edges.withColumn("w", F.lit(1)), False).degrees(), "peel")
-    out, k, number = None, 0, 0
-    while (k := limit(rows, k)) is not None:
-        gone = stored(rows.where(F.col("degree") <= k).select("id", F.lit(number).alias("round"), F.lit(k).cast("long").alias("core")), "peel")
-        out = gone if out is None else out.union(gone)
+    edges, own = keyed(graph.edges, "src", "edges")
+    plain, number, done = edges.where("src <> dst").select("src", "dst"), 0, []
+    rows = bucketed(_degrees(graph, plain), "id", "order")
+    while (k := limit(rows)) is not None:
+        gone = bucketed(rows.where(F.col("degree") <= k).select("id", F.lit(number).alias("round"), F.lit(k).cast("long").alias("core")), "id", "order")
+        done.append(gone)
         # vertices that left earlier are no rows any more, so all edges can stay
-        lost = edges.join(gone.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-        rows = stored(rows.join(gone, "id", "left_anti").join(lost, "id", "left").select("id", (F.col("degree") - F.coalesce("n", F.lit(0).cast("long"))).alias("degree")), "peel")
+        lost = frontier_edges(plain, gone).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+        last, rows = rows, bucketed(rows.join(gone, "id", "left_anti").join(lost, "id", "left").select("id", (F.col("degree") - F.coalesce("n", F.lit(0).cast("long"))).alias("degree")), "id", "order")
+        forget(last)
         number += 1
-        if number % 16 == 0:
-            out = stored(out, "peel")
-    return graph.vertices.select("id", F.lit(0).alias("round"), F.lit(0).cast("long").alias("core")).limit(0) if out is None else out
+    if own:
+        forget(edges)
+    if not done:
+        return graph.vertices.select("id", F.lit(0).alias("round"), F.lit(0).cast("long").alias("core")).limit(0)
+    return reduce(DataFrame.union, done)
 
 
 def clique_cores(graph: Graph, k: int = 3) -> DataFrame:
@@ -172,9 +201,9 @@ def suffix_density(graph: Graph, order: DataFrame) -> DataFrame:
     """(density): the best ratio over what is left before each round of an order (id, round): edges fall with their first end."""
     a, b = (order.select(F.col("id").alias(x), F.col("round").alias(f"r_{x}")) for x in ("src", "dst"))
     edges = graph.und().join(a, "src").join(b, "dst").groupBy(F.least("r_src", "r_dst").alias("round")).agg(F.count("*").alias("m"))
-    rounds = order.groupBy("round").agg(F.count("*").alias("n")).join(edges, "round", "left")  # a row for each round
-    w = Window.orderBy(F.col("round").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return rounds.select((F.sum(F.coalesce("m", F.lit(0).cast("long"))).over(w) / F.sum("n").over(w)).alias("d")).agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("density"))
+    rounds = order.groupBy("round").agg(F.count("*").alias("n")).join(edges, "round", "left")
+    upto = prefix_sums(rounds.select((-F.col("round")).alias("key"), "n", F.coalesce("m", F.lit(0).cast("long")).alias("m")), "n", "m")
+    return upto.select((F.col("m") / F.col("n")).alias("d")).agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("density"))
 
 
 def densest_greedy(graph: Graph) -> DataFrame:
@@ -182,26 +211,36 @@ def densest_greedy(graph: Graph) -> DataFrame:
     return suffix_density(graph, degeneracy_order(graph))
 
 
-def densest_greedy_plus(graph: Graph, rounds: int = 4, epsilon: float = 0.0) -> DataFrame:
-    """(density): repeated peelings whose order counts, besides the remaining degree, the load of earlier ones. Values up to 1 + epsilon times the least leave together."""
-    edges = stored(graph.edges.where("src <> dst").select("src", "dst"), "greedy")
-    load, best = graph.vertices.select("id", F.lit(0).cast("long").alias("load")), 0.0
+def balanced_loads(graph: Graph, rounds: int = 80) -> DataFrame:
+    """(id, load): in each round every edge gives two units to its end of lesser load, or one to each of equal ends.
+
+    Loads approach the fractional orientation of least greatest load, whose heaviest vertices are the densest subgraph. A round is one
+    job with one exchange: the loads of the sources, bucketed as the edges are, travel to the other ends.
+    """
+    edges, own = keyed(graph.edges, "src", "edges")
+    plain = edges.where("src <> dst").select("src", "dst")
+    load = bucketed(graph.vertices.select("id", F.lit(0).cast("long").alias("load")), "id", "load")
     for _ in range(rounds):
-        order, number = None, 0
-        rows = stored(Graph(graph.vertices, edges.withColumn("w", F.lit(1)), False).degrees().join(load, "id"), "greedy")
-        while (low := rows.agg(F.min(F.col("degree") + F.col("load"))).first()[0]) is not None:
-            gone = stored(rows.where(F.col("degree") + F.col("load") <= (1 + epsilon) * low).select("id", F.lit(number).alias("round"), (F.col("degree") + F.col("load")).alias("load")), "greedy")
-            order = gone if order is None else order.union(gone)
-            lost = edges.join(gone.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-            rows = stored(rows.join(gone, "id", "left_anti").join(lost, "id", "left").select("id", (F.col("degree") - F.coalesce("n", F.lit(0).cast("long"))).alias("degree"), "load"), "greedy")
-            number += 1
-            if number % 16 == 0:
-                order = stored(order, "greedy")
-        if order is None:
-            break
-        best = max(best, suffix_density(graph, order).first()[0])
-        load = order.select("id", "load")
-    return edges.sparkSession.createDataFrame([(float(best),)], "density double")
+        sent = frontier_edges(plain, load, "load").select(F.col("dst").alias("id"), F.col("load").alias("other")).groupBy("id", "other").agg(F.count("*").alias("n"))
+        units = F.when(F.col("load") < F.col("other"), 2 * F.col("n")).when(F.col("load") == F.col("other"), F.col("n")).otherwise(0)
+        # every vertex has a row of its own, so one without edges stays
+        got = load.join(sent, "id", "left").groupBy("id", "load").agg(F.sum(units).alias("units"))
+        last, load = load, bucketed(got.select("id", (F.col("load") + F.coalesce("units", F.lit(0).cast("long"))).alias("load")), "id", "load")
+        forget(last)
+    if own:
+        forget(edges)
+    return load
+
+
+def densest_greedy_plus(graph: Graph, rounds: int = 80) -> DataFrame:
+    """(density): the best edges-to-vertices ratio among the vertices of greatest load, after that many rounds of load balancing; equals by id.
+
+    Peeling again and again with the loads of earlier peelings, as the greedy method does, needs a job for every level of every peeling;
+    the loads it aims at come from all edges at once here."""
+    ranks = dense_ranks(balanced_loads(graph, rounds).select("id", "load"), [F.col("load").desc(), F.col("id")])
+    order = stored(ranks.select("id", (-F.col("new")).alias("round")), "greedy")  # what has the least load falls first
+    found = suffix_density(graph, order)
+    return found.select(F.col("density").cast("double").alias("density"))
 
 
 def densest_by_cliques(graph: Graph, k: int = 3, epsilon: float = 0.1) -> DataFrame:

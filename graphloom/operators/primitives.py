@@ -97,6 +97,17 @@ def dense_ranks(ids: DataFrame, order: list[Column] | None = None) -> DataFrame:
     return placed.join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("place")).alias("new"))  # a row for each partition
 
 
+def prefix_sums(rows: DataFrame, *values: str) -> DataFrame:
+    """(key, values): sums of the values over all rows with a key up to this one's, keys being unique. Sums are made within ranges of the keys; then each range's offset, a row for each range, is added."""
+    dealt = stored(rows.repartitionByRange("key").select("key", *values, F.spark_partition_id().alias("part")), "prefix")
+    before = dealt.groupBy("part").agg(*(F.sum(v).alias(f"before_{v}") for v in values))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("part", *(F.coalesce(F.sum(f"before_{v}").over(earlier), F.lit(0)).alias(f"before_{v}") for v in values))
+    within = Window.partitionBy("part").orderBy("key")
+    inside = dealt.select("key", "part", *(F.sum(v).over(within).alias(v) for v in values))
+    return inside.join(F.broadcast(before), "part").select("key", *((F.col(v) + F.col(f"before_{v}")).alias(v) for v in values))
+
+
 def degree_order(graph: Graph) -> DataFrame:
     """(id, new): rank by degree, then id."""
     return dense_ranks(graph.degrees(), [F.col("degree"), F.col("id")])

@@ -41,10 +41,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*frames: DataFrame | None) -> None:
-    """Delete what stored() wrote for these frames; nothing may read them afterwards."""
+    """Delete what stored() or bucketed() wrote for these frames; nothing may read them afterwards."""
     for df in frames:
         path = getattr(df, "_stored_at", None)
         if path:
+            if hasattr(df, "_stored_as"):
+                df.sparkSession.sql(f"drop table if exists {df._stored_as}")
             context = df.sparkSession.sparkContext
             place = context._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
