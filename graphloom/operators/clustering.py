@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import hash_priority
@@ -13,7 +13,8 @@ from graphloom.operators.components import star_components
 from graphloom.operators.covering import independent_set
 from graphloom.operators.paths import DynamicPaths, relax, seeds, sssp
 from graphloom.operators.primitives import common_neighbours
-from graphloom.runtime import stored
+from graphloom.runtime import forget, stored
+from graphloom.state import bucketed, frontier_edges, keyed
 
 PLANE = 48
 
@@ -124,17 +125,27 @@ def cluster_stats(graph: Graph, clusters: DataFrame) -> DataFrame:
     return clusters.agg(F.count_distinct("cluster").alias("clusters"), F.count("cluster").alias("clustered")).join(cross)
 
 
-def label_propagation(graph: Graph, rounds: int = 10) -> DataFrame:
-    """(id, label): synchronous; every vertex takes the label of greatest weight among its neighbours, the largest of equals; isolated ones keep their own."""
-    state = stored(graph.vertices.select("id", F.col("id").alias("label")), "lpa")
-    for _ in range(rounds):
-        votes = graph.edges.join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
+def label_propagation(graph: Graph, rounds: int = 100) -> DataFrame:
+    """(id, label): synchronous; every vertex takes the label of greatest weight among its neighbours, the largest of equals; isolated ones keep their own.
+
+    What it gives is the state after so many rounds; labels that no longer change, or that swap between two states for ever, need no more of them."""
+    edges, own = keyed(graph.transpose().edges if graph.directed else graph.edges, "src", "edges")
+    state = bucketed(graph.vertices.select("id", F.col("id").alias("label"), F.lit(None).cast("long").alias("before")), "id", "lpa")
+    for done in range(1, rounds + 1):
+        votes = frontier_edges(edges, state, "label").groupBy(F.col("dst").alias("id"), "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("id").agg(F.max(F.struct("w", "label")).alias("b")).select("id", F.col("b.label").alias("new"))
-        moved = stored(state.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), F.col("label").alias("old")), "lpa")
-        state = moved.drop("old")
-        if moved.where("label <> old").isEmpty():
+        new, seen = F.coalesce("new", "label"), Observation()
+        moved = state.join(best, "id", "left").select("id", new.alias("label"), F.col("label").alias("before"), F.col("before").alias("older"))
+        moved = moved.observe(seen, F.count_if(F.col("label") != F.col("before")).alias("n"), F.count_if(~F.col("label").eqNullSafe(F.col("older"))).alias("m"))
+        last, state = state, bucketed(moved.drop("older"), "id", "lpa")
+        forget(last)
+        if not seen.get["n"] or not seen.get["m"]:
+            if (rounds - done) % 2:
+                state = state.select("id", F.col("before").alias("label"))
             break
-    return state
+    if own:
+        forget(edges)
+    return state.select("id", "label")
 
 
 def centre_quality(graph: Graph, centres: list[int]) -> DataFrame:

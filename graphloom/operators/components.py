@@ -36,4 +36,6 @@ def star_components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components haven't settled after {most} rounds")
     return state.select(F.col("src").alias("id"), F.col("dst").alias("component")).union(state.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())

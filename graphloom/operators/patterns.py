@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import hash_priority
@@ -73,14 +73,21 @@ def five_cycles(graph: Graph) -> DataFrame:
 
 
 def core_numbers(graph: Graph) -> DataFrame:
-    """(id, core): fixpoint of the h-index of neighbours' values, from degrees. Neighbours are counted by value first, so a hub's window has one row for each value."""
-    edges = graph.edges.where("src <> dst").select("src", "dst")
-    state = stored(graph.vertices.select("id").join(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core")), "id", "left").select("id", F.coalesce("core", F.lit(0).cast("long")).alias("core")), "core")
+    """(id, core): fixpoint of the h-index of neighbours' values, from degrees. Neighbours are counted by value first, so a hub's window has one row for each value.
+
+    Values are bucketed as the edges are and travel along them: a round moves one number for each value next to a vertex."""
+    edges, own = keyed(graph.edges, "src", "edges")
+    plain = edges.where("src <> dst").select("src", "dst")
+    state = bucketed(_degrees(graph, plain).select("id", F.col("degree").alias("core")), "id", "core")
     while True:
-        new = _h_index(edges.join(state.select(F.col("id").alias("dst"), F.col("core").alias("v")), "dst").select(F.col("src").alias("id"), "v"))
-        moved = stored(state.join(new, "id", "left").select("id", F.least("core", F.coalesce("h", F.lit(0).cast("long"))).alias("core"), F.col("core").alias("old")), "core")
-        state = moved.drop("old")
-        if moved.where("core <> old").isEmpty():
+        new = _h_index(frontier_edges(plain, state, F.col("core").alias("v")).select(F.col("dst").alias("id"), "v"))
+        moved = state.join(new, "id", "left").select("id", F.least("core", F.coalesce("h", F.lit(0).cast("long"))).alias("core"), F.col("core").alias("old"))
+        marked = Observation()
+        last, state = state, bucketed(moved.observe(marked, F.count_if(F.col("core") != F.col("old")).alias("n")).drop("old"), "id", "core")
+        forget(last)
+        if not marked.get["n"]:
+            if own:
+                forget(edges)
             return state
 
 
@@ -211,15 +218,15 @@ def densest_greedy(graph: Graph) -> DataFrame:
     return suffix_density(graph, degeneracy_order(graph))
 
 
-def balanced_loads(graph: Graph, rounds: int = 80) -> DataFrame:
-    """(id, load): in each round every edge gives two units to its end of lesser load, or one to each of equal ends.
+def balanced_loads(graph: Graph, rounds: int = 20) -> DataFrame:
+    """(id, load): loads start at rounds times the core number; in each round every edge gives two units to its end of lesser load, or one to each of equal ends.
 
-    Loads approach the fractional orientation of least greatest load, whose heaviest vertices are the densest subgraph. A round is one
-    job with one exchange: the loads of the sources, bucketed as the edges are, travel to the other ends.
+    Loads approach the fractional orientation of least greatest load, whose heaviest vertices are the densest subgraph; core numbers put them in
+    its order at once. A round is one job with one exchange: the loads of the sources, bucketed as the edges are, travel to the other ends.
     """
     edges, own = keyed(graph.edges, "src", "edges")
     plain = edges.where("src <> dst").select("src", "dst")
-    load = bucketed(graph.vertices.select("id", F.lit(0).cast("long").alias("load")), "id", "load")
+    load = bucketed(core_numbers(Graph(graph.vertices, edges, graph.directed)).select("id", (rounds * F.col("core")).alias("load")), "id", "load")
     for _ in range(rounds):
         sent = frontier_edges(plain, load, "load").select(F.col("dst").alias("id"), F.col("load").alias("other")).groupBy("id", "other").agg(F.count("*").alias("n"))
         units = F.when(F.col("load") < F.col("other"), 2 * F.col("n")).when(F.col("load") == F.col("other"), F.col("n")).otherwise(0)
@@ -232,15 +239,14 @@ def balanced_loads(graph: Graph, rounds: int = 80) -> DataFrame:
     return load
 
 
-def densest_greedy_plus(graph: Graph, rounds: int = 80) -> DataFrame:
+def densest_greedy_plus(graph: Graph, rounds: int = 20) -> DataFrame:
     """(density): the best edges-to-vertices ratio among the vertices of greatest load, after that many rounds of load balancing; equals by id.
 
     Peeling again and again with the loads of earlier peelings, as the greedy method does, needs a job for every level of every peeling;
-    the loads it aims at come from all edges at once here."""
+    here the first peeling is the core numbers, and each further one is a round over all edges at once."""
     ranks = dense_ranks(balanced_loads(graph, rounds).select("id", "load"), [F.col("load").desc(), F.col("id")])
     order = stored(ranks.select("id", (-F.col("new")).alias("round")), "greedy")  # what has the least load falls first
-    found = suffix_density(graph, order)
-    return found.select(F.col("density").cast("double").alias("density"))
+    return suffix_density(graph, order).select(F.col("density").cast("double").alias("density"))
 
 
 def densest_by_cliques(graph: Graph, k: int = 3, epsilon: float = 0.1) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.runtime import stored
+from graphloom.runtime import forget, stored
+from graphloom.state import bucketed, frontier_edges
 
 
 def _check(damping: float, eps: float, max_iters: int) -> None:
@@ -19,7 +20,7 @@ def _shares(graph: Graph, weighted: bool) -> DataFrame:
     w = F.col("w").cast("double") if weighted else F.lit(1.0)
     edges = graph.edges.select("src", "dst", w.alias("w"))
     total = edges.groupBy("src").agg(F.sum("w").alias("total")).where("total > 0")
-    return stored(edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "rank")
+    return bucketed(edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "src", "rank")
 
 
 def _start(graph: Graph, sources: list[int] | None) -> tuple[DataFrame, int]:
@@ -38,16 +39,22 @@ def pagerank(graph: Graph, damping: float = 0.85, eps: float = 1e-6, max_iters:
     _check(damping, eps, max_iters)
     shares = _shares(graph, weighted)
     home, n = _start(graph, sources)
-    home = stored(home.join(shares.select(F.col("src").alias("id")).distinct().withColumn("sends", F.lit(True)), "id", "left").select("id", "home", F.coalesce("sends", F.lit(False)).alias("sends")), "rank")
-    state = home.select("id", "home", "sends", F.col("home").alias("rank"))
+    sends = shares.select(F.col("src").alias("id")).distinct().withColumn("sends", F.lit(True))
+    state = bucketed(home.join(sends, "id", "left").select("id", "home", F.coalesce("sends", F.lit(False)).alias("sends"), F.col("home").alias("rank")), "id", "rank")
+    dangling = F.coalesce(F.sum(F.when(~F.col("sends"), F.col("rank"))), F.lit(0.0)).alias("lost")
+    lost = state.agg(dangling).first()[0]
     for _ in range(max_iters):
-        lost = state.where(~F.col("sends")).agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        got = shares.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        # shares and ranks are bucketed alike: what travels are the sums for each target
+        got = frontier_edges(shares, state, "rank").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = F.col("home") * (1 - damping + damping * lost) + damping * F.coalesce("got", F.lit(0.0))
-        moved = stored(state.join(got, "id", "left").select("id", "home", "sends", F.col("rank").alias("old"), rank.alias("rank")), "rank")
-        state = moved.drop("old")
-        if eps > 0 and (moved.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < eps * n:
+        moved, seen = state.join(got, "id", "left").select("id", "home", "sends", F.col("rank").alias("old"), rank.alias("rank")), Observation()
+        moved = moved.observe(seen, dangling, F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0)).alias("change"))
+        last, state = state, bucketed(moved.drop("old"), "id", "rank")
+        forget(last)
+        lost = seen.get["lost"]
+        if eps > 0 and seen.get["change"] < eps * n:
             break
+    forget(shares)
     return state.select("id", "rank")
 
 

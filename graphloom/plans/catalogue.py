@@ -510,16 +510,20 @@ def densest_greedy(spark, sf_dir):
     return rounded(patterns.densest_greedy(parts(spark, sf_dir)), "density")
 
 
-@query(f"""with recursive {PART}, l(t, v, load) as (
-  select 0, a, 0::bigint from s group by a union all
+@query(f"""with recursive {PART}, h(i, v, c) as (
+  select 0, a, count(*) from s group by a union all
+  select i + 1, v, max(least(c, rn)) from (
+    select i, s.a v, h.c, row_number() over (partition by s.a order by h.c desc) rn from h join s on s.b = h.v where i < 30) group by i, v),
+l(t, v, load) as (
+  select 0, v, (20 * c)::bigint from h where i = 30 union all
   select x.t + 1, x.v, x.load + sum(case when x.load < y.load then 2 when x.load = y.load then 1 else 0 end)::bigint
-  from l x join s on s.a = x.v join l y on y.v = s.b where x.t < 80 group by x.t, x.v, x.load),
-o as (select v, row_number() over (order by load desc, v) r from l where t = 80),
+  from l x join s on s.a = x.v join l y on y.v = s.b where x.t < 20 group by x.t, x.v, x.load),
+o as (select v, row_number() over (order by load desc, v) r from l where t = 20),
 m as (select greatest(x.r, y.r) r, count(*) m from und join o x on x.v = und.a join o y on y.v = und.b group by 1),
 d as (select o.r, sum(coalesce(m.m, 0)) over (order by o.r) m from o left join m on m.r = o.r)
 select round(max(m / r), 6) as density from d""")
 def densest_greedy_plus(spark, sf_dir):
-    return rounded(patterns.densest_greedy_plus(parts(spark, sf_dir), 80), "density")
+    return rounded(patterns.densest_greedy_plus(parts(spark, sf_dir), 20), "density")
 
 
 @query()
@@ -659,10 +663,10 @@ def modularity(spark, sf_dir):
 
 @query(f"""with recursive {PART}, l(i, v, x) as (
   select 0, a, a from (select distinct a from s) union all
-  select i, v, x from (select l.i + 1 i, s.a v, l.x, row_number() over (partition by s.a order by sum(s.w) desc, l.x desc) rn from l join s on s.b = l.v where l.i < 5 group by l.i, s.a, l.x) where rn = 1)
-select v as id, x as label from l where i = 5""")
+  select i, v, x from (select l.i + 1 i, s.a v, l.x, row_number() over (partition by s.a order by sum(s.w) desc, l.x desc) rn from l join s on s.b = l.v where l.i < 100 group by l.i, s.a, l.x) where rn = 1)
+select v as id, x as label from l where i = 100""")
 def label_propagation(spark, sf_dir):
-    return clustering.label_propagation(parts(spark, sf_dir), 5)
+    return clustering.label_propagation(parts(spark, sf_dir))
 
 
 @query(f"with {FLOW}, c as (select id, id % 4 k from (select a id from e union select b from e)) select count(distinct k) as clusters, count(*) as clustered, (select count(*) from (select distinct least(a, b) a, greatest(a, b) b from e) where a % 4 <> b % 4) as crossing from c")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.runtime import table
+from graphloom.runtime import stored, table
 
 SUPPLIER_OFFSET = 1_000_000_000
 
@@ -19,7 +19,8 @@ def part_pairs(lineitem: DataFrame, least: int = 2) -> DataFrame:
 
 def part_graph(spark: SparkSession, sf_dir: str, isolated: bool = False) -> Graph:
     vertices = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")) if isolated else None
-    return Graph.from_edges(part_pairs(table(spark, sf_dir, "lineitem")), vertices=vertices)
+    # written once: vertices and both directions of the edges are made from the pairs
+    return Graph.from_edges(stored(part_pairs(table(spark, sf_dir, "lineitem")), "pairs"), vertices=vertices, parallel=None)
 
 
 def user_flow(spark: SparkSession, sf_dir: str) -> Graph:
@@ -27,11 +28,11 @@ def user_flow(spark: SparkSession, sf_dir: str) -> Graph:
     bought = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id", F.to_date("ts").alias("day"))
     after = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
     flow = bought.select(F.col("user_id").alias("src"), after.alias("dst")).where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
-    return Graph.from_edges(flow, directed=True)
+    return Graph.from_edges(stored(flow, "flow"), directed=True, parallel=None)
 
 
 def customer_supplier(spark: SparkSession, sf_dir: str) -> Graph:
     """Bipartite: customers and the suppliers they bought from; supplier ids are shifted by SUPPLIER_OFFSET."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("src"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") + SUPPLIER_OFFSET).alias("dst"))
-    return Graph.from_edges(orders.join(lines, "k").groupBy("src", "dst").agg(F.count("*").alias("w")))
+    return Graph.from_edges(stored(orders.join(lines, "k").groupBy("src", "dst").agg(F.count("*").alias("w")), "bought"), parallel=None)
