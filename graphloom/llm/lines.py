@@ -3,9 +3,12 @@ common blocks leave the later document.
 
 1. Lines (between line feeds, trimmed of spaces) are hashed to 64 bits. Lines of MIN_WORDS words or more are anchors.
 2. Documents are ordered by doc_id. Of documents with equal texts the first one stands for all: a later one that holds an anchor goes whole.
-3. An anchor line that several other documents hold, however many, pairs each of them with the line's first holder and with
-   its NEAR nearest earlier holders, so pairs grow with the lines and not with the square of a group. A line of up to
-   NEAR + 2 holders thus pairs all of them.
+3. An anchor line that several documents hold pairs each of them with the line's first holder. Most lines go then. A document that still
+   holds a shared line after that is paired with every earlier holder of it: with the first document of each class of holders that
+   have the same lines, apart from anchor lines that no other document holds (an alignment sees of those only that they differ).
+   So those anchor lines go that go when each document is aligned with every earlier one it shares an anchor line with, while pairs
+   grow with the square of a line's holders only where none of their alignments takes the line and no two of them are alike.
+   Lines of fewer words go with the blocks of the alignments made: a document whose anchor lines are settled isn't aligned further for them.
 4. Both documents' line hashes are aligned: common head and tail, then recursively the longest ascending run of lines that occur
    once in both. An aligned block (lines that follow each other in both) with an anchor line is deleted from the later document.
 
@@ -22,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from graphloom.llm import exchange as X
 from graphloom.llm import textops as T
 from graphloom.runtime import stored
 
-MIN_WORDS, NEAR = 5, 3
+MIN_WORDS = 5
 KEY = ["line_doc", "line_text"]
 
 
@@ -118,61 +120,34 @@ def deletions(a: np.ndarray, b: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return np.array(gone, np.int64)
 
 
-def _chains(entries: DataFrame, near: int) -> DataFrame:
-    """(doc, owner): each entry's document with the nearest earlier holders of its line. Entries are ordered by (line, doc) in ranges, so a
-    frequent line is many tasks' work; what lies across a border of two ranges is paired on the driver, from 2 * near rows a range."""
-    spark = entries.sparkSession
+def _skeleton(lines: np.ndarray, anchor: np.ndarray, shared: np.ndarray) -> int:
+    """Hash of a document's lines with each stretch of anchor lines that no other document holds as one mark."""
+    alone = anchor & ~np.isin(lines, shared)
+    keep = ~alone
+    keep[0] = True
+    keep[1:] |= alone[1:] & ~alone[:-1]
+    seen = np.where(alone, np.uint64(0), lines)[keep].tobytes()
+    return int.from_bytes(hashlib.blake2b(seen, digest_size=8).digest(), "little", signed=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, seen = TaskContext.get().partitionId(), [], 0
-        for batch in batches:
-            rows = [*last, *zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            out: list[tuple] = []
-            for k in range(len(last), len(rows)):
-                line, doc, text = rows[k]
-                for j in range(max(0, k - near), k):
-                    if rows[j][0] == line:
-                        out.append((doc, text, rows[j][1], rows[j][2], None, None, None))
-                if seen < near:
-                    out.append((doc, text, None, None, line, part, seen))
-                seen += 1
-            last = rows[max(0, len(rows) - near) :]
-            yield made(out)
-        yield made([(doc, text, None, None, line, part, -len(last) + k) for k, (line, doc, text) in enumerate(last)])
-
-    kinds = ["doc", "text", "own_doc", "own_text", "line", "part", "place"]
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], kinds)
-
-    ordered = entries.select("line", "doc.*").repartitionByRange("line", *KEY).sortWithinPartitions("line", *KEY)
-    found = stored(ordered.mapInArrow(run, ", ".join(f"{c} long" for c in kinds)), "line-chains")
-    before: list[tuple] = []
-    extra: list[tuple] = []
-    for r in found.where("part is not null").orderBy("part", F.col("place") < 0, "place").collect():
-        if r.place >= 0:  # one of the first of its range: the last ones of earlier ranges, as far as its own range has too few
-            extra += [(r.doc, r.text, d, t) for line, d, t in before[max(0, len(before) - near + r.place) :] if line == r.line]
-        else:
-            before = [*before, (r.line, r.doc, r.text)][-near:]
-    pair = lambda df: df.select(F.struct(F.col("doc").alias(KEY[0]), F.col("text").alias(KEY[1])).alias("doc"), F.struct(F.col("own_doc").alias(KEY[0]), F.col("own_text").alias(KEY[1])).alias("owner"))
-    return pair(found.where("part is null")).union(pair(spark.createDataFrame(extra, "doc long, text long, own_doc long, own_text long")))
-
-
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, near: int = NEAR) -> DataFrame:
+
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """line_doc, line_text (the document's key) and gone: the packed numbers of the lines to delete."""
-    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias(KEY[0]), F.xxhash64(F.col("text").cast("string")).alias(KEY[1]), F.col("text").cast("string").alias("text")).where("text <> ''")
+    text = F.col("text").cast("string")
+    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias(KEY[0]), F.xxhash64(text).alias(KEY[1]), F.xxhash64(text, F.lit(1)).alias("again"), text.alias("text")).where("text <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch):
-                hashes, count, per = split_lines(*T.text_bytes(part.column(2)))
+                hashes, count, per = split_lines(*T.text_bytes(part.column(3)))
                 anchor = count >= min_words
                 cut = lambda f: [f(a, b) for a, b in zip(per[:-1], per[1:], strict=True)]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cut(lambda a, b: X.pack(hashes[a:b])), pa.binary()), pa.array(cut(lambda a, b: anchor[a:b].tobytes()), pa.binary()), pa.array(cut(lambda a, b: np.unique(hashes[a:b][anchor[a:b]]).view(np.int64)), pa.list_(pa.int64()))], [*KEY, "lines", "anchor", "anchors"])
+                packed = [pa.array(cut(lambda a, b: X.pack(hashes[a:b])), pa.binary()), pa.array(cut(lambda a, b: anchor[a:b].tobytes()), pa.binary())]
+                anchors = pa.array(cut(lambda a, b: np.unique(hashes[a:b][anchor[a:b]]).view(np.int64)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed, anchors], [*KEY, "again", "lines", "anchor", "anchors"])
 
-    # of equal texts the first document; texts are told apart by their hash and their lines'
-    every = keyed.mapInArrow(run, "line_doc long, line_text long, lines binary, anchor binary, anchors array<long>")
-    firsts = every.groupBy(KEY[1], "lines").agg(F.min(KEY[0]).alias(KEY[0]), F.first("anchor").alias("anchor"), F.first("anchors").alias("anchors"), F.collect_set(KEY[0]).alias("ids"))
+    # of equal texts the first document; texts are told apart by two hashes
+    every = keyed.mapInArrow(run, "line_doc long, line_text long, again long, lines binary, anchor binary, anchors array<long>")
+    firsts = every.groupBy(KEY[1], "again").agg(F.min(KEY[0]).alias(KEY[0]), F.first("lines").alias("lines"), F.first("anchor").alias("anchor"), F.first("anchors").alias("anchors"))
     lines = stored(firsts.withColumn("doc", F.struct(*KEY)), "lines")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,19 +155,54 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, near: int = NEAR)
             gone = [X.pack(np.arange(len(k.as_buffer()))) for k in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.binary())], [*KEY, "gone"])
 
-    copies = lines.where(F.size("anchors") > 0).select(F.explode("ids").alias("id"), KEY[0], KEY[1], "anchor").where(F.col("id") > F.col(KEY[0])).select("id", KEY[1], "anchor").mapInArrow(whole, "line_doc long, line_text long, gone binary")
+    held_once = lines.where(F.size("anchors") > 0).select(F.col(KEY[0]).alias("first"), KEY[1], "again", "anchor")
+    copies = keyed.select(*KEY, "again").distinct().join(held_once, [KEY[1], "again"]).where(F.col(KEY[0]) > F.col("first")).select(*KEY, "anchor").mapInArrow(whole, "line_doc long, line_text long, gone binary")
     entries = lines.select("doc", F.explode("anchors").alias("line"))
     shared = entries.groupBy("line").agg(F.count("*").alias("times"), F.min("doc").alias("owner")).where("times > 1")
     held = stored(entries.join(shared.drop("times"), "line"), "line-shared")
-    pairs = stored(held.where("owner <> doc").select("doc", "owner").union(_chains(held, near)).distinct(), "line-pairs")
-    joined = pairs.join(lines.select(F.col("doc").alias("owner"), F.col("lines").alias("first_lines")), "owner").join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "first_lines", "lines", "anchor")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = [deletions(X.unpack(a, np.uint64), X.unpack(b, np.uint64), np.frombuffer(k, bool)) for a, b, k in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([X.pack(g) for g in gone], pa.binary())], [*KEY, "gone"])
 
-    return joined.mapInArrow(align, "line_doc long, line_text long, gone binary").union(copies).groupBy(*KEY).agg(F.collect_list("gone").alias("gone"))
+    def aligned(pairs: DataFrame, name: str) -> DataFrame:
+        """What the later document of each pair (doc, owner) loses."""
+        joined = pairs.join(lines.select(F.col("doc").alias("owner"), F.col("lines").alias("first_lines")), "owner").join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "first_lines", "lines", "anchor")
+        return stored(joined.mapInArrow(align, "line_doc long, line_text long, gone binary"), name)
+
+    pairs = stored(held.where("owner <> doc").select("doc", "owner").distinct(), "line-pairs")
+    first = aligned(pairs, "line-gone")
+    lost = first.groupBy(F.struct(*KEY).alias("doc")).agg(F.collect_list("gone").alias("gone"))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for raw, mark, gone in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                stays = np.frombuffer(mark, bool).copy()
+                for g in gone:
+                    stays[X.unpack(g, np.int64)] = False
+                found.append(np.unique(X.unpack(raw, np.uint64)[stays]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], [*KEY, "line"])
+
+    stays = lost.join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "lines", "anchor", "gone").mapInArrow(left, "line_doc long, line_text long, line array<long>")
+    open_ = stored(stays.select(F.struct(*KEY).alias("doc"), F.explode("line").alias("line")).join(held, ["doc", "line"]).where("owner <> doc").select("doc", "line"), "line-open")
+    holders = stored(held.join(open_.select("line").distinct(), "line", "left_semi").select("doc", "line"), "line-holders")
+
+    def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_skeleton(X.unpack(a, np.uint64), np.frombuffer(k, bool), np.array(h, np.int64).view(np.uint64)) for a, k, h in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], [*KEY, "skeleton"])
+
+    some = holders.select("doc").distinct()
+    known = held.join(some, "doc", "left_semi").groupBy("doc").agg(F.collect_list("line").alias("held"))  # a document's own lines
+    classed = known.join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "lines", "anchor", "held").mapInArrow(skeletons, "line_doc long, line_text long, skeleton long")
+    classed = stored(classed.select(F.struct(*KEY).alias("doc"), "skeleton"), "line-classes")
+    heads = classed.groupBy("skeleton").agg(F.min("doc").alias("owner"))
+    owners = holders.join(classed, "doc").join(heads, "skeleton").select("line", "owner").distinct()
+    more = open_.join(owners, "line").where("owner < doc").select("doc", "owner").distinct().join(pairs, ["doc", "owner"], "left_anti")
+    second = aligned(stored(more, "line-pairs"), "line-gone")
+    return first.union(second).union(copies).groupBy(*KEY).agg(F.collect_list("gone").alias("gone"))
 
 
 def _cut(text: str | None, gone: list[bytes] | None) -> tuple[str, int, int]:
@@ -204,18 +214,18 @@ def _cut(text: str | None, gone: list[bytes] | None) -> tuple[str, int, int]:
     return "\n".join(p for k, p in enumerate(parts) if k not in out), len(parts), len(out)
 
 
-def _with_gone(docs: DataFrame, min_words: int, near: int) -> tuple[DataFrame, str]:
+def _with_gone(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
     """docs with a last column, of that name, of what goes from each text."""
     names = ["line_doc_", "line_text_", "line_gone_"]
     while {n.lower() for n in names} & {c.lower() for c in docs.columns}:
         names = [f"{n}_" for n in names]
     doc, text, gone = names
-    found = deleted_lines(docs, min_words, near).select(F.col(KEY[0]).alias(doc), F.col(KEY[1]).alias(text), F.col("gone").alias(gone))
+    found = deleted_lines(docs, min_words).select(F.col(KEY[0]).alias(doc), F.col(KEY[1]).alias(text), F.col("gone").alias(gone))
     keyed = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(text, F.xxhash64(F.col("text").cast("string")))
     return keyed.join(found, [doc, text], "left"), gone
 
 
-def line_digest(docs: DataFrame, min_words: int = MIN_WORDS, near: int = NEAR) -> DataFrame:
+def line_digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_deleted and kept_sha256 (of the text that is left) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +234,11 @@ def line_digest(docs: DataFrame, min_words: int = MIN_WORDS, near: int = NEAR) -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n, _ in cut], pa.int64()), pa.array([n for *_, n in cut], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t, *_ in cut], pa.string())], ["doc_id", "n_lines", "n_deleted", "kept_sha256"])
 
     plain = docs.select("doc_id", "text")
-    marked, gone = _with_gone(plain, min_words, near)
+    marked, gone = _with_gone(plain, min_words)
     return marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), gone).mapInArrow(run, "doc_id long, n_lines long, n_deleted long, kept_sha256 string")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near: int = NEAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs with the deleted lines gone from text; documents that lose all their lines go, as their whole text stands in earlier ones."""
     schema = docs.schema
     place = schema.fieldNames().index("text")
@@ -243,5 +253,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near: int = NEAR) -
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], schema.fieldNames())
         T.release()
 
-    marked, gone = _with_gone(docs, min_words, near)
+    marked, gone = _with_gone(docs, min_words)
     return marked.select(*(F.col(f"`{c}`") for c in schema.fieldNames()), gone).mapInArrow(run, schema)

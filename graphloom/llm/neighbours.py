@@ -138,10 +138,9 @@ def search(index: DataFrame, book: Codebook, ids: np.ndarray, queries: np.ndarra
                     bound = np.partition(score, len(names) - keep, axis=1)[:, len(names) - keep]
                     for row in range(some.stop - some.start):
                         near = np.flatnonzero(score[row] >= bound[row])
-                        near = near[names[near] != ids[first + row]]
                         far = np.sqrt(((x[near] - queries[first + row]) ** 2).sum(1))
-                        order = np.lexsort((names[near], far))[:k]
-                        best[first + row] = sorted([*best[first + row], *zip(far[order].tolist(), names[near][order].tolist(), strict=True)])[:k]
+                        order = np.lexsort((names[near], far))[: k + 1]  # the query's own row may be among them
+                        best[first + row] = sorted([*best[first + row], *zip(far[order].tolist(), names[near][order].tolist(), strict=True)])[: k + 1]
         out = [(int(q), v, s) for q, found in zip(ids, best, strict=True) for s, v in found]
         if out:
             q, v, s = zip(*out, strict=True)
@@ -161,5 +160,10 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, shortlist:
         some = sorted(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).collect(), key=lambda r: r.vec_id)
         part = search(index, book, np.array([r.vec_id for r in some], np.int64), np.array([r.embedding for r in some], float).reshape(len(some), n), k, shortlist)
         found = part if found is None else found.union(part)
+    # one row of the query's id at distance 0 is the query's own; further rows with its id are candidates like others
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0)
+    marked = found.withColumn("own", own)
+    again = F.row_number().over(Window.partitionBy("query_id", "own").orderBy("score", "vec_id"))
+    found = marked.withColumn("again", again).where("not own or again > 1").drop("own", "again")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -46,3 +46,13 @@ def test_hot_vector_keeps_least_ids(spark):
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(500, 0, -1)] + [(1000 + i, [float(i), 1.0, 0.0, 2.0]) for i in range(100)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("query_id = 100").orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(1, 11))
+
+
+def test_repeated_ids_are_candidates(spark):
+    """Every row but the query's own: two more rows of the query's id, one of them equal to it."""
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [3.0, 0.0]), (1, [0.0, 1.0])]
+    got = sorted(tuple(r) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(100, 1, 100, 0.0), (100, 2, 1, 2**0.5), (100, 3, 100, 2.0)]
+    crowd = spark.createDataFrame([(100, [1.0, 0.0])] * 30 + [(k, [1.0, 0.0]) for k in range(200, 240)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(crowd).where("query_id = 100").collect()
+    assert [r.vec_id for r in got] == [100] * 10
