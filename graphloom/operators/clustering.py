@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, Observation, Window
@@ -72,13 +73,78 @@ def cores(graph: Graph, sims: DataFrame, mu: int, eps: float) -> DataFrame:
 
 def scan(graph: Graph, sims: DataFrame, mu: int, eps: float) -> DataFrame:
     """(id, cluster): cores connect through similar cores; a border vertex joins its most similar core's cluster (ties: least core); null is unclustered. A cluster is named by its least core."""
-    core = stored(cores(graph, sims, mu, eps), "scan")
-    near = sims.where(F.col("sim") >= eps)
+    return _clusters(graph.vertices.select("id"), stored(cores(graph, sims, mu, eps), "scan"), sims.where(F.col("sim") >= eps))
+
+
+def _clusters(ids: DataFrame, core: DataFrame, near: DataFrame) -> DataFrame:
     inner = near.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi")
     label = core.join(star_components(inner.select("src", "dst")), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     label = stored(label, "scan")
-    border = near.join(core.select(F.col("id").alias("dst")), "dst", "left_anti").join(label.select(F.col("id").alias("src"), "cluster"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((-F.col("sim")).alias("s"), "src", "cluster")).alias("b")).select("id", "b.cluster")
-    return graph.vertices.select("id").join(label.union(border), "id", "left")
+    offers = near.join(core.select(F.col("id").alias("dst")), "dst", "left_anti").join(label.select(F.col("id").alias("src"), "cluster"), "src")
+    best = F.min(F.struct((-F.col("sim")).alias("s"), "src", "cluster")).alias("b")
+    border = offers.groupBy(F.col("dst").alias("id")).agg(best).select("id", "b.cluster")
+    return ids.join(label.union(border), "id", "left")
+
+
+class ScanIndex:
+    """Similarities stored so that clusterings for any mu and eps read prefixes of them.
+
+    Neighbour order: each vertex's neighbours by falling similarity, with their rank, in partitions by band of similarity, so
+    those of at least eps are in the bands from eps on. Core order: for each mu the vertices with their mu-th greatest similarity (their
+    own, 1, included), in partitions by the power of two of mu and by band of that similarity. Ranks are counted within a vertex, whose
+    rows are split by band first: a hub's neighbours are ordered band by band and no task orders them all.
+    """
+
+    BANDS = 20
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    @classmethod
+    def build(cls, graph: Graph, sims: DataFrame, folder: str) -> ScanIndex:
+        """Write the index of similarities (src, dst, sim) to a folder that all executors share."""
+        index = cls(sims.sparkSession, folder)
+        band = F.least(F.floor(F.col("sim") * cls.BANDS), F.lit(cls.BANDS)).cast("int")
+        rows = stored(sims.select("src", "dst", "sim", band.alias("band")), "scan-index")
+        counts = rows.groupBy("src", "band").agg(F.count("*").alias("n"))
+        higher = F.sum("n").over(Window.partitionBy("src").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1))  # a row for each band
+        before = counts.select("src", "band", F.coalesce(higher, F.lit(0)).alias("before"))
+        inside = F.row_number().over(Window.partitionBy("src", "band").orderBy(F.col("sim").desc(), "dst"))
+        ranked = rows.withColumn("inside", inside).join(before, ["src", "band"]).select("src", "dst", "sim", (F.col("inside") + F.col("before")).alias("rank"), "band")
+        graph.vertices.select("id").write.mode("overwrite").parquet(f"{index.folder}/vertices")
+        ranked.sortWithinPartitions("band", "src", "rank").write.mode("overwrite").partitionBy("band").parquet(f"{index.folder}/neighbours")
+        # with rank r, a vertex has r + 1 members of its closed neighbourhood at this similarity
+        cores = spark_read(index, "neighbours", NEIGHBOUR_ORDER).select((F.col("rank") + 1).alias("mu"), F.col("src").alias("id"), F.col("sim").alias("threshold"), "band")
+        cores = cores.withColumn("power", F.floor(F.log2(F.col("mu").cast("double"))).cast("int"))
+        cores.sortWithinPartitions("power", "band", "mu", F.col("threshold").desc()).write.mode("overwrite").partitionBy("power", "band").parquet(f"{index.folder}/cores")
+        forget(rows)
+        return index
+
+    def near(self, eps: float) -> DataFrame:
+        """(src, dst, sim): the prefix of every vertex's neighbour order with similarity of eps at least."""
+        rows = spark_read(self, "neighbours", NEIGHBOUR_ORDER).where((F.col("band") >= self._band(eps)) & (F.col("sim") >= eps))
+        return rows.select("src", "dst", "sim")
+
+    def cores(self, mu: int, eps: float) -> DataFrame:
+        """(id): the prefix of the core order of mu."""
+        if mu <= 1:
+            return self.spark.read.schema("id long").parquet(f"{self.folder}/vertices")
+        rows = spark_read(self, "cores", CORE_ORDER).where((F.col("power") == mu.bit_length() - 1) & (F.col("band") >= self._band(eps)))
+        return rows.where((F.col("mu") == mu) & (F.col("threshold") >= eps)).select("id")
+
+    def _band(self, eps: float) -> int:
+        return min(self.BANDS, math.floor(eps * self.BANDS))
+
+    def scan(self, mu: int, eps: float) -> DataFrame:
+        """(id, cluster) as scan() gives it."""
+        return _clusters(self.spark.read.schema("id long").parquet(f"{self.folder}/vertices"), stored(self.cores(mu, eps), "scan"), self.near(eps))
+
+
+NEIGHBOUR_ORDER, CORE_ORDER = "src long, dst long, sim double, rank long, band int", "mu long, id long, threshold double, power int, band int"
+
+
+def spark_read(index: ScanIndex, part: str, schema: str) -> DataFrame:
+    return index.spark.read.schema(schema).parquet(f"{index.folder}/{part}")
 
 
 def scan_sweep(graph: Graph, sims: DataFrame, mu: int, eps: Iterable[float], callback: Callable[[float, DataFrame], None] | None = None) -> Iterator[tuple[float, DataFrame]]:

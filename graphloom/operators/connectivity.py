@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
 from graphloom.operators.paths import bfs_distance, bfs_parents
-from graphloom.operators.primitives import first_neighbours, lightest_edges, most_frequent
-from graphloom.runtime import finished, kept, stored
+from graphloom.operators.primitives import dense_ranks, first_neighbours, lightest_edges, most_frequent
+from graphloom.runtime import finished, forget, kept, stored
+from graphloom.state import counted
 
 
 def components(graph: Graph, algorithm: str = "star", keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
@@ -112,73 +114,178 @@ def _boruvka(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "w").limit(0) if taken is None else taken
 
 
-def strongly_connected(graph: Graph) -> DataFrame:
-    """(id, label): colours run forward (least id that reaches), then back from each colour's root within it; what is found leaves the graph."""
-    left, edges = stored(graph.vertices.select("id"), "scc"), stored(graph.edges.select("src", "dst").distinct(), "scc")
-    done = None
-    while not left.isEmpty():
-        # vertices without a way in or out are components of their own
-        both = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id")
-        alone = left.join(both, "id", "left_anti").select("id", F.col("id").alias("label"))
-        inner = stored(left.join(both, "id", "left_semi"), "scc")
-        part = alone
-        if not inner.isEmpty():
-            live = edges.join(inner.select(F.col("id").alias("src")), "src", "left_semi").join(inner.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-            colour = stored(least_reaching(live, inner), "scc")
-            to = lambda x: colour.select(F.col("id").alias(x), F.col("label").alias(f"c_{x}"))  # noqa: B023, E731
-            back = live.join(to("src"), "src").join(to("dst"), "dst").where("c_src = c_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-            reached = bfs_distance(Graph(inner, stored(back.withColumn("w", F.lit(1)), "scc"), True), colour.where("id = label").select("id"))
-            part = alone.union(colour.join(reached.select("id"), "id", "left_semi"))
-        part = stored(part.select("id", "label"), "scc")
-        done = part if done is None else done.union(part)
-        left = stored(left.join(part, "id", "left_anti"), "scc")
-        edges = stored(edges.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "scc")
-    return graph.vertices.select("id", F.col("id").alias("label")).limit(0) if done is None else done
-
-
-def biconnected(graph: Graph) -> DataFrame:
+def labelled_reachability(edges: DataFrame, centres: DataFrame) -> DataFrame:
+    """(id, centre): every vertex that each of the centres (id) reaches along edges (src, dst), itself included. A round joins the new pairs alone."""
+    log = stored(centres.select("id", F.col("id").alias("centre")), "reach")
+    every, fresh = [log], log
+    while True:
+        ahead = edges.join(fresh.select(F.col("id").alias("src"), "centre"), "src").select(F.col("dst").alias("id"), "centre").distinct()
+        new = ahead
+        for f in every:
+            new = new.join(f, ["id", "centre"], "left_anti")
+        counted_, seen = counted(new)
+        fresh = stored(counted_, "reach")
+        if not seen.get["n"]:
+            out = every[0]
+            for f in every[1:]:
+                out = out.union(f)
+            return out
+        every.append(fresh)
+        if len(every) > 8:
+            out = every[0]
+            for f in every[1:]:
+                out = out.union(f)
+            whole = stored(out, "reach")
+            forget(*every[:-1])  # the next round still reads the last one
+            every = [whole]
+
+
+def _trimmed(left: DataFrame, edges: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Vertices (id, part) with an edge in and one out inside their part, and the edges among them, after some rounds of dropping the others."""
+    for _ in range(most):
+        inner = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id")
+        kept_, seen = counted(left.join(inner, "id", "left_semi"))
+        before = left
+        left = stored(kept_, "scc")
+        live = edges.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi")
+        edges = stored(live.select("src", "dst"), "scc")
+        if seen.get["n"] == before.count():
+            break
+    return left, edges
+
+
+def strongly_connected(graph: Graph, seed: int = 0, phases: list | None = None) -> DataFrame:
+    """(id, label): each vertex with the least id of its strongly connected component.
+
+    Vertices come as centres in a hashed order, in batches that double. A phase finds which vertices each centre of the batch reaches, and which
+    reach it, all centres at once, as tables of (vertex, centre). A vertex in both tables with a centre is of its component and leaves. The others
+    are parted by the sets of centres that reach them and that they reach, as a component never lies across, and edges between
+    parts go. So the number of phases is logarithmic, and a vertex meets a logarithmic number of centres in expectation. phases, if
+    given, gets the number of centres of each.
+    """
+    order = stored(dense_ranks(graph.vertices.select("id"), [hash_priority("id", seed=seed), F.col("id")]), "scc")
+    left = stored(graph.vertices.select("id"), "scc")
+    edges = stored(graph.edges.where("src <> dst").select("src", "dst").distinct(), "scc")
+    n, upto, size, done = order.count(), 0, 1, []
+    while upto < n:
+        left, edges = _trimmed(left, edges)  # what goes here is alone
+        last, upto, size = upto, min(n, upto + size), size * 2
+        chosen, seen = counted(order.where((F.col("new") >= last) & (F.col("new") < upto)).join(left, "id", "left_semi").select("id"))
+        centres = stored(chosen, "scc")
+        if not seen.get["n"]:
+            continue
+        if phases is not None:
+            phases.append(seen.get["n"])
+        ahead = stored(labelled_reachability(edges, centres), "scc")
+        back = stored(labelled_reachability(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), centres), "scc")
+        both = ahead.join(back, ["id", "centre"])
+        found = stored(both.groupBy("id").agg(F.min("centre").alias("centre")), "scc")  # the least of the centres of one component
+        done.append(found)
+        # a vertex's sets, as sums of hashes that don't depend on an order
+        marks = ahead.select("id", F.xxhash64("centre", F.lit(1)).alias("h"), F.xxhash64("centre", F.lit(2)).alias("k")).union(back.select("id", F.xxhash64("centre", F.lit(3)), F.xxhash64("centre", F.lit(4))))
+        wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
+        parts = left.join(found, "id", "left_anti").join(marks.groupBy("id").agg(wide("h"), wide("k")), "id", "left").select("id", F.coalesce("h", F.lit(0).cast("decimal(38,0)")).alias("h"), F.coalesce("k", F.lit(0).cast("decimal(38,0)")).alias("k"))
+        parts = stored(parts, "scc")
+        side = lambda x: parts.select(F.col("id").alias(x), F.struct("h", "k").alias(f"p_{x}"))  # noqa: B023, E731
+        old = (left, edges, ahead, back)
+        left = parts.select("id")
+        edges = stored(edges.join(side("src"), "src").join(side("dst"), "dst").where("p_src = p_dst").select("src", "dst"), "scc")
+        forget(*old)
+    if not done:
+        return graph.vertices.select("id", F.col("id").alias("label"))
+    found = done[0]
+    for f in done[1:]:
+        found = found.union(f)
+    least = found.groupBy("centre").agg(F.min("id").alias("label"))
+    named = found.join(least, "centre").select("id", "label")
+    return graph.vertices.select("id").join(named, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+
+
+def list_ranks(nexts: DataFrame, rounds: list | None = None) -> DataFrame:
+    """(a, rank): of every item of linked lists (a, next; null after the last), how many items follow, by pointer jumping: each round doubles the way, so the rounds are logarithmic. rounds, if given, gets each one's number of open items."""
+    state = stored(nexts.select("a", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("rank")), "ranks")
+    while True:
+        far = state.select(F.col("a").alias("next"), F.col("next").alias("then"), F.col("rank").alias("more"))
+        moved, seen = state.join(far, "next", "left").select("a", F.col("then").alias("next"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank")), Observation()
+        moved = moved.observe(seen, F.count("next").alias("n"))
+        last, state = state, stored(moved, "ranks")
+        forget(last)
+        if rounds is not None:
+            rounds.append(seen.get["n"])
+        if not seen.get["n"]:
+            return state.select("a", "rank")
+
+
+def euler_tour(forest: DataFrame, label: DataFrame, rounds: list | None = None) -> DataFrame:
+    """(id, parent, root, first, last) of every vertex of a forest (src, dst), each tree rooted at its least vertex, the label (id, label) of all its vertices.
+
+    Every edge is two arcs; after an arc into v comes the arc out of v to the neighbour that follows the arc's origin in the circle of v's
+    neighbours. The arcs of a tree are one list so, cut before the root's first arc; their ranks are places 1, 2, ... in the tour. A vertex
+    is entered at place first and left at place last; what lies between is its subtree. A root has first 0, and itself as its parent.
+    """
+    arcs = forest.select("src", "dst").union(forest.select("dst", "src"))
+    # arcs in order of (src, dst), numbered without gathering a hub's arcs in one task
+    numbered = stored(dense_ranks(arcs.select(F.struct("src", "dst").alias("id"))).select("id.src", "id.dst", F.col("new").alias("a")), "tour")
+    first = stored(numbered.groupBy("src").agg(F.min("a").alias("first")), "tour")
+    after = numbered.select("src", "dst", (F.col("a") + 1).alias("a")).join(numbered.select("a", F.col("src").alias("same")), "a", "left").join(first, "src")
+    after = after.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.when(F.col("same") == F.col("src"), F.col("a")).otherwise(F.col("first")).alias("next"))
+    cut = first.join(label.where("id = label").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("first").alias("next"), F.lit(True).alias("start"))
+    linked = numbered.join(after, ["src", "dst"]).join(cut, "next", "left").select("a", F.when(F.col("start").isNull(), F.col("next")).alias("next"))
+    ranks = list_ranks(linked, rounds)
+    placed = numbered.join(ranks, "a").join(label.select(F.col("id").alias("src"), F.col("label").alias("root")), "src")
+    placed = stored(placed.select("root", "src", "dst", "rank"), "tour")
+    total = placed.groupBy("root").agg(F.count("*").alias("total"))
+    edges = placed.groupBy("root", F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")).agg(F.max(F.struct("rank", "src", "dst")).alias("down"), F.min("rank").alias("up"))
+    inner = edges.join(total, "root").select(F.col("down.dst").alias("id"), F.col("down.src").alias("parent"), "root", (F.col("total") - F.col("down.rank")).alias("first"), (F.col("total") - F.col("up")).alias("last"))
+    roots = label.where("id = label").select(F.col("id").alias("root")).join(total, "root", "left")
+    own = roots.select(F.col("root").alias("id"), F.col("root").alias("parent"), "root", F.lit(0).cast("long").alias("first"), F.coalesce(F.col("total") + 1, F.lit(0)).cast("long").alias("last"))
+    return inner.union(own)
+
+
+def subtree_extremes(tour: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, low, high): the least low and greatest high of own (id, low, high) in each vertex's subtree.
+
+    Values stand at the places where vertices are entered. Tables of extremes over 1, 2, 4, ... places are made one from another; a subtree's
+    stretch of places is two overlapping ones of them, whatever the depth of the tree."""
+    rows = stored(tour.join(own, "id").select("id", "root", "first", "last", "low", "high"), "extremes")
+    asked = rows.select("id", "root", "first", "last", F.floor(F.log2((F.col("last") - F.col("first") + 1).cast("double"))).cast("int").alias("level"))
+    asked = stored(asked, "extremes")
+    most = asked.agg(F.max("level")).first()[0]
+    table, found, level = stored(rows.select("root", F.col("first").alias("place"), "low", "high"), "extremes"), [], 0
+    while most is not None and level <= most:
+        width = 1 << level
+        here = asked.where(F.col("level") == level)
+        ends = here.select("id", "root", F.col("first").alias("place")).union(here.select("id", "root", (F.col("last") - width + 1).alias("place")))
+        found.append(stored(ends.join(table, ["root", "place"]).groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high")), "extremes"))
+        level += 1
+        if level <= most:
+            both = table.union(table.select("root", (F.col("place") - width).alias("place"), "low", "high").where("place >= 0"))
+            last, table = table, stored(both.groupBy("root", "place").agg(F.min("low").alias("low"), F.max("high").alias("high")), "extremes")
+            forget(last)
+    out = found[0] if found else rows.select("id", "low", "high")
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def biconnected(graph: Graph, rounds: list | None = None) -> DataFrame:
     """(src, dst, first_src, first_dst): each undirected edge and the least edge of its biconnected component.
 
-    A breadth-first forest gives subtree sizes and preorder numbers level by level; the least and greatest numbers that a
-    subtree's other edges reach tell which tree edges share a cycle, and those are connected components of child vertices."""
+    Any spanning forest does: Boruvka's, in a logarithmic number of rounds. Its Euler tour, ranked by pointer jumping, gives each
+    vertex the stretch of places of its subtree; the least and greatest place that a subtree's other edges reach tell which
+    tree edges share a cycle, and those are connected components of child vertices. No loop runs along a path of the graph."""
     label = stored(components(graph), "bicon")
-    level = stored(bfs_distance(graph, label.select(F.col("label").alias("id")).distinct()), "bicon")
-    tree = stored(bfs_parents(graph, level).join(level, "id").join(label.withColumnRenamed("label", "root"), "id"), "bicon")
-    depth = level.agg(F.max("dist")).first()[0] or 0
-
-    def upward(own: DataFrame, merge: dict) -> DataFrame:
-        """Values (id, ...) merged into parents from the deepest level up."""
-        out, last = None, None
-        for d in range(depth, -1, -1):
-            here = tree.where(F.col("dist") == d).select("id", "parent").join(own, "id")
-            if last is not None:
-                up = last.where("id <> parent").groupBy(F.col("parent").alias("id")).agg(*(f(c).alias(f"u_{c}") for c, (f, _) in merge.items()))
-                here = here.join(up, "id", "left").select("id", "parent", *(g(F.col(c), F.coalesce(F.col(f"u_{c}"), F.lit(0) if g is _add else F.col(c))).alias(c) for c, (_, g) in merge.items()))
-            last = stored(here, "bicon")
-            out = last if out is None else out.union(last)
-        return stored(out.drop("parent"), "bicon")
-
-    def _add(a: Column, b: Column) -> Column:
-        return a + b
-
-    size = upward(tree.select("id", F.lit(1).cast("long").alias("size")), {"size": (F.sum, _add)})
-    sized = stored(tree.join(size, "id"), "bicon")
-    before = F.sum("size").over(Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    shift = stored(sized.where("id <> parent").select("id", "parent", "dist", "size", (F.coalesce(before, F.lit(0)) + 1).alias("shift")), "bicon")
-    pre = stored(tree.where("dist = 0").select("id", F.lit(0).cast("long").alias("pre")), "bicon")
-    last = pre
-    for d in range(1, depth + 1):
-        last = stored(shift.where(F.col("dist") == d).join(last.withColumnRenamed("id", "parent"), "parent").select("id", (F.col("pre") + F.col("shift")).alias("pre")), "bicon")
-        pre = pre.union(last)
-    spot = stored(sized.join(pre, "id").select("id", "parent", "pre", "size"), "bicon")
     und = graph.und().select("src", "dst")
+    forest = stored(_boruvka(und.select("src", "dst", F.lit(1).alias("w"), F.col("src").alias("a"), F.col("dst").alias("b"))).select("src", "dst"), "bicon")
+    tour = stored(euler_tour(forest, label, rounds), "bicon")
+    spot = stored(tour.select("id", "parent", F.col("first").alias("pre"), (F.col("last") - F.col("first") + 1).alias("size")), "bicon")
     a, b = (spot.select(F.col("id").alias(x), F.col("parent").alias(f"p_{x}"), F.col("pre").alias(f"pre_{x}"), F.col("size").alias(f"size_{x}")) for x in ("src", "dst"))
     full = stored(und.join(a, "src").join(b, "dst"), "bicon")
     tree_edge = (F.col("p_src") == F.col("dst")) | (F.col("p_dst") == F.col("src"))
     other = full.where(~tree_edge)
     seen = other.select(F.col("src").alias("id"), F.col("pre_dst").alias("p")).union(other.select(F.col("dst").alias("id"), F.col("pre_src").alias("p"))).groupBy("id").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     own = spot.join(seen, "id", "left").select("id", F.least("pre", F.coalesce("lo", "pre")).alias("low"), F.greatest("pre", F.coalesce("hi", "pre")).alias("high"))
-    reach = upward(own, {"low": (F.min, F.least), "high": (F.max, F.greatest)})
+    reach = subtree_extremes(tour, own)
     parents = spot.select(F.col("id").alias("parent"), F.col("pre").alias("p_pre"), F.col("size").alias("p_size"), F.col("parent").alias("grand"))
     through = spot.where("id <> parent").join(reach, "id").join(parents, "parent").where("grand <> parent and (low < p_pre or high >= p_pre + p_size)").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
     first, second = F.when(F.col("pre_src") < F.col("pre_dst"), F.col("src")).otherwise(F.col("dst")), F.when(F.col("pre_src") < F.col("pre_dst"), F.col("dst")).otherwise(F.col("src"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.runtime import new_folder
 from graphloom.operators import clustering, connectivity, covering, paths, patterns, primitives, ranking
 from graphloom.sources import files
 from graphloom.sources import graphs as sources
@@ -637,18 +638,39 @@ def scan_roles(spark, sf_dir):
     return clustering.roles(g, clustering.scan(g, clustering.similarities(g), 3, 0.6))
 
 
-@query()
-def scan_sweep(spark, sf_dir):
+def scan_index(spark, sf_dir):
+    """The similarities of the parts, indexed in a folder of their own."""
     g = parts(spark, sf_dir)
-    from graphloom.runtime import stored
+    return clustering.ScanIndex.build(g, clustering.similarities(g), new_folder(spark, "scan-index"))
 
-    sims, out = stored(clustering.similarities(g), "sims"), None
-    for eps, found in clustering.scan_sweep(g, sims, 3, (0.4, 0.6, 0.8)):
-        row = found.select(F.lit(eps).alias("eps"), "id", "cluster")
+
+def _sweep(index, settings):
+    out = None
+    for mu, eps in settings:
+        row = index.scan(mu, eps).select(F.lit(mu).alias("mu"), F.lit(eps).alias("eps"), "id", "cluster")
         out = row if out is None else out.union(row)
     return out
 
 
+@query()
+def scan_sweep(spark, sf_dir):
+    return _sweep(scan_index(spark, sf_dir), [(3, eps) for eps in (0.4, 0.6, 0.8)]).drop("mu")
+
+
+@query(f"""with recursive {PART}, {COS}, t as (select m, e::double e from (values (2, 0.7), (3, 0.5), (5, 0.55)) t(m, e)),
+near as (select m, e, a, b, x from sim, t where x >= e), core as (select m, e, a v from near group by m, e, a having count(*) >= m - 1),
+k as (select near.* from near join core p on p.v = a and p.m = near.m join core q on q.v = b and q.m = near.m),
+cc(m, v, l) using key (m, v) as (
+  select m, v, v from core union
+  select k.m, k.b, min(cc.l) from cc join k on k.a = cc.v and k.m = cc.m join recurring.cc o on o.v = k.b and o.m = k.m group by k.m, k.b, o.l having min(cc.l) < o.l),
+bd as (select near.m, near.b v, cc.l, row_number() over (partition by near.m, near.b order by near.x desc, near.a) r from near join cc on cc.v = near.a and cc.m = near.m
+  where (near.m, near.b) not in (select m, v from core)),
+every as (select m, v, l from cc union all select m, v, l from bd where r = 1)
+select p.m as mu, p.e as eps, p.a as id, every.l as cluster from (select distinct a, m, e from s, t) p left join every on every.v = p.a and every.m = p.m""")
+def scan_settings(spark, sf_dir):
+    return _sweep(scan_index(spark, sf_dir), [(2, 0.7), (3, 0.5), (5, 0.55)])
+
+
 @query()
 def scan_overlapping(spark, sf_dir):
     g = parts(spark, sf_dir)
