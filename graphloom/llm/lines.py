@@ -3,11 +3,11 @@ common blocks leave the later document.
 
 1. Lines (between line feeds, trimmed of spaces) are hashed to 64 bits. Lines of MIN_WORDS words or more are anchors.
 2. Documents are ordered by doc_id. Of documents with equal texts the first one stands for all: a later one that holds an anchor goes whole.
-3. An anchor line that several documents hold pairs each of them with the line's first holder. Most lines go then. A document that still
-   holds a shared line after that is paired with every earlier holder of it: with the first document of each class of holders that
-   have the same lines, apart from anchor lines that no other document holds (an alignment sees of those only that they differ).
-   So those anchor lines go that go when each document is aligned with every earlier one it shares an anchor line with, while pairs
-   grow with the square of a line's holders only where none of their alignments takes the line and no two of them are alike.
+3. An anchor line of at most RARE documents pairs all of them, a more frequent one each of them with its first holder. Most lines go then.
+   A frequent line that still stands in a document is settled against all its earlier holders by their frequent lines alone, other
+   anchor lines being gaps: documents with equal sequences of them are one class, and two classes are aligned once, for all their
+   members. Two documents that share no rare line have the same alignment by whole texts as by these sequences, so an anchor line goes
+   when it goes in the alignment with any earlier document, whole or by frequent lines, and neither rule lists the pairs of a group.
    Lines of fewer words go with the blocks of the alignments made: a document whose anchor lines are settled isn't aligned further for them.
 4. Both documents' line hashes are aligned: common head and tail, then recursively the longest ascending run of lines that occur
    once in both. An aligned block (lines that follow each other in both) with an anchor line is deleted from the later document.
@@ -32,7 +32,7 @@ from graphloom.llm import exchange as X
 from graphloom.llm import textops as T
 from graphloom.runtime import stored
 
-MIN_WORDS = 5
+MIN_WORDS, RARE = 5, 32
 KEY = ["line_doc", "line_text"]
 
 
@@ -120,14 +120,13 @@ def deletions(a: np.ndarray, b: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return np.array(gone, np.int64)
 
 
-def _skeleton(lines: np.ndarray, anchor: np.ndarray, shared: np.ndarray) -> int:
-    """Hash of a document's lines with each stretch of anchor lines that no other document holds as one mark."""
-    alone = anchor & ~np.isin(lines, shared)
-    keep = ~alone
+def skeleton(lines: np.ndarray, anchor: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's lines with each stretch of anchor lines that aren't frequent as one mark, and the place of each in the document."""
+    gap = anchor & ~np.isin(lines, frequent)
+    keep = ~gap
     keep[0] = True
-    keep[1:] |= alone[1:] & ~alone[:-1]
-    seen = np.where(alone, np.uint64(0), lines)[keep].tobytes()
-    return int.from_bytes(hashlib.blake2b(seen, digest_size=8).digest(), "little", signed=True)
+    keep[1:] |= gap[1:] & ~gap[:-1]
+    return np.where(gap, np.uint64(0), lines)[keep], np.flatnonzero(keep)
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -159,20 +158,18 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     copies = keyed.select(*KEY, "again").distinct().join(held_once, [KEY[1], "again"]).where(F.col(KEY[0]) > F.col("first")).select(*KEY, "anchor").mapInArrow(whole, "line_doc long, line_text long, gone binary")
     entries = lines.select("doc", F.explode("anchors").alias("line"))
     shared = entries.groupBy("line").agg(F.count("*").alias("times"), F.min("doc").alias("owner")).where("times > 1")
-    held = stored(entries.join(shared.drop("times"), "line"), "line-shared")
+    held = stored(entries.join(shared, "line"), "line-shared")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = [deletions(X.unpack(a, np.uint64), X.unpack(b, np.uint64), np.frombuffer(k, bool)) for a, b, k in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([X.pack(g) for g in gone], pa.binary())], [*KEY, "gone"])
 
-    def aligned(pairs: DataFrame, name: str) -> DataFrame:
-        """What the later document of each pair (doc, owner) loses."""
-        joined = pairs.join(lines.select(F.col("doc").alias("owner"), F.col("lines").alias("first_lines")), "owner").join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "first_lines", "lines", "anchor")
-        return stored(joined.mapInArrow(align, "line_doc long, line_text long, gone binary"), name)
-
-    pairs = stored(held.where("owner <> doc").select("doc", "owner").distinct(), "line-pairs")
-    first = aligned(pairs, "line-gone")
+    rare, frequent = held.where(F.col("times") <= RARE), held.where(F.col("times") > RARE)
+    close = rare.select("doc", "line").join(rare.select(F.col("doc").alias("owner"), "line"), "line").where("owner < doc").select("doc", "owner")
+    pairs = stored(close.union(frequent.where("owner <> doc").select("doc", "owner")).distinct(), "line-pairs")
+    joined = pairs.join(lines.select(F.col("doc").alias("owner"), F.col("lines").alias("first_lines")), "owner").join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "first_lines", "lines", "anchor")
+    first = stored(joined.mapInArrow(align, "line_doc long, line_text long, gone binary"), "line-gone")
     lost = first.groupBy(F.struct(*KEY).alias("doc")).agg(F.collect_list("gone").alias("gone"))
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,23 +183,56 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], [*KEY, "line"])
 
     stays = lost.join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "lines", "anchor", "gone").mapInArrow(left, "line_doc long, line_text long, line array<long>")
-    open_ = stored(stays.select(F.struct(*KEY).alias("doc"), F.explode("line").alias("line")).join(held, ["doc", "line"]).where("owner <> doc").select("doc", "line"), "line-open")
-    holders = stored(held.join(open_.select("line").distinct(), "line", "left_semi").select("doc", "line"), "line-holders")
+    open_ = stored(stays.select(F.struct(*KEY).alias("doc"), F.explode("line").alias("line")).join(frequent, ["doc", "line"]).where("owner <> doc").select("doc", "line"), "line-open")
+    second = _by_frequent_lines(open_, frequent, lines)
+    return first.union(second).union(copies).groupBy(*KEY).agg(F.collect_list("gone").alias("gone"))
+
 
-    def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_frequent_lines(open_: DataFrame, frequent: DataFrame, lines: DataFrame) -> DataFrame:
+    """What goes from the documents of open_ (doc, line) by alignment with the frequent lines of all earlier holders, class by class."""
+    holders = frequent.join(open_.select("line").distinct(), "line", "left_semi").select("doc").distinct()
+    known = frequent.join(holders, "doc", "left_semi").groupBy("doc").agg(F.collect_list("line").alias("held"))  # a document's own lines
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_skeleton(X.unpack(a, np.uint64), np.frombuffer(k, bool), np.array(h, np.int64).view(np.uint64)) for a, k, h in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], [*KEY, "skeleton"])
-
-    some = holders.select("doc").distinct()
-    known = held.join(some, "doc", "left_semi").groupBy("doc").agg(F.collect_list("line").alias("held"))  # a document's own lines
-    classed = known.join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "lines", "anchor", "held").mapInArrow(skeletons, "line_doc long, line_text long, skeleton long")
-    classed = stored(classed.select(F.struct(*KEY).alias("doc"), "skeleton"), "line-classes")
-    heads = classed.groupBy("skeleton").agg(F.min("doc").alias("owner"))
-    owners = holders.join(classed, "doc").join(heads, "skeleton").select("line", "owner").distinct()
-    more = open_.join(owners, "line").where("owner < doc").select("doc", "owner").distinct().join(pairs, ["doc", "owner"], "left_anti")
-    second = aligned(stored(more, "line-pairs"), "line-gone")
-    return first.union(second).union(copies).groupBy(*KEY).agg(F.collect_list("gone").alias("gone"))
+            rows = []
+            for raw, mark, held in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                anchor = np.frombuffer(mark, bool)
+                own, at = skeleton(X.unpack(raw, np.uint64), anchor, np.array(held, np.int64).view(np.uint64))
+                packed = X.pack(own), anchor[at].tobytes()
+                rows.append((hashlib.blake2b(own.tobytes() + packed[1], digest_size=16).digest(), *packed, X.pack(at)))
+            kinds = [pa.array([r[k] for r in rows], pa.binary()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *kinds, batch.column(4)], [*KEY, "class", "own", "mark", "at", "held"])
+
+    sides = known.join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "lines", "anchor", "held")
+    classed = stored(sides.mapInArrow(sequences, "line_doc long, line_text long, class binary, own binary, mark binary, at binary, held array<long>").withColumn("doc", F.struct(*KEY)), "line-classes")
+    heads = stored(classed.groupBy("class").agg(F.min("doc").alias("head"), F.first("own").alias("own"), F.first("mark").alias("mark"), F.first("held").alias("held")), "line-heads")
+    asked = open_.join(classed.select("doc", "class"), "doc").groupBy("class", "line").agg(F.max("doc").alias("last"))
+    given = heads.select(F.col("class").alias("other"), "head", F.explode("held").alias("line"))
+    meet = asked.join(given, "line").where("head < last").select("class", "other").distinct()
+    joined = meet.join(heads.select(F.col("class").alias("other"), "head", F.col("own").alias("theirs")), "other").join(heads.select("class", "own", "mark"), "class").select("class", "head", "theirs", "own", "mark")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = []
+            for a, b, k in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                theirs = X.unpack(a, np.uint64)
+                theirs = np.where(theirs == 0, np.uint64(1), theirs)  # a gap of one side is none of the other
+                gone.append(deletions(theirs, X.unpack(b, np.uint64), np.frombuffer(k, bool)).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int64()))], ["class", "head", "gone"])
+
+    taken = joined.mapInArrow(align, "class binary, head struct<line_doc: long, line_text: long>, gone array<long>").select("class", "head", F.explode("gone").alias("place"))
+    # of each line of a class, the first document that takes it
+    taken = stored(taken.groupBy("class", "place").agg(F.min("head").alias("head")), "line-taken")
+    places = taken.join(open_.select("doc").distinct().join(classed.select("doc", "class", "at"), "doc"), "class").where("head < doc")
+    places = places.groupBy("doc").agg(F.first("at").alias("at"), F.collect_list("place").alias("places"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [X.pack(X.unpack(at, np.int64)[np.array(k, np.int64)]) for at, k in zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.binary())], [*KEY, "gone"])
+
+    return places.select("doc.*", "at", "places").mapInArrow(placed, "line_doc long, line_text long, gone binary")
 
 
 def _cut(text: str | None, gone: list[bytes] | None) -> tuple[str, int, int]:
