@@ -229,7 +229,7 @@ def k_centres(graph: Graph, k: int, first: int | None = None, epsilon: float | N
     start = graph.vertices.agg(F.min("id")).first()[0] if first is None else first
     if start is None:
         return graph.vertices.sparkSession.createDataFrame([], "position int, id long, radius double")
-    paths, out = DynamicPaths(graph, start), []
+    paths, out = DynamicPaths(graph, start, support=False), []
     for position in range(k):
         radius = paths.state.agg(F.max("dist")).first()[0]
         out.append((position, int(start), float(radius)))

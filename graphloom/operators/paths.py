@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
-from graphloom.runtime import finished, forget, kept, stored
-from graphloom.state import PriorityBuckets, StateLog, frontier_edges, keyed
+from graphloom.runtime import finished, forget, kept, new_folder, stored
+from graphloom.state import PriorityBuckets, StateLog, bucketed, frontier_edges, keyed
 
 
 class NegativeCycleError(ValueError):
@@ -169,58 +169,134 @@ def betweenness(graph: Graph, source: int) -> DataFrame:
 
 
 class DynamicPaths:
-    """Shortest paths that follow edge insertions and new sources. support() is a view: the edges on some shortest path.
+    """Shortest paths that follow edge insertions and new sources, with the edges on some shortest path.
 
-    Inserted edges are kept apart from the graph's own, batch by batch, and written together every COMPACT batches. With a
-    folder each numbered batch leaves its edges and distances there: a new object goes on from the last one, and a
-    batch that is given again starts from the state before it."""
+    A batch writes the edges it inserts, the distances that fell, and what changed among the support edges; the state is read as the last
+    row of each id. Every COMPACT batches edges, distances and support are written together, and what they replace is deleted.
+    With a folder each batch has a number and leaves its part there: a new object goes on from the last one, and a batch
+    that is given again starts from the state before it. Batches up to the last compaction are settled; they can't come again.
+    """
 
     COMPACT = 16
-
-    def __init__(self, graph: Graph, sources, folder: str | None = None):
-        self.base, self.folder, self.added, self.spark = graph, folder, [], graph.edges.sparkSession
-        done = finished(self.spark, f"{folder}/dist") if folder else []
-        if done:
-            self._load(done[-1] + 1)
-        else:
-            self.state = kept(sssp(graph, sources), f"{folder}/start") if folder else stored(sssp(graph, sources), "dynamic")
+    KINDS = ("edges", "dist", "support")
+
+    def __init__(self, graph: Graph, sources, folder: str | None = None, support: bool = True):
+        """support=False keeps distances alone."""
+        self.kinds = self.KINDS if support else self.KINDS[:2]
+        self.base, self.spark, self.number = graph, graph.edges.sparkSession, 0
+        self.durable, self.folder = folder is not None, folder.rstrip("/") if folder else new_folder(graph.edges.sparkSession, "dynamic")
+        if not finished(self.spark, f"{self.folder}/whole-dist"):
+            dist = sssp(graph, sources)
+            kept(graph.edges.limit(0).select("src", "dst", "w"), f"{self.folder}/whole-edges/-1")
+            if support:
+                kept(self._tight(graph.edges, dist), f"{self.folder}/whole-support/-1")
+            kept(dist, f"{self.folder}/whole-dist/-1")  # the last one marks the others as complete
+        done = [*finished(self.spark, f"{self.folder}/dist"), *finished(self.spark, f"{self.folder}/whole-dist")]
+        self._load(max(done) + 1)
+
+    @staticmethod
+    def _tight(edges: DataFrame, dist: DataFrame) -> DataFrame:
+        a, b = (dist.select(F.col("id").alias(x), F.col("dist").alias(f"d_{x}")) for x in ("src", "dst"))
+        return edges.join(a, "src").join(b, "dst").where("d_src + w = d_dst").select("src", "dst", "w")
 
     def _load(self, number: int) -> None:
-        """The state before a batch."""
-        read = lambda kind, n: self.spark.read.parquet(f"{self.folder}/{kind}/{n}")
-        self.added = [read("edges", n) for n in finished(self.spark, f"{self.folder}/edges") if n < number]
-        last = [n for n in finished(self.spark, f"{self.folder}/dist") if n < number]
-        self.state = read("dist", last[-1]) if last else self.spark.read.parquet(f"{self.folder}/start")
+        """The state before a batch: the last compaction before it, and the batches since."""
+        whole = [n for n in finished(self.spark, f"{self.folder}/whole-dist") if n < number]
+        if not whole:
+            raise ValueError(f"batch {number} is settled already")
+        self.whole, self.number = whole[-1], number
+        self.batches = [n for n in finished(self.spark, f"{self.folder}/dist") if self.whole < n < number]
+        self.parts = {k: [self._read(f"whole-{k}/{self.whole}"), *(self._read(f"{k}/{n}") for n in self.batches)] for k in self.kinds}
+
+    def _read(self, place: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{place}")
+
+    @property
+    def added(self) -> DataFrame:
+        """(src, dst, w): all edges inserted so far."""
+        return _union(self.parts["edges"])
 
     @property
     def graph(self) -> Graph:
         """The graph with all edges inserted so far."""
-        return Graph(self.base.vertices, _union([self.base.edges, *self.added]), self.base.directed)
+        return Graph(self.base.vertices, self.base.edges.select("src", "dst", "w").union(self.added), self.base.directed)
+
+    @property
+    def state(self) -> DataFrame:
+        """(id, dist): distances only fall, so the least row of an id is its last."""
+        return _union(self.parts["dist"]).groupBy("id").agg(F.min("dist").alias("dist"))
+
+    def support(self) -> DataFrame:
+        """(src, dst, w): the edges on some shortest path, kept batch by batch: each batch has the support edges of the vertices it reached anew (new), and in a row without src every such vertex."""
+        whole, later = self.parts["support"][0], [p.withColumn("batch", F.lit(n)) for p, n in zip(self.parts["support"][1:], self.batches, strict=True)]
+        if not later:
+            return whole
+        marks = _union(later)
+        last = marks.groupBy("dst").agg(F.max("batch").alias("last"))
+        kept_ = whole.join(last, "dst", "left_anti").select("src", "dst", "w")
+        return kept_.union(marks.join(last, "dst").where("batch = last and src is not null").select("src", "dst", "w"))
 
     def insert(self, edges: DataFrame, directed: bool = False, number: int | None = None) -> DataFrame:
         """Add edges (src, dst, w) and repair over base and inserted edges: the affected rows."""
-        if self.folder and number is None:
+        number = self._begin(number)
+        new = edges.select(*(F.col(c).cast(self.base.edges.schema[c].dataType).alias(c) for c in ("src", "dst", "w")))
+        new = kept(new if directed else new.union(new.select("dst", "src", "w")), f"{self.folder}/edges/{number}")
+        offers = new.join(self.state.select(F.col("id").alias("src"), "dist"), "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
+        return self._repair(offers, new, number)
+
+    def insert_source(self, source: int, number: int | None = None) -> DataFrame:
+        """Add a source, as a batch of its own: the affected rows."""
+        number = self._begin(number)
+        new = kept(self.added.limit(0), f"{self.folder}/edges/{number}")
+        zero = F.lit(0).cast(self.parts["dist"][0].schema["dist"].dataType)
+        return self._repair(seeds(self.graph, source, 0).withColumn("dist", zero), new, number)
+
+    def _begin(self, number: int | None) -> int:
+        if self.durable and number is None:
             raise ValueError("a state in a folder needs the numbers of its batches")
-        if self.folder and number in finished(self.spark, f"{self.folder}/dist"):
+        number = self.number if number is None else number
+        if number != self.number:
             self._load(number)
-        new = edges.select("src", "dst", "w")
-        new = new if directed else new.union(new.select("dst", "src", "w"))
-        new = kept(new, f"{self.folder}/edges/{number}") if self.folder else stored(new, "dynamic")
-        self.added.append(new)
-        if len(self.added) > self.COMPACT and not self.folder:
-            self.added = [stored(_union(self.added), "dynamic")]
-        offers = new.join(self.state.select(F.col("id").alias("src"), "dist"), "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
-        state, affected = repair(self.graph, self.state, offers)
-        self.state = kept(state, f"{self.folder}/dist/{number}") if self.folder else state
-        return affected
+        return number
 
-    def insert_source(self, source: int) -> DataFrame:
-        self.state, affected = repair(self.graph, self.state, seeds(self.graph, source, 0).withColumn("dist", F.lit(0).cast(self.state.schema["dist"].dataType)))
+    def _repair(self, offers: DataFrame, new: DataFrame, number: int) -> DataFrame:
+        self.parts["edges"].append(new)
+        graph, old = self.graph, bucketed(self.state, "id", "dynamic")
+        _, affected = repair(graph, old, offers)
+        forget(old)
+        if "support" in self.kinds:
+            self._follow(graph, affected, new, number)
+        affected = kept(affected, f"{self.folder}/dist/{number}")  # the batch is complete
+        self._load(number + 1)
+        if len(self.batches) >= self.COMPACT:
+            self._compact(number)
         return affected
 
-    def support(self) -> DataFrame:
-        a, b = (self.state.select(F.col("id").alias(x), F.col("dist").alias(f"d_{x}")) for x in ("src", "dst"))
-        return self.graph.edges.join(a, "src").join(b, "dst").where("d_src + w = d_dst").select("src", "dst", "w")
+    def _follow(self, graph: Graph, affected: DataFrame, new: DataFrame, number: int) -> None:
+        """Write the support edges of the vertices at which they may have changed."""
+        # support changes where a vertex's distance fell, where a neighbour's did, and at inserted edges
+        out = graph.edges.join(affected.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
+        touched = stored(affected.select("id").union(out).union(new.select(F.col("dst").alias("id"))).distinct(), "dynamic")
+        dist = stored(_union([*self.parts["dist"], affected]).groupBy("id").agg(F.min("dist").alias("dist")), "dynamic")
+        into = graph.edges.join(touched.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
+        kept(self._tight(into, dist).unionByName(touched.select(F.col("id").alias("dst")), allowMissingColumns=True), f"{self.folder}/support/{number}")
+        forget(touched, dist)
+
+    def _compact(self, number: int) -> None:
+        """All parts up to a batch in one; the batch itself stays until the next time, so that it can come again."""
+        before = [self.whole, *self.batches[:-1]]
+        self._load(number)
+        parts = {"edges": self.added, "dist": self.state} | ({"support": self.support()} if "support" in self.kinds else {})
+        for kind in sorted(self.kinds, key=lambda k: k == "dist"):  # dist last: it marks the others as complete
+            kept(parts[kind], f"{self.folder}/whole-{kind}/{number - 1}")
+        self._load(number + 1)
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        system = place(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for n in before:
+            for kind in self.kinds:
+                if n < number - 1:
+                    system.delete(place(f"{self.folder}/whole-{kind}/{n}"), True)
+                system.delete(place(f"{self.folder}/{kind}/{n}"), True)
 
 
 def low_diameter_decomposition(graph: Graph, beta: float = 0.2, seed: int = 0) -> DataFrame:

@@ -66,7 +66,7 @@ def finished(spark: SparkSession, folder: str) -> list[int]:
     if not system.exists(place(folder)):
         return []
     names = [x.getPath().getName() for x in system.listStatus(place(folder))]
-    return sorted(int(n) for n in names if n.isdigit() and system.exists(place(f"{folder}/{n}/_SUCCESS")))
+    return sorted(int(n) for n in names if n.lstrip("-").isdigit() and system.exists(place(f"{folder}/{n}/_SUCCESS")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import shutil
 
 import pytest
 
+from graphloom.operators.paths import DynamicPaths
 from graphloom.streaming.incremental import stream_components, stream_paths
 from tests.graphs import dijkstra, make, pairs, random_edges
 
@@ -64,3 +65,30 @@ def test_paths_survive_a_restart(spark, tmp_path):
     assert pairs(run().state) == dijkstra(EDGES, [0])
     assert pairs(run().state) == dijkstra(EDGES, [0])
     assert seen == [0, 1]
+
+
+def test_sources_and_compaction_survive_a_new_object(spark, tmp_path, monkeypatch):
+    """A new object on the folder has every inserted source and edge; folders that a compaction replaces are gone."""
+    monkeypatch.setattr(DynamicPaths, "COMPACT", 2)
+    folder = (tmp_path / "paths").as_uri()
+    graph = make(spark, EDGES[:12], 24)
+    steps = [("edges", EDGES[12:18]), ("source", 3), ("edges", EDGES[18:25]), ("source", 9), ("edges", EDGES[25:])]
+    have, sources = EDGES[:12], [0]
+    for number, (kind, what) in enumerate(steps):
+        state = DynamicPaths(graph, 0, folder)
+        if kind == "source":
+            state.insert_source(what, number=number)
+            sources.append(what)
+        else:
+            state.insert(spark.createDataFrame(what, "src long, dst long, w long"), number=number)
+            have = have + what
+        want = dijkstra(have, sources)
+        again = DynamicPaths(graph, 0, folder)
+        assert pairs(again.state) == pairs(state.state) == want
+        tight = sorted((a, b, w) for x, y, w in have for a, b in ((x, y), (y, x)) if a in want and b in want and want[a] + w == want[b])
+        assert sorted(map(tuple, again.support().collect())) == tight
+    assert not (tmp_path / "paths" / "dist" / "0").exists() and not (tmp_path / "paths" / "whole-dist" / "-1").exists()
+    again.insert(spark.createDataFrame(EDGES[25:], "src long, dst long, w long"), number=4)  # the last batch comes again
+    assert pairs(again.state) == want
+    with pytest.raises(ValueError, match="settled"):
+        again.insert(spark.createDataFrame(EDGES[:1], "src long, dst long, w long"), number=0)
