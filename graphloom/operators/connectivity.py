@@ -11,9 +11,9 @@ from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
 from graphloom.operators.paths import bfs_distance, bfs_parents
-from graphloom.operators.primitives import dense_ranks, first_neighbours, lightest_edges, most_frequent
+from graphloom.operators.primitives import dense_ranks, first_neighbours, most_frequent
 from graphloom.runtime import finished, forget, kept, stored
-from graphloom.state import counted
+from graphloom.state import StateLog, counted, frontier_edges, keyed
 
 
 def components(graph: Graph, algorithm: str = "star", keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
@@ -46,15 +46,15 @@ def _sampled(g: Graph) -> DataFrame:
 
 
 def least_reaching(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, label): the least id that reaches each vertex along the edges, by delta rounds of label propagation."""
-    state = stored(ids.select("id", F.col("id").alias("label"), F.lit(True).alias("open")), "labels")
-    while True:
-        offers = edges.join(state.where("open").select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("new"))
-        moved = state.join(offers, "id", "left")
-        wins = F.col("new") < F.col("label")
-        state = stored(moved.select("id", F.least("label", "new").alias("label"), F.coalesce(wins, F.lit(False)).alias("open")), "labels")
-        if state.where("open").isEmpty():
-            return state.select("id", "label")
+    """(id, label): the least id that reaches each vertex along the edges. A round moves the labels that fell along edges bucketed by source, and writes those that fall."""
+    edges, own = keyed(edges.select("src", "dst"), "src", "edges")
+    log = StateLog(ids.select("id", F.col("id").alias("label")), "labels")
+    while log.changed:
+        offers = frontier_edges(edges, log.last(), "label").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("new"))
+        log.append(offers.join(log.current(), "id").where("new < label").select("id", F.col("new").alias("label")))
+    if own:
+        forget(edges)
+    return log.close()
 
 
 def component_stats(labels: DataFrame) -> DataFrame:
@@ -79,39 +79,37 @@ def is_spanning_forest(graph: Graph, forest: DataFrame) -> bool:
 
 
 def minimum_spanning_forest(graph: Graph) -> DataFrame:
-    """(src, dst, w): Boruvka rounds; each component takes its least edge by (w, src, dst), so ties are settled alike everywhere.
-
-    In a dense graph the lightest edges, three for every two vertices, go first; heavier ones inside a component they make are never looked at again."""
-    und = graph.und().select("src", "dst", "w")
-    n, m = graph.vertices.count(), und.count()
-    if m <= 4 * n:
-        return _boruvka(und.select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b")))
-    light = stored(lightest_edges(graph, 3 * n // 2), "msf")
-    first = stored(_boruvka(light.select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b"))), "msf")
-    label = stored(star_components(first.select("src", "dst")), "msf")
-    to = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"n_{x}"))
-    rest = und.join(light, ["src", "dst"], "left_anti").join(to("src"), "src", "left").join(to("dst"), "dst", "left")
-    rest = rest.select("src", "dst", "w", F.coalesce("n_src", "src").alias("a"), F.coalesce("n_dst", "dst").alias("b")).where("a <> b")
-    return first.union(_boruvka(rest))
+    """(src, dst, w): Boruvka rounds; each component takes its least edge by (w, src, dst), so ties are settled alike everywhere."""
+    return _boruvka(graph.und().select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 def _boruvka(edges: DataFrame) -> DataFrame:
-    """(src, dst, w): the forest of edges between the components a and b that they join."""
-    edges = stored(edges, "msf")
-    taken = None
-    while True:
-        ends = edges.select("src", "dst", "w", "a", "b", F.col("a").alias("c")).union(edges.select("src", "dst", "w", "a", "b", F.col("b").alias("c")))
+    """(src, dst, w): the forest of edges between the components a and b that they join. Of the edges between two components the least
+    stays, so edges fall with the square of the components left; a round's frames go once the next one's are stored."""
+    least = F.min(F.struct("w", "src", "dst")).alias("e")
+
+    def lightest(rows: DataFrame) -> tuple[DataFrame, Observation]:
+        pairs = rows.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(least)
+        out, seen = counted(pairs.select("e.src", "e.dst", "e.w", "a", "b"))
+        return stored(out, "msf"), seen
+
+    (edges, seen), taken = lightest(edges.where("a <> b")), []
+    none = edges.sparkSession.createDataFrame([], edges.select("src", "dst", "w").schema)
+    while seen.get["n"]:
+        ends = edges.select("src", "dst", "w", "a", "b", F.explode(F.array("a", "b")).alias("c"))
         best = ends.groupBy("c").agg(F.min(F.struct("w", "src", "dst", "a", "b")).alias("e")).select("e.*").distinct()
         best = stored(best, "msf")
-        if best.isEmpty():
-            break
-        own = best.select("src", "dst", "w")
-        taken = own if taken is None else taken.union(own)
-        label = star_components(best.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        taken.append(best.select("src", "dst", "w"))
+        label = stored(star_components(best.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "msf")
         to = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"n_{x}"))  # noqa: B023, E731
-        moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left")
-        edges = stored(moved.select("src", "dst", "w", F.coalesce("n_a", "a").alias("a"), F.coalesce("n_b", "b").alias("b")).where("a <> b"), "msf")
-    return edges.select("src", "dst", "w").limit(0) if taken is None else taken
+        moved = edges.join(to("a"), "a").join(to("b"), "b")  # every component has an edge, so each has a label
+        last = edges
+        edges, seen = lightest(moved.select("src", "dst", "w", F.col("n_a").alias("a"), F.col("n_b").alias("b")).where("a <> b"))
+        forget(last, label)
+    out = none if not taken else taken[0]
+    for t in taken[1:]:
+        out = out.union(t)
+    return out
 
 
 def labelled_reachability(edges: DataFrame, centres: DataFrame) -> DataFrame:
