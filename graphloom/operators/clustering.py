@@ -13,6 +13,7 @@ from graphloom.graph import Graph
 from graphloom.operators.components import star_components
 from graphloom.operators.covering import independent_set
 from graphloom.operators.paths import DynamicPaths, relax, seeds, sssp
+from graphloom.operators.patterns import edge_triangles
 from graphloom.operators.primitives import common_neighbours
 from graphloom.runtime import forget, stored
 from graphloom.state import bucketed, frontier_edges, keyed
@@ -30,7 +31,7 @@ def similarities(graph: Graph, measure: str = "cosine") -> DataFrame:
         a, b = (norm.select(F.col("id").alias(x), F.col("norm").alias(f"n_{x}")) for x in ("src", "dst"))
         return e.join(third, ["src", "dst"], "left").join(a, "src").join(b, "dst").select("src", "dst", ((F.coalesce("dot", F.lit(0.0)) + 2 * F.col("w")) / (F.col("n_src") * F.col("n_dst"))).alias("sim"))
     deg = edges.groupBy("src").agg(F.count("*").alias("d"))
-    c = common_neighbours(Graph(graph.vertices, edges, graph.directed), edges)
+    c = common_neighbours(graph, edges) if graph.directed else edge_triangles(Graph(graph.vertices, edges, False))
     rows = c.join(deg.withColumnRenamed("d", "d1"), "src").join(deg.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst")
     if measure == "cosine":
         sim = (F.col("common") + 2) / F.sqrt((F.col("d1") + 1) * (F.col("d2") + 1))

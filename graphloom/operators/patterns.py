@@ -53,6 +53,16 @@ def members(found: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array(*found.columns)).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 
+def edge_triangles(graph: Graph) -> DataFrame:
+    """(src, dst, common): how many neighbours the ends of each edge share, in both directions. Triangles are found once, along edges that lead to the
+    higher degree, and counted for their three edges; a hub's neighbours are never paired with each other."""
+    t = cliques(graph, 3)
+    side = lambda a, b: t.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    held = side("v1", "v2").union(side("v1", "v3")).union(side("v2", "v3")).groupBy("src", "dst").agg(F.count("*").alias("common"))
+    both = held.union(held.select("dst", "src", "common"))
+    return graph.edges.select("src", "dst").join(both, ["src", "dst"], "left").select("src", "dst", F.coalesce("common", F.lit(0).cast("long")).alias("common"))
+
+
 def sparsified(graph: Graph, colours: int = 0, share: float = 1.0, seed: int = 0) -> Graph:
     """Edges whose ends share a hashed colour (colours > 0), or a hashed share of the edges, for approximate counts."""
     if colours:

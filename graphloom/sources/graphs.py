@@ -24,10 +24,18 @@ def part_graph(spark: SparkSession, sf_dir: str, isolated: bool = False) -> Grap
 
 
 def user_flow(spark: SparkSession, sf_dir: str) -> Graph:
-    """Directed: from the user of a purchase to that of the next one of its day; w counts. Days are windows of their own, so no task orders all events."""
-    bought = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id", F.to_date("ts").alias("day"))
-    after = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
-    flow = bought.select(F.col("user_id").alias("src"), after.alias("dst")).where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
+    """Directed: from the user of a purchase to that of the next one of its day; w counts.
+
+    Purchases are ordered within minutes; the last one of a minute is followed by the first one of the day's next minute that has any, found
+    among the minutes' first ones. So no task orders a day, whatever its number of events is."""
+    bought = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id", F.to_date("ts").alias("day"), F.date_trunc("minute", "ts").alias("minute"))
+    placed = bought.withColumn("next", F.lead(F.struct("user_id")).over(Window.partitionBy("day", "minute").orderBy("ts", "event_id")))
+    heads = bought.groupBy("day", "minute").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("head"))
+    ahead = F.lead("head.user_id").over(Window.partitionBy("day").orderBy("minute"))  # a row for each minute of a day
+    heads = heads.select("day", "minute", ahead.alias("dst"))
+    inside = placed.where("next is not null").select(F.col("user_id").alias("src"), F.col("next.user_id").alias("dst"))
+    across = placed.where("next is null").join(heads, ["day", "minute"]).select(F.col("user_id").alias("src"), "dst")
+    flow = inside.union(across).where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
     return Graph.from_edges(stored(flow, "flow"), directed=True, parallel=None)
 
 
