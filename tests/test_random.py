@@ -109,6 +109,8 @@ def test_counts(graph):
     near = neighbours(EDGES)
     three = sum(b in near[a] and c in near[a] and c in near[b] for a, b, c in itertools.combinations(sorted(near), 3))
     assert patterns.count_cliques(graph, 3).first()[0] == three
+    for k in (2, 4, 5):
+        assert patterns.count_cliques(graph, k).first()[0] == patterns.cliques(graph, k).count()
 
     def cycles(path):
         if len(path) == 5:
