@@ -18,6 +18,7 @@ columns of the input are kept as they are, and ids replaces a column of that nam
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -71,14 +72,15 @@ def model_type(raw: bytes) -> int:
 class Pieces:
     """The vocabulary of a model file as arrays; the space mark is kept as one byte, 0x20."""
 
-    def __init__(self, path: str | bytes):
+    def __init__(self, path: str | bytes, viterbi: bool = False):
+        """viterbi: the path with the best sum of scores also for a BPE model."""
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_proto=path) if isinstance(path, bytes) else SentencePieceProcessor(model_file=path)
         kind = model_type(model.serialized_model_proto())
         if kind not in (1, 2):
             raise ValueError("only unigram and BPE models are read")
-        self.search = self.viterbi if kind == 1 else self.merges
+        self.search = self.viterbi if kind == 1 or viterbi else self.merges
         if model.normalize("ﬁ  Å") not in (f"{MARK}ﬁ{MARK}{MARK}Å",):
             raise ValueError("only models with the identity normaliser, a dummy prefix and byte pieces are read")
         raw, score, ids, self.byte_ids = [], [], [], np.zeros(256, np.uint32)
@@ -98,6 +100,10 @@ class Pieces:
         self.table_starts = np.cumsum(self.table_sizes) - self.table_sizes
         self.longest = max(map(len, raw))
         self.penalty = min(score) - 10.0
+        #: by id: a piece's score; the first byte of a character that is no piece has the character's
+        self.worth = np.zeros(len(table))
+        self.worth[ids] = score
+        self.worth[self.byte_ids[(np.arange(256) & 0xC0) != 0x80]] = self.penalty
         self.joined = np.zeros((256, 256), bool)
         for x in raw:
             for a, b in zip(x[:-1], x[1:], strict=True):
@@ -297,11 +303,12 @@ class Pieces:
         return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
-def pieces(path: str) -> Pieces:
+def pieces(path: str, viterbi: bool = False) -> Pieces:
     """The worker's model for that file."""
-    if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
-    return _MODELS[path]
+    key = f"{path}\n{viterbi}"
+    if key not in _MODELS:
+        _MODELS[key] = Pieces(path, viterbi)
+    return _MODELS[key]
 
 
 def encode_texts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -340,17 +347,30 @@ def decode_ids(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 
 
 def piece_digest(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids) and round_trip: whether decoding gives the text back."""
+    """doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids) and round_trip (whether decoding gives the text back) of the library's encoding;
+    and of the Viterbi path, which for a BPE model is another one: n_viterbi, viterbi_crc32, viterbi_trip and viterbi_score, the sum of its scores."""
+
+    def crcs(ids: np.ndarray, upto: np.ndarray) -> pa.Array:
+        flat = ids.astype("<u4").tobytes()
+        return pa.array([zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(model)
+        own, best = pieces(model), pieces(model, viterbi=True)
         for batch in batches:
             for part in T.slices(batch):
                 data, offsets = T.text_bytes(part.column(1))
-                ids, per = own.encode(data, offsets)
-                back, ends = own.decode(ids.astype(np.int64), per)
-                raw, flat, got, upto = data.tobytes(), ids.astype("<u4").tobytes(), back.tobytes(), np.concatenate([[0], np.cumsum(per)])
-                n = range(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(per), pa.array([zlib.crc32(flat[4 * upto[i] : 4 * upto[i + 1]]) for i in n], pa.int64()), pa.array([raw[offsets[i] : offsets[i + 1]].replace(b"\xe2\x96\x81", b" ") == got[ends[i] : ends[i + 1]] for i in n], pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
+                raw, columns = data.tobytes(), [part.column(0)]
+                for m in (own, best):
+                    ids, per = m.encode(data, offsets)
+                    upto = np.concatenate([[0], np.cumsum(per)])
+                    back, ends = m.decode(ids.astype(np.int64), per)
+                    got = back.tobytes()
+                    same = [raw[a:b].replace(MARK.encode(), b" ") == got[c:d] for a, b, c, d in zip(offsets[:-1], offsets[1:], ends[:-1], ends[1:], strict=True)]
+                    columns += [pa.array(per), crcs(ids, upto), pa.array(same, pa.bool_())]
+                worth = best.worth[ids.astype(np.int64)].tolist()
+                columns.append(pa.array([round(math.fsum(worth[a:b]), 6) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], pa.float64()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "round_trip", "n_viterbi", "viterbi_crc32", "viterbi_trip", "viterbi_score"])
+        T.release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    kinds = "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, n_viterbi long, viterbi_crc32 long, viterbi_trip boolean, viterbi_score double"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)

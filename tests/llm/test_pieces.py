@@ -1,4 +1,5 @@
 import random
+import zlib
 import struct
 
 import numpy as np
@@ -97,3 +98,40 @@ def test_frames(spark):
     assert back == {i: (t or "").replace(P.MARK, " ") for i, t in enumerate(TEXTS)}
     assert all(r.round_trip for r in P.piece_digest(docs, tokenizer_path(PIECES)).collect())
     assert P.piece_digest(docs.limit(0), tokenizer_path(PIECES)).collect() == []
+
+
+def plain_viterbi(m, known, text):
+    """Ids and score of the best path of one text, character by character; the longest last piece of equals, a piece before bytes."""
+    chars = [c.encode() for c in (" " + text if text else "")]
+    best = [(0.0, None, ())] + [None] * len(chars)
+    for end in range(1, len(chars) + 1):
+        score, own = best[end - 1][0] + m.penalty, (end - 1, tuple(int(m.byte_ids[b]) for b in chars[end - 1]))
+        options = []
+        for start in range(max(0, end - m.longest), end):
+            found = known.get(b"".join(chars[start:end]))
+            if found:
+                options.append((best[start][0] + found[1], start, (found[0],)))
+        top = max(options, key=lambda o: (o[0], -o[1]), default=None)
+        best[end] = (score, *own) if top is None or top[0] < score else top
+    ids, at = [], len(chars)
+    while at:
+        ids = [*best[at][2], *ids]
+        at = best[at][1]
+    return ids, best[-1][0]
+
+
+def test_viterbi_columns_equal_plain_viterbi(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string"))
+    m = P.Pieces(tokenizer_path(PIECES), viterbi=True)
+    got = {r.doc_id: r for r in P.piece_digest(docs, tokenizer_path(PIECES)).collect()}
+    texts = {r.doc_id: (r.text or "").replace(P.MARK, " ") for r in docs.collect()}
+    assert got.keys() == texts.keys() and all(r.viterbi_trip and r.round_trip for r in got.values())
+    some = [i for i, t in texts.items() if len(t) < 1500]
+    assert len(some) > 70
+    single = set(m.byte_ids.tolist())
+    known = {m.table[a : a + n].tobytes(): (i, m.worth[i]) for i, (a, n) in enumerate(zip(m.table_starts.tolist(), m.table_sizes.tolist(), strict=True)) if n and i not in single}
+    for i in some:
+        ids, score = plain_viterbi(m, known, texts[i])
+        assert got[i].n_viterbi == len(ids) and got[i].viterbi_score == pytest.approx(score, abs=1e-5), i
+        assert got[i].viterbi_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()), i
