@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
-from graphloom.runtime import stored
+from graphloom.runtime import forget, stored
 
 
 def _order(kind: str, seed: int) -> Column:
@@ -25,8 +25,10 @@ def independent_set(graph: Graph, order: str = "id", seed: int = 0) -> DataFrame
         new = stored(open_.join(blocked, "id", "left_anti"), "mis")
         chosen = new if chosen is None else chosen.union(new)
         gone = new.union(edges.join(new.select(F.col("id").alias("src")), "src", "left_semi").select("dst")).distinct()
+        last = open_, edges
         open_ = stored(open_.join(gone, "id", "left_anti"), "mis")
         edges = stored(edges.join(open_.select(F.col("id").alias("src")), "src", "left_semi").join(open_.select(F.col("id").alias("dst")), "dst", "left_semi"), "mis")
+        forget(*last)
     return graph.vertices.select("id").limit(0) if chosen is None else chosen
 
 

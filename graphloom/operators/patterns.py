@@ -250,7 +250,9 @@ def truss(graph: Graph, k: int = 3) -> DataFrame:
         pair = lambda a, b: t.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))  # noqa: B023, E731
         held = pair("v1", "v2").union(pair("v1", "v3")).union(pair("v2", "v3")).groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= k - 2)
         kept = stored(edges.join(held, ["src", "dst"], "left_semi") if k > 2 else edges, "truss")
-        if kept.count() == edges.count():
+        same = kept.count() == edges.count()
+        forget(edges)
+        if same:
             return kept
         edges = kept
 

@@ -67,12 +67,13 @@ def pagerank_delta(graph: Graph, damping: float = 0.85, eps: float = 1e-6, local
     for i in range(max_iters):
         active = state if i == 0 else state.where(F.abs("delta") > local_eps * F.col("rank"))
         got = shares.join(active.select(F.col("id").alias("src"), "delta"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("delta") * F.col("share")).alias("got"))
-        new = damping * F.coalesce("got", F.lit(0.0))
+        new, last = damping * F.coalesce("got", F.lit(0.0)), state
         if i == 0:  # the first change is measured from 1 / n
             new = new + (1 - damping) / max(1, n)
             state = stored(state.join(got, "id", "left").select("id", new.alias("rank"), (new - F.col("delta")).alias("delta")), "delta")
         else:
             state = stored(state.join(got, "id", "left").select("id", (F.col("rank") + new).alias("rank"), new.alias("delta")), "delta")
+        forget(last)
         if (state.agg(F.sum(F.abs("delta"))).first()[0] or 0.0) < eps * max(1, n):
             break
     return state.select("id", "rank")
