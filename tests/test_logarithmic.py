@@ -26,7 +26,7 @@ def closure(n, edges):
     return ahead
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_strong_components_of_random_graphs(spark, seed):
     rng = random.Random(seed)
     edges = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(70)} - {(k, k) for k in range(40)})
@@ -37,7 +37,7 @@ def test_strong_components_of_random_graphs(spark, seed):
 
 def test_phases_on_a_chain_of_two_cycles(spark):
     """Each pair is a component, and a colouring by least ids would find one of them a round."""
-    n = 8
+    n = 6
     edges = [e for k in range(n) for e in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k))] + [(2 * k + 1, 2 * k + 2) for k in range(n - 1)]
     phases = []
     got = pairs(connectivity.strongly_connected(make(spark, edges, directed=True), phases=phases))
@@ -76,12 +76,12 @@ def test_euler_tour_nests_subtrees(spark):
 
 
 def test_biconnected_rounds_on_a_path(spark):
-    """A path of 400 vertices and a cycle at its end."""
-    edges = [(k, k + 1) for k in range(400)] + [(390, 400)]
+    """A path of 100 vertices and a cycle at its end."""
+    edges = [(k, k + 1) for k in range(100)] + [(90, 100)]
     rounds = []
     got = {(r.src, r.dst): (r.first_src, r.first_dst) for r in connectivity.biconnected(make(spark, edges), rounds).collect()}
-    assert got == {e: (390, 391) if e[0] >= 390 else e for e in edges}
-    assert len(rounds) <= math.ceil(math.log2(800)) + 1
+    assert got == {e: (90, 91) if e[0] >= 90 else e for e in edges}
+    assert len(rounds) <= math.ceil(math.log2(200)) + 1
 
 
 @pytest.mark.parametrize("edges", [SCAN_TWO, random_edges(30, 90, 3)])
