@@ -12,9 +12,9 @@ from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
 from graphloom.operators.covering import independent_set
-from graphloom.operators.paths import DynamicPaths, relax, seeds, sssp
+from graphloom.operators.paths import DynamicPaths, labelled_distances, relax, seeds, sssp
 from graphloom.operators.patterns import edge_triangles
-from graphloom.operators.primitives import common_neighbours
+from graphloom.operators.primitives import common_neighbours, dense_ranks
 from graphloom.runtime import forget, stored
 from graphloom.state import bucketed, frontier_edges, keyed
 
@@ -42,10 +42,36 @@ def similarities(graph: Graph, measure: str = "cosine") -> DataFrame:
     return rows.select("src", "dst", sim.alias("sim"))
 
 
-def approximate_similarities(graph: Graph, measure: str = "jaccard", hashes: int = 128, seed: int = 0) -> DataFrame:
-    """(src, dst, sim) from sketches: one-permutation MinHash for jaccard (equal filled slots over slots filled in either), SimHash for cosine."""
-    closed = graph.edges.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("x")).union(graph.vertices.select("id", F.col("id").alias("x")))
+def approximate_similarities(graph: Graph, measure: str = "jaccard", hashes: int = 128, seed: int = 0, threshold: int = 0) -> DataFrame:
+    """(src, dst, sim) from sketches: one-permutation MinHash for jaccard (equal filled slots over slots filled in either), SimHash for cosine.
+
+    Edges with an end of fewer neighbours than the threshold have their exact similarity, for which that end's neighbours are looked
+    up, fewer than threshold an edge; only vertices of the other edges have sketches."""
     edges = graph.edges.where("src <> dst").select("src", "dst")
+    if threshold <= 0:
+        return _sketched(graph, edges, measure, hashes, seed)
+    deg = stored(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "similar")
+    a, b = (deg.select(F.col("id").alias(x), F.col("d").alias(f"d_{x}")) for x in ("src", "dst"))
+    sized = stored(edges.join(a, "src").join(b, "dst", "left").na.fill(0, ["d_dst"]), "similar")  # a directed graph's ends may have no edges
+    low = F.least("d_src", "d_dst") < threshold
+    return _exact(graph, edges, sized.where(low), measure).union(_sketched(graph, sized.where(~low).select("src", "dst"), measure, hashes, seed))
+
+
+def _exact(graph: Graph, edges: DataFrame, sized: DataFrame, measure: str) -> DataFrame:
+    """(src, dst, sim) of the edges (src, dst, d_src, d_dst), by a look at the neighbours of the end that has fewer."""
+    few, other = F.when(F.col("d_src") <= F.col("d_dst"), F.col("src")).otherwise(F.col("dst")), F.when(F.col("d_src") <= F.col("d_dst"), F.col("dst")).otherwise(F.col("src"))
+    pairs = sized.select("src", "dst", few.alias("few"), other.alias("other"))
+    seen = pairs.join(edges.select(F.col("src").alias("few"), F.col("dst").alias("x")), "few")
+    both = seen.join(edges.select(F.col("src").alias("other"), F.col("dst").alias("x")), ["other", "x"]).groupBy("src", "dst").agg(F.count("*").alias("c"))
+    c = F.coalesce("c", F.lit(0)) + 2
+    sim = c / F.sqrt((F.col("d_src") + 1) * (F.col("d_dst") + 1)) if measure == "cosine" else c / (F.col("d_src") + F.col("d_dst") + 2 - c)
+    return sized.join(both, ["src", "dst"], "left").select("src", "dst", sim.alias("sim"))
+
+
+def _sketched(graph: Graph, edges: DataFrame, measure: str, hashes: int, seed: int) -> DataFrame:
+    """(src, dst, sim) of the edges (src, dst) from sketches of their ends."""
+    closed = graph.edges.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("x")).union(graph.vertices.select("id", F.col("id").alias("x")))
+    closed = closed.join(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "id", "left_semi")
     if measure == "jaccard":
         h = hash_priority("x", seed=seed)
         sketch = stored(closed.groupBy("id", (h % hashes).alias("slot")).agg(F.min(h).alias("v")), "sketch")
@@ -251,25 +277,62 @@ def k_centres(graph: Graph, k: int, first: int | None = None, epsilon: float | N
     return graph.vertices.sparkSession.createDataFrame(out, "position int, id long, radius double")
 
 
-def _cover_within(graph: Graph, radius: float, k: int, seed: int, sampled: bool) -> list[int] | None:
-    """Centres, no two within the radius, that leave nothing farther; None once more than k are needed."""
-    left, centres = stored(graph.vertices.select("id"), "kcentre"), []
+def apart(graph: Graph, candidates: DataFrame, radius: float) -> DataFrame:
+    """(id): the candidates (id) that no other one reaches within the radius.
+
+    A separating family settles it: candidates are numbered, and two numbers differ in some bit. For each bit and value the distances
+    from the candidates that have it are a column of one relaxation, two for each bit of the greatest number; a candidate is apart
+    if the opposite column is empty at it for every bit."""
+    numbered = stored(dense_ranks(candidates.select("id").join(graph.vertices.select("id"), "id", "left_semi").distinct()), "apart")
+    bits = range(max(numbered.count() - 1, 0).bit_length())
+    if not bits:
+        return numbered.select("id")
+    bit = lambda k: F.shiftright("new", k).bitwiseAND(F.lit(1))
+    zero = F.lit(0).cast(graph.edges.schema["w"].dataType)
+    start = numbered.select("id", *(F.when(bit(k) == v, zero).alias(f"d{k}_{v}") for k in bits for v in (0, 1)))
+    dist = labelled_distances(graph, start, radius)
+    met = F.lit(False)
+    for k in bits:
+        met = met | F.when(bit(k) == 1, F.col(f"d{k}_0").isNotNull()).otherwise(F.col(f"d{k}_1").isNotNull())
+    out = stored(numbered.join(dist, "id").where(~met).select("id"), "apart")
+    forget(numbered, dist)
+    return out
+
+
+def _cover_within(graph: Graph, radius: float, k: int, seed: int, sampled: bool, runs: list | None = None) -> list[int] | None:
+    """Centres, no two within the radius, that leave nothing farther; None once more than k are needed.
+
+    sampled: up to k candidates at once, in a hashed order that is another one for each trial; those apart from all others are centres.
+    A trial takes twice as many candidates as the last one where half of those were apart, and half as many where less than a quarter
+    was; a single one always is. The number of trials grows with the logarithm of the number of centres. runs gets each trial's size."""
+    left, centres, most, trial = stored(graph.vertices.select("id"), "kcentre"), [], k if sampled else 1, 0
     while not left.isEmpty():
         if len(centres) >= k:
+            forget(left)
+            return None
+        pool = left.orderBy(hash_priority("id", seed=seed + trial if sampled else seed), "id").limit(most)
+        trial += 1
+        if runs is not None:
+            runs.append(most)
+        found = (apart(graph, pool, radius) if most > 1 else pool).collect()  # at most k
+        chosen, tried = [r.id for r in found], most
+        if sampled:
+            most = min(k, most * 2) if 2 * len(chosen) >= tried else max(1, most // 2) if 4 * len(chosen) < tried else most
+        if len(centres) + len(chosen) > k:
+            forget(left)
             return None
-        order = [hash_priority("id", seed=seed), F.col("id")]
-        pool = [r.id for r in left.orderBy(*order).limit(k - len(centres) if sampled else 1).collect()]
-        chosen: list[int] = []
-        for c in pool:  # at most k
-            if not chosen or relax(graph, seeds(graph, chosen, 0), cap=radius)[0].where(F.col("id") == c).isEmpty():
-                chosen.append(c)
+        if not chosen:
+            continue
         centres += chosen
-        left = stored(left.join(relax(graph, seeds(graph, chosen, 0), cap=radius)[0], "id", "left_anti"), "kcentre")
+        near = relax(graph, seeds(graph, chosen, 0), cap=radius)[0]
+        last, left = left, stored(left.join(near, "id", "left_anti"), "kcentre")
+        forget(last, near)
+    forget(left)
     return centres
 
 
 def k_centres_by_radius(graph: Graph, k: int, seed: int = 0, sampled: bool = False, tolerance: float = 0.0) -> DataFrame:
-    """(position, id, radius): centres for the least radius, doubled and then halved in, at which a greedy (or, sampled, batchwise) distance-independent set of at most k vertices covers the graph; radius null if none does."""
+    """(position, id, radius): centres for the least radius, doubled and then halved in, at which a greedy (or, sampled, batchwise) distance-independent set of at most k vertices covers the graph; no rows if none does."""
     spark, low, high = graph.vertices.sparkSession, 0, 1
     best = _cover_within(graph, 0, k, seed, sampled)
     if best is None:

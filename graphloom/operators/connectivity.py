@@ -10,31 +10,60 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
-from graphloom.operators.paths import bfs_distance, bfs_parents
+from graphloom.operators.paths import bfs_distance, bfs_parents, low_diameter_decomposition
 from graphloom.operators.primitives import dense_ranks, first_neighbours, most_frequent
 from graphloom.runtime import finished, forget, kept, stored
 from graphloom.state import StateLog, counted, frontier_edges, keyed
 
 
 def components(graph: Graph, algorithm: str = "star", keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
-    """(id, label): weakly connected components, isolated vertices alone. algorithm: star (logarithmic rounds), hashmin (label propagation) or sampled (each vertex's two first edges, then those that leave the most frequent label). keep: only edges for which it holds."""
+    """(id, label): weakly connected components, isolated vertices alone. algorithm: star (logarithmic rounds), hashmin (label propagation), or a sample and then the edges that leave its most frequent label: sampled (each vertex's two first edges), bfs (a search from a vertex of a large component) or ldd (a low-diameter decomposition). keep: only edges for which it holds."""
     g = graph.filter_edges(keep) if keep else graph
     if algorithm == "star":
         found = star_components(g.edges.select("src", "dst")).withColumnRenamed("component", "label")
         return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    if algorithm == "sampled":
-        return _sampled(g)
+    if algorithm in SAMPLES:
+        return _finished(g, SAMPLES[algorithm](g))
     if algorithm != "hashmin":
-        raise ValueError("algorithm is star, hashmin or sampled")
+        raise ValueError(f"algorithm is star, hashmin, {', '.join(SAMPLES)}")
     both = g.edges.select("src", "dst") if not g.directed else g.edges.select("src", "dst").union(g.edges.select("dst", "src"))
     return least_reaching(both, graph.vertices.select("id"))
 
 
-def _sampled(g: Graph) -> DataFrame:
-    """(id, label): most vertices of a large component meet over few edges, so that few of the others need a look."""
-    ids = g.vertices.select("id")
-    first = star_components(first_neighbours(g, 2).select("src", "dst"))
-    label = stored(ids.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "sampled")
+def _first_edges(g: Graph) -> DataFrame:
+    """(id, label): components of each vertex's two first edges."""
+    return star_components(first_neighbours(g, 2).select("src", "dst")).withColumnRenamed("component", "label")
+
+
+def _searched(g: Graph, share: float = 0.1, trials: int = 3) -> DataFrame:
+    """(id, label): what a search from a vertex reaches, named by its least id; another vertex is taken, in hashed order, where it reaches no more than a share of all."""
+    both = g if not g.directed else Graph(g.vertices, g.edges.union(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), False)
+    n, reached = g.vertices.count(), None
+    for start in g.vertices.select("id").orderBy(hash_priority("id"), "id").limit(trials).collect():
+        forget(reached)
+        reached = bfs_distance(both, start.id)
+        found = reached.agg(F.count("*").alias("n"), F.min("id").alias("least")).first()
+        if found.n > share * n:
+            break
+    if reached is None:
+        return g.vertices.select("id", F.col("id").alias("label"))
+    return reached.select("id", F.lit(found.least).alias("label"))
+
+
+def _decomposed(g: Graph) -> DataFrame:
+    """(id, label): clusters of a low-diameter decomposition, named by their least ids."""
+    both = g if not g.directed else Graph(g.vertices, g.edges.union(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), False)
+    part = low_diameter_decomposition(both, 0.2)
+    least = part.groupBy("cluster").agg(F.min("id").alias("label"))
+    return part.join(least, "cluster").select("id", "label")
+
+
+SAMPLES = {"sampled": _first_edges, "bfs": _searched, "ldd": _decomposed}
+
+
+def _finished(g: Graph, first: DataFrame) -> DataFrame:
+    """(id, label) from labels (id, label) of a sample of the edges, least ids: most vertices of a large component meet over few edges, so that few of the others need a look."""
+    label = stored(g.vertices.select("id").join(first, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "sampled")
     top = most_frequent(label, "label").first()
     if top is None:
         return label
@@ -296,6 +325,14 @@ def biconnected(graph: Graph, rounds: list | None = None) -> DataFrame:
     return named.join(firsts, "c").select("src", "dst", F.col("f.src").alias("first_src"), F.col("f.dst").alias("first_dst"))
 
 
+def vertex_parts(graph: Graph, parts: DataFrame) -> DataFrame:
+    """(id, parent, first_src, first_dst): each vertex, its parent in the breadth-first tree of its component and the biconnected component of the edge to it; null at roots."""
+    roots = components(graph).select(F.col("label").alias("id")).distinct()
+    parent = bfs_parents(graph, stored(bfs_distance(graph, roots), "bicon")).where("id <> parent")
+    of = parent.withColumns({"src": F.least("id", "parent"), "dst": F.greatest("id", "parent")}).join(parts, ["src", "dst"]).select("id", "parent", "first_src", "first_dst")
+    return graph.vertices.select("id").join(of, "id", "left")
+
+
 def articulation_points(parts: DataFrame) -> DataFrame:
     """(id): vertices whose edges lie in several biconnected components."""
     ends = parts.select(F.col("src").alias("id"), "first_src", "first_dst").union(parts.select("dst", "first_src", "first_dst")).distinct()

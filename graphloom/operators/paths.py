@@ -121,6 +121,25 @@ def relax(graph: Graph, start: DataFrame, state: DataFrame | None = None, cap: f
     return final, changed
 
 
+def labelled_distances(graph: Graph, start: DataFrame, cap: float) -> DataFrame:
+    """(id, ...): for each column of start (id, ...), the distances up to cap from the rows that have a value there (weights of 0 or more).
+
+    All columns are relaxed together: a round joins the rows that changed with the edges once, whatever the number of columns."""
+    names = [c for c in start.columns if c != "id"]
+    edges, own = keyed(graph.edges, "src", "edges")
+    log = StateLog(start.groupBy("id").agg(*(F.min(c).alias(c) for c in names)), "labelled")
+    far = lambda c: F.when(F.col(c) + F.col("w") <= cap, F.col(c) + F.col("w"))
+    while log.changed:
+        offers = frontier_edges(edges, log.last(), *names).groupBy(F.col("dst").alias("id")).agg(*(F.min(far(c)).alias(f"new_{c}") for c in names))
+        gains = F.lit(False)
+        for c in names:
+            gains = gains | (F.col(f"new_{c}").isNotNull() & (F.col(c).isNull() | (F.col(f"new_{c}") < F.col(c))))
+        log.append(offers.join(log.current(), "id", "left").where(gains).select("id", *(F.least(c, f"new_{c}").alias(c) for c in names)))
+    if own:
+        forget(edges)
+    return log.close()
+
+
 def _improved(offers: DataFrame, known: DataFrame, gains: Column) -> DataFrame:
     """The offers (id, dist) that no known row (id, dist) is as good as."""
     both = offers.select("id", F.col("dist").alias("new")).join(known.select("id", "dist"), "id", "left")
@@ -335,4 +354,4 @@ def spanner(graph: Graph, k: int = 4, seed: int = 0) -> DataFrame:
     return tree.union(between).distinct()
 
 
-__all__ = ["DynamicPaths", "NegativeCycleError", "betweenness", "bfs", "bfs_distance", "bfs_parents", "low_diameter_decomposition", "relax", "repair", "seeds", "spanner", "sssp", "star_components", "widest_path"]
+__all__ = ["DynamicPaths", "NegativeCycleError", "betweenness", "bfs", "bfs_distance", "bfs_parents", "labelled_distances", "low_diameter_decomposition", "relax", "repair", "seeds", "spanner", "sssp", "star_components", "widest_path"]

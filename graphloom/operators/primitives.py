@@ -32,9 +32,11 @@ def edge_map(graph: Graph, frontier: DataFrame, value: Column | None = None, red
     return hit.groupBy(F.col(b).alias("id")).agg(reduce(F.col(a) if value is None else value).alias("value"))
 
 
-def edge_map_induced(graph: Graph, frontier: DataFrame) -> DataFrame:
-    """(id): the multiset of the frontier's neighbours."""
-    return graph.edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
+def edge_map_induced(graph: Graph, frontier: DataFrame, direction: str = "out", distinct: bool = False) -> DataFrame:
+    """(id): the multiset of the frontier's neighbours along or (direction "in") against the edges, or the set of them."""
+    a, b = ("src", "dst") if direction == "out" else ("dst", "src")
+    hit = graph.edges.join(frontier.select(F.col("id").alias(a)), a).select(F.col(b).alias("id"))
+    return hit.distinct() if distinct else hit
 
 
 def edge_map_count(graph: Graph, frontier: DataFrame) -> DataFrame:

@@ -616,6 +616,17 @@ def simhash_similarity(spark, sf_dir):
     return rounded(clustering.approximate_similarities(parts(spark, sf_dir), "cosine", 64), "sim")
 
 
+@query()
+def minhash_similarity_threshold(spark, sf_dir):
+    """Edges with an end of fewer than 8 neighbours exactly, the others from sketches."""
+    return rounded(clustering.approximate_similarities(parts(spark, sf_dir), threshold=8), "sim")
+
+
+@query()
+def simhash_similarity_threshold(spark, sf_dir):
+    return rounded(clustering.approximate_similarities(parts(spark, sf_dir), "cosine", 64, threshold=8), "sim")
+
+
 SCAN = f"""near as (select a, b, x from sim where x >= 0.6), core as (select a v from near group by a having count(*) >= 2),
 k as (select near.* from near join core p on p.v = a join core q on q.v = b),
 cc(v, l) using key (v) as (
@@ -717,6 +728,16 @@ def k_centres_sampled(spark, sf_dir):
     return clustering.k_centres_by_radius(friends(spark, sf_dir), 4, sampled=True)
 
 
+@query(f"""with recursive {PART}, cand as (select distinct a from s where a % 5 = 0), r(c, v, d) using key (c, v) as (
+  select a, a, 0::bigint from cand union
+  select r.c, s.b, min(r.d + s.w) from r join s on s.a = r.v left join recurring.r o on o.v = s.b and o.c = r.c where r.d + s.w <= 4 group by r.c, s.b, o.d having o.d is null or min(r.d + s.w) < o.d)
+select a as id from cand where a not in (select v from r where c <> v)""")
+def separated_vertices(spark, sf_dir):
+    """Of every fifth vertex, those that have no other one within distance 4."""
+    g = parts(spark, sf_dir)
+    return clustering.apart(g, g.vertices.where("id % 5 = 0"), 4)
+
+
 @query(f"with recursive {SYM}, {SSSP.replace('select v, 0::bigint from src', 'select distinct a, 0::bigint from s where a in (1, 2)')} select max(d) as radius, (select count(distinct a) from s) - count(*) as unreachable from r")
 def centre_quality(spark, sf_dir):
     return clustering.centre_quality(friends(spark, sf_dir), [1, 2])

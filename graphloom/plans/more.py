@@ -127,6 +127,18 @@ left join (select s.a, s.b, count(*) both_, count(*) filter (where x.v = y.v) sa
 SQL["simhash_similarity"] = f"""with {PART}, {CLOSED}, bits as (select a, g bit, sum(2 * (({hashed('x', seed='(g // 48)')} >> (g % 48)) & 1) - 1) >= 0 v from c, range(0, 64) t(g) group by 1, 2)
 select s.a as src, s.b as dst, round(cos(pi() * (count(*) filter (where x.v <> y.v) / 64.0)), 6) as sim from s join bits x on x.a = s.a join bits y on y.a = s.b and y.bit = x.bit group by s.a, s.b"""
 
+DEGREE = "dg as (select a, count(*) n from s group by a)"
+LOW = "(least(p.n, q.n) < 8)"
+COMMON = "cm as (select s.a, s.b, count(y.b) c from s join s x on x.a = s.a left join s y on y.a = s.b and y.b = x.b group by 1, 2)"
+SQL["minhash_similarity_threshold"] = f"""with {PART}, {CLOSED}, {DEGREE}, {COMMON}, sk as (select a, {hashed('x')} % 128 slot, min({hashed('x')}) v from c group by 1, 2), f as (select a, count(*) n from sk group by a),
+z as (select s.a, s.b, count(*) both_, count(*) filter (where x.v = y.v) same from s join sk x on x.a = s.a join sk y on y.a = s.b and y.slot = x.slot group by 1, 2)
+select s.a as src, s.b as dst, round(case when {LOW} then (cm.c + 2) / (p.n + q.n - cm.c)::double else coalesce(z.same, 0) / (u.n + t.n - coalesce(z.both_, 0))::double end, 6) as sim
+from s join dg p on p.a = s.a join dg q on q.a = s.b join cm on cm.a = s.a and cm.b = s.b join f u on u.a = s.a join f t on t.a = s.b left join z on z.a = s.a and z.b = s.b"""
+SQL["simhash_similarity_threshold"] = f"""with {PART}, {CLOSED}, {DEGREE}, {COMMON}, bits as (select a, g bit, sum(2 * (({hashed('x', seed='(g // 48)')} >> (g % 48)) & 1) - 1) >= 0 v from c, range(0, 64) t(g) group by 1, 2),
+h as (select s.a, s.b, cos(pi() * (count(*) filter (where x.v <> y.v) / 64.0)) sim from s join bits x on x.a = s.a join bits y on y.a = s.b and y.bit = x.bit group by s.a, s.b)
+select s.a as src, s.b as dst, round(case when {LOW} then (cm.c + 2) / sqrt((p.n + 1) * (q.n + 1)) else h.sim end, 6) as sim
+from s join dg p on p.a = s.a join dg q on q.a = s.b join cm on cm.a = s.a and cm.b = s.b join h on h.a = s.a and h.b = s.b"""
+
 
 def _decomposition(beta: str) -> str:
     return f"""rk as (select a v, row_number() over (order by {hashed('a')}, a) - 1 r, count(*) over () n, {beta} beta from (select distinct a from s)),
@@ -159,6 +171,22 @@ f{j} as materialized (select v, d from r{j}), c{j + 1} as materialized (select a
 SQL["k_centres"] = _centres(3, "(d is not null), -d, a")
 SQL["k_centres_approximate"] = _centres(3, f"case when d is null then '-infinity'::double when d <= 0 then 1 else -ceil(ln(d) / {math.log1p(0.25)!r}) end, {hashed('a')}, a")
 
+# the greedy cover of every radius up to 32, then the doubling and halving search over which of them need 4 centres at most
+SQL["k_centres_by_radius"] = f"""with recursive {SYM}, h as materialized (select a v, {hashed('a')} k from (select distinct a from s)),
+d(c, v, d) using key (c, v) as (
+  select v, v, 0::bigint from h union
+  select d.c, s.b, min(d.d + s.w) from d join s on s.a = d.v left join recurring.d o on o.v = s.b and o.c = d.c group by d.c, s.b, o.d having o.d is null or min(d.d + s.w) < o.d),
+near as materialized (select d.c, d.v, d.d, (y.k, y.v) < (x.k, x.v) earlier from d join h x on x.v = d.c join h y on y.v = d.v where d.c <> d.v),
+m(i, r, v, st) as (
+  select 0, r, v, 0 from h, range(0, 33) t(r) union all
+  select m.i + 1, m.r, m.v, case when m.st <> 0 then m.st when coalesce(bool_or(o.st = 1), false) then 2 when not coalesce(bool_or(o.st = 0 and near.earlier), false) then 1 else 0 end
+  from m left join near on near.c = m.v and near.d <= m.r left join m o on o.v = near.v and o.r = m.r and o.i = m.i where m.i < 16 group by m.i, m.r, m.v, m.st),
+ok as materialized (select r, count(*) filter (where st = 1) <= 4 and count(*) filter (where st = 0) = 0 ok from m where i = 16 group by r),
+z(lo, hi) as (
+  select hi // 2, hi from (select min(r) hi from ok where ok and r in (0, 1, 2, 4, 8, 16, 32)) union all
+  select case when ok then lo else r end, case when ok then r else hi end from z join ok on r = (lo + hi) // 2 where hi - lo > 1)
+select (row_number() over (order by h.k, h.v) - 1)::int as position, h.v as id, m.r::double as radius from m join h using (v) where m.i = 16 and m.st = 1 and m.r = (select min(hi) from z)"""
+
 SQL["set_cover"] = f"""with recursive {PART}, l(i, id, e) as (
   select 0, a, b from s union all
   select i + 1, id, e from (select i, id, e, bool_or(won) over (partition by i, e) gone from (
@@ -269,6 +297,18 @@ def components_sampled(spark, sf_dir):
     return connectivity.components(parts(spark, sf_dir), "sampled")
 
 
+@query(f"with recursive {PART}, {CC} select v as id, l as label from cc")
+def components_by_search(spark, sf_dir):
+    """What a search reaches first, then only the edges that leave the most frequent label."""
+    return connectivity.components(parts(spark, sf_dir), "bfs")
+
+
+@query(f"with recursive {PART}, {CC} select v as id, l as label from cc")
+def components_by_decomposition(spark, sf_dir):
+    """Clusters of a low-diameter decomposition first."""
+    return connectivity.components(parts(spark, sf_dir), "ldd")
+
+
 @query(f"with {SYM}, r as (select *, row_number() over (order by w, a, b) k from und) select a as src, b as dst, w from r where k <= 100")
 def lightest_edges(spark, sf_dir):
     return primitives.lightest_edges(friends(spark, sf_dir), 100)
@@ -360,6 +400,13 @@ def weight_histogram(spark, sf_dir):
     return primitives.histogram(flow(spark, sf_dir).edges, "w")
 
 
+@query(f"""with {FLOW}, p as (select * from e order by {hashed('a', 'b', seed=42)}, a, b limit 100)
+select 'all' as part, count(*) as n, min(w) as least, avg(w) as mean, max(w) as greatest from e union all select 'sample', count(*), min(w), avg(w), max(w) from p""")
+def weight_summary(spark, sf_dir):
+    """Of all weights and of those of 100 edges in hashed order."""
+    return files.weight_summary(flow(spark, sf_dir), 100)
+
+
 @query("""with st as (select o_custkey trip, o_orderkey k, o_orderkey % 40 stop from orders),
 ord as (select *, row_number() over (partition by trip order by k) r from st),
 step as (select stop a, lead(stop) over w b, (lead(r) over w * 60 + lead(k) over w % 30) - (r * 60 + k % 30) t from ord window w as (partition by trip order by r))

@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators.primitives import degree_order, dense_ranks
-from graphloom.runtime import stored
+from graphloom.functions.scalars import hash_priority
+from graphloom.runtime import forget, stored
 
 BLOCK = 1 << 16
+SPAN, MOST = 1 << 22, 10_000  # edges of a binary file in a task; tasks at once
 
 
 def read_edge_list(spark: SparkSession, path: str, weighted: bool = False, directed: bool = False, dense: bool = True) -> Graph:
@@ -127,27 +129,57 @@ def write_binary(graph: Graph, path: str, weighted: bool = False) -> None:
     every.withColumn("block", F.floor(F.col("src") / BLOCK)).groupBy("block").applyInArrow(write, "first long").collect()  # a row for each file
 
 
-def read_binary(spark: SparkSession, path: str, directed: bool = False, weighted: bool = False) -> Graph:
-    """Compressed rows as write_binary() makes them, or one file of a whole graph; a file is a task, as its offsets are needed together."""
+def _opened(path: str):
+    system, base = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    return system.open_input_file(base)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def read_binary(spark: SparkSession, path: str, directed: bool = False, weighted: bool = False, span: int = SPAN) -> Graph:
+    """Compressed rows as write_binary() makes them, or one file of a whole graph.
+
+    A task reads span edges of a file by their byte range: it finds their first vertex by bisection of the file's offsets and walks on from
+    there, a piece at a time, so neither a file nor a vertex of very many edges has to fit into a task."""
+    wide = 4 * (1 + weighted)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name in batch.column(0).to_pylist():
                 found = re.search(r"rows-([0-9]+)\.bin$", name)
-                first = int(found[1]) if found else 0
-                n, m, _ = struct.unpack_from("<3q", raw)
-                offsets = np.frombuffer(raw, "<i8", n + 1, 24)
-                body = np.frombuffer(raw, "<u4", m * (1 + weighted), 24 + 8 * (n + 1)).reshape(m, -1)
-                owner = np.repeat(np.arange(first, first + n), np.diff(offsets))
-                yield pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64())], ["src", "dst", "w"])
-                for at in range(0, m, 1 << 16):
-                    part = body[at : at + (1 << 16)]
-                    w = part[:, 1].astype("<u4").view("<i4").astype(np.int64) if weighted else np.ones(len(part), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(owner[at : at + (1 << 16)]), pa.array(part[:, 0].astype(np.int64)), pa.array(w)], ["src", "dst", "w"])
-
-    rows = stored(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "src long, dst long, w long"), "binary")
-    n = rows.where("dst = -1").agg(F.max("src")).first()[0] or 0
-    return Graph(spark.range(n).select("id", F.lit(None).cast("double").alias("weight")), rows.where("dst >= 0"), directed)
+                with _opened(name) as source:
+                    n, m, _ = struct.unpack("<3q", source.read_at(24, 0))
+                least = np.arange(0, max(m, 1), span)
+                cells = [pa.array([name] * len(least)), *(pa.array(np.full(len(least), x), pa.int64()) for x in (int(found[1]) if found else 0, n, m)), pa.array(least)]
+                yield pa.RecordBatch.from_arrays(cells, ["path", "first", "n", "m", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, first, n, m, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(name) as source:
+                    yield from edges(source, first, n, least, min(m, least + span))
+
+    def edges(source, first: int, n: int, at: int, end: int) -> Iterator[pa.RecordBatch]:
+        offset = lambda v: struct.unpack("<q", source.read_at(8, 24 + 8 * v))[0]
+        low, high = 0, n  # the last vertex whose edges begin at this place or before
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if offset(mid) <= at else (low, mid)
+        while at < end:
+            known = np.frombuffer(source.read_at(8 * (min(n, low + BLOCK) + 1 - low), 24 + 8 * low), "<i8")
+            stop = min(end, int(known[-1]), at + BLOCK)
+            body = np.frombuffer(source.read_at(wide * (stop - at), 24 + 8 * (n + 1) + wide * at), "<u4").reshape(stop - at, 1 + weighted)
+            owner = low + np.searchsorted(known, np.arange(at, stop), "right") - 1
+            w = body[:, 1].astype("<u4").view("<i4").astype(np.int64) if weighted else np.ones(len(body), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(owner + first), pa.array(body[:, 0].astype(np.int64)), pa.array(w)], ["src", "dst", "w"])
+            at = stop
+            low += int(np.searchsorted(known, at, "right")) - 1 if at < known[-1] else len(known) - 1
+
+    names = spark.read.format("binaryFile").load(path).select("path")  # the files' contents are not read here
+    parts = stored(names.mapInArrow(spans, "path string, first long, n long, m long, least long"), "binary")
+    n = parts.agg(F.max(F.col("first") + F.col("n"))).first()[0] or 0
+    dealt = parts.repartition(max(1, min(parts.count(), MOST)), "path", "least")
+    rows = stored(dealt.mapInArrow(run, "src long, dst long, w long"), "binary")
+    forget(parts)
+    return Graph(spark.range(n).select("id", F.lit(None).cast("double").alias("weight")), rows, directed)
 
 
 def write_parquet(graph: Graph, path: str) -> None:
@@ -165,6 +197,28 @@ def cleaned(graph: Graph) -> Graph:
     return g.relabelled(dense_ranks(g.vertices.select("id")))
 
 
+def write_parts(rows: DataFrame, path: str) -> None:
+    """The biconnected components by vertex, as connectivity.vertex_parts() gives them: lines "id parent src dst", src and dst naming the component of the edge to the parent; an id alone is a root."""
+    rows.select(F.concat_ws(" ", "id", "parent", "first_src", "first_dst")).write.text(path)
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, parent, first_src, first_dst) of such lines."""
+    cells = F.split("value", " ")
+    return spark.read.text(path).select(*(F.get(cells, F.lit(k)).cast("long").alias(c) for k, c in enumerate(("id", "parent", "first_src", "first_dst"))))
+
+
+def weight_sample(graph: Graph, k: int = 100, seed: int = 42) -> DataFrame:
+    """(src, dst, w): k edges, the first in hashed order, the same ones each time; partitions keep their first k, no task sorts all edges."""
+    return graph.edges.orderBy(hash_priority("src", "dst", seed=seed), "src", "dst").limit(k).select("src", "dst", "w")
+
+
+def weight_summary(graph: Graph, k: int = 100, seed: int = 42) -> DataFrame:
+    """(part, n, least, mean, greatest) of all weights and of those in the sample."""
+    stats = lambda rows, part: rows.agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.min("w").alias("least"), F.avg("w").alias("mean"), F.max("w").alias("greatest"))
+    return stats(graph.edges, "all").union(stats(weight_sample(graph, k, seed), "sample"))
+
+
 def summary(graph: Graph) -> DataFrame:
     """(vertices, edges, isolated, least_degree, mean_degree, greatest_degree, least_w, mean_w, greatest_w)."""
     d = graph.degrees().agg(F.count("*").alias("vertices"), F.sum("degree").alias("edges"), F.count_if(F.col("degree") == 0).alias("isolated"), F.min("degree").alias("least_degree"), F.avg("degree").alias("mean_degree"), F.max("degree").alias("greatest_degree"))

@@ -2,6 +2,7 @@ import struct
 
 import pytest
 
+from graphloom.operators import connectivity
 from graphloom.sources import files, generators
 from graphloom.streaming import incremental
 from tests.graphs import make
@@ -44,6 +45,52 @@ def test_binary_and_parquet(spark, tmp_path):
     assert edges(files.read_parquet(spark, str(tmp_path / "pq"), True)) == edges(g)
 
 
+@pytest.mark.parametrize("span", [1, 2, 7, 1000])
+def test_binary_in_spans(spark, tmp_path, span):
+    """A hub over several spans, vertices without edges at the start, between and at the end."""
+    near = {2: [(5, -3), (6, 4)], 3: [(k, k) for k in range(20)], 9: [(1, 7)]}
+    rows = [(a, b, w) for a, found in near.items() for b, w in found]
+    offsets = [sum(len(near.get(u, [])) for u in range(v)) for v in range(13)]
+    raw = struct.pack("<3q", 12, len(rows), 0) + struct.pack("<13q", *offsets) + b"".join(struct.pack("<Ii", b, w) for _, b, w in rows)
+    (tmp_path / "bin").write_bytes(raw)
+    g = files.read_binary(spark, str(tmp_path / "bin"), directed=True, weighted=True, span=span)
+    assert edges(g) == sorted(rows) and g.vertices.count() == 12
+    (tmp_path / "none").write_bytes(struct.pack("<4q", 0, 0, 0, 0))
+    assert files.read_binary(spark, str(tmp_path / "none")).vertices.count() == 0
+
+
+def test_binary_skips_blocks_of_lone_vertices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BLOCK", 4)
+    g = make(spark, [(0, 1), (0, 2), (25, 26), (25, 27), (1, 30)], 40)
+    files.write_binary(g, str(tmp_path / "rows"))
+    raw = struct.pack("<3q", 40, 10, 0) + struct.pack("<41q", *[sum(1 for a, _, _ in edges(g) if a < v) for v in range(41)]) + b"".join(struct.pack("<I", b) for _, b, _ in edges(g))
+    (tmp_path / "one").write_bytes(raw)
+    for place in ("rows", "one"):
+        assert edges(files.read_binary(spark, str(tmp_path / place), span=3)) == edges(g)
+
+
+def test_weight_sample(spark):
+    g = make(spark, [(0, k, k) for k in range(1, 40)])
+    sample = files.weight_sample(g, 10).collect()
+    assert sample == files.weight_sample(g, 10).collect() and len(sample) == 10
+    got = {r.part: r for r in files.weight_summary(g, 10).collect()}
+    assert (got["all"].n, got["all"].least, got["all"].greatest, got["all"].mean) == (78, 1, 39, 20.0)
+    assert got["sample"].least == min(r.w for r in sample) and got["sample"].n == 10
+    assert files.weight_sample(g, 1000).count() == 78
+
+
+def test_parts_of_vertices_as_a_file(spark, tmp_path):
+    g = make(spark, BROKEN, 11)
+    parts = connectivity.biconnected(g)
+    rows = connectivity.vertex_parts(g, parts)
+    files.write_parts(rows, str(tmp_path / "parts"))
+    back = {tuple(r) for r in files.read_parts(spark, str(tmp_path / "parts")).collect()}
+    assert back == {tuple(r) for r in rows.collect()}
+    of = {(r.src, r.dst): (r.first_src, r.first_dst) for r in parts.collect()}
+    assert {(0, None, None, None), (2, None, None, None)} <= back and len(back) == 11
+    assert all(of[min(v, p), max(v, p)] == (a, b) for v, p, a, b in back if p is not None)
+
+
 def test_cleaning(spark):
     g = files.cleaned(make(spark, [(3, 7, 4), (7, 9, 2)], 12))
     assert edges(g) == [(0, 1, 4), (1, 0, 4), (1, 2, 2), (2, 1, 2)]

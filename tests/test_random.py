@@ -3,6 +3,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import clustering, connectivity, covering, paths, patterns, primitives
 from tests.graphs import dijkstra, make, neighbours, pairs, random_edges, reach
@@ -132,6 +133,44 @@ def test_centres(graph):
     assert tuple(clustering.centre_quality(graph, chosen).first()) == (max(dist.values()), N - len(dist))
 
 
+def test_candidates_apart(graph):
+    for step, radius in ((3, 4), (2, 0), (N, 5)):
+        chosen = [v for v in range(0, N, step)]
+        want = {v for v in chosen if not any(0 <= dijkstra(EDGES, [u]).get(v, radius + 1) <= radius for u in chosen if u != v)}
+        assert {r.id for r in clustering.apart(graph, graph.vertices.where(F.col("id") % step == 0), radius).collect()} == want
+    assert clustering.apart(graph, graph.vertices.where("id < 0"), 3).isEmpty()
+
+
+def test_cover_by_samples_on_a_path(spark):
+    """Some 13 centres would take as many relaxations one by one."""
+    path = make(spark, [(k, k + 1) for k in range(29)])
+    runs = []
+    centres = clustering._cover_within(path, 1, 20, 0, True, runs)
+    assert len(centres) >= 10 and len(runs) <= 10 and all(abs(a - b) > 1 for a in centres for b in centres if a != b)
+    assert all(any(abs(v - c) <= 1 for c in centres) for v in range(30))
+    assert clustering._cover_within(path, 1, 2, 0, True) is None
+
+
+def test_components_from_samples(spark, graph):
+    want = pairs(connectivity.components(graph))
+    for algorithm in ("bfs", "ldd", "sampled"):
+        assert pairs(connectivity.components(graph, algorithm)) == want
+        split = make(spark, [(0, 1), (2, 3), (3, 4), (9, 7)], 11, directed=True)
+        assert pairs(connectivity.components(split, algorithm)) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 7: 7, 9: 7, 5: 5, 6: 6, 8: 8, 10: 10}
+        assert pairs(connectivity.components(make(spark, [(0, 1)]).filter_edges(lambda a, b, w: a == b), algorithm)) == {0: 0, 1: 1}
+
+
+@pytest.mark.parametrize("measure", ["jaccard", "cosine"])
+def test_low_degrees_have_exact_similarities(graph, measure):
+    table = lambda rows: {(r.src, r.dst): round(r.sim, 9) for r in rows.collect()}
+    exact, rough = table(clustering.similarities(graph, measure)), table(clustering.approximate_similarities(graph, measure))
+    degree = {v: len(x) for v, x in neighbours(EDGES).items()}
+    most = sorted(degree.values())[len(degree) // 2]
+    got = table(clustering.approximate_similarities(graph, measure, threshold=most))
+    assert got == {(a, b): (exact if min(degree[a], degree[b]) < most else rough)[a, b] for a, b in exact}
+    assert table(clustering.approximate_similarities(graph, measure, threshold=10**6)) == exact
+
+
 def test_decomposition_and_spanner(graph):
     part = paths.low_diameter_decomposition(graph, 0.8)
     rows = part.collect()
