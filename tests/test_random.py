@@ -153,7 +153,7 @@ def test_cover_by_samples_on_a_path(spark):
 
 def test_components_from_samples(spark, graph):
     want = pairs(connectivity.components(graph))
-    for algorithm in ("bfs", "ldd", "sampled"):
+    for algorithm in ("bfs", "ldd"):
         assert pairs(connectivity.components(graph, algorithm)) == want
         split = make(spark, [(0, 1), (2, 3), (3, 4), (9, 7)], 11, directed=True)
         assert pairs(connectivity.components(split, algorithm)) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 7: 7, 9: 7, 5: 5, 6: 6, 8: 8, 10: 10}
