@@ -31,9 +31,14 @@ def geometric_bucket(distance: Column, alpha: float) -> Column:
 
 def hash_priority(*keys: Column | str, seed: int | Column = 0) -> Column:
     """60 bits of a hash that any SQL engine can repeat: the first 15 hexadecimal digits of the MD5 of the keys and the seed, joined by bars."""
+    return hash_digits(*keys, seed=seed)
+
+
+def hash_digits(*keys: Column | str, seed: int | Column = 0, first: int = 1) -> Column:
+    """The hexadecimal digits of hash_priority() from a place (1 to 15) on, as a number: the later it is, the less there is to convert."""
     named = [F.col(k) if isinstance(k, str) else k for k in keys]
     text = F.concat_ws("|", *(k.cast("string") for k in named), (F.lit(seed) if isinstance(seed, int) else seed).cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), first, 16 - first), 16, 10).cast("long")
 
 
 def bernoulli(p: float, *keys: Column | str, seed: int = 0) -> Column:

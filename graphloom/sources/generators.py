@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import clock_seconds, hash_priority, haversine, uniform_weight
+from graphloom.functions.scalars import clock_seconds, hash_digits, hash_priority, haversine, uniform_weight
 from graphloom.graph import Graph
+from graphloom.runtime import stored
 
 
 def rmat(spark: SparkSession, scale: int, edges: int, a: float = 0.5, b: float = 0.1, c: float = 0.1, seed: int = 0) -> Graph:
-    """2 ** scale vertices; every edge picks one of four quadrants at each level."""
+    """2 ** scale vertices; every edge picks one of four quadrants at each level. A level costs one hash, and every edge is made once."""
+    # its low 30 bits are in its last 8 digits
+    low = F.transform(F.sequence(F.lit(1), F.lit(scale)), lambda level: hash_digits("id", level, seed=seed, first=8) % (1 << 30) / (1 << 30))
 
-    def unit(level: F.Column) -> F.Column:
-        return hash_priority("id", level, seed=seed) % (1 << 30) / (1 << 30)
+    def deeper(ends, u) -> F.Column:
+        right, down = u >= a + b, ((u >= a) & (u < a + b)) | (u >= a + b + c)
+        return F.struct(*((2 * ends[k] + F.when(x, 1).otherwise(0)).cast("long").alias(k) for k, x in (("src", right), ("dst", down))))
 
-    def ends(pick) -> F.Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(scale)), F.lit(0).cast("long"), lambda acc, level: 2 * acc + pick(unit(level)))
-
-    src = ends(lambda u: F.when(u >= a + b, 1).otherwise(0).cast("long"))
-    dst = ends(lambda u: F.when(((u >= a) & (u < a + b)) | (u >= a + b + c), 1).otherwise(0).cast("long"))
-    e = spark.range(edges).select(src.alias("src"), dst.alias("dst"))
-    return Graph.from_edges(e, vertices=spark.range(1 << scale))
+    start = F.struct(F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"))
+    e = spark.range(edges).select(F.aggregate(low, start, deeper).alias("e")).select("e.src", "e.dst")
+    # written as they are: a filter on the ends, or a second direction, would make them anew
+    return Graph.from_edges(stored(e, "rmat"), vertices=spark.range(1 << scale))
 
 
 def erdos_renyi(spark: SparkSession, n: int, edges: int, most_weight: int = 1, seed: int = 0) -> Graph:
@@ -33,8 +34,6 @@ def erdos_renyi(spark: SparkSession, n: int, edges: int, most_weight: int = 1, s
 
 def barabasi_albert(spark: SparkSession, n: int, per_vertex: int, seed: int = 0) -> Graph:
     """Preferential attachment by slots: edge slot s copies an end of a hashed earlier slot; chains of copies are followed by pointer jumping, in logarithmically many rounds."""
-    from graphloom.runtime import stored
-
     slots = spark.range(per_vertex, n * per_vertex).select(F.col("id").alias("slot"), F.floor(F.col("id") / per_vertex).alias("src"))
     r = hash_priority("slot", seed=seed) % (2 * F.col("src") * per_vertex)
     picked = slots.withColumn("r", r)

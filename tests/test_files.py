@@ -105,6 +105,22 @@ def test_generators(spark):
     assert weights.alias("a").join(weights.alias("b"), "src").count() > 0
 
 
+def test_rmat_makes_its_edges_once(spark):
+    """Neither direction of the edges holds a hash to evaluate, and they are those of a plain loop."""
+    import hashlib
+
+    g = generators.rmat(spark, 4, 40)
+    assert "md5" not in g.edges._jdf.queryExecution().toString()
+    made = set()
+    for k in range(40):
+        x = y = 0
+        for level in range(1, 5):
+            u = int(hashlib.md5(f"{k}|{level}|0".encode()).hexdigest()[:15], 16) % (1 << 30) / (1 << 30)
+            x, y = 2 * x + (u >= 0.6), 2 * y + (0.5 <= u < 0.6 or u >= 0.5 + 0.1 + 0.1)
+        made |= {(x, y), (y, x)} if x != y else set()
+    assert {(r.src, r.dst) for r in g.edges.collect()} == made
+
+
 def test_transit_and_roads(spark):
     stops = spark.createDataFrame([("t", 1, 10, "08:00:00", "08:01:00"), ("t", 2, 11, "08:05:30", "08:06:00"), ("t", 3, 12, "25:00:00", "25:00:00"), ("u", 1, 10, "9:00:00", "9:00:00"), ("u", 2, 11, "9:03:00", "9:03:00")], "trip_id string, stop_sequence int, stop_id long, arrival_time string, departure_time string")
     assert sorted(map(tuple, generators.transit_edges(stops).collect())) == [(10, 11, 180), (11, 12, 25 * 3600 - (8 * 3600 + 6 * 60))]
