@@ -9,12 +9,19 @@ from graphloom.graph import Graph
 from graphloom.runtime import stored, table
 
 SUPPLIER_OFFSET = 1_000_000_000
+#: Rows of lineitem for each task that pairs them.
+LINES = 1 << 18
 
 
 def part_pairs(lineitem: DataFrame, least: int = 2) -> DataFrame:
-    """(src, dst, w): parts src < dst bought together in at least that many different orders."""
-    item = lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    return item.withColumnRenamed("p", "src").join(item.withColumnRenamed("p", "dst"), "o").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w")).where(F.col("w") >= least)
+    """(src, dst, w): parts src < dst bought together in at least that many different orders.
+
+    Orders, and then the pairs, are dealt to tasks of about LINES lines, however many there are: pairs hardly repeat, so a task holds nearly all
+    that it gets. Counting before they are dealt would hold them twice; a pair that many orders have is a count in the task that gets it."""
+    tasks = max(lineitem.sparkSession.sparkContext.defaultParallelism, -(-lineitem.count() // LINES))
+    item = lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).repartition(tasks, "o").distinct()
+    both = item.withColumnRenamed("p", "src").join(item.withColumnRenamed("p", "dst"), "o").where("src < dst").select("src", "dst")
+    return both.repartition(tasks, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("w")).where(F.col("w") >= least)
 
 
 def part_graph(spark: SparkSession, sf_dir: str, isolated: bool = False) -> Graph:

@@ -107,3 +107,22 @@ def test_index_reads_partitions_of_its_prefix(spark):
     core = index.cores(3, 0.6)._jdf.queryExecution().executedPlan().toString()
     assert "(power" in core and "= 1)" in core and ">= 12)" in core
     assert index.near(0.6).where(F.col("sim") < 0.6).isEmpty()
+
+
+def test_part_pairs_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Ten times the lines are dealt to ten times the tasks, with the same counts as a plain loop's."""
+    from collections import Counter
+    from itertools import combinations
+
+    from graphloom.sources import graphs
+
+    monkeypatch.setattr(graphs, "LINES", 20)
+    for orders in (100, 1000):
+        lines = [(o, (o * k * 7 + k) % 23) for o in range(orders) for k in range(1 + o % 5)]
+        found = graphs.part_pairs(spark.createDataFrame(lines, "l_orderkey long, l_partkey long"))
+        assert found.rdd.getNumPartitions() >= len(lines) // 20
+        baskets = {}
+        for o, p in lines:
+            baskets.setdefault(o, set()).add(p)
+        want = Counter(e for own in baskets.values() for e in combinations(sorted(own), 2))
+        assert {(r.src, r.dst): r.w for r in found.collect()} == {e: n for e, n in want.items() if n >= 2}
