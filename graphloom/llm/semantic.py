@@ -37,7 +37,7 @@ from graphloom.llm import textops as T
 PASSAGE, STEP, FEATURES, RANK, OVER, SIGNS = 64, 4, 1 << 15, 96, 16, 4
 WIDTHS, REACH, RUN, FILTER = (8, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256), 32, 5, 20
 COSINE, COVER, ANSWER, ITEMS, ITEM_BYTES = 0.5, 0.7, 5, 4096, 8 << 20
-ROWS, PIECE, CELLS = 1 << 11, 1 << 18, 1 << 22
+ROWS, PIECE, CELLS, BLOCK = 1 << 11, 1 << 18, 1 << 22, 1 << 17
 TRAIL = np.zeros(256, bool)
 TRAIL[[ord(c) for c in ".,;:!?\"')"]] = True
 
@@ -137,10 +137,12 @@ def _gram(docs: DataFrame, basis: np.ndarray) -> np.ndarray:
             for part in T.slices(batch, most=8 << 20):
                 feature, owner, _ = _passages(part.column(0))
                 first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+                edge = np.append(first, len(owner))
                 for k in range(0, len(first), 512):
-                    some = first[k : k + 512]
-                    stop = first[k + 512] if k + 512 < len(first) else len(owner)
-                    rows = np.add.reduceat(basis[feature[some[0] : stop]], some - some[0], axis=0)
+                    rows = np.empty((min(512, len(first) - k), columns), basis.dtype)
+                    for j in range(0, len(rows), 16):  # so few that their words' rows stay in the cache
+                        some = edge[k + j : min(k + j + 16, k + len(rows)) + 1]
+                        rows[j : j + 16] = np.add.reduceat(np.take(basis, feature[some[0] : some[-1]], axis=0), some[:-1] - some[0], axis=0)
                     total += rows.T @ rows
         yield pa.RecordBatch.from_pydict({"gram": [total.tobytes()]})
 
@@ -181,11 +183,12 @@ class Items:
         self.vectors = _unit(vectors).astype(np.float32)
         self.size = np.diff(per)
         self.masks, self.answer_masks, self.answer_size, self.known = [], [], [], []
+        self.vocabulary, number = np.unique(hashes, return_inverse=True)
         for k in range(len(ids)):
             own, ends = hashes[per[k] : per[k + 1]].tolist(), np.flatnonzero(closes[per[k] : per[k + 1]])
             ends = ends[ends < len(own) - ANSWER]
             begin = int(ends[-1]) + 1 if len(ends) else max(0, len(own) - 2 * ANSWER)
-            self.known.append(np.unique(hashes[per[k] : per[k + 1]], return_counts=True))
+            self.known.append(np.unique(number[per[k] : per[k + 1]], return_counts=True))
             self.masks.append(self._mask(own))
             self.answer_masks.append(self._mask(own[begin:]))
             self.answer_size.append(len(own) - begin)
@@ -211,18 +214,27 @@ class Items:
             out[w] = out.get(w, 0) | (1 << k)
         return out
 
+    def numbered(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's place among all words of the items; one beyond them for other words."""
+        most = len(self.vocabulary)
+        if not most:
+            return np.zeros(len(hashes), np.int32)
+        spot = np.searchsorted(self.vocabulary, hashes)
+        spot[self.vocabulary[np.minimum(spot, most - 1)] != hashes] = most
+        return spot.astype(np.int32)
+
     def bound(self, k: int, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The most words that a common subsequence with each region [lo, hi) can have: each as often as in both."""
+        """The most words that a common subsequence with each region [lo, hi) of numbered words can have: each as often as in both."""
         known, times = self.known[k]
+        column = np.full(len(self.vocabulary) + 1, len(known))  # other words have the last one
+        column[known] = np.arange(len(known))
         common, step = np.zeros(len(lo), np.int64), max(1, CELLS // (16 * (int((hi - lo).max(initial=1)) + len(known))))
         for c in range(0, len(lo), step):
             size = hi[c : c + step] - lo[c : c + step]
             at = T.ranges(lo[c : c + step], size)
-            region = words[at]
-            spot = np.minimum(np.searchsorted(known, region), len(known) - 1)
-            hit = known[spot] == region
-            cell = np.repeat(np.arange(len(size)) * len(known), size)[hit] + spot[hit]
-            common[c : c + step] = np.minimum(np.bincount(cell, minlength=len(size) * len(known)).reshape(-1, len(known)), times).sum(1)
+            cell = column[words[at]] + np.repeat(np.arange(len(size)) * (len(known) + 1), size)
+            both = np.bincount(cell, minlength=len(size) * (len(known) + 1)).reshape(len(size), -1)[:, :-1]
+            common[c : c + step] = np.minimum(both, times).sum(1)
         return common
 
     def align(self, k: int, words: np.ndarray) -> float:
@@ -280,12 +292,12 @@ def _search(items: Items, space: np.ndarray, hashes: np.ndarray, per: np.ndarray
     text = np.repeat(np.arange(len(count)), steps)
     begin = per[text] + (np.arange(len(text)) - upto[text]) * STEP
     stop = np.minimum(begin + STEP, per[text + 1])
-    feature, pieces = _feature(hashes), np.zeros((len(begin), space.shape[1]), np.float32)
-    room = np.empty_like(pieces)
-    for j in range(STEP):  # the j-th word of every step together
-        full = np.flatnonzero(begin + j < stop)
-        pieces[full] += np.take(space, feature[begin[full] + j], axis=0, out=room[: len(full)], mode="clip")
-    del room
+    feature, pieces = _feature(hashes), np.empty((len(begin), space.shape[1]), np.float32)
+    for j in range(0, len(begin), 256):  # so few steps that their words' rows stay in the cache
+        a, b = begin[j], stop[min(j + 256, len(begin)) - 1]
+        pieces[j : j + 256] = np.add.reduceat(np.take(space, feature[a:b], axis=0), begin[j : j + 256] - a, axis=0)
+
+    numbers = items.numbered(hashes)
 
     def consider(own: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
         """Align the surroundings of places (text, item, word)."""
@@ -296,7 +308,7 @@ def _search(items: Items, space: np.ndarray, hashes: np.ndarray, per: np.ndarray
             k = int(item[a])
             lo = np.maximum(per[own[a:b]], at[a:b] - REACH)
             hi = np.minimum(per[own[a:b] + 1], at[a:b] + max(2 * REACH, int(items.size[k])) + REACH)
-            for c in np.flatnonzero(items.bound(k, hashes, lo, hi) >= COVER * items.size[k]).tolist():
+            for c in np.flatnonzero(items.bound(k, numbers, lo, hi) >= COVER * items.size[k]).tolist():
                 place = int(own[a + c]), k
                 if best.get(place, 0.0) < 1.0:
                     cover = items.align(k, hashes[lo[c] : hi[c]])
@@ -327,18 +339,18 @@ def _search(items: Items, space: np.ndarray, hashes: np.ndarray, per: np.ndarray
         for j in range(1, every):
             some = np.flatnonzero(first + j < upto[text[first] + 1])
             window[place[some]] += np.take(pieces, first[some] + j, axis=0)
-        total = window.copy()
-        for k in range(1, more):
-            total[: len(total) - k] += window[k:]
-        del window
-        rows = max(1, CELLS // max(len(chosen), 1))
+        rows = max(1, BLOCK // max(len(chosen), 1))
         for c in range(0, len(place), rows):
-            some = total[place[c : c + rows]]
+            at = place[c : c + rows]
+            total = window[at[0] : at[-1] + 1].copy()
+            for k in range(1, more):
+                total += window[at[0] + k : at[-1] + 1 + k]
+            some = total[at - at[0]]
             size = np.sqrt(np.einsum("ij,ij->i", some, some))
             flat = np.flatnonzero(some @ vectors >= cosine * np.maximum(size, 1e-12)[:, None])
             row, k = first[c + flat // len(chosen)], flat % len(chosen)
             hits.append((text[row], chosen[k], begin[row]))
-        del total
+        del window
         consider(*(np.concatenate(x) for x in zip(*hits, strict=True)))
 
 

@@ -145,3 +145,19 @@ def test_edges(spark):
     assert S.keep_clean(docs, items).count() == 3
     assert S.matches(docs.limit(0), items).collect() == []
     assert S.matches(docs, items.limit(0)).collect() == []
+
+
+def test_bounds_count_numbered_words_each_as_often_as_in_both():
+    from collections import Counter
+
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 30, n)) for n in (12, 40, 3)]
+    items = S.Items([1, 2, 3], texts, np.ones((S.FEATURES, 4), np.float32))
+    words = [f"w{x}" for x in r.integers(0, 60, 300)]
+    hashes, _, _ = S.item_words(*T.text_bytes(pa.array([" ".join(words)])))
+    lo = np.array([0, 50, 120, 299])
+    hi = np.array([40, 50, 300, 300])
+    for k, text in enumerate(texts):
+        want = [(Counter(text.split()) & Counter(words[a:b])).total() for a, b in zip(lo, hi, strict=True)]
+        assert items.bound(k, items.numbered(hashes), lo, hi).tolist() == want
+    assert S.Items([1], [""], np.ones((S.FEATURES, 4), np.float32)).numbered(hashes).tolist() == [0] * 300
