@@ -326,20 +326,25 @@ def low_diameter_decomposition(graph: Graph, beta: float = 0.2, seed: int = 0) -
 
     order = stored(dense_ranks(graph.vertices.select("id"), [hash_priority("id", seed=seed), F.col("id")]), "ldd")
     n = order.count()
-    state, frontier, admitted, i = None, None, 0, 0
+    edges, own = keyed(graph.edges, "src", "edges")
+    log, admitted, i = None, 0, 0
     while True:
         upto = min(n, admitted + math.floor(math.exp(i * beta)))
-        fresh = order.where((F.col("new") >= admitted) & (F.col("new") < upto)).select("id", F.col("id").alias("cluster"), F.col("id").alias("parent"))
-        grown = None
-        if frontier is not None:
-            grown = graph.edges.join(frontier.select(F.col("id").alias("src"), "cluster"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("cluster", F.col("src").alias("parent"))).alias("x")).select("id", "x.cluster", "x.parent")
-            grown = grown.join(state.select("id"), "id", "left_anti")
-            fresh = fresh.join(state.select("id"), "id", "left_anti").join(grown.select("id"), "id", "left_anti")
-        frontier = stored(fresh if grown is None else grown.union(fresh), "ldd")
-        state = frontier if state is None else stored(state.union(frontier), "ldd")
+        fresh = order.where((F.col("new") >= admitted) & (F.col("new") < upto))
+        if log is None:
+            log = StateLog(fresh.select("id", F.col("id").alias("cluster"), F.col("id").alias("parent")), "ldd")
+        else:  # a cluster that arrives goes before a centre that begins
+            offers = frontier_edges(edges, log.last(), "cluster").select(F.col("dst").alias("id"), F.struct(F.lit(0).alias("late"), "cluster", F.col("src").alias("parent")).alias("x"))
+            offers = offers.union(fresh.select("id", F.struct(F.lit(1).alias("late"), F.col("id").alias("cluster"), F.col("id").alias("parent")).alias("x")))
+            best = offers.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.cluster", "x.parent")
+            log.append(best.join(log.current().select("id"), "id", "left_anti"))
         admitted, i = upto, i + 1
-        if admitted >= n and frontier.isEmpty():
-            return state
+        if admitted >= n and not log.changed:
+            break
+    if own:
+        forget(edges)
+    forget(order)
+    return log.close()
 
 
 def spanner(graph: Graph, k: int = 4, seed: int = 0) -> DataFrame:

@@ -126,3 +126,17 @@ def test_part_pairs_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
             baskets.setdefault(o, set()).add(p)
         want = Counter(e for own in baskets.values() for e in combinations(sorted(own), 2))
         assert {(r.src, r.dst): r.w for r in found.collect()} == {e: n for e, n in want.items() if n >= 2}
+
+
+def test_decomposition_appends_its_state(spark, monkeypatch):
+    """Whatever the number of rounds is, no round writes the state whole."""
+    from graphloom.graph import Graph
+    from graphloom.operators import paths
+
+    written, whole = [], paths.stored
+    monkeypatch.setattr(paths, "stored", lambda df, name: written.append(name) or whole(df, name))
+    g = Graph.from_edges(spark.createDataFrame([(k, k + 1) for k in range(12)], "src long, dst long")).store()
+    found = paths.low_diameter_decomposition(g, 0.6).collect()
+    assert sorted(r.id for r in found) == list(range(13)) and len(written) == 1
+    cluster = {r.id: r.cluster for r in found}
+    assert all(r.parent == r.id == r.cluster or abs(r.parent - r.id) == 1 and cluster[r.parent] == r.cluster for r in found)
