@@ -12,13 +12,15 @@ from graphloom.functions.scalars import hash_priority
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
 from graphloom.operators.covering import independent_set
-from graphloom.operators.paths import DynamicPaths, labelled_distances, relax, seeds, sssp
+from graphloom.operators.paths import DynamicPaths, HeldDistances, labelled_distances, relax, seeds, sssp
 from graphloom.operators.patterns import edge_triangles
 from graphloom.operators.primitives import common_neighbours, dense_ranks
 from graphloom.runtime import forget, stored
 from graphloom.state import bucketed, frontier_edges, keyed
 
 PLANE = 48
+#: Centres up to which all candidates' distances are held.
+HELD = 16
 
 
 def similarities(graph: Graph, measure: str = "cosine") -> DataFrame:
@@ -299,23 +301,32 @@ def apart(graph: Graph, candidates: DataFrame, radius: float) -> DataFrame:
     return out
 
 
-def _cover_within(graph: Graph, radius: float, k: int, seed: int, sampled: bool, runs: list | None = None) -> list[int] | None:
+def _cover_within(graph: Graph, radius: float, k: int, seed: int, sampled: bool, runs: list | None = None, held: HeldDistances | None = None) -> list[int] | None:
     """Centres, no two within the radius, that leave nothing farther; None once more than k are needed.
 
     sampled: up to k candidates at once, in a hashed order that is another one for each trial; those apart from all others are centres.
     A trial takes twice as many candidates as the last one where half of those were apart, and half as many where less than a quarter
-    was; a single one always is. The number of trials grows with the logarithm of the number of centres. runs gets each trial's size."""
-    left, centres, most, trial = stored(graph.vertices.select("id"), "kcentre"), [], k if sampled else 1, 0
-    while not left.isEmpty():
-        if len(centres) >= k:
+    was; a single one always is. The number of trials grows with the logarithm of the number of centres. runs gets each trial's size.
+    held: candidates' distances of all radii, for few candidates; without it each radius relaxes anew up to itself."""
+    left, centres, most, trial = graph.vertices.select("id"), [], k if sampled else 1, 0
+    if held is None:
+        left = stored(left, "kcentre")
+    while True:
+        full = len(centres) >= k
+        pool = [r.id for r in left.orderBy(hash_priority("id", seed=seed + trial if sampled else seed), "id").limit(1 if full else most).collect()]  # at most k
+        if full or not pool:
             forget(left)
-            return None
-        pool = left.orderBy(hash_priority("id", seed=seed + trial if sampled else seed), "id").limit(most)
+            return None if pool else centres
         trial += 1
         if runs is not None:
             runs.append(most)
-        found = (apart(graph, pool, radius) if most > 1 else pool).collect()  # at most k
-        chosen, tried = [r.id for r in found], most
+        if most == 1:
+            chosen = pool
+        elif held is not None:
+            chosen = held.apart(pool, radius)
+        else:
+            chosen = [r.id for r in apart(graph, seeds(graph, pool), radius).collect()]
+        tried = most
         if sampled:
             most = min(k, most * 2) if 2 * len(chosen) >= tried else max(1, most // 2) if 4 * len(chosen) < tried else most
         if len(centres) + len(chosen) > k:
@@ -324,31 +335,38 @@ def _cover_within(graph: Graph, radius: float, k: int, seed: int, sampled: bool,
         if not chosen:
             continue
         centres += chosen
+        if held is not None:
+            left = held.beyond(centres, radius)
+            continue
         near = relax(graph, seeds(graph, chosen, 0), cap=radius)[0]
         last, left = left, stored(left.join(near, "id", "left_anti"), "kcentre")
         forget(last, near)
-    forget(left)
-    return centres
 
 
 def k_centres_by_radius(graph: Graph, k: int, seed: int = 0, sampled: bool = False, tolerance: float = 0.0) -> DataFrame:
-    """(position, id, radius): centres for the least radius, doubled and then halved in, at which a greedy (or, sampled, batchwise) distance-independent set of at most k vertices covers the graph; no rows if none does."""
+    """(position, id, radius): centres for the least radius, doubled and then halved in, at which a greedy (or, sampled, batchwise) distance-independent set of at most k vertices covers the graph; no rows if none does.
+
+    Up to HELD centres, each candidate's distances are found once for all radii."""
     spark, low, high = graph.vertices.sparkSession, 0, 1
-    best = _cover_within(graph, 0, k, seed, sampled)
+    total, least = graph.edges.agg(F.sum("w"), F.min("w")).first()
+    if (least or 0) < 0:
+        raise ValueError("k centres need weights of 0 or more")
+    held = HeldDistances(graph) if k <= HELD else None
+    best = _cover_within(graph, 0, k, seed, sampled, held=held)
     if best is None:
-        top = (graph.edges.agg(F.sum("w")).first()[0] or 0) + 1
-        while (best := _cover_within(graph, high, k, seed, sampled)) is None and high < top:
+        top = (total or 0) + 1
+        while (best := _cover_within(graph, high, k, seed, sampled, held=held)) is None and high < top:
             low, high = high, high * 2
-        if best is None:
-            return spark.createDataFrame([], "position int, id long, radius double")
         whole = dict(graph.edges.dtypes)["w"] in ("int", "bigint")
-        while (high - low > 1) if whole and not tolerance else (high - low > max(tolerance, 1e-3) * high):
+        while best is not None and ((high - low > 1) if whole and not tolerance else (high - low > max(tolerance, 1e-3) * high)):
             mid = (low + high) // 2 if whole and not tolerance else (low + high) / 2
-            found = _cover_within(graph, mid, k, seed, sampled)
+            found = _cover_within(graph, mid, k, seed, sampled, held=held)
             low, high, best = (low, mid, found) if found is not None else (mid, high, best)
     else:
         high = 0
-    return spark.createDataFrame([(i, int(c), float(high)) for i, c in enumerate(best)], "position int, id long, radius double")
+    if held is not None:
+        held.close()
+    return spark.createDataFrame([(i, int(c), float(high)) for i, c in enumerate(best or [])], "position int, id long, radius double")
 
 
 def centre_assignment(graph: Graph, centres: list[int]) -> DataFrame:

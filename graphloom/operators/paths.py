@@ -140,6 +140,130 @@ def labelled_distances(graph: Graph, start: DataFrame, cap: float) -> DataFrame:
     return log.close()
 
 
+def without_paths(graph: Graph) -> tuple[Graph, list[DataFrame]]:
+    """The graph without vertices of at most two neighbours, stored, and the levels in which they went: (v, other, leaves, enters).
+
+    A level takes out the vertices whose hash is less than that of their neighbours with at most two of their own, and puts edges between the
+    two neighbours of each, as long as the way through it. So distances between those that stay are as before, and a path of n vertices goes in
+    some log n levels. leaves and enters are the weights to and from a neighbour when v went."""
+    edges, levels = stored(graph.edges.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")), "level"), []
+    while True:
+        ends = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()
+        low = ends.groupBy("id").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("other"), F.max("other"))).alias("others")).where("n <= 2")
+        low = stored(low.select("id", "others", F.struct(hash_priority("id", seed=len(levels)).alias("h"), "id").alias("place")), "level")
+        pairs = low.select("id", "place", F.explode("others").alias("other")).join(low.select(F.col("id").alias("other"), F.col("place").alias("before")), "other")
+        gone = low.select(F.col("id").alias("v")).join(pairs.where("before < place").select(F.col("id").alias("v")), "v", "left_anti")
+        none = F.lit(None).cast(edges.schema["w"].dataType)
+        leaves = edges.withColumnRenamed("src", "v").join(gone, "v").select("v", F.col("dst").alias("other"), F.col("w").alias("leaves"), none.alias("enters"))
+        enters = edges.withColumnRenamed("dst", "v").join(gone, "v").select("v", F.col("src").alias("other"), none.alias("leaves"), F.col("w").alias("enters"))
+        level = stored(leaves.union(enters).groupBy("v", "other").agg(F.min("leaves").alias("leaves"), F.min("enters").alias("enters")), "level")
+        forget(low)
+        if level.isEmpty():
+            forget(level)
+            break
+        levels.append(level)
+        gone = level.select("v").distinct()
+        through = level.select("v", F.col("other").alias("src"), "enters").join(level.select("v", F.col("other").alias("dst"), "leaves"), "v")
+        through = through.where("src <> dst and enters is not null and leaves is not null").select("src", "dst", (F.col("enters") + F.col("leaves")).alias("w"))
+        kept = edges.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti")
+        last, edges = edges, stored(kept.select("src", "dst", "w").union(through).groupBy("src", "dst").agg(F.min("w").alias("w")), "level")
+        forget(last)
+    ids = graph.vertices
+    if levels:
+        ids = ids.join(_union([x.select(F.col("v").alias("id")) for x in levels]).distinct(), "id", "left_anti")
+    core = Graph(ids, edges, graph.directed).store()
+    forget(edges)
+    return core, levels
+
+
+class HeldDistances:
+    """Distances from single vertices to all they reach (weights of 0 or more), each found once and held as a column of a table bucketed by id.
+
+    They are relaxed on the graph without its paths, so the rounds follow what is left of its depth, and put back level by level."""
+
+    def __init__(self, graph: Graph):
+        self.graph, self.core, self.levels = graph, None, []
+        self.tables: list[tuple[DataFrame, list[int], dict[int, dict]]] = []
+        self.runs = 0
+
+    def find(self, ids: list[int]) -> None:
+        """Hold the distances from these vertices, those that aren't yet in one relaxation."""
+        held = {c for _, own, _ in self.tables for c in own}
+        new = [c for c in dict.fromkeys(ids) if c not in held]
+        if not new:
+            return
+        if self.core is None:
+            self.core, self.levels = without_paths(self.graph)
+        self.runs += 1
+        kind = self.graph.edges.schema["w"].dataType
+        zero = 0 if kind.typeName() in ("integer", "long") else 0.0
+        names = [f"d{c}" for c in new]
+        columns = "id long, " + ", ".join(f"`{n}` {kind.simpleString()}" for n in names)
+        start, at = self._upwards({c: {c: zero} for c in new})
+        spark = self.graph.vertices.sparkSession
+        rows = lambda some: spark.createDataFrame([(v, *(start[v].get(c) for c in new)) for v in some], columns)
+        parts = [labelled_distances(self.core, rows([v for v in start if v not in at]), float("inf"))]
+        for k in reversed(range(len(self.levels))):
+            offers = self.levels[k].where("enters is not null").join(_union(parts).withColumnRenamed("id", "other"), "other").select(F.col("v").alias("id"), *((F.col(n) + F.col("enters")).alias(n) for n in names))
+            own = [v for v in start if at.get(v) == k]
+            if own:
+                offers = offers.union(rows(own))
+            parts.append(stored(offers.groupBy("id").agg(*(F.min(n).alias(n) for n in names)), "held"))
+        self.tables.append((bucketed(_union(parts), "id", "held"), new, {}))
+        forget(*parts)
+
+    def _upwards(self, start: dict[int, dict]) -> tuple[dict[int, dict], dict[int, int]]:
+        """Distances from the sources along vertices that went ever later, and the level of each that went: a source meets at most two of a level."""
+        at: dict[int, int] = {}
+        if not self.levels:
+            return start, at
+        steps = _union([x.select("v", "other", "leaves", F.lit(k).alias("level")) for k, x in enumerate(self.levels)])
+        ahead, seen, ways = set(start), set(start), {}
+        while ahead:
+            found = steps.where(F.col("v").isin(sorted(ahead))).collect()
+            for r in found:
+                at[r.v] = r.level
+                ways.setdefault(r.v, []).append((r.other, r.leaves))
+            ahead = {r.other for r in found} - seen
+            seen |= ahead
+        for v in sorted(ways, key=at.get):
+            for other, w in ways[v]:
+                for c, d in start.get(v, {}).items() if w is not None else ():
+                    own = start.setdefault(other, {})
+                    own[c] = min(own.get(c, d + w), d + w)
+        return start, at
+
+    def apart(self, ids: list[int], radius: float) -> list[int]:
+        """Those of some vertices that no other one of them reaches within the radius."""
+        self.find(ids)
+        met = set()
+        for table, own, rows in self.tables:
+            some = [c for c in own if c in ids]
+            lack = [v for v in ids if v not in rows]
+            if some and lack:
+                found = {r.id: r for r in table.where(F.col("id").isin(lack)).collect()}
+                rows.update({v: found.get(v) for v in lack})
+            for c in some:
+                met.update(v for v in ids if v != c and rows[v] is not None and rows[v][f"d{c}"] is not None and rows[v][f"d{c}"] <= radius)
+        return [v for v in ids if v not in met]
+
+    def beyond(self, sources: list[int], radius: float) -> DataFrame:
+        """(id): the vertices that none of the sources reaches within the radius."""
+        self.find(sources)
+        out = self.graph.vertices.select("id")
+        for table, own, _ in self.tables:
+            some = [c for c in own if c in sources]
+            if some:
+                near = F.coalesce(F.least(*(F.col(f"d{c}") for c in some), F.lit(None)) <= radius, F.lit(False))
+                out = out.join(table.where(near).select("id"), "id", "left_anti")
+        return out
+
+    def close(self) -> None:
+        forget(*self.levels, *(table for table, *_ in self.tables))
+        if self.core is not None:
+            forget(self.core.vertices, self.core.edges)
+
+
 def _improved(offers: DataFrame, known: DataFrame, gains: Column) -> DataFrame:
     """The offers (id, dist) that no known row (id, dist) is as good as."""
     both = offers.select("id", F.col("dist").alias("new")).join(known.select("id", "dist"), "id", "left")

@@ -151,6 +151,21 @@ def test_cover_by_samples_on_a_path(spark):
     assert clustering._cover_within(path, 1, 2, 0, True) is None
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_held_distances_on_long_paths(spark, directed):
+    """A relaxation of the whole path would take 16 rounds; without its paths the graph has next to no edges."""
+    edges = [(k, k + 1, k % 3) for k in range(16)] + [(8, 20, 2), (20, 21, 1), (21, 8, 5), (12, 4, 4), (22, 23, 3)]
+    path = make(spark, edges, 25, directed)
+    held = paths.HeldDistances(path)
+    some = [3, 9, 21, 22]
+    assert held.apart(some, 8) == [v for v in some if not any(0 <= dijkstra(edges, [u], directed).get(v, 9) <= 8 for u in some if u != v)]
+    assert len(held.levels) <= 8 and held.core.edges.count() <= 6
+    for sources, radius in (([3], 9), ([3, 21], 5), ([22], 100)):
+        near = dijkstra(edges, sources, directed)
+        assert {r.id for r in held.beyond(sources, radius).collect()} == {v for v in range(25) if near.get(v, radius + 1) > radius}
+    assert held.runs == 1
+
+
 def test_components_from_samples(spark, graph):
     want = pairs(connectivity.components(graph))
     for algorithm in ("bfs", "ldd"):
