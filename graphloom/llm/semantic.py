@@ -223,18 +223,26 @@ class Items:
         spot[self.vocabulary[np.minimum(spot, most - 1)] != hashes] = most
         return spot.astype(np.int32)
 
-    def bound(self, k: int, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The most words that a common subsequence with each region [lo, hi) of numbered words can have: each as often as in both."""
+    def bound(self, k: int, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: float = 0) -> np.ndarray:
+        """The most words that a common subsequence with each region [lo, hi) of numbered words can have: each as often as in both.
+
+        Regions with fewer than need of the item's words get the number of those, which is no less."""
         known, times = self.known[k]
-        column = np.full(len(self.vocabulary) + 1, len(known))  # other words have the last one
+        column = np.full(len(self.vocabulary) + 1, len(known), np.int32)  # other words have the last one
         column[known] = np.arange(len(known))
         common, step = np.zeros(len(lo), np.int64), max(1, CELLS // (16 * (int((hi - lo).max(initial=1)) + len(known))))
         for c in range(0, len(lo), step):
             size = hi[c : c + step] - lo[c : c + step]
-            at = T.ranges(lo[c : c + step], size)
-            cell = column[words[at]] + np.repeat(np.arange(len(size)) * (len(known) + 1), size)
-            both = np.bincount(cell, minlength=len(size) * (len(known) + 1)).reshape(len(size), -1)[:, :-1]
-            common[c : c + step] = np.minimum(both, times).sum(1)
+            spot = column[words[T.ranges(lo[c : c + step], size)]]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            seen = np.concatenate([[0], np.cumsum(spot < len(known), dtype=np.int64)])
+            held = seen[upto[1:]] - seen[upto[:-1]]  # the item's words in a region, however often
+            common[c : c + step] = held
+            enough = np.flatnonzero(held >= need)
+            width = len(known) + 1
+            cell = spot[T.ranges(upto[enough], size[enough])] + np.repeat(np.arange(len(enough)) * width, size[enough])
+            both = np.bincount(cell, minlength=len(enough) * width).reshape(len(enough), width)[:, :-1]
+            common[c + enough] = np.minimum(both, times).sum(1)
         return common
 
     def align(self, k: int, words: np.ndarray) -> float:
@@ -291,11 +299,17 @@ def _search(items: Items, space: np.ndarray, hashes: np.ndarray, per: np.ndarray
         return
     text = np.repeat(np.arange(len(count)), steps)
     begin = per[text] + (np.arange(len(text)) - upto[text]) * STEP
-    stop = np.minimum(begin + STEP, per[text + 1])
+    stop = per[text + 1]
     feature, pieces = _feature(hashes), np.empty((len(begin), space.shape[1]), np.float32)
     for j in range(0, len(begin), 256):  # so few steps that their words' rows stay in the cache
-        a, b = begin[j], stop[min(j + 256, len(begin)) - 1]
-        pieces[j : j + 256] = np.add.reduceat(np.take(space, feature[a:b], axis=0), begin[j : j + 256] - a, axis=0)
+        own, last, total = begin[j : j + 256], stop[j : j + 256], pieces[j : j + 256]
+        np.take(space, feature[own], axis=0, out=total, mode="clip")
+        for k in range(1, STEP):  # the words of a step, one after another: some steps at the end of a text have fewer
+            more = own + k < last
+            if more.all():
+                total += np.take(space, feature[own + k], axis=0)
+            else:
+                total[more] += np.take(space, feature[own[more] + k], axis=0)
 
     numbers = items.numbered(hashes)
 
@@ -308,7 +322,7 @@ def _search(items: Items, space: np.ndarray, hashes: np.ndarray, per: np.ndarray
             k = int(item[a])
             lo = np.maximum(per[own[a:b]], at[a:b] - REACH)
             hi = np.minimum(per[own[a:b] + 1], at[a:b] + max(2 * REACH, int(items.size[k])) + REACH)
-            for c in np.flatnonzero(items.bound(k, numbers, lo, hi) >= COVER * items.size[k]).tolist():
+            for c in np.flatnonzero(items.bound(k, numbers, lo, hi, COVER * items.size[k]) >= COVER * items.size[k]).tolist():
                 place = int(own[a + c]), k
                 if best.get(place, 0.0) < 1.0:
                     cover = items.align(k, hashes[lo[c] : hi[c]])

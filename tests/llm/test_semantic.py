@@ -161,3 +161,13 @@ def test_bounds_count_numbered_words_each_as_often_as_in_both():
         want = [(Counter(text.split()) & Counter(words[a:b])).total() for a, b in zip(lo, hi, strict=True)]
         assert items.bound(k, items.numbered(hashes), lo, hi).tolist() == want
     assert S.Items([1], [""], np.ones((S.FEATURES, 4), np.float32)).numbered(hashes).tolist() == [0] * 300
+
+
+def test_bound_leaves_out_regions_with_too_few_of_an_items_words():
+    """Those get the number of the item's words, however often: no less than the bound, and still below what is needed."""
+    items = S.Items([1], ["a b c d e f g h"], np.ones((S.FEATURES, 4), np.float32))
+    hashes, _, _ = S.item_words(*T.text_bytes(pa.array(["a b c d e f g h x y a a a x x x"])))
+    words, lo, hi = items.numbered(hashes), np.array([0, 8, 4]), np.array([8, 16, 12])
+    assert items.bound(0, words, lo, hi).tolist() == [8, 1, 5]
+    assert items.bound(0, words, lo, hi, 5).tolist() == [8, 3, 5]
+    assert items.bound(0, words, lo, hi, 9).tolist() == [8, 3, 6]
