@@ -5,9 +5,11 @@ common blocks leave the later document.
 2. Documents are ordered by doc_id. Of documents with equal texts the first one stands for all: a later one that holds an anchor goes whole.
 3. An anchor line of at most RARE documents pairs all of them, a more frequent one each of them with its first holder. Most lines go then.
    A frequent line that still stands in a document is settled against all its earlier holders by their frequent lines alone, other
-   anchor lines being gaps: documents with equal sequences of them are one class, and two classes are aligned once, for all their
-   members. Two documents that share no rare line have the same alignment by whole texts as by these sequences, so an anchor line goes
-   when it goes in the alignment with any earlier document, whole or by frequent lines, and neither rule lists the pairs of a group.
+   anchor lines and lines that no other holder has being gaps: documents with equal sequences of them are one class. Two classes that
+   share a line of at most RARE classes are aligned by themselves. Others are aligned by the lines of more classes alone: classes with
+   equal sequences of these are one kind, and two kinds are aligned once, for all their members. Two documents that share no rare line
+   have the same alignment by whole texts as by these sequences, so an anchor line goes when it goes in the alignment with any earlier
+   document, whole or by frequent lines, and no rule lists the pairs of a group.
    Lines of fewer words go with the blocks of the alignments made: a document whose anchor lines are settled isn't aligned further for them.
 4. Both documents' line hashes are aligned: common head and tail, then recursively the longest ascending run of lines that occur
    once in both. An aligned block (lines that follow each other in both) with an anchor line is deleted from the later document.
@@ -120,13 +122,19 @@ def deletions(a: np.ndarray, b: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return np.array(gone, np.int64)
 
 
-def skeleton(lines: np.ndarray, anchor: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A document's lines with each stretch of anchor lines that aren't frequent as one mark, and the place of each in the document."""
-    gap = anchor & ~np.isin(lines, frequent)
+def skeleton(lines: np.ndarray, anchor: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with each stretch of gaps as one mark, which of them are anchors and no gaps, and the place of each among the lines."""
     keep = ~gap
     keep[0] = True
     keep[1:] |= gap[1:] & ~gap[:-1]
-    return np.where(gap, np.uint64(0), lines)[keep], np.flatnonzero(keep)
+    return np.where(gap, np.uint64(0), lines)[keep], (anchor & ~gap)[keep], np.flatnonzero(keep)
+
+
+def gone_by(first: bytes, own: bytes, mark: bytes) -> np.ndarray:
+    """Places of a sequence that go when it is aligned with an earlier one."""
+    theirs = X.unpack(first, np.uint64)
+    theirs = np.where(theirs == 0, np.uint64(1), theirs)  # a gap of one side is none of the other
+    return deletions(theirs, X.unpack(own, np.uint64), np.frombuffer(mark, bool))
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -191,48 +199,110 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _by_frequent_lines(open_: DataFrame, frequent: DataFrame, lines: DataFrame) -> DataFrame:
     """What goes from the documents of open_ (doc, line) by alignment with the frequent lines of all earlier holders, class by class."""
     holders = frequent.join(open_.select("line").distinct(), "line", "left_semi").select("doc").distinct()
-    known = frequent.join(holders, "doc", "left_semi").groupBy("doc").agg(F.collect_list("line").alias("held"))  # a document's own lines
+    common = stored(frequent.join(holders, "doc", "left_semi").select("doc", "line"), "line-common")
+    known = common.groupBy("doc").agg(F.collect_list("line").alias("held"))  # a document's own lines
+    sides = stored(known.join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "lines", "anchor", "held"), "line-sides")
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(X.unpack(raw, np.uint64)[~np.frombuffer(mark, bool)]).view(np.int64) for raw, mark in zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], [*KEY, "line"])
+
+    # a line that one holder alone has is matched by none of the others: as a gap it keeps no document out of a class
+    values = sides.mapInArrow(short, "line_doc long, line_text long, line array<long>").select(F.struct(*KEY).alias("doc"), F.explode("line").alias("line")).union(common)
+    alone = values.groupBy("line").agg(F.count("*").alias("times"), F.min("doc").alias("doc")).where("times = 1").groupBy("doc").agg(F.collect_list("line").alias("alone"))
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for raw, mark, held in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                anchor = np.frombuffer(mark, bool)
-                own, at = skeleton(X.unpack(raw, np.uint64), anchor, np.array(held, np.int64).view(np.uint64))
-                packed = X.pack(own), anchor[at].tobytes()
-                rows.append((hashlib.blake2b(own.tobytes() + packed[1], digest_size=16).digest(), *packed, X.pack(at)))
-            kinds = [pa.array([r[k] for r in rows], pa.binary()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *kinds, batch.column(4)], [*KEY, "class", "own", "mark", "at", "held"])
-
-    sides = known.join(lines.select("doc", "lines", "anchor"), "doc").select("doc.*", "lines", "anchor", "held")
-    classed = stored(sides.mapInArrow(sequences, "line_doc long, line_text long, class binary, own binary, mark binary, at binary, held array<long>").withColumn("doc", F.struct(*KEY)), "line-classes")
+            for raw, mark, held, single in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
+                own, anchor = X.unpack(raw, np.uint64), np.frombuffer(mark, bool)
+                gap = anchor & ~np.isin(own, np.array(held, np.int64).view(np.uint64)) | np.isin(own, np.array(single or [], np.int64).view(np.uint64))
+                rows.append(_named(*skeleton(own, anchor, gap)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_columns(rows)], [*KEY, "class", "own", "mark", "at", "held"])
+
+    sides = sides.withColumn("doc", F.struct(*KEY)).join(alone, "doc", "left").select("doc.*", "lines", "anchor", "held", "alone")
+    classed = stored(sides.mapInArrow(sequences, "line_doc long, line_text long, class binary, own binary, mark binary, at array<int>, held array<long>").withColumn("doc", F.struct(*KEY)), "line-classes")
     heads = stored(classed.groupBy("class").agg(F.min("doc").alias("head"), F.first("own").alias("own"), F.first("mark").alias("mark"), F.first("held").alias("held")), "line-heads")
-    asked = open_.join(classed.select("doc", "class"), "doc").groupBy("class", "line").agg(F.max("doc").alias("last"))
-    given = heads.select(F.col("class").alias("other"), "head", F.explode("held").alias("line"))
-    meet = asked.join(given, "line").where("head < last").select("class", "other").distinct()
-    joined = meet.join(heads.select(F.col("class").alias("other"), "head", F.col("own").alias("theirs")), "other").join(heads.select("class", "own", "mark"), "class").select("class", "head", "theirs", "own", "mark")
+    asked = stored(open_.join(classed.select("doc", "class"), "doc").groupBy("class", "line").agg(F.max("doc").alias("last")), "line-asked")
+    entries = heads.select("class", "head", F.explode("held").alias("line"))
+    few = entries.groupBy("line").agg(F.count("*").alias("times")).where(F.col("times") <= RARE).select("line")
+    scarce = stored(entries.join(few, "line").select("class", "line"), "line-scarce")
+
+    # two classes that share a line of few classes are aligned by themselves
+    near = asked.select("class").distinct().join(scarce, "class").join(scarce.select(F.col("class").alias("other"), "line"), "line")
+    near = stored(near.select("class", "other").distinct(), "line-near")
+    meet = near.join(asked, "class").join(entries.select(F.col("class").alias("other"), "head", "line"), ["other", "line"]).where("head < last").select("class", "other").distinct()
+    theirs = heads.select(F.col("class").alias("other"), "head", F.col("own").alias("theirs"))
+    alone_met = meet.join(theirs, "other").join(heads.select("class", "own", "mark"), "class").select("class", "head", "theirs", "own", "mark")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = []
-            for a, b, k in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                theirs = X.unpack(a, np.uint64)
-                theirs = np.where(theirs == 0, np.uint64(1), theirs)  # a gap of one side is none of the other
-                gone.append(deletions(theirs, X.unpack(b, np.uint64), np.frombuffer(k, bool)).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int64()))], ["class", "head", "gone"])
-
-    taken = joined.mapInArrow(align, "class binary, head struct<line_doc: long, line_text: long>, gone array<long>").select("class", "head", F.explode("gone").alias("place"))
+            gone = [gone_by(*x).tolist() for x in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["class", "head", "gone"])
+
+    taken = alone_met.mapInArrow(align, "class binary, head struct<line_doc: long, line_text: long>, gone array<int>").select("class", "head", F.explode("gone").alias("place"))
+    taken = taken.union(_by_kinds(heads, asked, scarce, near))
     # of each line of a class, the first document that takes it
     taken = stored(taken.groupBy("class", "place").agg(F.min("head").alias("head")), "line-taken")
     places = taken.join(open_.select("doc").distinct().join(classed.select("doc", "class", "at"), "doc"), "class").where("head < doc")
-    places = places.groupBy("doc").agg(F.first("at").alias("at"), F.collect_list("place").alias("places"))
+    places = places.groupBy("doc").agg(F.collect_list(F.expr("at[place]").cast("long")).alias("places"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [X.pack(X.unpack(at, np.int64)[np.array(k, np.int64)]) for at, k in zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)]
+            gone = [X.pack(np.array(k, np.int64)) for k in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.binary())], [*KEY, "gone"])
 
-    return places.select("doc.*", "at", "places").mapInArrow(placed, "line_doc long, line_text long, gone binary")
+    return places.select("doc.*", "places").mapInArrow(placed, "line_doc long, line_text long, gone binary")
+
+
+def _named(own: np.ndarray, anchor: np.ndarray, at: np.ndarray) -> tuple:
+    """A sequence's name, its lines and marks packed, the places of its lines, and its distinct lines."""
+    return hashlib.blake2b(own.tobytes() + anchor.tobytes(), digest_size=16).digest(), X.pack(own), anchor.tobytes(), at.tolist(), np.unique(own[own != 0]).view(np.int64)
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    kinds = [pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+
+
+def _by_kinds(heads: DataFrame, asked: DataFrame, scarce: DataFrame, near: DataFrame) -> DataFrame:
+    """class, head and place: what goes from classes by alignment with those that share none of their lines of few classes.
+
+    Without such lines many classes have one sequence, a kind; two kinds are aligned once. The first class of a kind may be near to one
+    that asks, which the alignment isn't right for: then the first that isn't near stands for the kind."""
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for raw, mark, lost in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                own = X.unpack(raw, np.uint64)
+                rows.append(_named(*skeleton(own, np.frombuffer(mark, bool), (own == 0) | np.isin(own, np.array(lost or [], np.int64).view(np.uint64)))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_columns(rows)], ["class", "head", "kind", "own", "mark", "at", "held"])
+
+    marked = heads.join(scarce.groupBy("class").agg(F.collect_list("line").alias("lost")), "class", "left").select("class", "head", "own", "mark", "lost")
+    kinds = stored(marked.mapInArrow(sequences, "class binary, head struct<line_doc: long, line_text: long>, kind binary, own binary, mark binary, at array<int>, held array<long>"), "line-kinds")
+    tops = kinds.groupBy("kind").agg(F.min("head").alias("head"), F.min_by("class", "head").alias("first"), *(F.first(c).alias(c) for c in ("own", "mark", "held")))
+    tops = stored(tops.withColumnRenamed("kind", "top"), "line-tops")
+    wanted = asked.join(kinds.select("class", "kind"), "class").groupBy("kind", "line").agg(F.max("last").alias("last"))
+    meet = wanted.join(tops.select("top", "head", F.explode("held").alias("line")), "line").where("head < last").groupBy("kind", "top").agg(F.collect_set("line").alias("by"))
+    joined = meet.join(tops.select("top", "head", F.col("own").alias("theirs")), "top").join(tops.select(F.col("top").alias("kind"), "own", "mark"), "kind").select("kind", "top", "theirs", "own", "mark", "head", "by")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [gone_by(*x).tolist() for x in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), batch.column(6), pa.array(gone, pa.list_(pa.int32()))], ["kind", "top", "head", "by", "gone"])
+
+    aligned = joined.mapInArrow(align, "kind binary, top binary, head struct<line_doc: long, line_text: long>, by array<long>, gone array<int>")
+    aligned = stored(aligned.where(F.size("gone") > 0), "line-aligned")
+    firsts = tops.select("top", F.col("first").alias("other"))
+    barred = near.join(firsts, "other").join(kinds.select("class", "kind"), "class").join(aligned.select("kind", "top"), ["kind", "top"], "left_semi").select("class", "top")
+    members = kinds.select(F.col("kind").alias("top"), F.col("class").alias("other"), F.col("head").alias("later"))
+    later = barred.join(members, "top").join(near, ["class", "other"], "left_anti").groupBy("class", "top").agg(F.min("later").alias("later"))
+    barred = stored(barred.join(later, ["class", "top"], "left").withColumn("barred", F.lit(True)), "line-barred")
+    found = asked.join(kinds.select("class", "kind", "at"), "class").join(aligned.withColumn("line", F.explode("by")), ["kind", "line"]).select("class", "top", "head", "at", "gone")
+    found = found.join(barred, ["class", "top"], "left").withColumn("head", F.when(F.col("barred"), F.col("later")).otherwise(F.col("head"))).where("head is not null")
+    return found.select("class", "head", "at", F.explode("gone").alias("place")).select("class", "head", F.expr("at[place]").alias("place"))
 
 
 def _cut(text: str | None, gone: list[bytes] | None) -> tuple[str, int, int]:

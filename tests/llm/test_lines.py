@@ -159,6 +159,36 @@ def test_like_holders_are_one_class(spark, monkeypatch):
     assert {k: counts[k].count() for k in ("line-pairs", "line-heads", "line-taken")} == {"line-pairs": 199, "line-heads": 1, "line-taken": 0}
 
 
+def test_a_short_line_of_its_own_keeps_no_document_out_of_a_class(spark, monkeypatch):
+    """As before, but each document also has short lines that no other one has, so that all documents differ in their short lines."""
+    hot = "the separator line that stands everywhere twice"
+    rows = [(d, f"head {d}\n{hot}\nan own line of document {d}\nsub {d}\n{hot}\nanother own line of document {d}") for d in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counts, kept = {}, L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: counts.setdefault(name, kept(df, name)))
+    assert found(rows, L.deleted_lines(docs)) == {r: () for r in rows[1:]}
+    assert counts["line-heads"].count() == 1
+
+
+def test_classes_apart_by_lines_of_few_meet_as_kinds(spark, monkeypatch):
+    """Pairs of documents share a short line, so that there are about as many classes as pairs; the common lines stand in five orders, with or without a gap at the end."""
+    rng = random.Random(5)
+    hot = [f"common line number {k} of all documents" for k in range(3)]
+    rows = []
+    for d in range(160):
+        common = rng.choice([[hot[0], hot[0]], [hot[0], hot[1]], [hot[1], hot[0]], [hot[0], hot[0], hot[1]], [hot[1], hot[2], hot[1], hot[0], hot[0]]])
+        text = [p for k, h in enumerate(common) for p in (f"an own line of document {d} before {k}", h)]
+        text.insert(rng.randrange(len(text) + 1), f"pair {d // 2}")
+        rows.append((d, "\n".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counts, kept = {}, L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: counts.setdefault(name, kept(df, name)))
+    agree(rows, found(rows, L.deleted_lines(docs)))
+    n = {k: f.count() for k, f in counts.items()}
+    assert n["line-heads"] > 100 and n["line-tops"] <= 10 and n["line-barred"] > 0
+    assert n["line-near"] <= 2 * n["line-heads"] + 5 * L.RARE and n["line-aligned"] <= 100
+
+
 def test_a_frequent_line_is_taken_by_a_class(spark):
     """The first holder crosses the line; a later one among 100 others, which hold it twice, has it in order."""
     x, y = "one line of more than five words", "another line of more than five words"
