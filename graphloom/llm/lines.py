@@ -300,9 +300,15 @@ def _by_kinds(heads: DataFrame, asked: DataFrame, scarce: DataFrame, near: DataF
     members = kinds.select(F.col("kind").alias("top"), F.col("class").alias("other"), F.col("head").alias("later"))
     later = barred.join(members, "top").join(near, ["class", "other"], "left_anti").groupBy("class", "top").agg(F.min("later").alias("later"))
     barred = stored(barred.join(later, ["class", "top"], "left").withColumn("barred", F.lit(True)), "line-barred")
-    found = asked.join(kinds.select("class", "kind", "at"), "class").join(aligned.withColumn("line", F.explode("by")), ["kind", "line"]).select("class", "top", "head", "at", "gone")
-    found = found.join(barred, ["class", "top"], "left").withColumn("head", F.when(F.col("barred"), F.col("later")).otherwise(F.col("head"))).where("head is not null")
-    return found.select("class", "head", "at", F.explode("gone").alias("place")).select("class", "head", F.expr("at[place]").alias("place"))
+    wish = asked.select("class", "line").join(kinds.select("class", "kind"), "class")
+    reached = aligned.withColumn("line", F.explode("by"))
+    # of each line of a kind, the first kind that takes it; for a class with a barred kind all of them
+    least = reached.select("kind", "line", "head", F.explode("gone").alias("place")).groupBy("kind", "line", "place").agg(F.min("head").alias("head"))
+    plain = wish.join(barred.select("class").distinct(), "class", "left_anti").join(least, ["kind", "line"]).select("class", "head", "place")
+    each = wish.join(barred.select("class").distinct(), "class", "left_semi").join(reached, ["kind", "line"]).join(barred, ["class", "top"], "left")
+    each = each.withColumn("head", F.when(F.col("barred"), F.col("later")).otherwise(F.col("head"))).where("head is not null").select("class", "head", F.explode("gone").alias("place"))
+    found = plain.union(each).groupBy("class", "place").agg(F.min("head").alias("head"))
+    return found.join(kinds.select("class", "at"), "class").select("class", "head", F.expr("at[place]").alias("place"))
 
 
 def _cut(text: str | None, gone: list[bytes] | None) -> tuple[str, int, int]:
